@@ -206,3 +206,120 @@ ORACLE["tier3_hop2"] = with_(ENTRIES, QUERIES, bm25(), TIER2, EDGES, tier3()) +
 SELECT chat_id, query_id, id, hop, pos FROM found"""
 ORACLE["ladder_snapshot"] = with_(ENTRIES, QUERIES, bm25(), TIER2, EDGES, tier3(), floor(), ladder()) + """
 SELECT chat_id, query_id, rank, id, tier, round(bm25, 6) AS bm25, round(score, 6) AS score FROM ladder"""
+
+
+# --- write path over conversations ---------------------------------------------
+
+TURN = 1 << 32
+TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+BATCHES = f"""
+placed AS (
+  SELECT conv_id AS chat_id, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place
+  FROM conversations WHERE {TRIM.format('text')} <> ''),
+batched AS (
+  SELECT *, place // 5 AS batch,
+         least((place // 5) * 5 + 9, max(place) OVER (PARTITION BY chat_id)) AS fired_at
+  FROM placed),
+batch_sources AS (
+  SELECT chat_id, batch, list(turn ORDER BY place) AS sources FROM batched GROUP BY ALL)"""
+
+FACTS = f"""
+lines AS (
+  SELECT chat_id, batch, place, unnest(string_split('[user] ' || text, chr(10))) AS line,
+         generate_subscripts(string_split('[user] ' || text, chr(10)), 1) AS ln FROM batched),
+bodies AS (
+  SELECT chat_id, batch, string_agg(regexp_extract(line, '^\\[(user|assistant|system)\\]\\s+(.*)$', 2), ' '
+                                    ORDER BY place, ln) AS body
+  FROM lines WHERE regexp_matches(line, '^\\[(user|assistant|system)\\]\\s+(.*)$') GROUP BY ALL),
+sentences AS (
+  SELECT chat_id, batch, {TRIM.format("unnest(regexp_split_to_array(body, '[.!?]+\\s+'))")} AS content,
+         generate_subscripts(regexp_split_to_array(body, '[.!?]+\\s+'), 1) AS ord FROM bodies),
+named AS (
+  SELECT *, {ents('content')}[1] AS subject,
+         list_filter(regexp_split_to_array(content, '\\s+'), lambda w: length(w) > 0) AS words FROM sentences),
+chosen AS (
+  SELECT *, row_number() OVER (PARTITION BY chat_id, batch ORDER BY ord) - 1 AS pos
+  FROM named WHERE len(words) >= 4 AND subject IS NOT NULL QUALIFY pos < 5),
+tagged AS (
+  SELECT *, list_filter(list_transform(words, lambda w: regexp_replace(lower(w), '[^a-z]', '', 'g')),
+                        lambda w: length(w) >= 4 AND w <> lower(subject)) AS raw_tags FROM chosen),
+extracted AS (
+  SELECT t.chat_id, t.batch, t.pos, t.content, t.subject,
+         list_filter(raw_tags, lambda w, i: list_position(raw_tags, w) = i)[1:3] AS tags,
+         s.sources, b.fired_at * {TURN} + 1 + t.batch % 65536 * 32768 + t.pos AS seq
+  FROM tagged t JOIN batch_sources s USING (chat_id, batch)
+  JOIN (SELECT DISTINCT chat_id, batch, fired_at FROM batched) b USING (chat_id, batch)),
+facts AS (
+  SELECT *, 'ep_2025-01-01T00:00:00_' || substr(sha256(concat_ws('|', 'episodic', content, subject,
+            array_to_string(list_sort(tags), ','), array_to_string(sources, ','), 'rules@v1')), 1, 12) AS id
+  FROM extracted)"""
+
+
+def fold(facts: str, name: str = "fates") -> str:
+    """The sequential fold, one fact per recursion step and group."""
+    overlap = "len(list_intersect(a.toks, o.toks))"
+    same = (f"list_filter(f.accepted, lambda a: len(a.toks) > 0 AND "
+            f"{overlap} / (len(a.toks) + len(o.toks) - {overlap}) >= 0.7)")
+    return f"""
+ordered AS (
+  SELECT chat_id, subject, seq, list_distinct({tok('content')}) AS toks,
+         row_number() OVER (PARTITION BY chat_id, subject ORDER BY seq) AS n
+  FROM {facts} WHERE subject IS NOT NULL),
+fold AS (
+  SELECT chat_id, subject, n, seq, seq AS target_seq, [{{'seq': seq, 'toks': toks}}] AS accepted
+  FROM ordered WHERE n = 1
+  UNION ALL
+  SELECT o.chat_id, o.subject, o.n, o.seq,
+         CASE WHEN len({same}) > 0 THEN ({same})[1].seq ELSE o.seq END,
+         CASE WHEN len({same}) > 0 THEN f.accepted
+              ELSE list_append(f.accepted, {{'seq': o.seq, 'toks': o.toks}}) END
+  FROM fold f JOIN ordered o ON o.chat_id = f.chat_id AND o.subject = f.subject AND o.n = f.n + 1),
+{name} AS (
+  SELECT chat_id, subject, seq, target_seq FROM fold
+  UNION ALL SELECT chat_id, subject, seq, seq FROM {facts} WHERE subject IS NULL)"""
+
+
+EPISODIC = """
+updates AS (SELECT chat_id, target_seq, count(*) AS n FROM fates WHERE target_seq <> seq GROUP BY ALL),
+episodic AS (
+  SELECT f.chat_id, f.id, f.seq, 'episodic' AS scope, f.content, f.subject, f.tags, f.sources,
+         least(100.0, 50 + 5 * coalesce(u.n, 0))::DOUBLE AS importance, 'draft' AS maturity,
+         1735689600 AS created_s, coalesce(u.n, 0) AS update_count, f.batch
+  FROM facts f JOIN fates t ON t.chat_id = f.chat_id AND t.seq = f.seq AND t.target_seq = f.seq
+  LEFT JOIN updates u ON u.chat_id = f.chat_id AND u.target_seq = f.seq)"""
+
+
+def with_recursive(*parts: str) -> str:
+    return with_(*parts).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLE["batch_chunks"] = with_(BATCHES) + """
+SELECT b.chat_id, b.batch, count(*) AS n_messages, min(b.fired_at) AS fired_at,
+       array_to_string(list(b.turn ORDER BY b.place), ',') AS sources
+FROM batched b GROUP BY b.chat_id, b.batch"""
+ORACLE["rule_extract_facts"] = with_(BATCHES, FACTS) + """
+SELECT chat_id, batch, id, seq, content, subject, array_to_string(tags, ',') AS tags,
+       array_to_string(sources, ',') AS sources FROM facts"""
+ORACLE["consolidated_entries"] = with_recursive(BATCHES, FACTS, fold("facts"), EPISODIC) + """
+SELECT chat_id, id, seq, content, subject, importance, update_count FROM episodic"""
+ORACLE["consolidation_report"] = with_recursive(BATCHES, FACTS, fold("facts")) + """
+SELECT s.chat_id, s.batch, count(f.seq) FILTER (t.target_seq = f.seq) AS added,
+       count(f.seq) FILTER (t.target_seq <> f.seq) AS updated, any_value(len(s.sources)) AS drained,
+       0::BIGINT AS parse_failures, 0::BIGINT AS entries_skipped
+FROM batch_sources s LEFT JOIN facts f USING (chat_id, batch)
+LEFT JOIN fates t ON t.chat_id = f.chat_id AND t.seq = f.seq GROUP BY s.chat_id, s.batch"""
+ORACLE["dedup_fold"] = with_recursive(ENTRIES, fold("entries")) + """
+SELECT chat_id, seq, target_seq FROM fates"""
+ORACLE["near_dup_pairs"] = with_(ENTRIES) + f"""
+, sets AS (
+  SELECT chat_id, subject, toks, min(seq) AS seq FROM (
+    SELECT chat_id, subject, seq, list_sort(list_distinct({tok('content')})) AS toks
+    FROM entries WHERE subject IS NOT NULL) GROUP BY ALL)
+SELECT a.chat_id, a.subject, a.seq AS a, b.seq AS b,
+       round(len(list_intersect(a.toks, b.toks))
+             / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))), 6) AS similarity
+FROM sets a JOIN sets b ON a.chat_id = b.chat_id AND a.subject = b.subject AND a.seq < b.seq
+WHERE len(list_intersect(a.toks, b.toks))
+      / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) >= 0.7"""

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rememora.functions import text
-from rememora.operators import baselines, bm25, graph, tiers
+from rememora.operators import baselines, bm25, consolidate, dedup, graph, tiers
 from rememora.plans import tables
+from rememora.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -140,3 +141,48 @@ def ladder_snapshot(spark, folder):
     found = tiers.ladder(entries, graph.build_edges(entries), tables.queries(spark, folder), tables.now(), 5)
     return found.select("chat_id", "query_id", F.col("rank").cast("long").alias("rank"), "id", "tier",
                         r6("bm25"), r6("score"))
+
+
+# --- write path -------------------------------------------------------------------
+
+@query
+def batch_chunks(spark, folder):
+    cut = consolidate.batches(tables.turns(spark, folder))
+    return cut.select("chat_id", "batch", F.size("messages").cast("long").alias("n_messages"), "fired_at",
+                      F.array_join(F.col("sources").cast("array<string>"), ",").alias("sources"))
+
+
+@query
+def rule_extract_facts(spark, folder):
+    facts = consolidate.fact_entries(
+        consolidate.extract_by_rules(consolidate.batches(tables.turns(spark, folder))), tables.now())
+    return facts.select("chat_id", "batch", "id", "seq", "content", "subject",
+                        F.array_join("tags", ",").alias("tags"),
+                        F.array_join(F.col("source_messages").cast("array<string>"), ",").alias("sources"))
+
+
+@query
+def consolidated_entries(spark, folder):
+    entries = consolidate.remember(tables.turns(spark, folder), tables.now())[0]
+    return entries.select("chat_id", "id", "seq", "content", "subject", "importance", "update_count")
+
+
+@query
+def consolidation_report(spark, folder):
+    _, _, fates, extracted = consolidate.remember(tables.turns(spark, folder), tables.now())
+    return consolidate.batch_report(extracted, fates)
+
+
+@query
+def dedup_fold(spark, folder):
+    facts = tables.entries(spark, folder).select("chat_id", "subject", "seq", "content")
+    return dedup.fold_duplicates(facts).select("chat_id", "seq", "target_seq")
+
+
+@query
+def near_dup_pairs(spark, folder):
+    facts = tables.entries(spark, folder).filter(F.col("subject").isNotNull())
+    sets = facts.select("chat_id", "subject", "seq", F.sort_array(text.token_set(F.col("content"))).alias("toks"))
+    firsts = sets.groupBy("chat_id", "subject", "toks").agg(F.min("seq").alias("seq"))
+    pairs = dedup.near_pairs(settle(firsts, "sets"), 0.7)
+    return pairs.select("chat_id", "subject", "a", "b", r6("similarity"))
