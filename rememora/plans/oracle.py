@@ -323,3 +323,104 @@ SELECT a.chat_id, a.subject, a.seq AS a, b.seq AS b,
 FROM sets a JOIN sets b ON a.chat_id = b.chat_id AND a.subject = b.subject AND a.seq < b.seq
 WHERE len(list_intersect(a.toks, b.toks))
       / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) >= 0.7"""
+
+
+# --- evaluation over conversations ----------------------------------------------
+
+WORKING = """
+working AS (
+  SELECT chat_id, 'wk_2025-01-01T00:00:00_' || substr(sha256(concat_ws('|', 'working', text, '', '',
+           turn::VARCHAR, 'seeder')), 1, 12) AS id,
+         place * 4294967296 AS seq, 'working' AS scope, text AS content, NULL::VARCHAR AS subject,
+         []::VARCHAR[] AS tags, [turn] AS sources, 50.0::DOUBLE AS importance, 'draft' AS maturity,
+         1735689600 AS created_s
+  FROM placed),
+entries AS (
+  SELECT chat_id, id, seq, scope, content, subject, tags, sources, importance, maturity, created_s FROM episodic
+  UNION ALL SELECT * FROM working)"""
+
+QA = """
+qa AS (
+  SELECT q.conv_id AS chat_id, q.turn AS query_id, q.text AS query, [q.turn, q.turn + 1] AS evidence,
+         CASE WHEN q.turn <= 1 THEN 'opening' ELSE 'follow-up' END AS task_type, a.conv_id IS NULL AS abstention
+  FROM conversations q LEFT JOIN conversations a
+    ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+  WHERE q.role = 'user')"""
+
+MEMORY = (BATCHES, FACTS, fold("facts"), EPISODIC, WORKING, QA)
+CONVERSATION_LADDER = (*MEMORY, bm25(queries="qa"), TIER2, EDGES, tier3(10, "qa"), floor(10), ladder("qa"))
+
+
+def scores_for(ranked: str, name: str) -> str:
+    ks = (1, 3, 5, 10)
+    hits = ", ".join(f"count(*) FILTER (matched AND rank <= {k}) AS hits_{k}" for k in ks)
+    rates = ", ".join(
+        f"CASE WHEN n_matched > 0 THEN hits_{k} / least({k}, n_retrieved) END AS precision_{k}, "
+        f"CASE WHEN n_matched > 0 THEN hits_{k} / n_matched END AS recall_{k}" for k in ks)
+    return f"""
+{name}_marked AS (
+  SELECT r.chat_id, r.query_id, r.rank, r.id, list_has_any(e.sources, q.evidence) AS matched
+  FROM {ranked} r JOIN entries e ON e.chat_id = r.chat_id AND e.id = r.id
+  JOIN qa q ON q.chat_id = r.chat_id AND q.query_id = r.query_id),
+{name}_folded AS (
+  SELECT chat_id, query_id, count(*) AS n_retrieved, count(*) FILTER (matched) AS n_matched,
+         min(rank) FILTER (matched) AS first_rank, {hits} FROM {name}_marked GROUP BY ALL),
+{name}_scores AS (
+  SELECT q.*, coalesce(n_matched, 0) > 0 AS scored,
+         CASE WHEN n_matched > 0 THEN 1 / first_rank END AS mrr, {rates}
+  FROM qa q LEFT JOIN {name}_folded f ON f.chat_id = q.chat_id AND f.query_id = q.query_id)"""
+
+
+METRICS = ", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for m in ("precision", "recall") for k in (1, 3, 5, 10))
+LEXICAL_10 = """
+SELECT chat_id, query_id, id, row_number() OVER (PARTITION BY chat_id, query_id ORDER BY bm25 DESC, seq) AS rank
+FROM scores QUALIFY rank <= 10"""
+RECENT_10 = """
+SELECT q.chat_id, q.query_id, e.id, e.rank FROM qa q JOIN (
+  SELECT chat_id, id, row_number() OVER (PARTITION BY chat_id ORDER BY created_s DESC, seq) AS rank
+  FROM entries QUALIFY rank <= 10) e USING (chat_id)"""
+
+
+def nested(*parts: str, out: str, name: str) -> str:
+    """A finished result as one named table, its helper names kept inside."""
+    return f"{name} AS ({with_(*parts)} {out})"
+
+
+ORACLE["conversation_ladder"] = with_recursive(*CONVERSATION_LADDER) + """
+SELECT chat_id, query_id, rank, id, tier, round(bm25, 6) AS bm25, round(score, 6) AS score FROM ladder"""
+ORACLE["gold_match"] = with_recursive(*CONVERSATION_LADDER, scores_for("ladder", "l")) + """
+SELECT chat_id, query_id, rank, id, matched FROM l_marked"""
+ORACLE["gold_match_legacy"] = with_recursive(
+    *MEMORY, bm25("entries", "qa"), f"lexical AS ({LEXICAL_10})", f"""
+sides AS (
+  SELECT l.chat_id, l.query_id, l.id, g.turn, list_distinct({tok('e.content')}) AS a, list_distinct({tok('g.text')}) AS b
+  FROM lexical l JOIN entries e ON e.chat_id = l.chat_id AND e.id = l.id
+  JOIN conversations g ON g.conv_id = l.chat_id AND g.turn BETWEEN l.query_id AND l.query_id + 1)""") + """
+SELECT chat_id, query_id, turn, id FROM sides
+WHERE CASE WHEN len(a) + len(b) = 0 THEN 1
+      ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END >= 0.5"""
+ORACLE["ir_metrics"] = with_recursive(*CONVERSATION_LADDER, scores_for("ladder", "l")) + f"""
+, answerable AS (SELECT * FROM l_scores WHERE NOT abstention)
+SELECT count(*) AS n, count(*) FILTER (scored) AS n_scored, count(*) FILTER (NOT scored) AS n_skipped,
+       (SELECT count(*) FROM l_scores WHERE abstention) AS abstentions,
+       round(count(*) FILTER (scored) / count(*), 6) AS coverage, round(avg(mrr), 6) AS mrr, {METRICS}
+FROM answerable"""
+ORACLE["ir_metrics_by_type"] = with_recursive(*CONVERSATION_LADDER, scores_for("ladder", "l")) + """
+SELECT task_type, count(*) FILTER (scored) AS n_scored, count(*) FILTER (NOT scored) AS n_skipped,
+       round(avg(mrr), 6) AS mrr, round(count(*) FILTER (scored) / count(*), 6) AS coverage
+FROM l_scores WHERE NOT abstention GROUP BY task_type"""
+_COMPARED = " UNION ALL ".join(
+    f"SELECT '{name}' AS retriever, * FROM {name}_scores" for name in ("ladder", "bm25only", "recency"))
+ORACLE["baseline_comparison"] = with_recursive(
+    *CONVERSATION_LADDER,
+    nested(bm25("entries", "qa"), out=LEXICAL_10, name="lexical"), f"recent AS ({RECENT_10})",
+    scores_for("ladder", "ladder"), scores_for("lexical", "bm25only"), scores_for("recent", "recency")) + f"""
+SELECT retriever, count(*) AS n, count(*) FILTER (scored) AS n_scored,
+       round(count(*) FILTER (scored) / count(*), 6) AS coverage, round(avg(mrr), 6) AS mrr,
+       round(avg(recall_5), 6) AS recall_5
+FROM ({_COMPARED}) WHERE NOT abstention GROUP BY retriever"""
+ORACLE["rank_alignment_full_join"] = with_recursive(
+    *CONVERSATION_LADDER, nested(bm25("entries", "qa"), out=LEXICAL_10, name="lexical")) + """
+SELECT coalesce(a.chat_id, b.chat_id) AS chat_id, coalesce(a.query_id, b.query_id) AS query_id,
+       coalesce(a.rank, b.rank) AS rank, a.id AS left_id, b.id AS right_id, coalesce(a.id = b.id, false) AS same
+FROM ladder a FULL JOIN lexical b ON a.chat_id = b.chat_id AND a.query_id = b.query_id AND a.rank = b.rank"""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rememora.functions import text
-from rememora.operators import baselines, bm25, consolidate, dedup, graph, tiers
-from rememora.plans import tables
+from rememora.operators import baselines, bm25, consolidate, dedup, graph, metrics, tiers
+from rememora.plans import evaluation, runs, tables
 from rememora.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +186,71 @@ def near_dup_pairs(spark, folder):
     firsts = sets.groupBy("chat_id", "subject", "toks").agg(F.min("seq").alias("seq"))
     pairs = dedup.near_pairs(settle(firsts, "sets"), 0.7)
     return pairs.select("chat_id", "subject", "a", "b", r6("similarity"))
+
+
+# --- evaluation over conversations ------------------------------------------------
+
+def _run(spark, folder, *retrievers):
+    turns = tables.turns(spark, folder)
+    memory = evaluation.seed(turns, tables.now())
+    qa = settle(evaluation.questions(turns), "questions")
+    return memory, qa, [evaluation.run(memory, qa, r, tables.now()) for r in retrievers]
+
+
+def _scores(spark, folder):
+    memory, qa, (found,) = _run(spark, folder, "ladder")
+    return metrics.per_query(settle(evaluation.with_sources(found, memory), "retrieved"), qa)
+
+
+@query
+def conversation_ladder(spark, folder):
+    _, _, (found,) = _run(spark, folder, "ladder")
+    return found.select("chat_id", "query_id", "rank", "id", "tier", r6("bm25"), r6("score"))
+
+
+@query
+def gold_match(spark, folder):
+    memory, qa, (found,) = _run(spark, folder, "ladder")
+    marked = metrics.match_gold(evaluation.with_sources(found, memory), qa)
+    return marked.select("chat_id", "query_id", "rank", "id", "matched")
+
+
+@query
+def gold_match_legacy(spark, folder):
+    memory, qa, (found,) = _run(spark, folder, "bm25only")
+    turns = tables.turns(spark, folder).select("chat_id", F.col("turn").cast("long").alias("turn"), "text")
+    gold = qa.select("chat_id", "query_id", F.explode("evidence").alias("turn")).join(turns, ["chat_id", "turn"])
+    texts = found.join(memory.entries.select("chat_id", "id", "content"), ["chat_id", "id"])
+    return metrics.match_gold_by_text(texts, gold)
+
+
+METRIC_COLUMNS = ["coverage", "mrr", *[f"{m}_{k}" for m in ("precision", "recall") for k in (1, 3, 5, 10)]]
+
+
+@query
+def ir_metrics(spark, folder):
+    total = metrics.summarize(_scores(spark, folder))
+    return total.select("n", "n_scored", "n_skipped", "abstentions", *[r6(c) for c in METRIC_COLUMNS])
+
+
+@query
+def ir_metrics_by_type(spark, folder):
+    sliced = metrics.by_task_type(_scores(spark, folder))
+    return sliced.select("task_type", "n_scored", "n_skipped", r6("mrr"), r6("coverage"))
+
+
+@query
+def baseline_comparison(spark, folder):
+    memory, qa, found = _run(spark, folder, "ladder", "bm25only", "recency")
+    parts = []
+    for name, rows in zip(("ladder", "bm25only", "recency"), found):
+        scores = metrics.per_query(settle(evaluation.with_sources(rows, memory), name), qa)
+        parts.append(metrics.summarize(scores.withColumn("retriever", F.lit(name)), ["retriever"]))
+    joined = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return joined.select("retriever", "n", "n_scored", r6("coverage"), r6("mrr"), r6("recall_5"))
+
+
+@query
+def rank_alignment_full_join(spark, folder):
+    _, _, (ours, lexical) = _run(spark, folder, "ladder", "bm25only")
+    return runs.align_ranks(ours, lexical)
