@@ -21,7 +21,7 @@ def entry_id(scope: Column, at: Column, content: Column, subject: Column, tags:
     prefix = F.create_map(*[F.lit(x) for x in chain(*SCOPE_PREFIX.items())])
     return F.concat_ws(
         "_", F.element_at(prefix, scope),
-        F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"),
+        F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"),
         F.substring(F.sha2(seed, 256), 1, 12))
 
 

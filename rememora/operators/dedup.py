@@ -29,50 +29,61 @@ def _frequent_tokens(exploded: DataFrame) -> DataFrame:
     return exploded.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") > least)
 
 
-def near_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of token sets in one group with Jaccard >= threshold.
+def prefix_rows(sets: DataFrame, keys: list[str], name: str, threshold: float,
+                frequent: DataFrame) -> DataFrame:
+    """The first ``n - ceil(t n) + 1`` tokens of each set, rare tokens first.
 
-    ``sets(chat_id, subject, seq, toks)`` with distinct sets per group. Two sets
-    can only reach the threshold if they share a token among their first
-    ``n - ceil(t n) + 1`` tokens in any common order; with the frequent tokens
-    last, those prefixes hold rare tokens and the join stays small. Returns
-    ``(chat_id, subject, a, b, similarity)`` with ``a < b``.
+    Two sets can only reach Jaccard ``t`` if such prefixes, taken in one common
+    token order, share a token. With the frequent tokens last the prefixes hold
+    rare tokens and joining on them stays small.
     """
-    sized = sets.filter(F.size("toks") > 0)
-    exploded = sized.select(*GROUP, "seq", F.size("toks").alias("n"), F.explode("toks").alias("token"))
-    frequent = settle(_frequent_tokens(exploded), "frequent-tokens")
-    order = Window.partitionBy(*GROUP, "seq").orderBy(
-        F.coalesce("df", F.lit(0)), "token")
+    exploded = sets.filter(F.size("toks") > 0).select(
+        *keys, name, F.size("toks").alias("n"), F.explode("toks").alias("token"))
+    order = Window.partitionBy(*keys, name).orderBy(F.coalesce("df", F.lit(0)), "token")
     prefix_len = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    prefixes = (
-        exploded.join(frequent, "token", "left")
-        .withColumn("at", F.row_number().over(order))
-        .filter(F.col("at") <= prefix_len)
-        .select(*GROUP, "token", "seq", "n", "at"))
-    prefixes = settle(prefixes, "prefixes")
-    left = prefixes.select(*GROUP, "token", F.col("seq").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    right = prefixes.select(*GROUP, "token", F.col("seq").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"))
-    # what two sets can still share from these positions on, against what they need
+    return (exploded.join(frequent, "token", "left")
+            .withColumn("at", F.row_number().over(order))
+            .filter(F.col("at") <= prefix_len)
+            .select(*keys, "token", name, "n", "at"))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, keys: list[str], threshold: float,
+                 ordered: bool = False) -> DataFrame:
+    """Pairs of ``left(keys, a, toks)`` and ``right(keys, b, toks)`` with Jaccard >= threshold.
+
+    ``ordered`` keeps only ``a < b``, for a table matched with itself.
+    """
+    tokens_of_all = left.select(F.explode("toks").alias("token"))
+    frequent = settle(_frequent_tokens(tokens_of_all), "frequent-tokens")
+    lp = settle(prefix_rows(left, keys, "a", threshold, frequent), "prefixes")
+    rp = lp if ordered else settle(prefix_rows(right, keys, "b", threshold, frequent), "prefixes")
+    x = lp.select(*keys, "token", "a", F.col("n").alias("na"), F.col("at").alias("pa"))
+    y = rp.select(*keys, "token", F.col("a" if ordered else "b").alias("b"),
+                  F.col("n").alias("nb"), F.col("at").alias("pb"))
+    # what two sets can still share from these positions on, against what they need;
+    # the first shared token gives the valid bound, hence the maximum over shared ones
     reachable = 1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     needed = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9
-    # only the first shared prefix token bounds the overlap, so keep the pair if any row passes
+    fits = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
     candidates = (
-        left.join(right, [*GROUP, "token"])
-        .filter((F.col("a") < F.col("b"))
-                & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9))
-        .groupBy(*GROUP, "a", "b").agg(F.max(reachable - needed).alias("slack"))
-        .filter(F.col("slack") >= 0).select(*GROUP, "a", "b"))
-    toks = sized.select(*GROUP, "seq", "toks")
+        x.join(y, [*keys, "token"]).filter(fits & (F.col("a") < F.col("b")) if ordered else fits)
+        .groupBy(*keys, "a", "b").agg(F.max(reachable - needed).alias("slack"))
+        .filter(F.col("slack") >= 0).select(*keys, "a", "b"))
     overlap = F.size(F.array_intersect("ta", "tb"))
     similarity = overlap / (F.size("ta") + F.size("tb") - overlap)
     return (
-        candidates
-        .join(toks.select(*GROUP, F.col("seq").alias("a"), F.col("toks").alias("ta")), [*GROUP, "a"])
-        .join(toks.select(*GROUP, F.col("seq").alias("b"), F.col("toks").alias("tb")), [*GROUP, "b"])
-        .select(*GROUP, "a", "b", similarity.alias("similarity"))
+        candidates.join(left.select(*keys, "a", F.col("toks").alias("ta")), [*keys, "a"])
+        .join(right.select(*keys, "b", F.col("toks").alias("tb")), [*keys, "b"])
+        .select(*keys, "a", "b", similarity.alias("similarity"))
         .filter(F.col("similarity") >= threshold))
 
 
+def near_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(chat_id, subject, a, b, similarity)`` with ``a < b`` for ``sets(..., seq, toks)``."""
+    return similar_sets(sets.withColumnRenamed("seq", "a"), sets.withColumnRenamed("seq", "b"),
+                        GROUP, threshold, ordered=True)
+
+
 def _distinct_sets(facts: DataFrame) -> DataFrame:
     """One row per group and token set: the first fact that carries it."""
     keyed = facts.withColumn("toks", F.sort_array(token_set(F.col("content"))))

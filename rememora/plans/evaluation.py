@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rememora.functions.identity import row_digest
 from rememora.operators import baselines, consolidate, tiers
 from rememora.params import DEFAULTS, Params
 from rememora.session import settle
@@ -69,3 +70,13 @@ def run(memory: Memory, qa: DataFrame, retriever: str, at: Column, k: int = 10,
         if name not in found.columns:
             found = found.withColumn(name, F.lit(None).cast("string" if name == "tier" else "double"))
     return found.select(*QUERY, F.col("rank").cast("long").alias("rank"), "id", "tier", "bm25", "score")
+
+
+def digest(entries: DataFrame) -> DataFrame:
+    """Per chat: number of entries and a stable fingerprint of them in order.
+
+    Row hashes include the position, so summing them needs no ordered gather.
+    """
+    row = row_digest(F.col("seq"), F.col("id"), F.col("content"), F.col("subject"))
+    return entries.groupBy("chat_id").agg(
+        F.count("*").alias("n_facts"), F.sum(row).cast("string").alias("fingerprint"))

@@ -424,3 +424,267 @@ ORACLE["rank_alignment_full_join"] = with_recursive(
 SELECT coalesce(a.chat_id, b.chat_id) AS chat_id, coalesce(a.query_id, b.query_id) AS query_id,
        coalesce(a.rank, b.rank) AS rank, a.id AS left_id, b.id AS right_id, coalesce(a.id = b.id, false) AS same
 FROM ladder a FULL JOIN lexical b ON a.chat_id = b.chat_id AND a.query_id = b.query_id AND a.rank = b.rank"""
+
+
+# --- caches and upkeep ------------------------------------------------------------
+
+ORACLE["exact_cache_key"] = f"""
+SELECT conv_id, turn, lpad(lower(to_hex(list_reduce(
+         list_prepend(2166136261::BIGINT, list_transform(string_split(q, ''), lambda c: unicode(c)::BIGINT)),
+         lambda h, c: (xor(h, c) * 16777619) & 4294967295))), 8, '0') AS key
+FROM (SELECT conv_id, turn, lower({TRIM.format('text')}) AS q FROM conversations)"""
+ORACLE["token_set_key"] = f"""
+SELECT doc_id, array_to_string(list_sort(list_distinct({tok('text')})), ' ') AS key FROM documents"""
+_HELD = f"""
+keyed AS (SELECT lang AS chat_id, doc_id, list_sort(list_distinct({tok('text')})) AS toks,
+                 lower({TRIM.format('text')}) AS norm FROM documents)"""
+ORACLE["fuzzy_cache_match"] = with_(_HELD, """
+written AS (SELECT chat_id, toks, max(doc_id) AS w FROM keyed WHERE len(toks) > 0 GROUP BY ALL),
+held AS (SELECT * FROM written QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY w DESC) <= 200),
+near AS (
+  SELECT k.chat_id, k.doc_id AS query_id, h.w,
+         len(list_intersect(k.toks, h.toks))
+         / (len(k.toks) + len(h.toks) - len(list_intersect(k.toks, h.toks))) AS similarity
+  FROM keyed k JOIN held h USING (chat_id))""") + """
+SELECT chat_id, query_id, w::VARCHAR AS cached_id, round(similarity, 6) AS similarity FROM near
+WHERE similarity >= 0.6
+QUALIFY row_number() OVER (PARTITION BY chat_id, query_id ORDER BY similarity DESC, w) = 1"""
+ORACLE["exact_cache_match"] = with_(_HELD, """
+held AS (SELECT chat_id, norm, max(doc_id) AS w FROM keyed GROUP BY ALL
+         QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY max(doc_id) DESC) <= 200)""") + """
+SELECT k.chat_id, k.doc_id AS query_id, h.w::VARCHAR AS cached_id FROM keyed k JOIN held h USING (chat_id, norm)"""
+ORACLE["cache_evict_topn"] = """
+SELECT event_type AS chat_id, concat_ws('-', user_id, json_extract_string(props, '$.k')) AS key, max(event_id) AS written
+FROM events GROUP BY ALL
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY max(event_id) DESC) <= 200"""
+ORACLE["ladder_with_caches"] = with_(ENTRIES, QUERIES, bm25(), TIER2, EDGES, tier3(), floor(), ladder()) + """
+SELECT chat_id, query_id, rank, id, CASE tier WHEN '3' THEN '0' ELSE tier END AS tier FROM ladder"""
+ORACLE["working_prepend"] = with_(ENTRIES, QUERIES, floor(), """
+buffer AS (SELECT chat_id, id, row_number() OVER (PARTITION BY chat_id ORDER BY seq DESC) AS pos
+           FROM entries WHERE scope = 'working' QUALIFY pos <= 5),
+both_blocks AS (
+  SELECT q.chat_id, q.query_id, b.id, 0 AS block, b.pos FROM queries q JOIN buffer b USING (chat_id)
+  UNION ALL
+  SELECT q.chat_id, q.query_id, f.id, 1, f.rank FROM queries q JOIN floor_rows f USING (chat_id)
+  WHERE f.id NOT IN (SELECT id FROM buffer b WHERE b.chat_id = f.chat_id))""") + """
+SELECT chat_id, query_id, row_number() OVER (PARTITION BY chat_id, query_id ORDER BY block, pos) AS rank, id
+FROM both_blocks"""
+ORACLE["access_bump"] = """
+SELECT user_id::VARCHAR AS id, least(100.0, 20 + 3 * count(*) FILTER (event_type = 'view'))::DOUBLE AS importance,
+       count(*) FILTER (event_type = 'view') AS access_count
+FROM events GROUP BY user_id"""
+ORACLE["update_bump"] = """
+SELECT user_id::VARCHAR AS id,
+       least(100.0, least(100.0, 20 + 3 * count(*) FILTER (event_type = 'click'))
+             + 5 * count(*) FILTER (event_type = 'purchase'))::DOUBLE AS importance,
+       count(*) FILTER (event_type = 'click') AS access_count,
+       count(*) FILTER (event_type = 'purchase') AS update_count,
+       epoch_us(coalesce(max(ts) FILTER (event_type = 'purchase'), min(ts))) AS updated_us
+FROM events GROUP BY user_id"""
+ORACLE["daily_decay"] = with_(ENTRIES) + f"""
+SELECT chat_id, id, round(importance * pow(0.995, ({NOW_S} - created_s) / 86400), 6) AS importance FROM entries"""
+ORACLE["maturity_transition"] = with_(ENTRIES) + """
+SELECT chat_id, id, maturity,
+       CASE maturity WHEN 'draft' THEN CASE WHEN g >= 65 THEN 'validated' ELSE 'draft' END
+         WHEN 'validated' THEN CASE WHEN g >= 85 THEN 'core' WHEN g < 35 THEN 'draft' ELSE 'validated' END
+         ELSE CASE WHEN g < 60 THEN 'validated' ELSE 'core' END END AS next
+FROM (SELECT *, least(100.0, importance + length(content) % 40) AS g FROM entries)"""
+ORACLE["trace_ring"] = """
+SELECT event_type AS chat_id, event_id AS seq, value FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 128"""
+ORACLE["scrub_deleted"] = """
+SELECT conv_id AS chat_id, conv_id || ':' || turn AS id FROM conversations c WHERE NOT EXISTS (
+  SELECT 1 FROM events e WHERE e.event_type = 'error' AND e.user_id = c.conv_id
+  AND json_extract_string(e.props, '$.k')::BIGINT = c.turn)"""
+ORACLE["last_user_query"] = """
+SELECT conv_id AS chat_id, max(turn) AS turn, arg_max(text, turn) AS query
+FROM conversations WHERE role = 'user' AND trim(text) <> '' GROUP BY conv_id"""
+ORACLE["memory_block"] = with_(ENTRIES, QUERIES, floor(3)) + """
+SELECT q.chat_id, q.query_id, 'Retrieved memories:' || chr(10) ||
+       string_agg('- ' || e.content, chr(10) ORDER BY f.rank) AS block
+FROM queries q JOIN floor_rows f USING (chat_id) JOIN entries e ON e.chat_id = f.chat_id AND e.id = f.id
+GROUP BY q.chat_id, q.query_id"""
+ORACLE["entry_validate"] = """
+SELECT doc_id::VARCHAR AS id, source <> 'src0' AND length(text) > 0 AND lang <> 'es'
+       AND n_chars / 50 BETWEEN 0 AND 100 AS valid FROM documents"""
+ORACLE["tags_populated"] = with_(BATCHES, FACTS) + """
+SELECT chat_id, round(avg((len(tags) > 0)::INT), 6) AS tagged FROM facts GROUP BY chat_id"""
+ORACLE["viewer_grouped_limit"] = with_(ENTRIES) + """
+SELECT coalesce(nullif(subject, ''), '(no subject)') AS label, chat_id, id, importance FROM entries
+ORDER BY label, importance DESC, chat_id, seq LIMIT 500"""
+ORACLE["viewer_subject_counts"] = with_(ENTRIES) + """
+SELECT chat_id, coalesce(nullif(subject, ''), '(no subject)') AS label, count(*) AS n FROM entries GROUP BY ALL"""
+ORACLE["viewer_graph_page"] = with_(ENTRIES, EDGES, """
+busiest AS (SELECT chat_id, from_id, count(*) AS degree FROM edges GROUP BY ALL
+            ORDER BY degree DESC, chat_id, from_id LIMIT 200)""") + """
+SELECT e.chat_id, e.from_id, e.to_id, b.degree,
+       row_number() OVER (PARTITION BY e.chat_id, e.from_id ORDER BY e.seq, e.to_id) AS place
+FROM edges e JOIN busiest b USING (chat_id, from_id) QUALIFY place <= 10"""
+ORACLE["viewer_subject_filter"] = with_(ENTRIES) + """
+SELECT chat_id, id, subject FROM entries WHERE contains(lower(subject), 'an')"""
+ORACLE["trace_labels"] = """
+SELECT event_id, CASE event_type WHEN 'view' THEN 'T0' WHEN 'click' THEN 'T3' WHEN 'signup' THEN 'Floor' ELSE '?' END AS label,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S') AS shown,
+       CASE WHEN length(props) > 8 THEN substr(props, 1, 8) || '…' ELSE props END AS props FROM events"""
+
+
+# --- run, trace and sweep analytics --------------------------------------------------
+
+_SORTED = "list(value ORDER BY value)"
+ORACLE["latency_percentiles_floor"] = f"""
+SELECT event_type AS tier, count(*) AS n,
+       ({_SORTED})[floor((count(*) - 1) * 0.5)::BIGINT + 1] AS p50_n1,
+       ({_SORTED})[floor((count(*) - 1) * 0.95)::BIGINT + 1] AS p95_n1,
+       ({_SORTED})[least(count(*) - 1, floor(count(*) * 0.5))::BIGINT + 1] AS p50_n,
+       ({_SORTED})[least(count(*) - 1, floor(count(*) * 0.95))::BIGINT + 1] AS p95_n
+FROM events GROUP BY event_type"""
+ORACLE["trace_latency_stats"] = f"""
+SELECT event_type AS tier, count(*) AS n,
+       ({_SORTED})[floor((count(*) - 1) * 0.5 + 0.5)::BIGINT + 1] AS p50,
+       ({_SORTED})[floor((count(*) - 1) * 0.95 + 0.5)::BIGINT + 1] AS p95,
+       ({_SORTED})[floor((count(*) - 1) * 0.99 + 0.5)::BIGINT + 1] AS p99,
+       min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std
+FROM events GROUP BY event_type"""
+ORACLE["tier_distribution"] = """
+SELECT event_type AS tier, count(*) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
+FROM events GROUP BY event_type"""
+ORACLE["pearson_len_latency"] = """
+SELECT *, CASE WHEN abs(r) < 0.1 THEN 'none' WHEN r > 0.3 THEN 'moderate positive'
+               WHEN r < -0.3 THEN 'moderate negative' ELSE 'weak' END AS reading
+FROM (SELECT event_type AS tier, count(*) AS n,
+             round(corr(json_extract_string(props, '$.k')::BIGINT, value), 6) AS r FROM events GROUP BY event_type)
+WHERE n >= 10"""
+ORACLE["slowest_calls"] = """
+SELECT event_id AS id, event_type AS tier, value AS lat_ms FROM events ORDER BY value DESC, event_id LIMIT 20"""
+ORACLE["fastest_calls"] = """
+SELECT event_id AS id, event_type AS tier, value AS lat_ms FROM events ORDER BY value, event_id LIMIT 20"""
+ORACLE["trace_enrichment"] = """
+WITH keyed AS (SELECT *, event_type || ' ' || json_extract_string(props, '$.k') AS query FROM events),
+answers AS (SELECT query, max(value) AS answer FROM keyed WHERE event_type = 'purchase' GROUP BY query)
+SELECT event_id AS id, query, value AS lat_ms, answer FROM keyed LEFT JOIN answers USING (query)"""
+ORACLE["run_mode_summary"] = """
+WITH tiers AS (SELECT user_id, event_type, count(*) AS c FROM events GROUP BY ALL),
+modes AS (SELECT user_id, event_type FROM tiers
+          QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY c DESC, event_type) = 1)
+SELECT e.user_id AS run, count(*) AS n_calls, round(avg(value), 6) AS top_score_mean,
+       any_value(m.event_type) AS top_tier_mode, 'default' AS scorer_id
+FROM events e JOIN modes m USING (user_id) GROUP BY e.user_id"""
+
+
+def points(*keys: str) -> str:
+    k = ", ".join(keys)
+    return f"""points AS (SELECT {k}, avg(l_quantity) / 50 AS mrr, avg(l_tax) * 10 AS coverage, count(*) AS n
+  FROM lineitem GROUP BY {k})"""
+
+
+ORACLE["sweep_summary"] = with_(points("l_returnflag", "l_linestatus", "l_discount")) + """
+SELECT l_returnflag AS sweep_name, l_linestatus AS knob, count(*) AS n_points, round(min(mrr), 6) AS mrr_min,
+       round(max(mrr), 6) AS mrr_max, round(max(mrr) - min(mrr), 6) AS mrr_span,
+       round(avg(coverage), 6) AS coverage_mean FROM points GROUP BY ALL"""
+ORACLE["sweep_diff"] = with_(points("l_returnflag", "l_linenumber", "l_discount")) + """
+SELECT a.l_returnflag AS knob, a.l_discount AS value, round(b.mrr - a.mrr, 6) AS delta_mrr,
+       round(b.coverage - a.coverage, 6) AS delta_coverage
+FROM points a JOIN points b ON a.l_returnflag = b.l_returnflag AND a.l_discount = b.l_discount
+WHERE a.l_linenumber = 1 AND b.l_linenumber = 2"""
+ORACLE["elbow"] = with_(points("l_returnflag", "l_discount"), """
+sloped AS (
+  SELECT *, (lead(mrr) OVER w - mrr) / nullif(lead(l_discount) OVER w - l_discount, 0) AS slope
+  FROM points WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_discount)),
+judged AS (SELECT *, max(abs(slope)) OVER (PARTITION BY l_returnflag) AS steepest FROM sloped),
+elbows AS (
+  SELECT * FROM judged WHERE steepest >= 0.005 AND abs(slope) <= 0.1 * steepest + 1e-12
+  QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_discount) = 1),
+axis AS (
+  SELECT max(abs(slope)) < 0.005 AS flat FROM (
+    SELECT CASE WHEN lead(l_discount) OVER w = l_discount THEN 0
+                ELSE (lead(mrr) OVER w - mrr) / (lead(l_discount) OVER w - l_discount) END AS slope
+    FROM points WINDOW w AS (ORDER BY l_discount))),
+ranked AS (
+  SELECT l_discount, l_returnflag, mrr, 'elbow' AS rationale, 1 AS p FROM elbows
+  UNION ALL
+  SELECT CASE WHEN flat THEN 0 ELSE l_discount END, CASE WHEN flat THEN 'A' ELSE l_returnflag END, mrr,
+         CASE WHEN flat THEN 'flat axis' ELSE 'best point' END, 2 AS p
+  FROM points, axis)""") + """
+SELECT l_discount, l_returnflag, round(mrr, 6) AS mrr, rationale FROM ranked ORDER BY p, mrr DESC LIMIT 1"""
+ORACLE["amendment_gate"] = with_(points("l_returnflag", "l_linenumber", "l_discount")) + """
+SELECT c.l_returnflag, c.l_linenumber, c.l_discount,
+       CASE WHEN c.mrr - b.mrr < 0.02 THEN 'hold: gain too small'
+            WHEN c.coverage - b.coverage < -0.05 THEN 'hold: coverage falls' ELSE 'amend' END AS verdict
+FROM points c JOIN points b ON b.l_returnflag = c.l_returnflag AND b.l_linenumber = c.l_linenumber AND b.l_discount = 0"""
+ORACLE["structural_invariant"] = with_(points("l_returnflag"), """
+d AS (SELECT max(mrr) FILTER (l_returnflag = 'R') - max(mrr) FILTER (l_returnflag = 'A') AS delta FROM points)""") + """
+SELECT round(delta, 6) AS delta, CASE WHEN delta IS NULL THEN 'N/A' WHEN delta >= -0.02 THEN 'PASS' ELSE 'FAIL' END AS verdict
+FROM d"""
+ORACLE["consolidation_rates"] = """
+WITH t AS (
+  SELECT o_orderstatus AS sweep, sum(floor(o_totalprice / 1000)::BIGINT)::BIGINT AS added,
+         sum(o_custkey % 7)::BIGINT AS updated, sum(floor(o_totalprice / 500)::BIGINT)::BIGINT AS drained,
+         sum(o_custkey % 11)::BIGINT AS batches, sum(o_custkey % 2)::BIGINT AS parse_failures,
+         sum(o_custkey % 3)::BIGINT AS entries_skipped
+  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY o_orderstatus)
+SELECT *, round(updated / greatest(1, added + updated), 6) AS update_rate,
+       round(updated / greatest(1, drained), 6) AS dedup_hit_rate,
+       round(parse_failures / greatest(1, batches), 6) AS parse_fail_rate,
+       round(entries_skipped / greatest(1, added + updated + entries_skipped), 6) AS entry_skip_rate FROM t"""
+ORACLE["weighted_mrr_rollup"] = """
+WITH cells AS (
+  SELECT l_linenumber, l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS n_scored,
+         avg(l_discount) FILTER (l_linestatus = 'F') AS mrr,
+         count(*) FILTER (l_tax > 0.04) AS updated, count(*) FILTER (l_tax <= 0.04) AS added
+  FROM lineitem GROUP BY ALL)
+SELECT l_linenumber, sum(n)::BIGINT AS n, sum(n_scored)::BIGINT AS n_scored, (sum(n) - sum(n_scored))::BIGINT AS n_skipped,
+       round(sum(n_scored) / sum(n), 6) AS coverage,
+       round(sum(mrr * n_scored) / sum(n_scored) FILTER (mrr IS NOT NULL), 6) AS mrr,
+       round(sum(updated) / (sum(updated) + sum(added)), 6) AS update_rate FROM cells GROUP BY l_linenumber"""
+ORACLE["chunk_merge"] = """
+WITH walls AS (SELECT l_returnflag, l_linenumber, sum(l_extendedprice) AS w FROM lineitem GROUP BY ALL)
+SELECT l_returnflag, count(*) AS n, count(*) FILTER (l_linestatus = 'F') AS n_scored,
+       round(avg(l_discount) FILTER (l_linestatus = 'F'), 6) AS mrr,
+       (list(l_extendedprice ORDER BY l_extendedprice))[floor((count(*) - 1) * 0.5)::BIGINT + 1] AS p50,
+       (list(l_extendedprice ORDER BY l_extendedprice))[floor((count(*) - 1) * 0.95)::BIGINT + 1] AS p95,
+       round((SELECT max(w) FROM walls x WHERE x.l_returnflag = lineitem.l_returnflag), 2) AS wall_ms
+FROM lineitem GROUP BY l_returnflag"""
+ORACLE["stratified_sample"] = """
+SELECT lang, doc_id FROM (
+  SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('7|' || lang || '|' || doc_id), doc_id) AS turn
+  FROM documents) ORDER BY turn, lang LIMIT 100"""
+ORACLE["chunk_plan"] = """
+WITH placed AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents),
+size AS (SELECT ceil(count(*) / greatest(1, count(*) // 80))::BIGINT AS s FROM documents),
+cut AS (SELECT place // s AS chunk, min(place) AS first, max(place) AS last, count(*) AS n_items FROM placed, size GROUP BY 1)
+SELECT cell, chunk, first, last, n_items FROM cut, (SELECT unnest(range(3)) AS cell)"""
+_CAPPED = " UNION ALL ".join(
+    f"SELECT chat_id, {cap} AS edge_cap, count(*) AS n_edges, count(DISTINCT from_id) AS n_sources "
+    f"FROM edges WHERE seq <= {cap} GROUP BY chat_id" for cap in (5, 10, 20))
+ORACLE["grid_sweep"] = with_(ENTRIES, EDGES) + _CAPPED
+ORACLE["spearman_price_key"] = """
+WITH r AS (
+  SELECT o_orderpriority AS grp,
+         rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice)
+         + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2 AS ra,
+         rank() OVER (PARTITION BY o_orderpriority ORDER BY o_custkey)
+         + (count(*) OVER (PARTITION BY o_orderpriority, o_custkey) - 1) / 2 AS rb FROM orders)
+SELECT grp, round(corr(ra, rb), 6) AS rho FROM r GROUP BY grp"""
+ORACLE["outlier_fence"] = """
+WITH q AS (SELECT event_type AS tier, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1)
+SELECT tier, round(q1, 6) AS q1, round(q3, 6) AS q3, round(q3 + 1.5 * (q3 - q1), 6) AS fence,
+       count(*) FILTER (value > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM q JOIN events ON event_type = tier GROUP BY tier, q1, q3"""
+ORACLE["half_means"] = """
+WITH p AS (SELECT event_type AS tier, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS place,
+                  count(*) OVER (PARTITION BY event_type) AS n FROM events)
+SELECT tier, round(avg(value) FILTER (place < n // 2), 6) AS first_half,
+       round(avg(value) FILTER (place >= n // 2), 6) AS second_half FROM p GROUP BY tier"""
+ORACLE["state_digest"] = with_(BATCHES, FACTS) + """
+SELECT chat_id, count(*) AS n_facts,
+       sum(('0x' || substr(sha256(concat_ws('|', seq, id, content, subject)), 1, 15))::HUGEINT)::VARCHAR AS fingerprint
+FROM facts GROUP BY chat_id"""
+ORACLE["exact_cache_match"] = with_(_HELD, """
+latest AS (SELECT chat_id, norm, max(doc_id) AS w FROM keyed GROUP BY ALL),
+held AS (SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY w DESC) <= 200)""") + """
+SELECT k.chat_id, k.doc_id AS query_id, h.w::VARCHAR AS cached_id FROM keyed k JOIN held h USING (chat_id, norm)"""
+ORACLE["cache_evict_topn"] = """
+WITH latest AS (
+  SELECT event_type AS chat_id, concat_ws('-', user_id, json_extract_string(props, '$.k')) AS key, max(event_id) AS written
+  FROM events GROUP BY ALL)
+SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY written DESC) <= 200"""

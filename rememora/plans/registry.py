@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rememora.functions import text
-from rememora.operators import baselines, bm25, consolidate, dedup, graph, metrics, tiers
-from rememora.plans import evaluation, runs, tables
+from rememora.functions import lifecycle, text
+from rememora.operators import (
+    baselines, bm25, caches, consolidate, dedup, graph, metrics, numbering, positions, tiers, upkeep, viewer,
+)
+from rememora.plans import evaluation, runs, sweeps, tables
 from rememora.session import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,3 +256,413 @@ def baseline_comparison(spark, folder):
 def rank_alignment_full_join(spark, folder):
     _, _, (ours, lexical) = _run(spark, folder, "ladder", "bm25only")
     return runs.align_ranks(ours, lexical)
+
+
+# --- caches and upkeep --------------------------------------------------------------
+
+@query
+def exact_cache_key(spark, folder):
+    turns = tables.load(spark, folder, "conversations")
+    return turns.select("conv_id", "turn", text.exact_key(F.col("text")).alias("key"))
+
+
+@query
+def token_set_key(spark, folder):
+    docs = tables.spread(tables.load(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", text.token_key(F.col("text")).alias("key"))
+
+
+def _asked_documents(spark, folder):
+    docs = tables.spread(tables.load(spark, folder, "documents").select("doc_id", "lang", "text"))
+    return docs.select(F.col("lang").alias("chat_id"), F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _document_cache(asked, writes):
+    answers = asked.select("chat_id", "query", F.array(F.col("query_id").cast("string")).alias("ids"),
+                           F.col("query_id").alias("written"))
+    rows = writes(answers)
+    return caches.record(rows.limit(0), rows)
+
+
+@query
+def fuzzy_cache_match(spark, folder):
+    asked = _asked_documents(spark, folder)
+    hits = caches.fuzzy_hits(_document_cache(asked, caches.fuzzy_writes), asked)
+    return hits.select("chat_id", "query_id", F.get("ids", F.lit(0)).alias("cached_id"), r6("similarity"))
+
+
+@query
+def exact_cache_match(spark, folder):
+    asked = _asked_documents(spark, folder)
+    hits = caches.exact_hits(_document_cache(asked, caches.exact_writes), asked)
+    return hits.select("chat_id", "query_id", F.get("ids", F.lit(0)).alias("cached_id"))
+
+
+def _event_writes(spark, folder):
+    return tables.load(spark, folder, "events").select(
+        F.col("event_type").alias("chat_id"),
+        F.concat_ws("-", F.col("user_id"), F.get_json_object("props", "$.k")).alias("key"),
+        F.array(F.col("event_id").cast("string")).alias("ids"), F.col("event_id").alias("written"))
+
+
+@query
+def cache_evict_topn(spark, folder):
+    writes = _event_writes(spark, folder)
+    kept = caches.record(writes.limit(0), writes)
+    return kept.select("chat_id", "key", "written")
+
+
+@query
+def ladder_with_caches(spark, folder):
+    entries = tables.entries(spark, folder)
+    asked = tables.queries(spark, folder).withColumn("written", F.col("query_id"))
+    edges = settle(graph.build_edges(entries), "edges")
+    first = settle(tiers.ladder(entries, edges, asked, tables.now(), 5), "first-pass")
+    empty = asked.select("chat_id", F.lit("").alias("key"), F.array("chat_id").alias("ids"), "written").limit(0)
+    warm = caches.Caches(empty, empty).updated(asked, first)
+    again = tiers.ladder(entries, edges, asked.drop("written"), tables.now(), 5, caches=warm)
+    return again.select("chat_id", "query_id", F.col("rank").cast("long").alias("rank"), "id", "tier")
+
+
+@query
+def working_prepend(spark, folder):
+    entries = tables.entries(spark, folder)
+    buffer = entries.filter("scope = 'working'").select(
+        "chat_id", "id", F.lit(1).alias("one"), F.col("seq"))
+    buffer = tiers.top_k(buffer, ["chat_id"], [F.desc("seq")], 5, "pos").select("chat_id", "id", "pos")
+    best = tiers.floor(entries, tables.now(), 5)
+    asked = tables.queries(spark, folder).select("chat_id", "query_id")
+    found = asked.join(best, "chat_id").select(
+        "chat_id", "query_id", "id", "rank", F.lit(0.0).alias("bm25"), "score", F.lit("floor").alias("tier"))
+    return tiers.prepend_working(found, buffer).select(
+        "chat_id", "query_id", F.col("rank").cast("long").alias("rank"), "id")
+
+
+def _user_entries(spark, folder):
+    """One entry per event user, the earliest event giving its birth."""
+    events = tables.load(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return events.groupBy("user_id").agg(F.min("ts").alias("created_at")).select(
+        F.lit("users").alias("chat_id"), F.col("user_id").cast("string").alias("id"),
+        F.lit(20.0).alias("importance"), "created_at", F.col("created_at").alias("updated_at"),
+        F.lit(0).cast("long").alias("access_count"), F.lit(0).cast("long").alias("update_count"))
+
+
+def _lifecycle_events(spark, folder, kinds):
+    events = tables.load(spark, folder, "events").filter(F.col("event_type").isin(*kinds))
+    return events.select(F.lit("users").alias("chat_id"), F.col("user_id").cast("string").alias("id"),
+                         F.when(F.col("event_type") == "purchase", "update").otherwise("access").alias("kind"),
+                         F.col("ts").cast("timestamp").alias("at"))
+
+
+@query
+def access_bump(spark, folder):
+    out = upkeep.apply_events(_user_entries(spark, folder), _lifecycle_events(spark, folder, ["view"]))
+    return out.select("id", "importance", "access_count")
+
+
+@query
+def update_bump(spark, folder):
+    out = upkeep.apply_events(_user_entries(spark, folder), _lifecycle_events(spark, folder, ["purchase", "click"]))
+    return out.select("id", "importance", "access_count", "update_count",
+                      F.unix_micros("updated_at").alias("updated_us"))
+
+
+@query
+def daily_decay(spark, folder):
+    entries = tables.entries(spark, folder)
+    days = (F.unix_timestamp(tables.now()) - F.unix_timestamp("created_at")) / 86400
+    return entries.select("chat_id", "id", F.round(
+        lifecycle.decayed(F.col("importance"), days), 6).alias("importance"))
+
+
+@query
+def maturity_transition(spark, folder):
+    entries = tables.entries(spark, folder)
+    gained = F.least(F.lit(100.0), F.col("importance") + F.length("content") % 40)
+    return entries.select("chat_id", "id", "maturity",
+                          lifecycle.next_maturity(gained, F.col("maturity")).alias("next"))
+
+
+@query
+def trace_ring(spark, folder):
+    traces = tables.load(spark, folder, "events").select(
+        F.col("event_type").alias("chat_id"), F.col("event_id").alias("seq"), F.col("value"))
+    return upkeep.ring(traces)
+
+
+@query
+def scrub_deleted(spark, folder):
+    turns = tables.load(spark, folder, "conversations")
+    buffer = turns.select(F.col("conv_id").alias("chat_id"), F.concat_ws(":", "conv_id", "turn").alias("id"),
+                          F.array(F.col("turn").cast("long")).alias("source_messages"))
+    errors = tables.load(spark, folder, "events").filter(F.col("event_type") == "error").select(
+        F.col("user_id").alias("chat_id"), F.get_json_object("props", "$.k").cast("long").alias("message"))
+    return upkeep.scrub(buffer, errors.distinct()).select("chat_id", "id")
+
+
+@query
+def last_user_query(spark, folder):
+    return upkeep.last_user_query(tables.turns(spark, folder)).select("chat_id", "turn", "query")
+
+
+@query
+def memory_block(spark, folder):
+    entries = tables.entries(spark, folder)
+    best = tiers.floor(entries, tables.now(), 3)
+    asked = tables.queries(spark, folder).select("chat_id", "query_id")
+    return upkeep.memory_block(asked.join(best, "chat_id"), entries)
+
+
+@query
+def entry_validate(spark, folder):
+    docs = tables.spread(tables.load(spark, folder, "documents"))
+    stamp = tables.now()
+    raw = docs.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.when(F.col("source") == "src0", "elsewhere").otherwise("episodic").alias("scope"),
+        F.col("text").alias("content"), F.array("source").alias("tags"),
+        F.array(F.struct(F.when(F.col("lang") == "es", "unknown").otherwise("supports").alias("type"),
+                         F.col("source").alias("target"))).alias("relations"),
+        (F.col("n_chars") / 50).alias("importance"), F.lit("draft").alias("maturity"),
+        stamp.alias("created_at"), stamp.alias("updated_at"), F.lit(0).alias("access_count"),
+        F.lit(0).alias("update_count"), F.array("doc_id").alias("source_messages"), F.lit("x").alias("extractor"))
+    return raw.select("id", upkeep.valid_entry().alias("valid"))
+
+
+@query
+def tags_populated(spark, folder):
+    facts = consolidate.fact_entries(
+        consolidate.extract_by_rules(consolidate.batches(tables.turns(spark, folder))), tables.now())
+    return upkeep.tagged_share(facts).select("chat_id", r6("tagged"))
+
+
+# --- viewer --------------------------------------------------------------------------
+
+@query
+def viewer_grouped_limit(spark, folder):
+    page = viewer.grouped_page(tables.entries(spark, folder))
+    return page.select("label", "chat_id", "id", "importance")
+
+
+@query
+def viewer_subject_counts(spark, folder):
+    return viewer.subject_counts(tables.entries(spark, folder))
+
+
+@query
+def viewer_graph_page(spark, folder):
+    page = viewer.graph_page(graph.build_edges(tables.entries(spark, folder)))
+    return page.select("chat_id", "from_id", "to_id", "degree", F.col("place").cast("long").alias("place"))
+
+
+@query
+def viewer_subject_filter(spark, folder):
+    entries = tables.entries(spark, folder)
+    return entries.filter(viewer.subject_contains("an")).select("chat_id", "id", "subject")
+
+
+@query
+def trace_labels(spark, folder):
+    events = tables.load(spark, folder, "events")
+    tier = (F.when(F.col("event_type") == "view", "0").when(F.col("event_type") == "click", "2")
+            .when(F.col("event_type") == "signup", "floor").otherwise(F.col("event_type")))
+    return events.select("event_id", viewer.tier_label(tier).alias("label"),
+                         viewer.shown_time(F.col("ts")).alias("shown"),
+                         viewer.clipped(F.col("props"), 8).alias("props"))
+
+
+# --- run, trace and sweep analytics ----------------------------------------------------
+
+def _calls(spark, folder):
+    """Events as traced calls."""
+    return tables.load(spark, folder, "events").select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("tier"), F.col("value").alias("lat_ms"),
+        F.get_json_object("props", "$.k").cast("long").alias("query_len"), "user_id")
+
+
+@query
+def latency_percentiles_floor(spark, folder):
+    rules = {"p50_n1": positions.at_floor_n1(0.5), "p95_n1": positions.at_floor_n1(0.95),
+             "p50_n": positions.at_floor_n(0.5), "p95_n": positions.at_floor_n(0.95)}
+    return positions.order_statistics(_calls(spark, folder), ["tier"], "lat_ms", rules)
+
+
+@query
+def trace_latency_stats(spark, folder):
+    stats = runs.latency_stats(_calls(spark, folder), ["tier"])
+    return stats.select("tier", "n", "p50", "p95", "p99", "min", "max", r6("mean"), r6("std"))
+
+
+@query
+def tier_distribution(spark, folder):
+    return runs.tier_distribution(_calls(spark, folder)).select("tier", "count", r6("pct"))
+
+
+@query
+def pearson_len_latency(spark, folder):
+    return runs.length_latency_correlation(_calls(spark, folder), ["tier"]).select("tier", "n", r6("r"), "reading")
+
+
+@query
+def slowest_calls(spark, folder):
+    return runs.extremes(_calls(spark, folder), 20).select("id", "tier", "lat_ms")
+
+
+@query
+def fastest_calls(spark, folder):
+    return runs.extremes(_calls(spark, folder), 20, slowest=False).select("id", "tier", "lat_ms")
+
+
+@query
+def trace_enrichment(spark, folder):
+    calls = _calls(spark, folder).select("id", F.concat_ws(" ", "tier", "query_len").alias("query"), "lat_ms")
+    purchases = tables.load(spark, folder, "events").filter("event_type = 'purchase'")
+    answers = purchases.groupBy(F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")).alias("query")).agg(
+        F.max("value").alias("answer"))
+    return runs.enrich(calls, answers).select("id", "query", "lat_ms", "answer")
+
+
+@query
+def run_mode_summary(spark, folder):
+    rows = _calls(spark, folder).select(
+        F.col("user_id").alias("run"), F.col("lat_ms").alias("top_score"), F.col("tier").alias("top_tier"),
+        F.lit("default").alias("scorer_id"), F.lit("unknown").alias("git_sha"))
+    return runs.run_summary(rows).select("run", "n_calls", r6("top_score_mean"), "top_tier_mode", "scorer_id")
+
+
+def _points(spark, folder, *keys):
+    items = tables.load(spark, folder, "lineitem")
+    return items.groupBy(*keys).agg(
+        (F.avg("l_quantity") / 50).alias("mrr"), (F.avg("l_tax") * 10).alias("coverage"), F.count("*").alias("n"))
+
+
+@query
+def sweep_summary(spark, folder):
+    rows = _points(spark, folder, "l_returnflag", "l_linestatus", "l_discount").select(
+        F.col("l_returnflag").alias("sweep_name"), F.col("l_linestatus").alias("knob"), "mrr", "coverage")
+    return runs.sweep_summary(rows).select(
+        "sweep_name", "knob", "n_points", r6("mrr_min"), r6("mrr_max"), r6("mrr_span"), r6("coverage_mean"))
+
+
+@query
+def sweep_diff(spark, folder):
+    rows = _points(spark, folder, "l_returnflag", "l_linenumber", "l_discount").select(
+        "l_linenumber", F.col("l_returnflag").alias("knob"), F.col("l_discount").alias("value"), "mrr", "coverage")
+    diff = runs.sweep_diff(rows.filter("l_linenumber = 1"), rows.filter("l_linenumber = 2"))
+    return diff.select("knob", "value", r6("delta_mrr"), r6("delta_coverage"))
+
+
+@query
+def elbow(spark, folder):
+    points = _points(spark, folder, "l_returnflag", "l_discount").select("l_returnflag", "l_discount", "mrr")
+    chosen = sweeps.elbow(points, "l_discount", "mrr", ["l_returnflag"], {"l_discount": 0.0, "l_returnflag": "A"})
+    return chosen.select("l_discount", "l_returnflag", r6("mrr"), "rationale")
+
+
+@query
+def amendment_gate(spark, folder):
+    points = _points(spark, folder, "l_returnflag", "l_linenumber", "l_discount")
+    base = points.filter("l_discount = 0").select(
+        "l_returnflag", "l_linenumber", F.col("mrr").alias("mrr0"), F.col("coverage").alias("coverage0"))
+    verdict = sweeps.amendment(F.col("mrr0"), F.col("coverage0"), F.col("mrr"), F.col("coverage"))
+    return points.join(base, ["l_returnflag", "l_linenumber"]).select(
+        "l_returnflag", "l_linenumber", "l_discount", verdict.alias("verdict"))
+
+
+@query
+def structural_invariant(spark, folder):
+    scores = _points(spark, folder, "l_returnflag").select(
+        F.when(F.col("l_returnflag") == "R", "ladder").when(F.col("l_returnflag") == "A", "bm25only")
+        .otherwise("random").alias("retriever"), "mrr")
+    return sweeps.structural_invariant(scores).select(r6("delta"), "verdict")
+
+
+@query
+def consolidation_rates(spark, folder):
+    orders = tables.load(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("conversation_id"), F.col("o_orderstatus").alias("sweep"),
+        F.floor(F.col("o_totalprice") / 1000).alias("added"), (F.col("o_custkey") % 7).alias("updated"),
+        F.floor(F.col("o_totalprice") / 500).alias("drained"), (F.col("o_custkey") % 11).alias("batches"),
+        (F.col("o_custkey") % 2).alias("parse_failures"), (F.col("o_custkey") % 3).alias("entries_skipped"))
+    items = tables.load(spark, folder, "lineitem").select(F.col("l_orderkey").alias("conversation_id"))
+    rates = sweeps.consolidation_rates(items.join(orders, "conversation_id"), ["sweep"])
+    return rates.select("sweep", *sweeps.STAT_COLUMNS, r6("update_rate"), r6("dedup_hit_rate"),
+                        r6("parse_fail_rate"), r6("entry_skip_rate"))
+
+
+@query
+def weighted_mrr_rollup(spark, folder):
+    scored = F.when(F.col("l_linestatus") == "F", F.col("l_discount"))
+    cells = tables.load(spark, folder, "lineitem").groupBy("l_linenumber", "l_returnflag").agg(
+        F.count("*").alias("n"), F.count(scored).alias("n_scored"),
+        (F.count("*") - F.count(scored)).alias("n_skipped"), F.avg(scored).alias("mrr"),
+        F.count_if(F.col("l_tax") > 0.04).alias("updated"), F.count_if(F.col("l_tax") <= 0.04).alias("added"))
+    rolled = sweeps.weighted_rollup(cells, ["l_linenumber"])
+    return rolled.select("l_linenumber", "n", "n_scored", "n_skipped", r6("coverage"), r6("mrr"), r6("update_rate"))
+
+
+@query
+def chunk_merge(spark, folder):
+    rows = tables.load(spark, folder, "lineitem").select(
+        "l_returnflag", "l_linenumber", F.when(F.col("l_linestatus") == "F", F.col("l_discount")).alias("mrr"),
+        F.col("l_extendedprice").alias("latency_ms"))
+    merged = sweeps.merge_chunks(rows, ["l_returnflag"], "l_linenumber")
+    return merged.select("l_returnflag", "n", "n_scored", r6("mrr"), "p50", "p95",
+                         F.round("wall_ms", 2).alias("wall_ms"))
+
+
+@query
+def stratified_sample(spark, folder):
+    docs = tables.load(spark, folder, "documents").select("doc_id", "lang")
+    return sweeps.stratified_sample(docs, "lang", "doc_id", 100, 7).select("lang", "doc_id")
+
+
+@query
+def chunk_plan(spark, folder):
+    docs = tables.load(spark, folder, "documents").select("doc_id", F.lit("corpus").alias("corpus"))
+    placed = numbering.number_rows(docs, "corpus", "doc_id", "place")
+    return sweeps.chunk_plan(placed, "place", docs.count(), cells=3)
+
+
+@query
+def grid_sweep(spark, folder):
+    entries = tables.entries(spark, folder)
+    postings = settle(entries.select("chat_id", "id", "seq", "scope", "content"), "grid-entries")
+
+    def evaluate(params):
+        return graph.build_edges(postings, params).groupBy("chat_id").agg(
+            F.count("*").alias("n_edges"), F.countDistinct("from_id").alias("n_sources"))
+
+    return sweeps.grid_sweep({"edge_cap": [5, 10, 20]}, evaluate)
+
+
+@query
+def spearman_price_key(spark, folder):
+    orders = tables.load(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("grp"), "o_totalprice", F.col("o_custkey").cast("double").alias("c"))
+    ranked = positions.average_ranks(orders, ["grp"], "o_totalprice", "ra")
+    ranked = positions.average_ranks(ranked, ["grp"], "c", "rb")
+    return ranked.groupBy("grp").agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
+
+
+@query
+def outlier_fence(spark, folder):
+    fenced = sweeps.outliers_above_fence(_calls(spark, folder), ["tier"], "lat_ms")
+    return fenced.select("tier", r6("q1"), r6("q3"), r6("fence"), "n_outliers")
+
+
+@query
+def half_means(spark, folder):
+    calls = numbering.number_rows(_calls(spark, folder), "tier", "id", "place")
+    sizes = calls.groupBy("tier").agg(F.count("*").alias("n"))
+    first = F.col("place") < F.floor(F.col("n") / 2)
+    return calls.join(sizes, "tier").groupBy("tier").agg(
+        F.round(F.avg(F.when(first, F.col("lat_ms"))), 6).alias("first_half"),
+        F.round(F.avg(F.when(~first, F.col("lat_ms"))), 6).alias("second_half"))
+
+
+@query
+def state_digest(spark, folder):
+    facts = consolidate.fact_entries(
+        consolidate.extract_by_rules(consolidate.batches(tables.turns(spark, folder))), tables.now())
+    return evaluation.digest(facts)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rememora.functions.text import entities
 
 # the injected clock: no query reads the wall clock
-NOW = "2025-01-01 00:00:00"
+NOW = "2025-01-01T00:00:00Z"
 
 
 def now() -> Column:
