@@ -688,3 +688,70 @@ WITH latest AS (
   SELECT event_type AS chat_id, concat_ws('-', user_id, json_extract_string(props, '$.k')) AS key, max(event_id) AS written
   FROM events GROUP BY ALL)
 SELECT * FROM latest QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY written DESC) <= 200"""
+
+
+# --- vectors, communities, persona --------------------------------------------------
+
+_DOT = "round(least(1, greatest(-1, list_dot_product(a.v, b.v))), 9)"
+_UNIT = """
+vecs AS (
+  SELECT vec_id, label::VARCHAR AS label,
+         list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings))"""
+
+
+def knn(k: int, on: str) -> str:
+    return f"""
+sims AS (SELECT a.label, a.vec_id AS qid, b.vec_id AS id, {_DOT} AS similarity FROM vecs a JOIN vecs b ON {on}),
+hits AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) <= {k + 1}),
+near AS (
+  SELECT label, qid, id, similarity, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank
+  FROM hits WHERE qid <> id AND similarity > 0),
+knn_edges AS (SELECT least(qid, id) AS a, greatest(qid, id) AS b, max(similarity) AS w FROM near GROUP BY 1, 2),
+ends AS (SELECT a AS node, w FROM knn_edges UNION ALL SELECT b, w FROM knn_edges),
+degrees AS (SELECT node, sum(w) AS degree FROM ends GROUP BY node),
+given AS (SELECT vec_id AS node, label::INT AS comm FROM vecs),
+totals AS (SELECT comm, sum(coalesce(degree, 0)) AS total FROM given LEFT JOIN degrees USING (node) GROUP BY comm),
+inner_w AS (SELECT x.comm, 2 * sum(w) AS inside FROM knn_edges JOIN given x ON x.node = a JOIN given y ON y.node = b
+            WHERE x.comm = y.comm GROUP BY x.comm)"""
+
+
+ORACLE["knn_topk"] = with_(_UNIT, knn(15, "a.label = b.label")) + """
+SELECT label AS key, qid, id, rank, round(similarity, 6) AS similarity FROM near"""
+ORACLE["knn_global"] = with_(_UNIT, knn(5, "true")) + """
+SELECT qid, id, rank, round(similarity, 6) AS similarity FROM near"""
+ORACLE["knn_symmetric"] = with_(_UNIT, knn(15, "true")) + "SELECT a, b, round(w, 6) AS w FROM knn_edges"
+ORACLE["knn_degree"] = with_(_UNIT, knn(15, "true")) + "SELECT node, round(degree, 6) AS degree FROM degrees"
+ORACLE["modularity"] = with_(_UNIT, knn(15, "true")) + """
+SELECT 'all' AS key, round(sum(coalesce(inside, 0) / m - pow(total / m, 2)), 6) AS q
+FROM totals LEFT JOIN inner_w USING (comm), (SELECT sum(degree) AS m FROM degrees)"""
+ORACLE["community_stats"] = with_(_UNIT, knn(15, "true")) + """
+SELECT comm, round(coalesce(inside, 0), 6) AS inside, round(total, 6) AS total FROM totals LEFT JOIN inner_w USING (comm)"""
+ORACLE["cosine_to_label_mean"] = with_(_UNIT, """
+flat AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vecs),
+means AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM flat GROUP BY ALL) GROUP BY label)""") + """
+SELECT vec_id AS id, round(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 6) AS cosine
+FROM vecs JOIN means USING (label)"""
+_STEP3 = "xor({s}, ({s} << 13) & 4294967295)"
+ORACLE["hashed_embeddings"] = """
+WITH RECURSIVE seeds AS (
+  SELECT conv_id, turn, list_reduce(
+           list_prepend(2166136261::BIGINT, list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT)),
+           lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM conversations),
+walk AS (
+  SELECT conv_id, turn, 0 AS n, CASE WHEN h = 0 THEN 3735928559 ELSE h END AS s FROM seeds
+  UNION ALL
+  SELECT conv_id, turn, n + 1, xor(s2, (s2 << 5) & 4294967295) FROM (
+    SELECT *, xor(s1, s1 >> 17) AS s2 FROM (
+      SELECT *, xor(s, (s << 13) & 4294967295) AS s1 FROM walk WHERE n < 16))),
+raw AS (SELECT conv_id, turn, n - 1 AS dim, s / 4294967295 * 2 - 1 AS x FROM walk WHERE n > 0)
+SELECT conv_id, turn, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY conv_id, turn)), 6) AS x FROM raw"""
+ORACLE["persona_replace"] = with_(ENTRIES, """
+facts AS (SELECT * FROM entries WHERE scope = 'episodic' AND subject IS NOT NULL),
+best AS (SELECT chat_id, subject, content FROM facts
+         QUALIFY row_number() OVER (PARTITION BY chat_id, subject ORDER BY length(content) DESC, content) = 1),
+firsts AS (SELECT chat_id, subject, min(seq) AS seq FROM facts GROUP BY ALL)""") + """
+SELECT chat_id, subject, 'p' || seq AS id, content FROM best JOIN firsts USING (chat_id, subject)
+UNION ALL
+SELECT chat_id, subject, id, content FROM entries e WHERE scope = 'persona'
+  AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.chat_id = e.chat_id AND f.subject = e.subject)"""

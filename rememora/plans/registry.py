@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rememora.functions import lifecycle, text
+from rememora.functions import lifecycle, text, vectors
 from rememora.operators import (
-    baselines, bm25, caches, consolidate, dedup, graph, metrics, numbering, positions, tiers, upkeep, viewer,
+    baselines, bm25, caches, communities, consolidate, dedup, graph, metrics, neighbors, numbering,
+    persona, positions, tiers, upkeep, viewer,
 )
 from rememora.plans import evaluation, runs, sweeps, tables
 from rememora.session import settle
@@ -666,3 +667,103 @@ def state_digest(spark, folder):
     facts = consolidate.fact_entries(
         consolidate.extract_by_rules(consolidate.batches(tables.turns(spark, folder))), tables.now())
     return evaluation.digest(facts)
+
+
+# --- vectors, communities, persona ----------------------------------------------------
+
+def _vectors(spark, folder, per_label=True):
+    """Embeddings, unit length, keyed by label or all under one key."""
+    raw = tables.load(spark, folder, "embeddings")
+    key = F.col("label").cast("string") if per_label else F.lit("all")
+    vec = vectors.unit(F.col("embedding").cast("array<double>"))
+    return raw.select(key.alias("key"), F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), vec.alias("vec"))
+
+
+@query
+def knn_topk(spark, folder):
+    near = neighbors.nearest(_vectors(spark, folder), 15)
+    return near.select("key", "qid", "id", F.col("rank").cast("long").alias("rank"), r6("similarity"))
+
+
+@query
+def knn_global(spark, folder):
+    near = neighbors.nearest(_vectors(spark, folder, per_label=False), 5, block=128)
+    return near.select("qid", "id", F.col("rank").cast("long").alias("rank"), r6("similarity"))
+
+
+def _graph(spark, folder):
+    near = neighbors.nearest(_vectors(spark, folder, per_label=False), 15)
+    return settle(neighbors.symmetric(near), "knn-graph")
+
+
+@query
+def knn_symmetric(spark, folder):
+    return _graph(spark, folder).select("a", "b", r6("w"))
+
+
+@query
+def knn_degree(spark, folder):
+    return neighbors.node_degree(_graph(spark, folder)).select("node", r6("degree"))
+
+
+def _labelled_nodes(spark, folder, edges):
+    labels = tables.load(spark, folder, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("given"))
+    nodes = labels.withColumn("key", F.lit("all"))
+    return communities.start(edges, nodes).drop("comm").join(labels, "node").withColumnRenamed("given", "comm")
+
+
+@query
+def modularity(spark, folder):
+    edges = _graph(spark, folder)
+    return communities.modularity(edges, _labelled_nodes(spark, folder, edges), 1.0).select("key", r6("q"))
+
+
+@query
+def community_stats(spark, folder):
+    edges = _graph(spark, folder)
+    stats = communities.community_stats(edges, _labelled_nodes(spark, folder, edges))
+    return stats.select("comm", r6("inside"), r6("total"))
+
+
+@query
+def leiden(spark, folder):
+    edges = _graph(spark, folder)
+    nodes = tables.load(spark, folder, "embeddings").select(F.lit("all").alias("key"), F.col("vec_id").alias("node"))
+    return communities.leiden(edges, nodes, 1.0).select("node", "community")
+
+
+@query
+def cosine_to_label_mean(spark, folder):
+    vecs = _vectors(spark, folder)
+    mean = vecs.select("key", F.posexplode("vec").alias("i", "x")).groupBy("key", "i").agg(F.avg("x").alias("m"))
+    # one value per dimension: 64 per label
+    centre = mean.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("c"))
+    centre = centre.select("key", vectors.unit(F.col("c")).alias("c"))
+    return vecs.join(centre, "key").select("id", F.round(vectors.cosine(F.col("vec"), F.col("c")), 6).alias("cosine"))
+
+
+@query
+def hashed_embeddings(spark, folder):
+    turns = tables.load(spark, folder, "conversations")
+    vec = turns.select("conv_id", "turn", vectors.hashed_embedding(F.col("text")).alias("v"))
+    return vec.select("conv_id", "turn", F.posexplode("v").alias("dim", "x")).select(
+        "conv_id", "turn", "dim", F.round("x", 6).alias("x"))
+
+
+@query
+def persona_rebuild(spark, folder):
+    summaries, origins = persona.rebuild(tables.entries(spark, folder).filter("scope = 'episodic'"))
+    counted = origins.groupBy("chat_id", "subject", "depth", "leaf").agg(F.count("*").alias("n_facts"))
+    return summaries.join(counted, ["chat_id", "subject", "depth", "leaf"]).select(
+        "chat_id", "subject", "depth", "leaf", "text", "n_facts")
+
+
+@query
+def persona_replace(spark, folder):
+    entries = tables.entries(spark, folder)
+    facts = entries.filter("scope = 'episodic' AND subject IS NOT NULL").withColumn("text", F.col("content"))
+    texts = facts.groupBy("chat_id", "subject").agg(persona.longest_text().alias("content"), F.min("seq").alias("seq"))
+    fresh = texts.select("chat_id", "subject", "content", "seq", F.lit("persona").alias("scope"),
+                         F.concat(F.lit("p"), "seq").alias("id"))
+    swapped = persona.replace_persona(entries, fresh)
+    return swapped.filter("scope = 'persona'").select("chat_id", "subject", "id", "content")

@@ -69,13 +69,12 @@ def elbow(points: DataFrame, primary: str, metric: str, secondary: list[str] | N
         .filter("place = 1")
         .select(*knobs, metric, F.lit(1).alias("preference"), F.lit("elbow").alias("rationale")))
     # without an elbow the whole axis decides, all slices in one order
-    axis = slopes(points, primary, metric, [])
-    top = points.agg(F.max(F.struct(metric, *[(-F.col(k)).alias(k) if k == primary else F.col(k) for k in knobs])).alias("t"),
-                     ).select(*[(-F.col(f"t.{k}")).alias(k) if k == primary else F.col(f"t.{k}").alias(k) for k in knobs],
-                              F.col(f"t.{metric}").alias(metric))
-    flat = axis.agg((F.coalesce(F.max(F.abs("slope")), F.lit(0.0)) < FLAT_AXIS).alias("flat"))
-    fallback = top.join(flat, F.lit(True)).select(
-        *knobs, metric, F.lit(2).alias("preference"), F.when(F.col("flat"), "flat axis").otherwise("best point").alias("rationale"))
+    key = F.struct(F.col(metric), (-F.col(primary)).alias("p"), *secondary)
+    axis = slopes(points, primary, metric, []).agg(
+        F.max_by(F.struct(*knobs, metric), key).alias("top"),
+        (F.coalesce(F.max(F.abs("slope")), F.lit(0.0)) < FLAT_AXIS).alias("flat"))
+    fallback = axis.select("top.*", F.lit(2).alias("preference"),
+                           F.when(F.col("flat"), "flat axis").otherwise("best point").alias("rationale"))
     if defaults:
         for k in knobs:
             fallback = fallback.withColumn(k, F.when(F.col("rationale") == "flat axis", F.lit(defaults[k])).otherwise(F.col(k)))
@@ -162,7 +161,7 @@ def chunk_plan(items: DataFrame, position: str, corpus: int, cells: int, chunks:
     _, size = chunk_size(corpus, chunks)
     cut = items.groupBy(F.floor(F.col(position) / size).alias("chunk")).agg(
         F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n_items"))
-    return cut.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("long").alias("cell"), "*")
+    return cut.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"), "*")
 
 
 def coordinate_descent(rounds: list[tuple[str, list]], evaluate: Callable[[Params], float],
