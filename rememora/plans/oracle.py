@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rememora.functions import extraction
 from rememora.params import EDGE_TYPE_WEIGHTS, ENTITY_STOP_WORDS
 
 NOW_S = 1735689600  # 2025-01-01 00:00:00 UTC
@@ -755,3 +756,79 @@ SELECT chat_id, subject, 'p' || seq AS id, content FROM best JOIN firsts USING (
 UNION ALL
 SELECT chat_id, subject, id, content FROM entries e WHERE scope = 'persona'
   AND NOT EXISTS (SELECT 1 FROM firsts f WHERE f.chat_id = e.chat_id AND f.subject = e.subject)"""
+
+
+# --- sources and live path ------------------------------------------------------------
+
+_BLOCKS = """
+blocks AS (
+  SELECT conv_id || '-' || (turn // 64) AS sample_id, turn % 64 // 2 + 1 AS session, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id, turn // 64 ORDER BY turn) - 1 AS place FROM conversations),
+samples AS (SELECT sample_id FROM blocks WHERE role = 'user' GROUP BY sample_id)"""
+ORACLE["locomo_turns"] = with_(_BLOCKS) + """
+SELECT sample_id AS chat_id, place AS turn, session::INT AS session, role AS speaker, text
+FROM blocks JOIN samples USING (sample_id)"""
+ORACLE["locomo_evidence"] = with_(_BLOCKS) + """
+SELECT q.sample_id AS chat_id, row_number() OVER (PARTITION BY q.sample_id ORDER BY q.turn) - 1 AS query_id,
+       q.text AS query, CASE WHEN q.turn % 3 = 2 THEN '' ELSE coalesce((
+         SELECT t.place::VARCHAR FROM (SELECT *, row_number() OVER (PARTITION BY sample_id, session ORDER BY turn) - 1 AS i FROM blocks) t
+         WHERE t.sample_id = q.sample_id AND t.session = q.session AND t.i = q.turn % 2), '') END AS evidence
+FROM blocks q WHERE q.role = 'user'"""
+_MARKS = """
+marks AS (SELECT *, role = 'assistant' AND length(text) % 2 = 0 AS marked FROM blocks),
+whole AS (SELECT *, session = 1 AND NOT bool_or(marked) OVER (PARTITION BY sample_id, session) AS all_turns,
+                 CASE WHEN count(DISTINCT session) OVER (PARTITION BY sample_id) = 1 THEN '_abs' ELSE '' END AS suffix FROM marks)"""
+ORACLE["longmemeval_turns"] = with_(_BLOCKS, _MARKS) + """
+SELECT sample_id || suffix AS chat_id, place AS turn, (session - 1)::INT AS session, role AS speaker, text FROM whole"""
+ORACLE["longmemeval_evidence"] = with_(_BLOCKS, _MARKS) + """
+SELECT sample_id || suffix AS chat_id, 'multi-session' AS task_type, any_value(suffix) = '_abs' AS abstention,
+       coalesce(string_agg(place::VARCHAR, ',' ORDER BY place) FILTER (marked OR all_turns), '') AS evidence
+FROM whole GROUP BY sample_id || suffix"""
+ORACLE["run_source"] = """
+SELECT user_id::VARCHAR AS conversation_id, props AS question, event_type AS category,
+       (event_type <> 'error')::BIGINT AS n_retrieved, CASE WHEN event_type <> 'error' THEN event_id::VARCHAR END AS top_id,
+       CASE WHEN event_type <> 'error' THEN value END AS top_score,
+       CASE WHEN event_type <> 'error' THEN event_type END AS top_tier FROM events"""
+ORACLE["batch_result_ingest"] = """
+SELECT CASE WHEN turn = 3 THEN '(unparseable)' WHEN turn % 5 = 4 THEN '../' || conv_id || '-' || turn
+            ELSE conv_id || '-' || turn END AS key,
+       CASE WHEN turn = 3 THEN 'not json' WHEN turn % 5 = 4 THEN 'unsafe custom_id' WHEN role = 'system' THEN 'status 500'
+            WHEN length(text) % 7 = 0 THEN 'finish length' END AS reason,
+       CASE WHEN turn <> 3 THEN length(text)::INT END AS n_chars FROM conversations"""
+_PROMPT = "to_json([{'role': 'system', 'content': $$" + extraction.EXTRACTION_PROMPT + "$$}, {'role': 'user', 'content': body}])"
+ORACLE["warmup_batches"] = with_(BATCHES, f"""
+bodies AS (
+  SELECT chat_id, batch, 'Transcript:' || chr(10) || string_agg('[user] ' || text, chr(10) ORDER BY place)
+         || chr(10) || chr(10) || 'Return the JSON now.' AS body FROM batched GROUP BY chat_id, batch)""") + f"""
+SELECT chat_id, batch, sha256('model-a' || chr(0) || {_PROMPT}::VARCHAR || chr(0) || '4096') AS key FROM bodies"""
+ORACLE["extraction_cache_split"] = with_(BATCHES) + """
+SELECT DISTINCT chat_id, batch, batch = 0 AS cached FROM batched"""
+ORACLE["extraction_validate"] = with_(BATCHES) + """
+SELECT chat_id, batch,
+       CASE chat_id % 4 WHEN 1 THEN 'parse_failure' WHEN 2 THEN 'not_object' ELSE 'ok' END AS status,
+       (chat_id % 4 IN (0, 3))::BIGINT AS n_facts, (chat_id % 4 IN (0, 3))::BIGINT AS skipped,
+       CASE WHEN chat_id % 4 IN (0, 3) THEN arg_min(text, place) END AS content
+FROM batched GROUP BY chat_id, batch"""
+ORACLE["traced_calls"] = """
+SELECT event_id AS id, round(value, 6) AS lat_ms, event_type AS tier,
+       CASE WHEN event_type <> 'error' OR true THEN props END AS query, length(props) AS query_len
+FROM events WHERE event_type <> 'signup'"""
+ORACLE["state_roundtrip"] = with_(ENTRIES) + """
+SELECT chat_id, id, seq, scope, CASE chat_id WHEN 'fr' THEN 1.0 ELSE importance END AS importance, created_s FROM entries"""
+ORACLE["stream_buffer"] = """
+WITH placed AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place,
+                       count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE trim(text) <> '')
+SELECT conv_id::VARCHAR AS chat_id, place // 2 AS fire, 'buffer' AS reason,
+       string_agg(turn::VARCHAR, ',' ORDER BY place) AS turns
+FROM placed WHERE place // 2 * 2 + 4 <= n GROUP BY conv_id, place // 2"""
+ORACLE["stream_cache_routing"] = """
+WITH keyed AS (
+  SELECT user_id, event_id, event_type, event_type || ' ' || json_extract_string(props, '$.k') AS exact,
+         event_type || CASE WHEN length(json_extract_string(props, '$.k')) >= 2
+                            THEN ' ' || json_extract_string(props, '$.k') ELSE '' END AS fuzzy,
+         count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM events),
+asked AS (
+  SELECT *, min(event_id) OVER (PARTITION BY user_id, fuzzy) AS first_id,
+         row_number() OVER (PARTITION BY user_id, epoch, exact ORDER BY event_id) AS nth FROM keyed WHERE event_type <> 'error')
+SELECT user_id::VARCHAR AS chat_id, event_id AS seq, first_id::VARCHAR AS first_id,
+       CASE WHEN event_id = first_id THEN '3' WHEN nth > 1 THEN '0' ELSE '1' END AS tier FROM asked"""

@@ -12,7 +12,9 @@ from rememora.operators import (
     persona, positions, tiers, upkeep, viewer,
 )
 from rememora.plans import evaluation, runs, sweeps, tables
-from rememora.session import settle
+from rememora.session import scratch_path, settle
+from rememora.sources import corpora, extraction_cache, runs as run_files, state, traces as trace_files
+from rememora.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -767,3 +769,188 @@ def persona_replace(spark, folder):
                          F.concat(F.lit("p"), "seq").alias("id"))
     swapped = persona.replace_persona(entries, fresh)
     return swapped.filter("scope = 'persona'").select("chat_id", "subject", "id", "content")
+
+
+# --- sources over files that Spark derives from the tables -----------------------------
+
+def _blocks(spark, folder):
+    """Conversations cut into samples of 64 turns with sessions of two turns."""
+    turns = tables.turns(spark, folder)
+    session = (F.floor(F.col("turn") % 64 / 2) + 1).cast("string")
+    return turns.select(
+        F.concat_ws("-", "chat_id", F.floor(F.col("turn") / 64)).alias("sample_id"), session.alias("session"),
+        "turn", "role", "text")
+
+
+def _written_json(df, label):
+    path = scratch_path(df.sparkSession, label)
+    df.write.json(path)
+    return path
+
+
+def _locomo(spark, folder):
+    rows = _blocks(spark, folder)
+    ref = (F.when(F.col("turn") % 3 == 0, F.concat(F.lit("D"), "session", F.lit(":"), F.col("turn") % 2 + 1))
+           .when(F.col("turn") % 3 == 1, F.concat(F.lit("x S"), "session", F.lit(":T"), F.col("turn") % 2)).otherwise("D"))
+    sessions = rows.groupBy("sample_id", "session").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))),
+                    lambda t: F.struct(t["role"].alias("speaker"), t["text"].alias("text"))).alias("turns"))
+    talks = sessions.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(
+        F.struct(F.concat(F.lit("session_"), "session"), "turns"))).alias("conversation"))
+    asked = rows.filter("role = 'user'").groupBy("sample_id").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("turn", "text", ref.alias("ref")))),
+        lambda q: F.struct(q["text"].alias("question"), F.lit("?").alias("answer"),
+                           F.array(q["ref"]).alias("evidence"), F.lit("1").alias("category"))).alias("qa"))
+    path = _written_json(talks.join(asked, "sample_id"), "locomo")
+    return corpora.get_adapter("locomo")(spark, path, lines=True)
+
+
+@query
+def locomo_turns(spark, folder):
+    return _locomo(spark, folder)[0]
+
+
+@query
+def locomo_evidence(spark, folder):
+    qa = _locomo(spark, folder)[1]
+    return qa.select("chat_id", "query_id", "query",
+                     F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
+
+
+def _longmem(spark, folder):
+    rows = _blocks(spark, folder)
+    marked = (F.col("role") == "assistant") & (F.length("text") % 2 == 0)
+    sessions = rows.groupBy("sample_id", "session").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text", marked.alias("m")))),
+                    lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"),
+                                       F.when(t["m"], F.lit(True)).alias("has_answer"))).alias("turns"))
+    items = sessions.groupBy("sample_id").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("session").cast("int").alias("n"), "session", "turns"))).alias("s"))
+    out = items.select(
+        F.concat("sample_id", F.when(F.size("s") == 1, "_abs").otherwise("")).alias("question_id"),
+        F.lit("what?").alias("question"), F.lit("that").alias("answer"), F.lit("multi-session").alias("question_type"),
+        F.transform("s", lambda x: x["session"]).alias("haystack_session_ids"),
+        F.array(F.lit("1")).alias("answer_session_ids"), F.transform("s", lambda x: x["turns"]).alias("haystack_sessions"))
+    return corpora.get_adapter("longmemeval")(spark, _written_json(out, "longmem"), lines=True)
+
+
+@query
+def longmemeval_turns(spark, folder):
+    return _longmem(spark, folder)[0]
+
+
+@query
+def longmemeval_evidence(spark, folder):
+    qa = _longmem(spark, folder)[1]
+    return qa.select("chat_id", "task_type", "abstention",
+                     F.array_join(F.col("evidence").cast("array<string>"), ",").alias("evidence"))
+
+
+@query
+def run_source(spark, folder):
+    events = tables.load(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("conversationId"),
+        F.struct(F.col("props").alias("question"), F.lit("").alias("answer"), F.col("event_type").alias("category")).alias("qa"),
+        F.when(F.col("event_type") == "error", F.array().cast("array<struct<id:string,score:double,tier:string>>")).otherwise(
+            F.array(F.struct(F.col("event_id").cast("string").alias("id"), F.col("value").alias("score"),
+                             F.col("event_type").alias("tier")))).alias("retrieved"))
+    rows = run_files.load_runs(spark, _written_json(events, "runs"), pattern="*.json")
+    return rows.select("conversation_id", "question", "category", "n_retrieved", "top_id", "top_score", "top_tier")
+
+
+@query
+def batch_result_ingest(spark, folder):
+    turns = tables.load(spark, folder, "conversations")
+    name = F.concat_ws("-", "conv_id", "turn")
+    line = F.to_json(F.struct(
+        F.when(F.col("turn") % 5 == 4, F.concat(F.lit("../"), name)).otherwise(name).alias("custom_id"),
+        F.struct(F.when(F.col("role") == "system", 500).otherwise(200).alias("status_code"),
+                 F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"),
+                                  F.when(F.length("text") % 7 == 0, "length").otherwise("stop").alias("finish_reason"))
+                         ).alias("choices")).alias("response")))
+    lines = turns.select(F.when(F.col("turn") == 3, F.substring(line, 1, 9)).otherwise(line).alias("value"))
+    path = scratch_path(spark, "batch-results")
+    lines.write.text(path)
+    return extraction_cache.load_results(spark, path).select("key", "reason", F.length("answer").alias("n_chars"))
+
+
+@query
+def warmup_batches(spark, folder):
+    return extraction_cache.enumerate_batches(tables.turns(spark, folder), "model-a").select("chat_id", "batch", "key")
+
+
+@query
+def extraction_cache_split(spark, folder):
+    requests = extraction_cache.enumerate_batches(tables.turns(spark, folder), "model-a")
+    cache = requests.filter(F.col("batch") == 0).select("key", F.lit("{}").alias("answer"))
+    known, missing = extraction_cache.split_by_cache(requests, cache)
+    return known.select("chat_id", "batch", F.lit(True).alias("cached")).unionByName(
+        missing.select("chat_id", "batch", F.lit(False).alias("cached")))
+
+
+@query
+def extraction_validate(spark, folder):
+    cut = settle(consolidate.batches(tables.turns(spark, folder)), "batches")
+    first = F.get("messages", F.lit(0))["content"]
+    item = F.struct(first.alias("content"), F.when(F.col("batch") == 0, "someone").alias("subject"),
+                    F.array(F.lit("tag")).alias("tags"))
+    bad = F.struct(F.lit("").alias("content"), F.lit("x").alias("subject"), F.array(F.lit("tag")).alias("tags"))
+    body = F.to_json(F.struct(F.array(item, bad).alias("entries")))
+    answer = (F.when(F.col("chat_id") % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+              .when(F.col("chat_id") % 4 == 1, F.substring(body, 1, 12)).when(F.col("chat_id") % 4 == 2, "[1]").otherwise(body))
+    judged = consolidate.extract_by_answers(cut, cut.select("chat_id", "batch", answer.alias("answer")))
+    return judged.select("chat_id", "batch", "status", F.size("facts").cast("long").alias("n_facts"), "skipped",
+                         F.get("facts", F.lit(0))["content"].alias("content"))
+
+
+@query
+def traced_calls(spark, folder):
+    events = tables.load(spark, folder, "events")
+    ts = F.col("ts").cast("timestamp")
+    inputs = (F.when(F.col("event_type") == "view", F.to_json(F.struct(F.col("props").alias("queryStr"))))
+              .when(F.col("event_type") == "click", F.to_json(F.struct(F.array(F.lit("s"), F.col("props")).alias("args"))))
+              .when(F.col("event_type") == "error", F.to_json(F.struct(F.lit("").alias("arg1"), F.col("props").alias("q"))))
+              .otherwise(F.to_json(F.struct(F.concat("props", F.lit("long")).alias("x"), F.col("props").alias("y")))))
+    raw = events.select(
+        F.col("event_id").alias("id"), F.lit("weave:///a/op/retrieve:1").alias("op_name"), ts.alias("started_at"),
+        F.when(F.col("event_type") != "signup", F.timestamp_micros(
+            F.unix_micros(ts) + F.round(F.col("value") * 1000).cast("long"))).alias("ended_at"),
+        inputs.alias("inputs"), F.to_json(F.struct(F.col("event_type").alias("tierResolved"))).alias("output"))
+    return trace_files.calls(raw, "retrieve").select("id", r6("lat_ms"), "tier", "query", "query_len")
+
+
+@query
+def state_roundtrip(spark, folder):
+    stamp = tables.now()
+    rows = tables.entries(spark, folder).withColumns({
+        "relations": F.array().cast("array<struct<type:string,target:string>>"), "updated_at": stamp,
+        "access_count": F.lit(0).cast("long"), "update_count": F.lit(0).cast("long"),
+        "source_messages": F.array(F.col("seq")), "extractor": F.lit("x")})
+    store = state.Store(state.ParquetBackend(spark, scratch_path(spark, "state")))
+    store.persist("entries", rows)
+    # a second write of one chat replaces that chat only
+    store.persist("entries", settle(store.load("entries", ["fr"]).withColumn("importance", F.lit(1.0)), "one-chat"))
+    return store.load("entries").select("chat_id", "id", "seq", "scope", "importance",
+                                        F.unix_timestamp("created_at").alias("created_s"))
+
+
+# --- live path -------------------------------------------------------------------------
+
+@query
+def stream_buffer(spark, folder):
+    stream = tables.stream(spark, folder, "conversations").select(
+        F.col("conv_id").alias("chat_id"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("op"),
+        F.col("turn").cast("long").alias("turn"), "role", "text")
+    fired = live.drain(live.fired_batches(stream, tiers.DEFAULTS.override(buffer_threshold=4, batch_size=2)), "fired")
+    return fired.select("chat_id", "fire", "reason", F.array_join(F.col("turns").cast("array<string>"), ",").alias("turns"))
+
+
+@query
+def stream_cache_routing(spark, folder):
+    stream = tables.stream(spark, folder, "events").select(
+        F.col("user_id").alias("chat_id"), F.col("event_id").alias("seq"),
+        F.when(F.col("event_type") == "error", "write").otherwise("query").alias("op"),
+        F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")).alias("query"), F.lit("3").alias("tier"),
+        F.array(F.col("event_id").cast("string")).alias("ids"))
+    routed = live.drain(live.routed_queries(stream, tiers.DEFAULTS.override(cache_cap=1000)), "routed")
+    return routed.select("chat_id", "seq", "tier", F.get("ids", F.lit(0)).alias("first_id"))

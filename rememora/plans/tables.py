@@ -18,6 +18,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table as a file stream; the pattern matches one file as well as a folder of files."""
+    schema = load(spark, folder, name).schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a table that arrives in fewer splits than there are cores.
 
