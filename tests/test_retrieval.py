@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from rememora.operators import baselines, bm25, caches, graph, scoring, tiers, upkeep
 from rememora.params import DEFAULTS
 
-AT = F.lit("2026-04-20T10:00:00Z").cast("timestamp")
+def AT_():
+    return F.lit("2026-04-20T10:00:00Z").cast("timestamp")
 SHAPE = ("chat_id string, id string, seq long, scope string, content string, subject string, tags array<string>, "
          "importance double, maturity string")
 
@@ -13,7 +14,7 @@ def memory(spark, rows):
     """rows of (id, content, subject, tags[, scope[, importance]])"""
     full = [("c", r[0], i, r[4] if len(r) > 4 else "episodic", r[1], r[2], r[3], float(r[5] if len(r) > 5 else 50), "draft")
             for i, r in enumerate(rows)]
-    return spark.createDataFrame(full, SHAPE).withColumn("created_at", AT).withColumn("updated_at", AT)
+    return spark.createDataFrame(full, SHAPE).withColumn("created_at", AT_()).withColumn("updated_at", AT_())
 
 
 def asked(spark, *queries):
@@ -68,8 +69,8 @@ def test_scores_match_a_plain_computation(spark, corpus):
 
 def test_scorer_goldens(spark):
     def score(b, imp, maturity):
-        df = spark.createDataFrame([(b, imp, maturity)], "bm25 double, importance double, maturity string").withColumn("created_at", AT)
-        return df.select(scoring.default_scorer(AT)).first()[0]
+        df = spark.createDataFrame([(b, imp, maturity)], "bm25 double, importance double, maturity string").withColumn("created_at", AT_())
+        return df.select(scoring.default_scorer(AT_())).first()[0]
 
     assert score(1.0, 50.0, "draft") == pytest.approx(1.275)
     assert score(.5, 100.0, "core") == pytest.approx(1.2)
@@ -145,7 +146,7 @@ def test_walk_equals_the_sequential_one_on_random_graphs(spark):
 def test_ladder_routes_and_prepends(spark, corpus):
     edges = links(spark, ("e1", "e5"))
     buffer = spark.createDataFrame([("c", "e4", 1)], "chat_id string, id string, pos int")
-    got = tiers.ladder(corpus, edges, asked(spark, "Alice Marseille", "zebra"), AT, 2, working=buffer).orderBy("query_id", "rank").collect()
+    got = tiers.ladder(corpus, edges, asked(spark, "Alice Marseille", "zebra"), AT_(), 2, working=buffer).orderBy("query_id", "rank").collect()
     first = [(r["id"], r["tier"]) for r in got if r["query_id"] == 0]
     assert first[0] == ("e4", "3") and first[1] == ("e1", "3") and len(first) == 3
     assert {r["tier"] for r in got if r["query_id"] == 1} == {"floor"}
@@ -153,7 +154,7 @@ def test_ladder_routes_and_prepends(spark, corpus):
 
 def test_floor_ignores_working(spark):
     entries = memory(spark, [("a", "x", None, [], "working", 100), ("b", "x", None, [], "episodic", 10), ("c", "x", None, [], "persona", 90)])
-    assert [r["id"] for r in tiers.floor(entries, AT, 5).orderBy("rank").collect()] == ["c", "b"]
+    assert [r["id"] for r in tiers.floor(entries, AT_(), 5).orderBy("rank").collect()] == ["c", "b"]
 
 
 def test_edges_cap_explicit_first_and_no_working(spark):
@@ -214,7 +215,7 @@ def test_caches(spark, corpus):
 
 
 def test_access_events_clamp(spark, corpus):
-    events = spark.createDataFrame([("c", "e1", "access")] * 20 + [("c", "e2", "update")], "chat_id string, id string, kind string").withColumn("at", AT)
+    events = spark.createDataFrame([("c", "e1", "access")] * 20 + [("c", "e2", "update")], "chat_id string, id string, kind string").withColumn("at", AT_())
     counted = corpus.withColumn("access_count", F.lit(0).cast("long")).withColumn("update_count", F.lit(0).cast("long"))
     out = {r["id"]: (r["importance"], r["access_count"], r["update_count"]) for r in upkeep.apply_events(counted, events).collect()}
     assert out["e1"] == (100, 20, 0) and out["e2"] == (55, 0, 1) and out["e3"] == (50, 0, 0)
