@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rememora.functions.text import entities
 from rememora.operators.ranking import top_k
 from rememora.params import DEFAULTS, Params
+from rememora.session import settle
 
 EDGE_KEY = ["chat_id", "from_id", "to_id", "type"]
 
@@ -26,7 +27,8 @@ def cooccurrence(entries: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     entity. Cutting the target side first is therefore exact, and the join grows
     linearly even when one entity occurs in a third of all entries.
     """
-    postings = entity_postings(entries)
+    # read twice below, and far smaller than the texts it comes from
+    postings = settle(entity_postings(entries), "entities")
     targets = top_k(postings, ["chat_id", "entity"], [F.asc("seq"), F.asc("id")], params.edge_cap, "place")
     targets = targets.select("chat_id", "entity", F.col("id").alias("to_id"), F.col("seq").alias("to_seq"))
     pairs = (

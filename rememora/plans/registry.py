@@ -115,6 +115,11 @@ def graph_degree(spark, folder):
     return degree.select("chat_id", "from_id", "degree", r6("total_weight"))
 
 
+def _edges(entries):
+    """The stored edge table: written once, read by every hop."""
+    return settle(graph.build_edges(entries), "edges")
+
+
 def _expanded(spark, folder):
     entries, index, weights, ranked = _candidates(spark, folder)
     intents = tables.queries(spark, folder).select(
@@ -127,7 +132,7 @@ def _expanded(spark, folder):
 @query
 def tier3_hop1(spark, folder):
     entries, seeds, index, weights = _expanded(spark, folder)
-    one = tiers.expand(seeds, graph.build_edges(entries), entries, index, weights,
+    one = tiers.expand(seeds, _edges(entries), entries, index, weights,
                        tiers.DEFAULTS.override(max_hops=1), beams=True)
     return one.filter(F.col("hop") == 1).select(
         "chat_id", "query_id", "id", F.col("pos").cast("long").alias("pos"))
@@ -136,14 +141,14 @@ def tier3_hop1(spark, folder):
 @query
 def tier3_hop2(spark, folder):
     entries, seeds, index, weights = _expanded(spark, folder)
-    found = tiers.expand(seeds, graph.build_edges(entries), entries, index, weights)
+    found = tiers.expand(seeds, _edges(entries), entries, index, weights)
     return found.select("chat_id", "query_id", "id", "hop", F.col("pos").cast("long").alias("pos"))
 
 
 @query
 def ladder_snapshot(spark, folder):
     entries = tables.entries(spark, folder)
-    found = tiers.ladder(entries, graph.build_edges(entries), tables.queries(spark, folder), tables.now(), 5)
+    found = tiers.ladder(entries, _edges(entries), tables.queries(spark, folder), tables.now(), 5)
     return found.select("chat_id", "query_id", F.col("rank").cast("long").alias("rank"), "id", "tier",
                         r6("bm25"), r6("score"))
 
@@ -319,7 +324,7 @@ def cache_evict_topn(spark, folder):
 def ladder_with_caches(spark, folder):
     entries = tables.entries(spark, folder)
     asked = tables.queries(spark, folder).withColumn("written", F.col("query_id"))
-    edges = settle(graph.build_edges(entries), "edges")
+    edges = _edges(entries)
     first = settle(tiers.ladder(entries, edges, asked, tables.now(), 5), "first-pass")
     empty = asked.select("chat_id", F.lit("").alias("key"), F.array("chat_id").alias("ids"), "written").limit(0)
     warm = caches.Caches(empty, empty).updated(asked, first)
