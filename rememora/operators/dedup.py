@@ -2,9 +2,10 @@
 
 A fact is kept unless an *earlier kept* fact of the same chat and subject has a
 token overlap at or above the threshold. That rule is a fold over arrival
-order; its outcome depends only on near-duplicate pairs, so it is computed as:
-find the pairs exactly (prefix filter), then settle fates round by round. No
-group is ever gathered in one task.
+order. It is replayed set-wise: leader rounds first take out whole crowds of
+near-copies at linear cost, then the pairs among what is left are settled round
+by round. No group is ever gathered in one task, and near-copies are never
+paired with one another.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from rememora.session import settle
 GROUP = ["chat_id", "subject"]
 # at most this many tokens are treated as frequent, whatever the corpus size
 FREQUENT_SLOTS = 20_000
+# rounds that clear crowds of near-copies before pairs are formed
+LEADER_ROUNDS = 2
 
 
 def _frequent_tokens(exploded: DataFrame) -> DataFrame:
@@ -78,18 +81,46 @@ def similar_sets(left: DataFrame, right: DataFrame, keys: list[str], threshold:
         .filter(F.col("similarity") >= threshold))
 
 
-def near_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(chat_id, subject, a, b, similarity)`` with ``a < b`` for ``sets(..., seq, toks)``."""
-    return similar_sets(sets.withColumnRenamed("seq", "a"), sets.withColumnRenamed("seq", "b"),
-                        GROUP, threshold, ordered=True)
+def leader_round(rows: DataFrame, sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Facts that are certainly kept, and those that certainly repeat one of them.
+
+    ``rows`` are the prefix rows of the undecided facts. A fact that comes first
+    under every one of its prefix tokens has no earlier undecided neighbour, so
+    it is kept. Each token has at most one such leader: comparing all facts with
+    the leaders of their tokens is linear, however many copies there are.
+    """
+    leaders = rows.groupBy(*GROUP, "token").agg(F.min("a").alias("lead"))
+    led = settle(rows.join(leaders, [*GROUP, "token"]).select(*GROUP, "a", "lead", "n"), "led")
+    kept = settle(led.groupBy(*GROUP, "a").agg(F.min((F.col("a") == F.col("lead")).cast("int")).alias("first"))
+                  .filter("first = 1").select(*GROUP, "a"), "leaders")
+    toks = sets.select(*GROUP, "a", "toks")
+    pairs = (
+        led.filter("a <> lead").select(*GROUP, "a", F.col("lead").alias("b")).distinct()
+        .join(kept.withColumnRenamed("a", "b"), [*GROUP, "b"], "left_semi")
+        .join(toks.withColumnRenamed("toks", "ta"), [*GROUP, "a"])
+        .join(toks.select(*GROUP, F.col("a").alias("b"), F.col("toks").alias("tb")), [*GROUP, "b"]))
+    overlap = F.size(F.array_intersect("ta", "tb"))
+    near = overlap / (F.size("ta") + F.size("tb") - overlap) >= threshold
+    return kept, settle(pairs.filter(near).select(*GROUP, "a").distinct(), "led-away")
 
 
 def _distinct_sets(facts: DataFrame) -> DataFrame:
-    """One row per group and token set: the first fact that carries it."""
+    """Facts with their token set and a digest of it."""
     keyed = facts.withColumn("toks", F.sort_array(token_set(F.col("content"))))
     return keyed.withColumn("set_key", F.sha2(F.array_join("toks", " "), 256))
 
 
+def find_duplicates(facts: DataFrame, kept: DataFrame, threshold: float) -> DataFrame:
+    """First kept fact that each fact repeats: ``(chat_id, subject, a, b, similarity)``.
+
+    ``facts(chat_id, subject, a, toks)``, ``kept(chat_id, subject, b, toks)``. Kept
+    facts are unlike one another, so a crowd of copies meets few of them.
+    """
+    near = similar_sets(facts, kept, GROUP, threshold).filter(F.col("b") < F.col("a"))
+    return near.groupBy(*GROUP, "a").agg(
+        F.min("b").alias("b"), F.min_by("similarity", "b").alias("similarity"))
+
+
 def fold_duplicates(facts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Add ``target_seq`` to ``facts(chat_id, subject, seq, content, ...)``.
 
@@ -97,56 +128,64 @@ def fold_duplicates(facts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     kept fact it repeats. Facts without a subject or without tokens are kept.
     An optional boolean column ``stored`` marks facts already accepted earlier.
     """
+    limit = params.dedup_threshold
     stored = F.coalesce(F.col("stored"), F.lit(False)) if "stored" in facts.columns else F.lit(False)
     keyed = settle(
         _distinct_sets(facts.filter(F.col("subject").isNotNull())).select(
             *GROUP, "seq", "set_key", "toks", stored.alias("stored")), "fact-sets")
     # equal token sets share one fate: they meet the same earliest kept fact
-    firsts = keyed.filter(F.size("toks") > 0).groupBy(*GROUP, "set_key").agg(
-        F.min("seq").alias("first_seq"))
-    sets = (keyed.join(firsts, [*GROUP, "set_key"]).filter(F.col("seq") == F.col("first_seq"))
-            .select(*GROUP, "seq", "toks", "stored"))
-    pairs = settle(near_pairs(sets, params.dedup_threshold), "near-pairs")
-    accepted_before = sets.filter("stored").select(*GROUP, F.col("seq").alias("b"))
-    fates = settle_fates(pairs.join(accepted_before, [*GROUP, "b"], "left_anti"))
-    first_fate = firsts.join(
-        fates.select(*GROUP, F.col("seq").alias("first_seq"), "target"), [*GROUP, "first_seq"], "left"
-    ).select(*GROUP, "set_key", F.coalesce("target", "first_seq").alias("target"))
+    firsts = settle(keyed.filter(F.size("toks") > 0).groupBy(*GROUP, "set_key").agg(
+        F.min("seq").alias("first_seq")), "first-copies")
+    sets = settle(keyed.join(firsts, [*GROUP, "set_key"]).filter(F.col("seq") == F.col("first_seq"))
+                  .select(*GROUP, F.col("seq").alias("a"), "toks", "stored"), "sets")
+    here = [*GROUP, "a"]
+    old = sets.filter("stored").select(*here, "toks")
+    fresh = sets.filter(~F.col("stored")).select(*here, "toks")
+    if "stored" in facts.columns:
+        repeats = find_duplicates(fresh, old.withColumnRenamed("a", "b"), limit)
+        fresh = settle(fresh.join(repeats, here, "left_anti"), "fresh")
+    frequent = settle(_frequent_tokens(fresh.select(F.explode("toks").alias("token"))), "frequent-tokens")
+    rows = settle(prefix_rows(fresh, GROUP, "a", limit, frequent), "prefixes")
+    kept = old.select(*here)
+    for _ in range(LEADER_ROUNDS):
+        leaders, gone = leader_round(rows, fresh, limit)
+        kept = kept.unionByName(leaders)
+        rows = settle(rows.join(leaders.unionByName(gone), here, "left_anti"), "undecided")
+    open_sets = settle(fresh.join(rows.select(*here).distinct(), here, "left_semi"), "open-sets")
+    pairs = settle(similar_sets(open_sets, open_sets.withColumnRenamed("a", "b"), GROUP, limit, ordered=True), "near-pairs")
+    repeated = repeated_facts(pairs)
+    kept = settle(kept.unionByName(open_sets.select(*here).join(repeated, here, "left_anti")), "kept")
+    kept_sets = sets.join(kept, here, "left_semi").select(*GROUP, F.col("a").alias("b"), "toks")
+    lost = sets.join(kept, here, "left_anti").select(*here, "toks")
+    fates = find_duplicates(lost, kept_sets, limit).select(
+        *GROUP, F.col("a").alias("first_seq"), F.col("b").alias("target"))
+    first_fate = firsts.join(fates, [*GROUP, "first_seq"], "left").select(
+        *GROUP, "set_key", F.coalesce("target", "first_seq").alias("target"))
     targets = keyed.join(first_fate, [*GROUP, "set_key"]).select(
         *GROUP, "seq", F.when(F.col("stored"), F.col("seq")).otherwise(F.col("target")).alias("target_seq"))
     return facts.join(targets, [*GROUP, "seq"], "left").withColumn(
         "target_seq", F.coalesce("target_seq", "seq"))
 
 
-def settle_fates(pairs: DataFrame) -> DataFrame:
-    """Replay the fold on pairs ``(chat_id, subject, a, b)``, ``a`` earlier than ``b``.
+def repeated_facts(pairs: DataFrame) -> DataFrame:
+    """Replay the fold on near pairs ``(chat_id, subject, a, b)``, ``a`` earlier than ``b``.
 
-    Returns ``(chat_id, subject, seq, target)`` for the facts that repeat an
-    earlier kept one. Each round decides every fact whose earlier neighbours are
-    all decided, so the number of rounds is the longest chain of near-duplicates,
-    not the number of facts.
+    Returns the facts ``(chat_id, subject, a)`` that repeat an earlier kept one.
+    Each round decides every fact whose earlier neighbours are all decided, so
+    the number of rounds is the longest chain of near-duplicates, not the number
+    of facts.
     """
     open_pairs = pairs.select(*GROUP, "a", "b")
-    dropped = None
+    dropped = open_pairs.select(*GROUP, "a").limit(0)
     while True:
         # a fact that is nobody's later neighbour any more is kept
         undecided = open_pairs.select(*GROUP, F.col("b").alias("a")).distinct()
-        kept_side = open_pairs.join(undecided, [*GROUP, "a"], "left_anti")
-        hit = settle(kept_side.groupBy(*GROUP, "b").agg(F.min("a").alias("target")), "fold-round")
+        hit = settle(open_pairs.join(undecided, [*GROUP, "a"], "left_anti").select(
+            *GROUP, F.col("b").alias("a")).distinct(), "fold-round")
         if hit.isEmpty():
-            break
-        gone = hit.select(*GROUP, F.col("b").alias("seq"), "target")
-        dropped = gone if dropped is None else dropped.unionByName(gone)
+            return dropped
+        dropped = dropped.unionByName(hit)
         # a repeated fact neither needs a decision nor can absorb later ones
-        remaining = (open_pairs.join(hit.select(*GROUP, "b"), [*GROUP, "b"], "left_anti")
-                     .join(hit.select(*GROUP, F.col("b").alias("a")), [*GROUP, "a"], "left_anti"))
-        open_pairs = settle(remaining, "fold-open")
-    if dropped is None:
-        return pairs.select(*GROUP, F.col("b").alias("seq"), F.col("a").alias("target")).limit(0)
-    # the decision came from some kept neighbour; the target is the earliest kept one
-    lost = dropped.select(*GROUP, F.col("seq").alias("a")).distinct()
-    return (
-        pairs.join(dropped.select(*GROUP, F.col("seq").alias("b")), [*GROUP, "b"], "left_semi")
-        .join(lost, [*GROUP, "a"], "left_anti")
-        .groupBy(*GROUP, "b").agg(F.min("a").alias("target"))
-        .select(*GROUP, F.col("b").alias("seq"), "target"))
+        open_pairs = settle(
+            open_pairs.join(hit.withColumnRenamed("a", "b"), [*GROUP, "b"], "left_anti")
+            .join(hit, [*GROUP, "a"], "left_anti"), "fold-open")

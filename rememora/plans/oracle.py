@@ -313,17 +313,12 @@ FROM batch_sources s LEFT JOIN facts f USING (chat_id, batch)
 LEFT JOIN fates t ON t.chat_id = f.chat_id AND t.seq = f.seq GROUP BY s.chat_id, s.batch"""
 ORACLE["dedup_fold"] = with_recursive(ENTRIES, fold("entries")) + """
 SELECT chat_id, seq, target_seq FROM fates"""
-ORACLE["near_dup_pairs"] = with_(ENTRIES) + f"""
-, sets AS (
-  SELECT chat_id, subject, toks, min(seq) AS seq FROM (
-    SELECT chat_id, subject, seq, list_sort(list_distinct({tok('content')})) AS toks
-    FROM entries WHERE subject IS NOT NULL) GROUP BY ALL)
-SELECT a.chat_id, a.subject, a.seq AS a, b.seq AS b,
-       round(len(list_intersect(a.toks, b.toks))
-             / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))), 6) AS similarity
-FROM sets a JOIN sets b ON a.chat_id = b.chat_id AND a.subject = b.subject AND a.seq < b.seq
-WHERE len(list_intersect(a.toks, b.toks))
-      / (len(a.toks) + len(b.toks) - len(list_intersect(a.toks, b.toks))) >= 0.7"""
+ORACLE["find_duplicate"] = with_recursive(ENTRIES, fold("entries")) + """
+SELECT f.chat_id, f.subject, f.seq AS a, f.target_seq AS b,
+       round(len(list_intersect(x.toks, y.toks))
+             / (len(x.toks) + len(y.toks) - len(list_intersect(x.toks, y.toks))), 6) AS similarity
+FROM fates f JOIN ordered x ON x.chat_id = f.chat_id AND x.seq = f.seq
+JOIN ordered y ON y.chat_id = f.chat_id AND y.seq = f.target_seq WHERE f.target_seq <> f.seq"""
 
 
 # --- evaluation over conversations ----------------------------------------------

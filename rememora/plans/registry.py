@@ -190,12 +190,14 @@ def dedup_fold(spark, folder):
 
 
 @query
-def near_dup_pairs(spark, folder):
-    facts = tables.entries(spark, folder).filter(F.col("subject").isNotNull())
-    sets = facts.select("chat_id", "subject", "seq", F.sort_array(text.token_set(F.col("content"))).alias("toks"))
-    firsts = sets.groupBy("chat_id", "subject", "toks").agg(F.min("seq").alias("seq"))
-    pairs = dedup.near_pairs(settle(firsts, "sets"), 0.7)
-    return pairs.select("chat_id", "subject", "a", "b", r6("similarity"))
+def find_duplicate(spark, folder):
+    facts = settle(tables.entries(spark, folder).select("chat_id", "subject", "seq", "content"), "facts")
+    kept = settle(dedup.fold_duplicates(facts).filter("target_seq = seq AND subject IS NOT NULL"), "kept")
+    toks = F.sort_array(text.token_set(F.col("content"))).alias("toks")
+    found = dedup.find_duplicates(
+        facts.filter(F.col("subject").isNotNull()).select("chat_id", "subject", F.col("seq").alias("a"), toks),
+        kept.select("chat_id", "subject", F.col("seq").alias("b"), toks), 0.7)
+    return found.select("chat_id", "subject", "a", "b", r6("similarity"))
 
 
 # --- evaluation over conversations ------------------------------------------------
