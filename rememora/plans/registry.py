@@ -919,7 +919,7 @@ def traced_calls(spark, folder):
               .when(F.col("event_type") == "error", F.to_json(F.struct(F.lit("").alias("arg1"), F.col("props").alias("q"))))
               .otherwise(F.to_json(F.struct(F.concat("props", F.lit("long")).alias("x"), F.col("props").alias("y")))))
     raw = events.select(
-        F.col("event_id").alias("id"), F.lit("weave:///a/op/retrieve:1").alias("op_name"), ts.alias("started_at"),
+        F.col("event_id").alias("id"), F.lit("svc:///a/op/retrieve:1").alias("op_name"), ts.alias("started_at"),
         F.when(F.col("event_type") != "signup", F.timestamp_micros(
             F.unix_micros(ts) + F.round(F.col("value") * 1000).cast("long"))).alias("ended_at"),
         inputs.alias("inputs"), F.to_json(F.struct(F.col("event_type").alias("tierResolved"))).alias("output"))
