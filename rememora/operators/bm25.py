@@ -58,6 +58,19 @@ def build_index(entries: DataFrame, params: Params = DEFAULTS, keep: bool = True
     return Index(settle(documents, "index") if keep else documents)
 
 
+def store_index(index: Index, table: str, buckets: int, path: str | None = None) -> Index:
+    """The index as a table bucketed by entry.
+
+    Scoring groups by entry and query, so it then needs no shuffle before the
+    per-query cut: each task scores its own entries and passes on k per query.
+    """
+    writer = index.documents.write.mode("overwrite").bucketBy(buckets, "chat_id", "id")
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return Index(index.documents.sparkSession.table(table))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct terms of ``queries(chat_id, query_id, query)``."""
     return queries.select("chat_id", "query_id", F.explode(token_set(F.col("query"))).alias("term"))

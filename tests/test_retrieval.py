@@ -67,6 +67,20 @@ def test_scores_match_a_plain_computation(spark, corpus):
         "e1": pytest.approx(want["e1"])}
 
 
+def test_a_bucketed_index_scores_without_a_shuffle(spark, corpus, tmp_path):
+    q = asked(spark, "alice paris")
+    loose = bm25.build_index(corpus)
+    weights = bm25.weigh_terms(loose, q)
+    stored = bm25.store_index(loose, "rememora_test_index", 4, str(tmp_path / "index"))
+    try:
+        scored = bm25.score_all(stored, weights)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan
+        assert {tuple(r) for r in scored.collect()} == {tuple(r) for r in bm25.score_all(loose, weights).collect()}
+    finally:
+        spark.sql("DROP TABLE rememora_test_index")
+
+
 def test_scorer_goldens(spark):
     def score(b, imp, maturity):
         df = spark.createDataFrame([(b, imp, maturity)], "bm25 double, importance double, maturity string").withColumn("created_at", AT_())
