@@ -149,8 +149,10 @@ def test_persona_rebuild_covers_every_fact(spark):
     assert per["Bob", 1] == {"z"}
     assert per["Alice", 1] == {f"e{i}" for i in range(20)}
     messages = persona.message_origins(origins, entries)
-    fresh = persona.persona_entries(summaries, messages, at(), "x")
+    fresh = persona.persona_entries(summaries, messages, at(), "x").cache()
     swapped = persona.replace_persona(entries, fresh)
-    names = {r["id"] for r in swapped.filter("scope = 'persona'").collect()}
-    assert "p" not in names and len(names) == summaries.select("chat_id", "subject", "text").distinct().count()
+    names = [r["id"] for r in swapped.filter("scope = 'persona'").collect()]
+    # the old row is gone, each new one is there once, and no text was lost
+    assert "p" not in names and len(names) == len(set(names)) == fresh.count()
+    assert {r["content"] for r in fresh.collect()} == {r["text"] for r in summaries.collect()}
     assert swapped.filter("scope = 'episodic'").count() == 21
