@@ -320,6 +320,19 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str =
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {type_of(df, id_col)}, score double")
 
 
+def clean(df: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns; no shuffle."""
+    def run(batches):
+        no_cycles()
+        for batch in batches:
+            for part in slices(batch, text_col):
+                kept = part.filter(pa.array(scorer.scores(filled(part, text_col).to_pylist()) < threshold))
+                if kept.num_rows:
+                    yield kept
+
+    return df.mapInArrow(run, df.schema)
+
+
 def restore(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, chunks)``: every disguised chunk of a text with its restored reading."""
     def run(batches):

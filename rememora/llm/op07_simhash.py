@@ -192,6 +192,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marked.join(place, "fp").select(id_col, "fp", "component_id")
 
 
+def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The row with the smallest id of each component, with all its columns; rows without an id stay."""
+    placed = settle(near_duplicates(df, id_col, text_col, distance).select(id_col, "component_id"), "components")
+    gone = placed.where(F.col(id_col) != F.col("component_id")).select(id_col)
+    twice = settle(placed.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n"))
+                   .where("n > 1").select(id_col), "repeated")
+    single = df.join(gone, id_col, "left_anti").join(twice, id_col, "left_anti")
+    return single.unionByName(df.join(twice, id_col, "left_semi").dropDuplicates([id_col])).select(df.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -156,29 +156,46 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", share:
     return Filter(langs, grams, default=max(range(len(langs)), key=lambda l: totals[langs[l]]) if langs else 0)
 
 
+def judge(model: Filter, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and covered part of each text."""
+    grams, doc, some = ngrams(texts)
+    counts, n = model.counts(grams, doc, len(texts))
+    if not model.langs:
+        some[:] = False
+        counts = np.zeros((len(texts), 1))
+    best = np.where(counts.max(axis=1) > 0, counts.argmax(axis=1), model.default)
+    top = counts[np.arange(len(texts)), best]
+    score = np.where(some, top / np.maximum(counts.sum(axis=1), 1e-9), 0.0)
+    covered = np.where(some, np.minimum(top / np.maximum(n, 1), 1.0), 0.0)
+    return [model.langs[b] if s else UNKNOWN for b, s in zip(best, some)], np.clip(score, 0, 1), covered
+
+
 def predict(df: DataFrame, model: Filter, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, lang_pred, score, covered)``: score is the language's part of all evidence, covered its part of the n-grams."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_col):
-                texts = filled(part, text_col).to_pylist()
-                grams, doc, some = ngrams(texts)
-                counts, n = model.counts(grams, doc, len(texts))
-                if not model.langs:
-                    some[:] = False
-                    counts = np.zeros((len(texts), 1))
-                best = np.where(counts.max(axis=1) > 0, counts.argmax(axis=1), model.default)
-                top = counts[np.arange(len(texts)), best]
-                score = np.where(some, top / np.maximum(counts.sum(axis=1), 1e-9), 0.0)
-                names = [model.langs[b] if s else UNKNOWN for b, s in zip(best, some)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), pa.array(names, pa.string()), pa.array(np.clip(score, 0, 1)),
-                     pa.array(np.where(some, np.minimum(top / np.maximum(n, 1), 1.0), 0.0))], [id_col, "lang_pred", "score", "covered"])
+                names, score, covered = judge(model, filled(part, text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(names, pa.string()), pa.array(score), pa.array(covered)],
+                                                 [id_col, "lang_pred", "score", "covered"])
 
     return df.select(id_col, text_col).mapInArrow(
         run, f"{id_col} {type_of(df, id_col)}, lang_pred string, score double, covered double")
 
 
+def in_known_language(df: DataFrame, model: Filter, text_col: str = "text", covered: float = COVERED) -> DataFrame:
+    """The rows whose language holds at least ``covered`` of their n-grams, with all their columns; ``und`` rows go."""
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                names, _, share = judge(model, filled(part, text_col).to_pylist())
+                kept = part.filter(pa.array([x != UNKNOWN and s >= covered for x, s in zip(names, share.tolist())], pa.bool_()))
+                if kept.num_rows:
+                    yield kept
+
+    return df.mapInArrow(run, df.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(fold(F.col("doc_id")) != 2))
