@@ -28,7 +28,7 @@ SHARE = 1e-5
 RELATIVE = 0.1
 SLOTS = 1 << 20
 HASHES = 3
-COVERED = 0.2
+COVERED = 0.1
 UNKNOWN = "und"
 
 
