@@ -98,7 +98,7 @@ class Scanner:
         self.min_match, self.max_gap, self.coverage = min_match, max_gap, coverage
         texts = [p.split() for p in phrases] + [t.split() for t in templates.values()]
         self.labels = [*phrases.values(), *templates]
-        self.sizes = [len(t) for t in texts]
+        self.sizes, self.phrases = [len(t) for t in texts], len(phrases)
         vocabulary = sorted({w for t in texts for w in t})
         number = {w: k for k, w in enumerate(vocabulary)}
         self.automaton = Automaton([[number[w] for w in t] for t in texts])
@@ -143,6 +143,8 @@ class Scanner:
         by: dict[int, list[list[int]]] = {}
         for end, length, state in matches:
             for t, at in self.automaton.places[state]:
+                if t < self.phrases:
+                    continue
                 chains = by.setdefault(t, [])
                 last = chains[-1] if chains else None
                 # [first word, last word, last place in the template, words covered]

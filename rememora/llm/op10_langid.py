@@ -39,15 +39,11 @@ def _letters() -> np.ndarray:
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code and text number of every n-gram, and whether each text has a letter."""
-    joined = "\0".join(t.lower() for t in texts) + "\0"
-    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = [t.lower() for t in texts]
+    code = np.frombuffer("\0".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[code]
-    doc = np.cumsum(code == 0, dtype=np.int64)
-    if (doc[-1] if len(doc) else 0) != len(texts):  # texts that hold NUL themselves
-        size = np.array([len(t.lower()) + 1 for t in texts], np.int64)
-        doc = np.repeat(np.arange(len(texts)), size)
-    else:
-        doc -= code == 0
+    # a text owns its characters and the separator behind them; the first separator goes with the first text
+    doc = np.repeat(np.arange(len(low)), [len(t) + 1 + (k == 0) for k, t in enumerate(low)])
     some = np.zeros(len(texts), bool)
     some[doc[letter]] = True
     c = np.where(letter, code, 0).astype(np.uint64)
