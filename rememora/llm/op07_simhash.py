@@ -198,7 +198,8 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = placed.where(F.col(id_col) != F.col("component_id")).select(id_col)
     twice = settle(placed.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n"))
                    .where("n > 1").select(id_col), "repeated")
-    single = df.join(gone, id_col, "left_anti").join(twice, id_col, "left_anti")
+    # the same plan at every size: texts are dealt by id once, whatever the number of ids that go
+    single = df.join(gone.hint("merge"), id_col, "left_anti").join(twice, id_col, "left_anti")
     return single.unionByName(df.join(twice, id_col, "left_semi").dropDuplicates([id_col])).select(df.columns)
 
 
