@@ -58,10 +58,12 @@ def fuzzy_hits(cache: DataFrame, queries: DataFrame, params: Params = DEFAULTS)
     asked = settle(queries.select("chat_id", F.col("query_id").alias("a"),
                                   token_set(F.col("query")).alias("toks")), "asked")
     held = settle(cache.filter(F.length("key") > 0).select(
-        "chat_id", F.col("written").alias("b"), "key", "ids", F.split("key", " ").alias("toks")), "held")
+        "chat_id", F.xxhash64("written", "key").alias("b"), "written", "key", "ids", F.split("key", " ").alias("toks")), "held")
     near = similar_sets(asked, held.select("chat_id", "b", "toks"), ["chat_id"], params.fuzzy_threshold)
-    best = top_k(near, ["chat_id", "a"], [F.desc("similarity"), F.asc("b")], 1)
-    return best.join(held.select("chat_id", "b", "key", "ids"), ["chat_id", "b"]).select(
+    # two writes may share a stamp, so a row is named by stamp and key
+    found = near.join(held.select("chat_id", "b", "written", "key", "ids"), ["chat_id", "b"])
+    best = top_k(found, ["chat_id", "a"], [F.desc("similarity"), F.asc("written"), F.asc("key")], 1)
+    return best.select(
         "chat_id", F.col("a").alias("query_id"), "key", "similarity", "ids")
 
 

@@ -12,7 +12,7 @@ from rememora.functions.identity import entry_id
 from rememora.functions.lifecycle import bumped
 from rememora.functions.text import strip_space
 from rememora.operators.dedup import fold_duplicates
-from rememora.operators.graph import build_edges
+from rememora.operators.graph import build_edges, cap_edges
 from rememora.operators.numbering import batch_of, number_rows
 from rememora.params import DEFAULTS, Params
 from rememora.session import settle
@@ -123,9 +123,17 @@ def consolidate(extracted: DataFrame, at: Column, params: Params = DEFAULTS, ext
 
     Returns ``(entries, fates)``: the kept entries with their lifecycle after
     updates, and every fact with the entry it ended in (``target_seq``).
-    ``stored`` holds episodic entries of earlier runs, older than any new fact.
+    ``stored`` holds episodic entries of earlier runs; new facts are numbered behind
+    them. A stored entry keeps its lifecycle, and only a repeated one is updated.
     """
     facts = fact_entries(extracted, at, extractor)
+    if stored is not None:
+        first = facts.groupBy("chat_id").agg(F.min("seq").alias("first"))
+        behind = stored.groupBy("chat_id").agg((F.max("seq") + 1).alias("behind")).join(first, "chat_id").select(
+            "chat_id", F.greatest(F.lit(0), F.col("behind") - F.col("first")).alias("shift"))
+        columns = facts.columns
+        facts = facts.join(behind, "chat_id", "left").withColumn(
+            "seq", F.col("seq") + F.coalesce("shift", F.lit(0))).select(columns)
     # same id means same fields: a later copy overwrites, so one row remains
     facts = settle(facts, "facts")
     columns = facts.columns
@@ -137,11 +145,14 @@ def consolidate(extracted: DataFrame, at: Column, params: Params = DEFAULTS, ext
         "chat_id", F.col("target_seq").alias("seq")).agg(F.count("*").alias("updates"))
     kept = fates.filter("target_seq = seq").join(updates, ["chat_id", "seq"], "left")
     n = F.coalesce("updates", F.lit(0)).cast("long")
-    importance = F.coalesce("importance", F.lit(50.0)) if "importance" in kept.columns else F.lit(50.0)
+    had = lambda name, default: F.coalesce(name, default) if name in kept.columns else default
+    untouched = (n == 0) & (F.col("stored") if stored is not None else F.lit(False))
     entries = kept.select(
-        *columns, bumped(importance, n, params.update_bonus).alias("importance"),
-        F.lit("draft").alias("maturity"), at.alias("updated_at"),
-        F.lit(0).cast("long").alias("access_count"), n.alias("update_count"))
+        *columns, bumped(had("importance", F.lit(50.0)), n, params.update_bonus).alias("importance"),
+        had("maturity", F.lit("draft")).alias("maturity"),
+        F.when(untouched, had("updated_at", at)).otherwise(at).alias("updated_at"),
+        had("access_count", F.lit(0).cast("long")).alias("access_count"),
+        (had("update_count", F.lit(0).cast("long")) + n).alias("update_count"))
     one_per_id = entries.groupBy("chat_id", "id").agg(F.min_by(F.struct(*entries.columns), "seq").alias("e"))
     return one_per_id.select("e.*"), fates
 
@@ -171,3 +182,18 @@ def remember(turns: DataFrame, at: Column, params: Params = DEFAULTS) -> tuple[D
     entries, fates = consolidate(extracted, at, params)
     entries = settle(entries, "episodic")
     return entries, settle(build_edges(entries, params), "edges"), fates, extracted
+
+
+def remember_more(turns: DataFrame, at: Column, entries: DataFrame, edges: DataFrame,
+                  params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The write path over new turns of chats that already have ``entries`` and ``edges``.
+
+    Returns ``(entries, edges, evicted)``: stored entries with their lifecycle and the new ones, the
+    edges under the cap, and stored edges that stronger new ones put out.
+    """
+    extracted = settle(extract_by_rules(batches(turns, params)), "extracted")
+    merged = settle(consolidate(extracted, at, params, stored=entries)[0], "episodic")
+    judged = settle(cap_edges(edges, build_edges(merged, params), params), "judged")
+    alone = edges.join(judged.select("chat_id", "from_id").distinct(), ["chat_id", "from_id"], "left_anti")
+    kept = alone.unionByName(judged.filter("fate = 'kept'").select(edges.columns))
+    return merged, kept, judged.filter("fate = 'evicted'").select(edges.columns)

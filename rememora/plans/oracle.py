@@ -305,6 +305,7 @@ SELECT chat_id, batch, id, seq, content, subject, array_to_string(tags, ',') AS
        array_to_string(sources, ',') AS sources FROM facts"""
 ORACLE["consolidated_entries"] = with_recursive(BATCHES, FACTS, fold("facts"), EPISODIC) + """
 SELECT chat_id, id, seq, content, subject, importance, update_count FROM episodic"""
+ORACLE["consolidate_incremental"] = ORACLE["consolidated_entries"]
 ORACLE["consolidation_report"] = with_recursive(BATCHES, FACTS, fold("facts")) + """
 SELECT s.chat_id, s.batch, count(f.seq) FILTER (t.target_seq = f.seq) AS added,
        count(f.seq) FILTER (t.target_seq <> f.seq) AS updated, any_value(len(s.sources)) AS drained,
@@ -762,7 +763,7 @@ blocks AS (
 samples AS (SELECT sample_id FROM blocks WHERE role = 'user' GROUP BY sample_id)"""
 ORACLE["locomo_turns"] = with_(_BLOCKS) + """
 SELECT sample_id AS chat_id, place AS turn, session::INT AS session, role AS speaker, text
-FROM blocks JOIN samples USING (sample_id)"""
+FROM blocks"""
 ORACLE["locomo_evidence"] = with_(_BLOCKS) + """
 SELECT q.sample_id AS chat_id, row_number() OVER (PARTITION BY q.sample_id ORDER BY q.turn) - 1 AS query_id,
        q.text AS query, CASE WHEN q.turn % 3 = 2 THEN '' ELSE coalesce((

@@ -177,6 +177,16 @@ def consolidated_entries(spark, folder):
     return entries.select("chat_id", "id", "seq", "content", "subject", "importance", "update_count")
 
 
+@query
+def consolidate_incremental(spark, folder):
+    """The first batches of each chat, then the others against the stored entries."""
+    batched = consolidate.extract_by_rules(consolidate.batches(tables.turns(spark, folder)))
+    extracted = settle(batched, "extracted")
+    stored = settle(consolidate.consolidate(extracted.filter("batch < 3"), tables.now())[0], "stored")
+    entries = consolidate.consolidate(extracted.filter("batch >= 3"), tables.now(), stored=stored)[0]
+    return entries.select("chat_id", "id", "seq", "content", "subject", "importance", "update_count")
+
+
 @query
 def consolidation_report(spark, folder):
     _, _, fates, extracted = consolidate.remember(tables.turns(spark, folder), tables.now())
@@ -808,7 +818,7 @@ def _locomo(spark, folder):
         F.sort_array(F.collect_list(F.struct("turn", "text", ref.alias("ref")))),
         lambda q: F.struct(q["text"].alias("question"), F.lit("?").alias("answer"),
                            F.array(q["ref"]).alias("evidence"), F.lit("1").alias("category"))).alias("qa"))
-    path = _written_json(talks.join(asked, "sample_id"), "locomo")
+    path = _written_json(talks.join(asked, "sample_id", "left"), "locomo")
     return corpora.get_adapter("locomo")(spark, path, lines=True)
 
 

@@ -10,17 +10,19 @@ MAX_QUERY_CHARS = 500
 
 
 def query_text(inputs: Column) -> Column:
-    """First non-empty query among the known places of a JSON input object.
+    """First non-empty string among the known places of a JSON input object.
 
-    When none of the places exists, the shortest short string value is taken.
+    Only when none of the places exists, whatever it holds, the shortest short string value is taken.
     """
-    places = F.array_compact(F.array(
-        *[F.get_json_object(inputs, f"$['{k}']") for k in QUERY_KEYS], F.get_json_object(inputs, "$.args[1]")))
-    values = F.map_values(F.from_json(inputs, "map<string,string>"))
+    parsed = F.try_parse_json(inputs)
+    places = [F.try_variant_get(parsed, path, "variant") for path in (*(f"$['{k}']" for k in QUERY_KEYS), "$.args[1]")]
+    string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    named = F.coalesce(*[F.when(F.length(string(v)) > 0, string(v)) for v in places])
+    values = F.filter(F.transform(F.map_values(F.from_json(inputs, "map<string,variant>")), string), lambda v: v.isNotNull())
     short = F.filter(values, lambda v: (F.length(v) > 0) & (F.length(v) < MAX_QUERY_CHARS))
     shortest = F.get(F.array_sort(short, lambda a, b: F.length(a) - F.length(b)), F.lit(0))
-    named = F.get(F.filter(places, lambda v: F.length(v) > 0), F.lit(0))
-    return F.when(F.size(places) > 0, named).otherwise(shortest)
+    present = F.coalesce(*places)
+    return F.when(present.isNotNull(), named).otherwise(shortest)
 
 
 def bare_operation(name: Column) -> Column:

@@ -88,7 +88,7 @@ class BufferProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self.buffer.get()]
         out: list[tuple] = []
-        armed = False
+        armed = None  # a deletion leaves the timer alone
         for row in _in_order(rows).itertuples(index=False):
             if row.op == "message" and isinstance(row.text, str) and row.text.strip():
                 held.append((int(row.turn), row.role, row.text))
@@ -102,7 +102,7 @@ class BufferProcessor(StatefulProcessor):
                 if len(held) >= self.threshold:
                     held = self._drain(key[0], held, "buffer", out)
         self._store(held)
-        if self.idle_ms is not None:
+        if self.idle_ms is not None and armed is not None:
             self._rearm(timerValues, armed and bool(held))
         return self._emit(out)
 

@@ -110,7 +110,8 @@ def test_read_through_asks_only_for_misses(spark):
 
 @pytest.mark.parametrize("inputs,expected", [
     ({"state": {}, "queryStr": "hi"}, "hi"), ({"0": {}, "1": "one"}, "one"), ({"args": [{}, "two"]}, "two"),
-    ({"arg0": {}, "arg1": "three"}, "three"), ({"arg1": "", "q": "four"}, "four"), ({"x": "longer text", "y": "short"}, "short"), ({"n": 1}, "1")])
+    ({"arg0": {}, "arg1": "three"}, "three"), ({"arg1": "", "q": "four"}, "four"), ({"x": "longer text", "y": "short"}, "short"), ({"n": 1}, None),
+    ({"query": 5}, None), ({"query": {"a": 1}, "q": "real"}, "real"), ({"arg1": None, "note": "x"}, None), ({"n": 1, "note": "x"}, "x")])
 def test_query_text(spark, inputs, expected):
     df = spark.createDataFrame([(json.dumps(inputs),)], "i string")
     assert df.select(traces.query_text(F.col("i"))).first()[0] == expected

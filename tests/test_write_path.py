@@ -156,3 +156,51 @@ def test_persona_rebuild_covers_every_fact(spark):
     assert "p" not in names and len(names) == len(set(names)) == fresh.count()
     assert {r["content"] for r in fresh.collect()} == {r["text"] for r in summaries.collect()}
     assert swapped.filter("scope = 'episodic'").count() == 21
+
+
+def test_stored_entries_keep_their_lifecycle(spark):
+    from pyspark.sql import functions as F
+
+    from rememora.operators import consolidate
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select(
+        F.col("conv_id").alias("chat_id"), "turn", "role", "text")
+    now = F.lit("2025-01-01T00:00:00Z").cast("timestamp")
+    later = F.lit("2025-02-01T00:00:00Z").cast("timestamp")
+    extracted = consolidate.extract_by_rules(consolidate.batches(turns)).cache()
+    stored = consolidate.consolidate(extracted.filter("batch = 0"), now)[0].withColumn("maturity", F.lit("core")).withColumn(
+        "access_count", F.lit(7).cast("long")).withColumn("importance", F.lit(90.0)).cache()
+    both = consolidate.consolidate(extracted.filter("batch > 0"), later, stored=stored)[0].join(
+        stored.select("chat_id", "seq", F.col("update_count").alias("was")), ["chat_id", "seq"], "left").collect()
+    old = [r for r in both if r["was"] is not None]
+    assert len(old) == stored.count() and {r["maturity"] for r in old} == {"core"} and {r["access_count"] for r in old} == {7}
+    for r in old:
+        updated = r["update_count"] > r["was"]
+        assert (r["updated_at"].month == 2) == updated and (r["importance"] > 90) == updated
+    assert {(r["maturity"], r["access_count"]) for r in both if r["was"] is None} <= {("draft", 0)}
+
+
+def test_new_edges_join_stored_ones(spark):
+    from pyspark.sql import functions as F
+
+    from rememora.operators import consolidate
+
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select(
+        F.col("conv_id").alias("chat_id"), "turn", "role", "text")
+    now = F.lit("2025-01-01T00:00:00Z").cast("timestamp")
+    entries, edges = consolidate.remember(turns.filter("turn < 8"), now)[:2]
+    more, kept, evicted = consolidate.remember_more(turns.filter("turn >= 8"), now, entries, edges)
+    assert more.count() >= entries.count()
+    key = ["chat_id", "from_id", "to_id", "type"]
+    assert kept.count() == kept.select(*key).distinct().count()
+    assert edges.join(kept, key, "left_anti").count() == evicted.count()
+    assert kept.groupBy("chat_id", "from_id").count().agg(F.max("count")).first()[0] <= 20
+
+
+def test_cached_queries_may_share_a_stamp(spark):
+    from rememora.operators import caches
+
+    held = spark.createDataFrame([("c", "alpha beta", ["1"], 5), ("c", "gamma delta", ["2"], 5)],
+                                 "chat_id string, key string, ids array<string>, written long")
+    asked = spark.createDataFrame([("c", 1, "gamma delta")], "chat_id string, query_id long, query string")
+    assert [(r["key"], r["similarity"], r["ids"]) for r in caches.fuzzy_hits(held, asked).collect()] == [("gamma delta", 1.0, ["2"])]
