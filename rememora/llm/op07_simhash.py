@@ -4,7 +4,9 @@ The fingerprint's bits are cut into three groups. Two fingerprints within ``dist
 most a third of it in one group, so that group's covering code finds them: a (15, 11) Hamming code
 with covering radius 1 beside six plain bits, 2^17 anchors. A fingerprint is at home at its nearest
 anchor and is replicated to every anchor within the home's radius plus the group's threshold; homes
-are compared with all members of their anchor's cell.
+are compared with all members of their anchor's cell. Members are counted per cell first, and a cell of
+more than ``BLOCK`` is cut into blocks: every pair of its blocks is a group of its own, so what one group
+holds does not grow with the table.
 
 Equal fingerprints are one node. A cell yields a forest of links, never all its pairs, so a crowd of
 near copies costs edges in proportion to its size.
@@ -23,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rememora.llm.bytewords import mix
 from rememora.llm.common import components, filled, slices, table, type_of
 from rememora.session import settle
 
@@ -31,6 +34,7 @@ SEED = 42
 DISTANCE = 4
 GROUPS, GROUP_BITS, CODE_BITS = 3, 21, 15
 SMALL_CELL = 48
+BLOCK = 32_768
 
 
 def fingerprint(text: bytes) -> int:
@@ -87,9 +91,8 @@ def _offsets(radius: int) -> list[np.ndarray]:
 def replicas(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cell, position in ``fp`` and whether at home, for every anchor that a fingerprint goes to."""
     syndrome_of = _syndromes()
-    reach = {r: _offsets(r + distance // GROUPS) for r in (0, 1)}
-    # a home at radius r is found by neighbours within r plus the threshold; homes have radius 0 or 1
-    near = reach[1]
+    # a home lies at most 1 from its anchor, so its neighbours lie within 1 plus the threshold
+    near = _offsets(1 + distance // GROUPS)
     cells, owner, home = [], [], []
     for g in range(GROUPS):
         bits = (fp >> np.uint64(g * GROUP_BITS)).astype(np.int64) & ((1 << GROUP_BITS) - 1)
@@ -133,16 +136,64 @@ def _large(fp: np.ndarray, distance: int):
                 frontier.extend(hit)
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``(a, b)``: enough links between distinct fingerprints (column ``fp``) to connect all that lie within ``distance``."""
-    def dealt(batches):
+def parts(distance: int):
+    """Slices of a task's fingerprints with their replicas."""
+    def each(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
             for begin in range(0, len(fp), 5_000):
                 part = fp[begin:begin + 5_000]
-                cell, owner, home = replicas(part, distance)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(part[owner].view(np.int64)), pa.array(home)], ["cell", "fp", "home"])
+                yield part, *replicas(part, distance)
+
+    return each
+
+
+def cell_blocks(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> dict[int, int]:
+    """Blocks of each cell of more than ``block`` members; no more entries than there are anchors."""
+    each = parts(distance)
+
+    def run(batches):
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, cell, _, _ in each(batches):
+            for into, new in zip(found, np.unique(cell, return_counts=True)):
+                into.append(new)
+            if sum(map(len, found[0])) > 2_000_000:
+                cells, at = np.unique(np.concatenate(found[0]), return_inverse=True)
+                found = [cells], [np.bincount(at, np.concatenate(found[1])).astype(np.int64)]
+        cells, at = np.unique(np.concatenate(found[0]), return_inverse=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cells, pa.int64()), pa.array(np.bincount(at, np.concatenate(found[1])).astype(np.int64))], ["cell", "n"])
+
+    big = (nodes.select("fp").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+           .where(F.col("n") > block).select("cell", F.ceil(F.col("n") / block).alias("blocks")))
+    return {r["cell"]: r["blocks"] for r in big.collect()}
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: enough links between distinct fingerprints (column ``fp``) to connect all that lie within ``distance``."""
+    each, cut = parts(distance), cell_blocks(nodes, distance, block)
+    cut_cells = np.array(sorted(cut), np.int64)
+    cut_blocks = np.array([cut[c] for c in sorted(cut)], np.int64)
+
+    def blocks_of(cell):
+        """Number of blocks of each row's cell."""
+        if not len(cut_cells):
+            return np.ones(len(cell), np.int64)
+        at = np.minimum(np.searchsorted(cut_cells, cell), len(cut_cells) - 1)
+        return np.where(cut_cells[at] == cell, cut_blocks[at], 1)
+
+    def dealt(batches):
+        for part, cell, owner, home in each(batches):
+            fp, blocks = part[owner], blocks_of(cell)
+            piece = np.cumsum(blocks) // 500_000
+            edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(cell)]
+            for begin, end in zip(edges, edges[1:]):
+                n = blocks[begin:end]
+                row = np.repeat(np.arange(begin, end), n)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                mine = (mix(fp[row]) % blocks[row].astype(np.uint64)).astype(np.int64)
+                group = cell[row] << 40 | np.minimum(mine, other) << 20 | np.maximum(mine, other)
+                yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(fp[row].view(np.int64)), pa.array(home[row])], ["cell", "fp", "home"])
 
     def compared(batches):
         def flush(cell, fp, home):
@@ -173,19 +224,20 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if len(held[0]):
             yield out(flush(*held))
 
-    rows = nodes.select("fp").mapInArrow(dealt, "cell int, fp bigint, home boolean")
+    rows = nodes.select("fp").mapInArrow(dealt, "cell bigint, fp bigint, home boolean")
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.repartition(partitions, "cell").sortWithinPartitions("cell")
             .mapInArrow(compared, "a bigint, b bigint").distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
+                    block: int = BLOCK) -> DataFrame:
     """``(id, fp, component_id)``: the smallest id reachable over links of at most ``distance`` differing bits."""
     if distance // GROUPS > 1:
         raise ValueError("the code of radius 1 covers distances up to 5")
     marked = settle(fingerprints(df, id_col, text_col), "fingerprints")
     nodes = settle(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "nodes")
-    joined = components(links(nodes, distance)).select(F.col("node").alias("fp"), "root")
+    joined = components(links(nodes, distance, block)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(joined, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     place = rooted.join(least, "root").select("fp", "component_id")

@@ -134,7 +134,8 @@ def test_simhash_equals_brute_force(spark, odd, odd_rows, none):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 4, 6, 7, 8, 9]
 
 
-def test_anchors_lose_no_link(spark):
+@pytest.mark.parametrize("block", [op7.BLOCK, 40])  # 40: the crowd's cells are cut into blocks
+def test_anchors_lose_no_link(spark, block):
     rng = np.random.default_rng(6)
     fps = []
     for _ in range(150):
@@ -147,7 +148,9 @@ def test_anchors_lose_no_link(spark):
     fps += [centre ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)][:700]  # a crowd in large cells
     fps = list(dict.fromkeys(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    links = op7.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()
+    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    assert bool(op7.cell_blocks(nodes, block=block)) == (block == 40)
+    links = op7.links(nodes, block=block).collect()
     at = {f: k for k, f in enumerate(signed)}
     assert all((fps[at[r.a]] ^ fps[at[r.b]]).bit_count() <= 4 for r in links)
     want = roots(len(fps), [(a, b) for a in range(len(fps)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
