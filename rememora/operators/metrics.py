@@ -78,8 +78,8 @@ def summarize(scores: DataFrame, by: list[str] | None = None, ks=STANDARD_K) ->
         F.count_if(~answerable).alias("abstentions"))
 
 
-def by_task_type(scores: DataFrame, ks=STANDARD_K) -> DataFrame:
-    """The summary per task type; untyped questions are left out."""
+def by_task_type(scores: DataFrame, ks=STANDARD_K, keys: list[str] | None = None) -> DataFrame:
+    """The summary per task type (and per ``keys``); untyped questions are left out."""
     typed = scores.filter(F.coalesce(F.length("task_type"), F.lit(0)) > 0)
     kept = typed.filter(~F.coalesce(F.col("abstention"), F.lit(False)))
-    return summarize(kept, ["task_type"], ks)
+    return summarize(kept, [*(keys or []), "task_type"], ks)

@@ -828,3 +828,134 @@ asked AS (
          row_number() OVER (PARTITION BY user_id, epoch, exact ORDER BY event_id) AS nth FROM keyed WHERE event_type <> 'error')
 SELECT user_id::VARCHAR AS chat_id, event_id AS seq, first_id::VARCHAR AS first_id,
        CASE WHEN event_id = first_id THEN '3' WHEN nth > 1 THEN '0' ELSE '1' END AS tier FROM asked"""
+
+
+# --- edges with types, upserts and caps ---------------------------------------------------
+
+TYPED_EDGES = f"""
+entity_postings AS (
+  SELECT DISTINCT chat_id, id, seq, unnest({ents('content')}) AS entity FROM entries WHERE scope <> 'working'),
+candidate_edges AS (
+  SELECT DISTINCT a.chat_id, a.id AS from_id, b.id AS to_id, 'mentions' AS type, 0.5::DOUBLE AS weight, 1 AS block, b.seq AS place
+  FROM entity_postings a JOIN entity_postings b USING (chat_id, entity) WHERE a.seq > b.seq
+  UNION ALL
+  SELECT chat_id, id, 'd' || (seq * 13 + j * 29) % 500,
+         ['mentions', 'supports', 'same_topic', 'temporal_next', 'contradicts'][(seq + j) % 5 + 1], 1.0::DOUBLE, 0, j
+  FROM entries, range(25) r(j) WHERE j < CASE WHEN seq % 10 = 0 THEN 25 WHEN seq % 5 = 0 THEN 3 ELSE 0 END),
+merged_edges AS (
+  SELECT chat_id, from_id, to_id, type, max(weight) AS weight, min(block * 1000000000 + place) AS first_place
+  FROM candidate_edges GROUP BY chat_id, from_id, to_id, type),
+kept_edges AS (
+  SELECT * FROM merged_edges
+  QUALIFY row_number() OVER (PARTITION BY chat_id, from_id ORDER BY weight DESC, first_place, to_id, type) <= 20),
+edges AS (
+  SELECT chat_id, from_id, to_id, type, weight,
+         row_number() OVER (PARTITION BY chat_id, from_id ORDER BY first_place, to_id, type) AS seq FROM kept_edges)"""
+ORACLE["typed_edges_capped"] = with_(ENTRIES, TYPED_EDGES) + """
+SELECT chat_id, from_id, to_id, type, weight, seq FROM edges"""
+ORACLE["typed_ladder"] = with_(ENTRIES, QUERIES, bm25(), TIER2, TYPED_EDGES, tier3(), floor(), ladder()) + """
+SELECT chat_id, query_id, rank, id, tier, round(score, 6) AS score FROM ladder"""
+EVENT_EDGES = """
+all_edges AS (
+  SELECT event_id % 2 AS part, (user_id % 10)::VARCHAR AS chat_id, user_id::VARCHAR AS from_id,
+         json_extract_string(props, '$.k') AS to_id,
+         CASE event_type WHEN 'purchase' THEN 'supports' WHEN 'click' THEN 'mentions' ELSE 'same_topic' END AS type,
+         value, event_id FROM events),
+sided AS (
+  SELECT part, chat_id, from_id, to_id, type, max(value) AS weight, min(event_id) AS seq
+  FROM all_edges GROUP BY part, chat_id, from_id, to_id, type)"""
+ORACLE["edges_cap_fates"] = with_(EVENT_EDGES) + """
+, fresh AS (SELECT n.* FROM sided n WHERE part = 1 AND NOT EXISTS (
+    SELECT 1 FROM sided o WHERE o.part = 0 AND o.chat_id = n.chat_id AND o.from_id = n.from_id AND o.to_id = n.to_id AND o.type = n.type)),
+pool AS (SELECT * FROM fresh UNION ALL SELECT o.* FROM sided o WHERE part = 0 AND EXISTS (
+    SELECT 1 FROM sided n WHERE n.part = 1 AND n.chat_id = o.chat_id AND n.from_id = o.from_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY chat_id, from_id ORDER BY weight DESC, part DESC, seq) AS place FROM pool)
+SELECT chat_id, from_id, to_id, type, weight,
+       CASE WHEN place <= 20 THEN 'kept' WHEN part = 0 THEN 'evicted' ELSE 'dropped' END AS fate FROM ranked"""
+ORACLE["edge_upsert"] = with_(EVENT_EDGES) + """
+SELECT chat_id, from_id, to_id, type, arg_max(weight, part) AS weight, arg_min(seq, part) AS seq
+FROM sided GROUP BY chat_id, from_id, to_id, type"""
+ORACLE["edge_neighbours"] = with_(EVENT_EDGES) + """
+SELECT chat_id, from_id, to_id, type, row_number() OVER (PARTITION BY chat_id, from_id ORDER BY seq) AS place
+FROM sided WHERE part = 0 AND chat_id::BIGINT % 2 = 0 AND from_id::BIGINT % 4 = 0"""
+
+
+# --- upkeep, viewer and write path, second part -------------------------------------------
+
+ORACLE["cache_invalidate"] = """
+WITH keyed AS (
+  SELECT user_id::VARCHAR AS chat_id, event_type || '-' || json_extract_string(props, '$.k') AS key, max(event_id) AS written
+  FROM events GROUP BY ALL)
+SELECT chat_id, key, written FROM keyed
+WHERE chat_id NOT IN (SELECT user_id::VARCHAR FROM events WHERE event_type = 'purchase' AND value > (SELECT avg(value) FROM events))
+QUALIFY row_number() OVER (PARTITION BY chat_id ORDER BY written DESC) <= 200"""
+ORACLE["traces_cleared"] = """
+SELECT user_id::VARCHAR AS chat_id, event_id AS seq FROM events
+WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > (SELECT 2 * avg(value) FROM events))
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 3"""
+ORACLE["entry_construct"] = with_(ENTRIES) + """
+SELECT chat_id, CASE scope WHEN 'working' THEN 'wk' WHEN 'episodic' THEN 'ep' ELSE 'ps' END || '_2025-01-01T00:00:00_' ||
+       substr(sha256(concat_ws('|', scope, content, coalesce(subject, ''), tags[1], seq, 'x')), 1, 12) AS id,
+       50.0::DOUBLE AS importance, 'draft' AS maturity, 0::BIGINT AS access_count, 0::BIGINT AS update_count,
+       1735689600::BIGINT AS updated_s
+FROM entries WHERE length(content) > 0"""
+ORACLE["messages_accepted"] = f"""
+SELECT conv_id AS chat_id, turn, text FROM conversations
+WHERE role = 'assistant' AND turn > 1 AND {TRIM.format('text')} <> ''"""
+ORACLE["reasoning_stripped"] = r"""
+SELECT conv_id AS chat_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(text, '^\s+', '') ELSE text END AS text
+FROM conversations"""
+ORACLE["rebuild_due"] = with_recursive(BATCHES, FACTS, fold("facts")) + """
+SELECT s.chat_id, count(f.seq) FILTER (t.target_seq = f.seq) AS facts_since_rebuild,
+       count(f.seq) FILTER (t.target_seq = f.seq) >= 100 AS rebuild_due
+FROM batch_sources s LEFT JOIN facts f USING (chat_id, batch)
+LEFT JOIN fates t ON t.chat_id = f.chat_id AND t.seq = f.seq GROUP BY s.chat_id"""
+ORACLE["viewer_by_recency"] = with_(ENTRIES) + """
+SELECT coalesce(nullif(subject, ''), '(no subject)') AS label, chat_id, id FROM entries
+ORDER BY label, created_s DESC, chat_id, seq LIMIT 500"""
+ORACLE["viewer_by_added"] = ORACLE["viewer_by_recency"].replace("LIMIT 500", "LIMIT 300")
+ORACLE["viewer_unnamed_filter"] = with_(ENTRIES) + """
+SELECT chat_id, id FROM entries
+WHERE coalesce(subject, '') = '' OR contains(lower(subject), 'no sub')"""
+ORACLE["trace_badges"] = """
+SELECT event_id, CASE event_type WHEN 'click' THEN 'swipe' WHEN 'purchase' THEN 'regen' END AS badge,
+       CASE WHEN event_type = 'view' THEN value END AS top FROM events"""
+ORACLE["scorer_custom"] = with_(ENTRIES, QUERIES, bm25(), TIER2, EDGES, tier3()) + """
+SELECT f.chat_id, f.query_id, f.id, round(s.bm25, 6) AS bm25, round(s.bm25 * (1 + e.importance / 100), 6) AS score
+FROM found f JOIN scores s ON s.chat_id = f.chat_id AND s.query_id = f.query_id AND s.id = f.id
+JOIN entries e ON e.chat_id = f.chat_id AND e.id = f.id WHERE s.bm25 > 0
+QUALIFY row_number() OVER (PARTITION BY f.chat_id, f.query_id ORDER BY s.bm25 * (1 + e.importance / 100) DESC, f.hop, f.pos) <= 5"""
+
+
+# --- distributions and sweep files ----------------------------------------------------------
+
+ORACLE["baseline_by_type"] = with_recursive(
+    *CONVERSATION_LADDER,
+    nested(bm25("entries", "qa"), out=LEXICAL_10, name="lexical"), f"recent AS ({RECENT_10})",
+    scores_for("ladder", "ladder"), scores_for("lexical", "bm25only"), scores_for("recent", "recency")) + f"""
+SELECT retriever, task_type, count(*) AS n, count(*) FILTER (scored) AS n_scored,
+       round(count(*) FILTER (scored) / count(*), 6) AS coverage, round(avg(mrr), 6) AS mrr, round(avg(recall_5), 6) AS recall_5
+FROM ({_COMPARED}) WHERE NOT abstention GROUP BY retriever, task_type"""
+_LENGTHS = "list(length(content) ORDER BY length(content))"
+ORACLE["fact_lengths"] = with_(BATCHES, FACTS) + f"""
+SELECT 'rules@v1' AS extractor, count(*) AS n, ({_LENGTHS})[floor((count(*) - 1) * 0.5)::BIGINT + 1] AS p50,
+       ({_LENGTHS})[floor((count(*) - 1) * 0.95)::BIGINT + 1] AS p95, max(length(content)) AS longest
+FROM facts HAVING count(*) > 0"""
+ORACLE["factor_distribution"] = with_(ENTRIES, QUERIES, bm25(), TIER2, f"""
+factors AS (
+  SELECT 'importance_factor' AS factor, (1 + importance / 100)::DOUBLE AS value FROM t2
+  UNION ALL SELECT 'recency_factor', round({recency('created_s')}, 6)::DOUBLE FROM t2
+  UNION ALL SELECT 'maturity_factor', ({BOOST})::DOUBLE FROM t2)""") + f"""
+SELECT factor, count(*) AS n, min(value) AS least, ({_SORTED})[floor((count(*) - 1) * 0.5)::BIGINT + 1] AS p50,
+       ({_SORTED})[floor((count(*) - 1) * 0.95)::BIGINT + 1] AS p95, max(value) AS greatest FROM factors GROUP BY factor"""
+ORACLE["sweep_files"] = """
+WITH p AS (
+  SELECT l_returnflag AS flag, l_linenumber AS line, round(avg(l_discount), 6) AS mrr, count(*) AS n,
+         count(*) FILTER (l_quantity > 10) AS n_scored, round(avg(l_quantity), 4) AS p50 FROM lineitem GROUP BY ALL),
+m AS (SELECT *, round(n_scored / n, 6) AS coverage, n - n_scored AS n_skipped FROM p)
+SELECT 't' AS timestamp, 'sweep-' || flag AS sweep_name, 'first' AS round, 'edge_cap' AS knob, line::VARCHAR AS value, mrr, coverage,
+       n, n_scored, n_skipped, p50 AS latency_p50, NULL::DOUBLE AS latency_p95, line = 3 AS is_winner FROM m
+UNION ALL
+SELECT '', 'flat-' || flag, 'edge_cap', 'edge_cap', line::VARCHAR, mrr, coverage, n, n_scored, n_skipped, p50, p50 * 2, false FROM m
+UNION ALL
+SELECT '', 'baselines', 'baselines', 'retriever', 'r' || line, mrr, coverage, n, n_scored, n_skipped, p50, p50 * 2, false FROM m"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rememora.functions import lifecycle, text, vectors
 from rememora.operators import (
     baselines, bm25, caches, communities, consolidate, dedup, graph, metrics, neighbors, numbering,
-    persona, positions, tiers, upkeep, viewer,
+    persona, positions, scoring, tiers, upkeep, viewer,
 )
 from rememora.plans import evaluation, runs, sweeps, tables
 from rememora.session import scratch_path, settle
@@ -971,3 +971,212 @@ def stream_cache_routing(spark, folder):
         F.array(F.col("event_id").cast("string")).alias("ids"))
     routed = live.drain(live.routed_queries(stream, tiers.DEFAULTS.override(cache_cap=1000)), "routed")
     return routed.select("chat_id", "seq", "tier", F.get("ids", F.lit(0)).alias("first_id"))
+
+
+# --- edges with types, upserts and caps --------------------------------------------------
+
+def _related_entries(spark, folder):
+    """Documents as entries; every fifth asserts relations of all types, every tenth more than the cap holds."""
+    kinds = F.array(*[F.lit(t) for t in ("mentions", "supports", "same_topic", "temporal_next", "contradicts")])
+    seq = F.col("seq")
+    n = F.when(seq % 10 == 0, 25).when(seq % 5 == 0, 3).otherwise(0)
+    listed = F.transform(F.filter(F.sequence(F.lit(0), F.lit(24)), lambda j: j < n), lambda j: F.struct(
+        F.element_at(kinds, ((seq + j) % 5 + 1).cast("int")).alias("type"),
+        F.concat(F.lit("d"), ((seq * 13 + j * 29) % 500).cast("string")).alias("target")))
+    return tables.entries(spark, folder).withColumn("relations", listed)
+
+
+@query
+def typed_edges_capped(spark, folder):
+    edges = graph.build_edges(_related_entries(spark, folder))
+    return edges.select("chat_id", "from_id", "to_id", "type", "weight", "seq")
+
+
+@query
+def typed_ladder(spark, folder):
+    """The ladder over edges of all five types."""
+    entries = _related_entries(spark, folder)
+    found = tiers.ladder(entries, _edges(entries), tables.queries(spark, folder), tables.now(), 5)
+    return found.select("chat_id", "query_id", F.col("rank").cast("long").alias("rank"), "id", "tier", r6("score"))
+
+
+def _event_edges(spark, folder, remainder):
+    """Events as edges from users to the subjects of their properties."""
+    events = tables.load(spark, folder, "events").filter(F.col("event_id") % 2 == remainder)
+    kind = F.when(F.col("event_type") == "purchase", "supports").when(F.col("event_type") == "click", "mentions").otherwise("same_topic")
+    return events.select(
+        (F.col("user_id") % 10).cast("string").alias("chat_id"), F.col("user_id").cast("string").alias("from_id"),
+        F.get_json_object("props", "$.k").alias("to_id"), kind.alias("type"), F.col("value").alias("weight"),
+        F.col("event_id").alias("seq")).groupBy(*graph.EDGE_KEY).agg(F.max("weight").alias("weight"), F.min("seq").alias("seq"))
+
+
+@query
+def edges_cap_fates(spark, folder):
+    judged = graph.cap_edges(_event_edges(spark, folder, 0), _event_edges(spark, folder, 1))
+    return judged.select(*graph.EDGE_KEY, "weight", "fate")
+
+
+@query
+def edge_upsert(spark, folder):
+    return graph.upsert_edges(_event_edges(spark, folder, 0), _event_edges(spark, folder, 1)).select(
+        *graph.EDGE_KEY, "weight", "seq")
+
+
+@query
+def edge_neighbours(spark, folder):
+    """Adjacency of the users with an even id, once the edges of all odd chats are removed."""
+    edges = _event_edges(spark, folder, 0)
+    left = graph.remove_edges(edges, edges.filter(F.col("chat_id").cast("int") % 2 == 1))
+    nodes = edges.filter(F.col("from_id").cast("long") % 4 == 0).select("chat_id", F.col("from_id").alias("id")).distinct()
+    return graph.neighbours(left, nodes).select("chat_id", "from_id", "to_id", "type", F.col("place").cast("long").alias("place"))
+
+
+# --- upkeep, viewer and write path, second part ------------------------------------------
+
+@query
+def cache_invalidate(spark, folder):
+    """Chats with a purchase of more than the mean value lose their cached keys."""
+    events = tables.load(spark, folder, "events").withColumn("chat_id", F.col("user_id").cast("string"))
+    writes = events.select("chat_id", F.concat_ws("-", "event_type", F.get_json_object("props", "$.k")).alias("key"),
+                           F.array(F.col("event_id").cast("string")).alias("ids"), F.col("event_id").alias("written"))
+    mean = events.agg(F.avg("value").alias("mean"))
+    written_to = events.join(mean, F.col("value") > F.col("mean")).filter("event_type = 'purchase'").select("chat_id").distinct()
+    return caches.invalidate(caches.record(writes.limit(0), writes), written_to).select("chat_id", "key", "written")
+
+
+@query
+def traces_cleared(spark, folder):
+    """The newest three traces of each chat; chats with an error of more than twice the mean value are cleared."""
+    traces = tables.load(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("chat_id"), F.col("event_id").alias("seq"), "event_type", "value")
+    mean = traces.agg(F.avg("value").alias("mean"))
+    closed = traces.filter("event_type = 'error'").join(mean, F.col("value") > 2 * F.col("mean")).select("chat_id").distinct()
+    return upkeep.clear_traces(upkeep.ring(traces, 3), closed).select("chat_id", "seq")
+
+
+@query
+def entry_construct(spark, folder):
+    entries = tables.entries(spark, folder).filter(F.length("content") > 0)
+    raw = entries.select(
+        "chat_id", "scope", "content", "subject", "tags", F.array("seq").alias("source_messages"), F.lit("x").alias("extractor"))
+    made = upkeep.new_entries(raw, tables.now())
+    return made.select("chat_id", "id", "importance", "maturity", "access_count", "update_count",
+                       F.unix_timestamp("updated_at").alias("updated_s"))
+
+
+@query
+def messages_accepted(spark, folder):
+    turns = tables.turns(spark, folder).withColumn("is_first", F.col("turn") <= 1)
+    return upkeep.accepted_messages(turns).select("chat_id", "turn", "text")
+
+
+@query
+def reasoning_stripped(spark, folder):
+    answer = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" <think>first\nthen</think>\n"), "text")).otherwise(F.col("text"))
+    return tables.turns(spark, folder).select("chat_id", "turn", text.strip_reasoning(answer).alias("text"))
+
+
+@query
+def rebuild_due(spark, folder):
+    _, _, fates, extracted = consolidate.remember(tables.turns(spark, folder), tables.now())
+    return consolidate.chat_status(consolidate.batch_report(extracted, fates))
+
+
+@query
+def viewer_by_recency(spark, folder):
+    entries = tables.entries(spark, folder).withColumn("updated_at", F.col("created_at"))
+    return viewer.grouped_page(entries, "recency").select("label", "chat_id", "id")
+
+
+@query
+def viewer_by_added(spark, folder):
+    return viewer.grouped_page(tables.entries(spark, folder), "added", 300).select("label", "chat_id", "id")
+
+
+@query
+def viewer_unnamed_filter(spark, folder):
+    entries = tables.entries(spark, folder)
+    return entries.filter(viewer.subject_contains("NO SUB", include_unnamed=True)).select("chat_id", "id")
+
+
+@query
+def trace_badges(spark, folder):
+    """Cause badge and top score of the resolving tier; views stand for tier 2."""
+    events = tables.load(spark, folder, "events")
+    cause = F.when(F.col("event_type") == "click", "swipe").when(F.col("event_type") == "purchase", "regenerate").otherwise("fresh")
+    per_tier = F.create_map(F.lit("2"), F.array(F.struct(F.col("value").alias("score"))))
+    tier = F.when(F.col("event_type") == "view", "2").otherwise("floor")
+    return events.select("event_id", viewer.cause_label(cause).alias("badge"), viewer.top_score(tier, per_tier).alias("top"))
+
+
+@query
+def scorer_custom(spark, folder):
+    """A registered scorer ranks what the beam found instead of the default one."""
+    scorers = scoring.ScorerRegistry()
+    scorers.register("plain", lambda now, params: F.col("bm25") * (1 + F.col("importance") / 100))
+    scorers.use("plain")
+    entries = tables.entries(spark, folder)
+    found = tiers.ladder(entries, _edges(entries), tables.queries(spark, folder), tables.now(), 5, scorer=scorers.get())
+    return found.filter("tier = '3'").select("chat_id", "query_id", "id", r6("bm25"), r6("score"))
+
+
+# --- distributions and sweep files ---------------------------------------------------------
+
+@query
+def baseline_by_type(spark, folder):
+    memory, qa, found = _run(spark, folder, "ladder", "bm25only", "recency")
+    parts = []
+    for name, rows in zip(("ladder", "bm25only", "recency"), found):
+        scores = metrics.per_query(settle(evaluation.with_sources(rows, memory), name), qa)
+        parts.append(metrics.by_task_type(scores.withColumn("retriever", F.lit(name)), keys=["retriever"]))
+    joined = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return joined.select("retriever", "task_type", "n", "n_scored", r6("coverage"), r6("mrr"), r6("recall_5"))
+
+
+@query
+def fact_lengths(spark, folder):
+    facts = consolidate.fact_entries(
+        consolidate.extract_by_rules(consolidate.batches(tables.turns(spark, folder))), tables.now())
+    return sweeps.fact_lengths(facts, ["extractor"])
+
+
+@query
+def factor_distribution(spark, folder):
+    ranked = _candidates(spark, folder, factors=True)[3].select(
+        F.lit("t2").alias("tier"), (1 + F.col("importance") / 100).alias("importance_factor"),
+        r6("recency_factor"), "maturity_factor")
+    return runs.factor_distribution(ranked, ["importance_factor", "recency_factor", "maturity_factor"])
+
+
+def _sweep_points(spark, folder):
+    """Averages over line items as measured points of a sweep."""
+    lines = tables.load(spark, folder, "lineitem")
+    return lines.groupBy("l_returnflag", "l_linenumber").agg(
+        F.round(F.avg("l_discount"), 6).alias("mrr"), F.count("*").alias("n"),
+        F.count_if(F.col("l_quantity") > 10).alias("n_scored"), F.round(F.avg("l_quantity"), 4).alias("p50"))
+
+
+@query
+def sweep_files(spark, folder):
+    """Sweep files of three shapes, written and read back as one row per point and knob."""
+    measured = F.struct("mrr", "n", "n_scored", (F.col("n") - F.col("n_scored")).alias("n_skipped"))
+    points = _sweep_points(spark, folder).withColumn("latency", F.to_json(F.struct("p50", (F.col("p50") * 2).alias("p95"))))
+    value = F.col("l_linenumber").cast("string")
+
+    def collected(extra, latency):
+        # a file's points are its grid of at most seven line numbers
+        point = F.struct(*extra, measured.alias("metrics"), latency.alias("latencyMs"))
+        return points.groupBy("l_returnflag").agg(F.collect_list(point).alias("points"))
+
+    swept = [F.create_map(F.lit("edge_cap"), value, F.lit("k"), F.lit("5")).alias("overrides")]
+    named = F.concat(F.lit("sweep-"), "l_returnflag").alias("sweep_name")
+    rounds = collected(swept, F.col("p50").cast("string")).select(named, F.lit("t").alias("timestamp"), F.array(F.struct(
+        F.lit("first").alias("name"), F.lit("edge_cap").alias("knob"), F.struct(F.lit("3").alias("value")).alias("winner"), "points")).alias("rounds"))
+    flat = collected(swept, F.col("latency")).select(F.concat(F.lit("flat-"), "l_returnflag").alias("name"), "points")
+    keyed = collected([F.concat(F.lit("r"), value).alias("retrieverId")], F.col("latency")).select(named, "points")
+    path = scratch_path(spark, "sweep-files")
+    for rows in (rounds, flat, keyed):
+        rows.write.mode("append").option("maxRecordsPerFile", 1).json(path)
+    return run_files.load_sweeps(spark, path).select(
+        "timestamp", "sweep_name", "round", "knob", "value", "mrr", r6("coverage"), "n", "n_scored", "n_skipped",
+        "latency_p50", "latency_p95", "is_winner")

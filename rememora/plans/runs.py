@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from rememora.operators.positions import at_nearest, order_statistics
+from rememora.operators.positions import at_floor_n1, at_nearest, order_statistics
 
 
 def align_ranks(left: DataFrame, right: DataFrame, depth: int = 10) -> DataFrame:
@@ -78,3 +78,11 @@ def sweep_diff(a: DataFrame, b: DataFrame) -> DataFrame:
             .withColumn("delta_mrr", F.col("mrr_b") - F.col("mrr_a"))
             .withColumn("delta_coverage", F.col("coverage_b") - F.col("coverage_a"))
             .orderBy(F.desc(F.abs("delta_mrr")), *on))
+
+
+def factor_distribution(ranked: DataFrame, factors: list[str]) -> DataFrame:
+    """Least, median, 95th percentile and greatest value of each scoring factor."""
+    pairs = F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f).cast("double").alias("value")) for f in factors])
+    long = ranked.select(F.explode(pairs).alias("p")).select("p.factor", "p.value")
+    return order_statistics(long, ["factor"], "value", {
+        "least": lambda n: n * 0, "p50": at_floor_n1(0.5), "p95": at_floor_n1(0.95), "greatest": lambda n: n - 1})

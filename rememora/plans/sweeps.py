@@ -199,3 +199,9 @@ def outliers_above_fence(df: DataFrame, keys: list[str], value: str) -> DataFram
     fences = fences.withColumn("fence", F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return df.join(fences, keys).groupBy(*keys, "q1", "q3", "fence").agg(
         F.count_if(F.col(value) > F.col("fence")).alias("n_outliers"))
+
+
+def fact_lengths(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Median, 95th percentile and greatest length of the extracted facts, in characters."""
+    return order_statistics(facts.withColumn("__length", F.length("content")), keys, "__length", {
+        "p50": at_floor_n1(0.5), "p95": at_floor_n1(0.95), "longest": lambda n: n - 1})

@@ -24,13 +24,13 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that arrives in fewer splits than there are cores.
+# fewer splits than this are dealt out anew: at most that many times ``spark.sql.files.maxPartitionBytes`` is moved, on any cluster
+FEW_SPLITS = 16
+
 
-    A large table has splits enough and passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table that arrives in a handful of splits; what is moved is bounded, results do not depend on it."""
+    return df.repartition(FEW_SPLITS) if df.rdd.getNumPartitions() < FEW_SPLITS else df
 
 
 def entries(spark: SparkSession, folder: str) -> DataFrame:
