@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from rememora.functions.text import SPACE, bind, entities, strip_space
-from rememora.params import EDGE_TYPES, ENTITY_STOP_WORDS, RESERVED_EDGE_TYPES, RESERVED_TARGETS
+from rememora.params import DEFAULTS, EDGE_TYPES, ENTITY_STOP_WORDS, RESERVED_EDGE_TYPES, RESERVED_TARGETS, Params
 
 # --- fixed values ---------------------------------------------------------------
-MAX_FACTS = 5
-MAX_TAGS = 3
 MIN_TAG_LENGTH = 4
-MIN_WORDS = 4
 ROLE_LINE = r"^\[(user|assistant|system)\]" + SPACE + r"+(.*)$"
 SENTENCE_END = r"[.!?]+" + SPACE + "+"
 TAG_STOP_WORDS = tuple(w.lower() for w in ENTITY_STOP_WORDS)
@@ -62,28 +59,35 @@ def _words(sentence: Column) -> Column:
     return F.filter(F.split(sentence, SPACE + "+"), lambda w: F.length(w) > 0)
 
 
-def _tags(sentence: Column, subject: Column) -> Column:
+def first(values: Column, limit: int | None) -> Column:
+    return values if limit is None else F.slice(values, 1, limit)
+
+
+def _tags(sentence: Column, subject: Column, limit: int | None) -> Column:
     cleaned = F.transform(_words(sentence), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
     useful = F.filter(cleaned, lambda w: (F.length(w) >= MIN_TAG_LENGTH) & (w != F.lower(subject))
                       & ~w.isin(*TAG_STOP_WORDS))
-    return F.slice(F.array_distinct(useful), 1, MAX_TAGS)
+    return first(F.array_distinct(useful), limit)
 
 
-def rule_facts(messages: Column) -> Column:
-    """Up to five facts of a batch: sentences of four words or more that name a subject.
+def rule_facts(messages: Column, params: Params = DEFAULTS) -> Column:
+    """All facts of a batch: sentences of ``min_words`` words or more that name a subject.
 
     Lines without a role prefix are not read, so of a message that spans several
-    lines only the first counts.
+    lines only the first counts, unless ``join_lines`` makes them one.
     """
+    if params.join_lines:
+        messages = F.transform(messages, lambda m: F.struct(
+            m["role"].alias("role"), F.translate(m["content"], "\n", " ").alias("content")))
     lines = F.filter(F.split(transcript(messages), "\n"), lambda line: line.rlike(ROLE_LINE))
     body = F.array_join(F.transform(lines, lambda line: F.regexp_extract(line, ROLE_LINE, 2)), " ")
     sentences = F.transform(F.split(body, SENTENCE_END), strip_space)
     named = F.transform(sentences, lambda s: F.struct(
         s.alias("content"), F.get(entities(s), F.lit(0)).alias("subject"), F.size(_words(s)).alias("n")))
-    facts = F.filter(named, lambda s: (s["n"] >= MIN_WORDS) & s["subject"].isNotNull())
-    return bind(F.slice(facts, 1, MAX_FACTS), lambda kept: F.transform(kept, lambda f: F.struct(
+    facts = F.filter(named, lambda s: (s["n"] >= params.min_words) & s["subject"].isNotNull())
+    return bind(facts, lambda kept: F.transform(kept, lambda f: F.struct(
         f["content"].alias("content"), f["subject"].alias("subject"),
-        _tags(f["content"], f["subject"]).alias("tags"),
+        _tags(f["content"], f["subject"], params.max_tags).alias("tags"),
         F.array().cast("array<struct<type:string,target:string>>").alias("relations"))))
 
 

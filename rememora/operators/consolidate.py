@@ -50,10 +50,12 @@ def batches(turns: DataFrame, params: Params = DEFAULTS, role: str | None = "use
         fires.cast("long").alias("fired_at"))
 
 
-def extract_by_rules(batched: DataFrame) -> DataFrame:
-    """``facts`` per batch by the deterministic rules."""
-    return batched.withColumn("status", F.lit("ok")).withColumn(
-        "facts", extraction.rule_facts(F.col("messages"))).withColumn("skipped", F.lit(0).cast("long"))
+def extract_by_rules(batched: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """``facts`` per batch by the deterministic rules; ``cut`` counts those beyond ``max_facts``."""
+    found = batched.withColumn("status", F.lit("ok")).withColumn("found", extraction.rule_facts(F.col("messages"), params))
+    return (found.withColumn("facts", extraction.first(F.col("found"), params.max_facts))
+            .withColumn("skipped", F.lit(0).cast("long"))
+            .withColumn("cut", (F.size("found") - F.size("facts")).cast("long")).drop("found"))
 
 
 def extract_by_answers(batched: DataFrame, answers: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ def consolidate(extracted: DataFrame, at: Column, params: Params = DEFAULTS, ext
 
 
 def batch_report(extracted: DataFrame, fates: DataFrame) -> DataFrame:
-    """Per batch: added, updated, drained, parse failures, skipped items."""
+    """Per batch: added, updated, drained, parse failures, skipped items, facts beyond the limit."""
     counted = fates.groupBy("chat_id", "batch").agg(
         F.count_if(F.col("target_seq") == F.col("seq")).alias("added"),
         F.count_if(F.col("target_seq") != F.col("seq")).alias("updated"))
@@ -167,7 +169,8 @@ def batch_report(extracted: DataFrame, fates: DataFrame) -> DataFrame:
         F.coalesce("updated", F.lit(0)).cast("long").alias("updated"),
         F.size("sources").cast("long").alias("drained"),
         (F.col("status") == "parse_failure").cast("long").alias("parse_failures"),
-        F.col("skipped").alias("entries_skipped"))
+        F.col("skipped").alias("entries_skipped"),
+        (F.col("cut") if "cut" in extracted.columns else F.lit(0).cast("long")).alias("facts_cut"))
 
 
 def chat_status(report: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -178,7 +181,7 @@ def chat_status(report: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 def remember(turns: DataFrame, at: Column, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Whole write path over a table of turns: entries, edges, fates, extracted."""
-    extracted = settle(extract_by_rules(batches(turns, params)), "extracted")
+    extracted = settle(extract_by_rules(batches(turns, params), params), "extracted")
     entries, fates = consolidate(extracted, at, params)
     entries = settle(entries, "episodic")
     return entries, settle(build_edges(entries, params), "edges"), fates, extracted
@@ -191,7 +194,7 @@ def remember_more(turns: DataFrame, at: Column, entries: DataFrame, edges: DataF
     Returns ``(entries, edges, evicted)``: stored entries with their lifecycle and the new ones, the
     edges under the cap, and stored edges that stronger new ones put out.
     """
-    extracted = settle(extract_by_rules(batches(turns, params)), "extracted")
+    extracted = settle(extract_by_rules(batches(turns, params), params), "extracted")
     merged = settle(consolidate(extracted, at, params, stored=entries)[0], "episodic")
     judged = settle(cap_edges(edges, build_edges(merged, params), params), "judged")
     alone = edges.join(judged.select("chat_id", "from_id").distinct(), ["chat_id", "from_id"], "left_anti")

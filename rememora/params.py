@@ -35,7 +35,7 @@ SWEEPABLE = frozenset({
     "lambda_1", "lambda_2", "max_hops", "seeds_k", "beam_width", "edge_cap",
     "cooccurrence_weight", "explicit_weight", "subject_boost", "tag_boost",
     "cache_cap", "dedup_threshold", "batch_size", "buffer_threshold",
-    "extract_max_tokens",
+    "extract_max_tokens", "max_facts", "max_tags", "min_words", "join_lines",
 })
 
 
@@ -77,6 +77,12 @@ class Params:
     rebuild_suggestion: int = 100
     dedup_threshold: float = 0.7
     extract_max_tokens: int = 4096
+    # rule extraction: facts kept of a batch and tags of a fact (None: all), words a fact needs at least,
+    # and whether a message's later lines are read as part of its first
+    max_facts: int | None = 5
+    max_tags: int | None = 3
+    min_words: int = 4
+    join_lines: bool = False
     # persona rebuild
     knn_base: int = 15
     knn_step: int = 5

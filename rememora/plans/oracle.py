@@ -309,8 +309,10 @@ ORACLE["consolidate_incremental"] = ORACLE["consolidated_entries"]
 ORACLE["consolidation_report"] = with_recursive(BATCHES, FACTS, fold("facts")) + """
 SELECT s.chat_id, s.batch, count(f.seq) FILTER (t.target_seq = f.seq) AS added,
        count(f.seq) FILTER (t.target_seq <> f.seq) AS updated, any_value(len(s.sources)) AS drained,
-       0::BIGINT AS parse_failures, 0::BIGINT AS entries_skipped
+       0::BIGINT AS parse_failures, 0::BIGINT AS entries_skipped, any_value(coalesce(c.cut, 0)) AS facts_cut
 FROM batch_sources s LEFT JOIN facts f USING (chat_id, batch)
+LEFT JOIN (SELECT chat_id, batch, greatest(0, count(*) - 5) AS cut FROM named
+           WHERE len(words) >= 4 AND subject IS NOT NULL GROUP BY ALL) c USING (chat_id, batch)
 LEFT JOIN fates t ON t.chat_id = f.chat_id AND t.seq = f.seq GROUP BY s.chat_id, s.batch"""
 ORACLE["dedup_fold"] = with_recursive(ENTRIES, fold("entries")) + """
 SELECT chat_id, seq, target_seq FROM fates"""

@@ -204,3 +204,13 @@ def test_cached_queries_may_share_a_stamp(spark):
                                  "chat_id string, key string, ids array<string>, written long")
     asked = spark.createDataFrame([("c", 1, "gamma delta")], "chat_id string, query_id long, query string")
     assert [(r["key"], r["similarity"], r["ids"]) for r in caches.fuzzy_hits(held, asked).collect()] == [("gamma delta", 1.0, ["2"])]
+
+
+def test_rule_limits_are_parameters_and_counted(spark):
+    said = " ".join(f"Alice keeps box number {'abcdefgh'[i]} there." for i in range(7)) + "\nBob waits below the old bridge."
+    turns = spark.createDataFrame([("c", 0, "user", said)], "chat_id string, turn long, role string, text string")
+    batched = consolidate.batches(turns)
+    row = consolidate.extract_by_rules(batched).first()
+    assert len(row["facts"]) == 5 and row["cut"] == 2
+    whole = consolidate.extract_by_rules(batched, DEFAULTS.override(max_facts=None, join_lines=True)).first()
+    assert [f["subject"] for f in whole["facts"]] == ["Alice"] * 7 + ["Bob"] and whole["cut"] == 0
