@@ -2,9 +2,9 @@
 
 Each task cuts its documents' token ids into pieces of at most ``capacity`` and packs the pieces by
 decreasing best fit. Bins filled to ``capacity - slack`` are final. The others become items of the
-next round: they are dealt to groups of bounded size, packed again as wholes, and so on until one
-group is left or a round no longer lowers their number. Pieces carry only lengths and checksums, so
-what the rounds move is a small share of the text.
+next round: they are dealt anew to groups of bounded size, packed again as wholes, and so on until one
+group is left or a round leaves more than ``STALLED`` of them. Pieces carry only lengths and checksums,
+so what the rounds move is a small share of the text.
 
 Nulls and odd input: a null or empty text is the end token alone. Equal ids are packed row by row
 (``piece`` restarts for each row). An empty table gives no rows. Very long texts are cut, nothing else is.
@@ -29,6 +29,7 @@ CAPACITY = 4096
 END_ID = 1
 SLACK = 32
 GROUP_ROWS = 50_000
+STALLED = 0.98
 TOKENIZER = "word_bpe_49k.json"
 _CACHE_ROWS = 800_000
 _SLICE_BYTES = 4_000_000
@@ -191,10 +192,10 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     # a bin's first piece stands for the bin
     items = placed.where((F.col("offset") == 0) & under).select("bin", "fill")
     moves = None
-    left = items.count()
+    left, turn = items.count(), 0
     while left > 1:
         groups = -(-left // group_rows)
-        grouped = items.withColumn("node", F.pmod(F.xxhash64("bin"), F.lit(groups)))
+        grouped = items.withColumn("node", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)))
         step = settle(grouped.groupBy("node").applyInArrow(
             lambda t: merged(t), "bin bigint, root bigint, shift bigint, root_fill bigint"), "merge")
         if moves is None:
@@ -205,8 +206,8 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
                 "bin", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
         items = (step.where((F.col("shift") == 0) & (F.col("root_fill") < capacity - slack))
                  .select(F.col("root").alias("bin"), F.col("root_fill").alias("fill")))
-        before, left = left, items.count()
-        if groups == 1 or left == before:
+        before, left, turn = left, items.count(), turn + 1
+        if groups == 1 or left > STALLED * before:
             break
     out = placed.select(id_col, "piece", "start", "length", "ids_crc32", "bin", "offset")
     if moves is None:
