@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rememora.functions.text import repeat_array, term_frequencies, token_set, tokens
 from rememora.operators.ranking import rounded, top_k
 from rememora.params import DEFAULTS, Params
-from rememora.session import settle
+from rememora.session import settle, settle_bucketed
 
 
 @dataclass(frozen=True)
@@ -47,15 +47,16 @@ def indexed_tokens(params: Params = DEFAULTS) -> Column:
 def build_index(entries: DataFrame, params: Params = DEFAULTS, keep: bool = True) -> Index:
     """Index ``entries(chat_id, id, seq, content, subject, tags)``.
 
-    With ``keep`` the index becomes a scratch table, so that frequencies,
-    scoring and beam scoring do not tokenise again.
+    With ``keep`` the index becomes a scratch table bucketed by entry: frequencies,
+    scoring and beam scoring do not tokenise again, and scores are summed where
+    the entry lies, so only the best of each task travel.
     """
     documents = entries.select(
         "chat_id", "id", "seq", term_frequencies(indexed_tokens(params)).alias("tfs"))
     documents = documents.select(
         "chat_id", "id", "seq",
         F.aggregate("tfs", F.lit(0).cast("long"), lambda acc, p: acc + p["tf"]).alias("len"), "tfs")
-    return Index(settle(documents, "index") if keep else documents)
+    return Index(settle_bucketed(documents, "index", ["chat_id", "id"]) if keep else documents)
 
 
 def store_index(index: Index, table: str, buckets: int, path: str | None = None) -> Index:

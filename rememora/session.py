@@ -60,3 +60,17 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Like ``settle``, but dealt into buckets of ``keys``, so that joins and groups on them need no shuffle.
+
+    There are as many buckets as shuffle partitions, the number a cluster sets for its data. The files
+    lie in the scratch folder; the session's catalog only names them.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{label}_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
+     .option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from rememora.operators import baselines, bm25, caches, graph, scoring, tiers, upkeep
 from rememora.params import DEFAULTS
+from rememora.plans.registry import REGISTRY
 
 def AT_():
     return F.lit("2026-04-20T10:00:00Z").cast("timestamp")
@@ -69,7 +70,7 @@ def test_scores_match_a_plain_computation(spark, corpus):
 
 def test_a_bucketed_index_scores_without_a_shuffle(spark, corpus, tmp_path):
     q = asked(spark, "alice paris")
-    loose = bm25.build_index(corpus)
+    loose = bm25.build_index(corpus, keep=False)
     weights = bm25.weigh_terms(loose, q)
     stored = bm25.store_index(loose, "rememora_test_index", 4, str(tmp_path / "index"))
     try:
@@ -81,6 +82,13 @@ def test_a_bucketed_index_scores_without_a_shuffle(spark, corpus, tmp_path):
         spark.sql("DROP TABLE rememora_test_index")
 
 
+def test_registered_search_shuffles_only_for_the_cut(spark, small):
+    plan = REGISTRY["bm25_topk"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+    assert len(shuffled) == 1 and "chat_id" in shuffled[0] and "query_id" in shuffled[0]
+    assert plan.index("WindowGroupLimit") < plan.index(shuffled[0].strip()) < plan.rindex("WindowGroupLimit")
+
+
 def test_scorer_goldens(spark):
     def score(b, imp, maturity):
         df = spark.createDataFrame([(b, imp, maturity)], "bm25 double, importance double, maturity string").withColumn("created_at", AT_())
