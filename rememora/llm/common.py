@@ -89,3 +89,20 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
     return e.select(a.alias("node"), b.alias("root")).unionAll(e.select(b.alias("node"), b.alias("root")).distinct())
+
+
+def keep_first(df: DataFrame, placed: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """Of each group the one row named by its id and key, with all its columns; rows without an id stay.
+
+    ``placed`` has ``(id, key, first_id, first_key)`` of every row of ``df``, ``key`` tells the texts of ``df`` apart.
+    Rows go by id and key together, so an id that occurs with two texts loses only what its group drops.
+    """
+    is_first = (F.col("id") == F.col("first_id")) & (F.col("key") == F.col("first_key"))
+    gone = placed.where(F.col("id").isNotNull() & ~is_first).select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    twice = settle(placed.where(is_first).groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")
+                   .select(F.col("id").alias("_id"), F.col("key").alias("_key")), "repeated")
+    keyed = df.withColumn("_key", key).withColumn("_id", F.col(id_col))
+    on = ["_id", "_key"]
+    # the same plan at every size: texts are dealt by id and key once, whatever the number of rows that go
+    single = keyed.join(gone.hint("merge"), on, "left_anti").join(twice, on, "left_anti")
+    return single.unionByName(keyed.join(twice, on, "left_semi").dropDuplicates(on)).select(df.columns)

@@ -17,16 +17,17 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rememora.llm import bytewords
-from rememora.llm.common import buffers, components, filled, slices, table, type_of
+from rememora.llm.common import buffers, components, filled, keep_first, slices, table, type_of
 from rememora.session import settle
 
 PERMUTATIONS = 128
 SHINGLE = 5
 BANDS, ROWS = 25, 5
 SIMILARITY = 0.8
+CROWD = 1_024
 _BLOCK = 1 << 15
 _rng = np.random.default_rng(64)
 _A = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,57 +105,144 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {type_of(df, id_col)}, fingerprint string")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    similarity: float = SIMILARITY) -> DataFrame:
-    """``(id, class_id)``: texts linked by a verified Jaccard of ``similarity`` or more, per band bucket.
+def text_key(text: Column) -> Column:
+    """16 bytes of the SHA-256 of a text; null counts as empty."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
+
+
+def _band_hashes(sig: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """One 64-bit bucket per text and band; all bands of a text without words are the bucket zero."""
+    parts = sig[:, :BANDS * ROWS].astype(np.uint64).reshape(len(sig), BANDS, ROWS)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64)[None].repeat(len(sig), 0)
+    for k in range(ROWS):
+        h = bytewords.mix(h * _A[k] + parts[:, :, k] + np.uint64(1))
+    h[~some] = 0
+    return h.view(np.int64)
+
 
-    Equal texts collapse to the smallest id first. In a bucket every representative is verified against
-    the first one; those that fail are compared with the whole bucket. Members that pass are linked
-    through the first, so a crowd of copies costs one pair each and no link is lost.
+def _forest(values: np.ndarray, sizes: np.ndarray, comp: np.ndarray, similarity: float):
+    """Links ``(i, j)`` that join the sets of one bucket beyond what ``comp`` joins already; no pair is left out.
+
+    A set is compared with all others at once over the postings of its values.
+    """
+    n, offsets = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+    order = np.argsort(values, kind="stable")
+    _, begin, rank, count = np.unique(values[order], return_index=True, return_inverse=True, return_counts=True)
+    posting = np.repeat(np.arange(n), sizes)[order]
+    of = np.empty(len(values), np.int64)
+    of[order] = rank
+    comp = comp.copy()
+    for x in range(n):
+        if (comp == comp[0]).all():
+            break
+        g = of[offsets[x]:offsets[x + 1]]
+        c = count[g]
+        at = np.arange(c.sum()) + np.repeat(begin[g] - np.cumsum(c) + c, c)
+        both = np.bincount(posting[at], minlength=n)
+        union = sizes + sizes[x] - both
+        hit = np.flatnonzero((np.where(union > 0, both / np.maximum(union, 1), 1.0) >= similarity) & (comp != comp[x]))
+        others, first = np.unique(comp[hit], return_index=True)
+        for y in hit[first]:
+            yield x, int(y)
+        comp[np.isin(comp, others)] = comp[x]
+
+
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+            crowd: int = CROWD) -> DataFrame:
+    """``(id, key, first_id, first_key)`` of every row: its text's key, and the smallest id and key of its group.
+
+    Groups are texts linked by a verified Jaccard of ``similarity`` or more, with candidates per band bucket; a
+    pair at 0.8 shares no band once in 20,000. Equal texts are one node. In a bucket every text is verified against
+    the first one; a bucket that this leaves in several groups is compared whole, so no link between candidates is lost.
+    Such a bucket yields a forest of links, never all its pairs, and one of more than ``crowd`` texts is cut into blocks
+    of which every pair is a task's group of its own. Shingles are made for texts that share a bucket only.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hashed = rows.select("id", F.sha2(F.col("text"), 256).alias("key"))
-    kept = hashed.groupBy("key").agg(F.min("id").alias("rep"))
-    classes = settle(hashed.join(kept, "key").select("id", "rep"), "classes")
-    reps = rows.join(kept.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
-    def run(batches):
+    def banded(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                strings = filled(part, "text")
-                sig, some = signatures(strings)
-                value, owner = shingles(strings)
-                cut = np.searchsorted(owner, np.arange(len(strings) + 1))
+                bands = _band_hashes(*signatures(filled(part, "text")))
+                lists = pa.ListArray.from_arrays(np.arange(len(bands) + 1, dtype=np.int32) * BANDS, pa.array(bands.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), lists], ["id", "key", "bands"])
+
+    def shingled(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                value, owner = shingles(filled(part, "text"))
+                cut = np.searchsorted(owner, np.arange(part.num_rows + 1))
                 sets = [np.unique(value[x:y]).view(np.int64) for x, y in zip(cut, cut[1:])]
-                bands = np.ascontiguousarray(sig[:, :BANDS * ROWS]).reshape(len(sig), BANDS, ROWS)
-                keys = [[bytes([k]) + bands[i, k].tobytes() for k in range(BANDS)] if some[i] else [b"none"]
-                        for i in range(len(sig))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(keys, pa.list_(pa.binary())), pa.array(sets, pa.list_(pa.int64()))],
-                    ["id", "bands", "shingles"])
-
-    signed = settle(reps.mapInArrow(run, f"id {type_of(rows, 'id')}, bands array<binary>, shingles array<bigint>"), "signed")
-    buckets = signed.select("id", F.explode("bands").alias("bucket"))
-    first = buckets.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-
-    def verified(pairs):
-        left = signed.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        right = signed.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb")).cast("double")
-        union = F.size("sa") + F.size("sb") - both
-        return (pairs.join(left, "a").join(right, "b")
-                .select("a", "b", F.when(union > 0, both / union).otherwise(F.lit(1.0)).alias("jaccard")))
-
-    led = buckets.join(first, "bucket").where(F.col("id") > F.col("b")).select("bucket", F.col("id").alias("a"), "b")
-    scored = settle(verified(led.select("a", "b").distinct()), "scored")
-    links = scored.where(F.col("jaccard") >= similarity).select("a", "b")
-    odd = led.join(scored.where(F.col("jaccard") < similarity).select("a", "b"), ["a", "b"], "left_semi").select("bucket", "a")
-    rest = (odd.join(buckets.withColumnRenamed("id", "b"), "bucket").where(F.col("a") != F.col("b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = links.unionAll(verified(rest).where(F.col("jaccard") >= similarity).select("a", "b"))
-    joined = components(links).withColumnRenamed("node", "rep")
-    return (classes.join(joined, "rep", "left")
-            .select(F.col("id").alias(id_col), F.coalesce("root", "rep").alias("class_id")))
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    marked = settle(rows.mapInArrow(banded, f"id {type_of(rows, 'id')}, key binary, bands array<bigint>"), "banded")
+    nodes = settle(marked.groupBy("key").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "nodes")
+    buckets = nodes.select("key", F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = settle(buckets.join(shared.hint("merge"), "bucket"), "members")
+    # one row of each text that shares a bucket; a text of rows without id has the first null
+    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select("key", "first")
+    picked = rows.join(wanted.hint("merge"), (rows["key"] == wanted["key"]) & rows["id"].eqNullSafe(wanted["first"]), "left_semi")
+    sets = settle(picked.select("key", "text").mapInArrow(shingled, "key binary, shingles array<bigint>")
+                  .groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
+
+    def compared(batches):
+        def out(rows):
+            edge = np.flatnonzero([k == 0 or rows[k][0] != rows[k - 1][0] for k in range(len(rows))])
+            for e, f in zip(edge, [*edge[1:], len(rows)]):
+                names = [r[1] for r in rows[e:f]]
+                _, comp = np.unique(np.array([r[2] for r in rows[e:f]], object), return_inverse=True)
+                found = list(_forest(np.concatenate([r[3] for r in rows[e:f]]), np.array([len(r[3]) for r in rows[e:f]]), comp, similarity))
+                if found:
+                    ends = [(min(names[x], names[y]), max(names[x], names[y])) for x, y in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*ends)], ["a", "b"])
+
+        held = []
+        for batch in batches:
+            flat = batch.column("shingles")
+            cut, values = flat.offsets.to_numpy(), flat.values.to_numpy()
+            held += zip(batch.column("cell").to_pylist(), batch.column("key").to_pylist(), batch.column("root").to_pylist(),
+                        (values[x:y] for x, y in zip(cut, cut[1:])))
+            last = next((k for k in range(len(held) - 1, 0, -1) if held[k][0] != held[k - 1][0]), 0)  # the last cell may go on
+            yield from out(held[:last])
+            held = held[last:]
+        yield from out(held)
+
+    left = sets.select(F.col("key").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("key").alias("b"), F.col("shingles").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb")).cast("double")
+    union = F.size("sa") + F.size("sb") - both
+    led = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+    links = settle(led.join(left, "a").join(right, "b").where(F.when(union > 0, both / union).otherwise(F.lit(1.0)) >= similarity)
+                   .select("a", "b"), "links")
+    joined = components(links).select(F.col("node").alias("key"), "root")
+    rooted = settle(members.join(joined, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root")), "rooted")
+    mixed = (rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x < y")
+             .select("bucket", F.ceil(F.col("n") / crowd).cast("int").alias("blocks")))
+    mine = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    cells = (rooted.join(mixed.hint("merge"), "bucket")
+             .select("bucket", "key", "root", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+             .select(F.concat_ws(":", "bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "key", "root"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more = settle(cells.join(sets, "key").select("cell", "key", "root", "shingles").repartition(partitions, "cell")
+                  .sortWithinPartitions("cell").mapInArrow(compared, "a binary, b binary"), "more_links")
+    links = links.unionAll(more)
+    joined = components(links).select(F.col("node").alias("key"), "root")
+    rooted = settle(nodes.select("key", "first").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
+    # a text of rows without id is never the first
+    least = rooted.where(F.col("first").isNotNull()).groupBy("root").agg(F.min(F.struct("first", "key")).alias("least"))
+    place = rooted.join(least, "root", "left").select("key", F.col("least.first").alias("first_id"), F.col("least.key").alias("first_key"))
+    return marked.select("id", "key").join(place, "key").select("id", "key", "first_id", "first_key")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    similarity: float = SIMILARITY) -> DataFrame:
+    """``(id, class_id)``: the smallest id of the row's group (see ``grouped``)."""
+    return grouped(df, id_col, text_col, similarity).select(F.col("id").alias(id_col), F.col("first_id").alias("class_id"))
+
+
+def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group, with all its columns: the smallest by id, then text key; rows without an id stay."""
+    return keep_first(df, settle(grouped(df, id_col, text_col, similarity), "groups"), id_col, text_key(F.col(text_col)))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 import check_oracle
 import corpus_pipeline
-from rememora.llm import op03_packing as op3, op04_embedding_dedup as op4, op07_simhash as op7, op08_warc as op8, op09_html as op9, queries
+from rememora.llm import op01_fingerprint as op1, op03_packing as op3, op04_embedding_dedup as op4, op07_simhash as op7, op08_warc as op8, op09_html as op9, queries
 
 from .conftest import make_docs, sentence
 
@@ -258,6 +258,47 @@ def test_pipeline_of_odd_rows(spark, odd, none, small):
     assert out.count() == 7
 
 
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return not (a | b) or len(a & b) / len(a | b) >= 0.8
+
+
+def near_copies():
+    """Texts of 120 words, copies of them with one to six words changed, and a crowd of copies whose links are chains."""
+    rng = np.random.default_rng(8)
+    texts = []
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 900, 120)]
+        for changed in range(5):
+            copy = list(words)
+            for at in rng.choice(120, changed, replace=False):
+                copy[at] = f"x{rng.integers(900)}"
+            texts.append(" ".join(copy))
+    words = [f"c{k}" for k in range(120)]
+    for k in range(90):
+        copy = list(words)
+        for at in rng.choice(120, 2, replace=False):
+            copy[at] = f"y{rng.integers(900)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [op1.CROWD, 20])  # 20: the crowd's buckets are cut into blocks
+def test_stage_links_every_verified_pair(spark, small, crowd):
+    texts = near_copies()
+    docs = make_docs(spark, list(enumerate(texts))).repartition(3)
+    sets = [five_words(t) for t in texts]
+    want = roots(len(texts), [(a, b) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b])])
+    got = {r.id: r.first_id for r in op1.grouped(docs, crowd=crowd).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, small)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, small, name):
     got = queries.QUERIES[name](spark, small).toPandas()
