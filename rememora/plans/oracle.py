@@ -880,6 +880,13 @@ FROM sided GROUP BY chat_id, from_id, to_id, type"""
 ORACLE["edge_neighbours"] = with_(EVENT_EDGES) + """
 SELECT chat_id, from_id, to_id, type, row_number() OVER (PARTITION BY chat_id, from_id ORDER BY seq) AS place
 FROM sided WHERE part = 0 AND chat_id::BIGINT % 2 = 0 AND from_id::BIGINT % 4 = 0"""
+ORACLE["edge_neighbours_all"] = with_(EVENT_EDGES) + """
+, whole AS (SELECT chat_id, from_id, to_id, type, max(value) AS weight, min(event_id) AS seq
+            FROM all_edges GROUP BY chat_id, from_id, to_id, type)
+SELECT chat_id, from_id, to_id, type, row_number() OVER (PARTITION BY chat_id, from_id ORDER BY seq) AS place
+FROM whole w WHERE NOT EXISTS (
+  SELECT 1 FROM whole h WHERE h.weight > (SELECT avg(weight) FROM whole)
+    AND h.chat_id = w.chat_id AND h.from_id = w.from_id AND h.to_id = w.to_id AND h.type = w.type)"""
 
 
 # --- upkeep, viewer and write path, second part -------------------------------------------

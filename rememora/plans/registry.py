@@ -1000,9 +1000,11 @@ def typed_ladder(spark, folder):
     return found.select("chat_id", "query_id", F.col("rank").cast("long").alias("rank"), "id", "tier", r6("score"))
 
 
-def _event_edges(spark, folder, remainder):
-    """Events as edges from users to the subjects of their properties."""
-    events = tables.load(spark, folder, "events").filter(F.col("event_id") % 2 == remainder)
+def _event_edges(spark, folder, remainder=None):
+    """Events as edges from users to the subjects of their properties; all of them unless a remainder is given."""
+    events = tables.load(spark, folder, "events")
+    if remainder is not None:
+        events = events.filter(F.col("event_id") % 2 == remainder)
     kind = F.when(F.col("event_type") == "purchase", "supports").when(F.col("event_type") == "click", "mentions").otherwise("same_topic")
     return events.select(
         (F.col("user_id") % 10).cast("string").alias("chat_id"), F.col("user_id").cast("string").alias("from_id"),
@@ -1031,6 +1033,16 @@ def edge_neighbours(spark, folder):
     return graph.neighbours(left, nodes).select("chat_id", "from_id", "to_id", "type", F.col("place").cast("long").alias("place"))
 
 
+@query
+def edge_neighbours_all(spark, folder):
+    """Adjacency of every user over the edges of all events, once those heavier than the mean are removed."""
+    edges = _event_edges(spark, folder)
+    heavy = edges.join(edges.agg(F.avg("weight").alias("mean")), F.col("weight") > F.col("mean"))
+    nodes = edges.select("chat_id", F.col("from_id").alias("id")).distinct()
+    return graph.neighbours(graph.remove_edges(edges, heavy), nodes).select(
+        "chat_id", "from_id", "to_id", "type", F.col("place").cast("long").alias("place"))
+
+
 # --- upkeep, viewer and write path, second part ------------------------------------------
 
 @query
