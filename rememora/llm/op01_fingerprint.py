@@ -17,10 +17,10 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rememora.llm import bytewords
-from rememora.llm.common import buffers, components, filled, keep_first, slices, table, type_of
+from rememora.llm.common import buffers, components, filled, keep_first, slices, table, text_key, type_of
 from rememora.session import settle
 
 PERMUTATIONS = 128
@@ -105,11 +105,6 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {type_of(df, id_col)}, fingerprint string")
 
 
-def text_key(text: Column) -> Column:
-    """16 bytes of the SHA-256 of a text; null counts as empty."""
-    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 16)
-
-
 def _band_hashes(sig: np.ndarray, some: np.ndarray) -> np.ndarray:
     """One 64-bit bucket per text and band; all bands of a text without words are the bucket zero."""
     parts = sig[:, :BANDS * ROWS].astype(np.uint64).reshape(len(sig), BANDS, ROWS)

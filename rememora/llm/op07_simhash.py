@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rememora.llm.bytewords import mix
-from rememora.llm.common import components, filled, slices, table, type_of
+from rememora.llm.common import components, filled, keep_first, slices, table, text_key, type_of
 from rememora.session import settle
 
 SHINGLE = 4
@@ -50,15 +50,16 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(raw)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)``; ``fp`` is the fingerprint as a signed 64-bit number."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *also, fp)``; ``fp`` is the fingerprint as a signed 64-bit number."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, text_col):
                 fp = np.array([fingerprint(t) for t in filled(part, text_col).cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(fp.view(np.int64))], [id_col, "fp"])
+                yield pa.RecordBatch.from_arrays([*map(part.column, kept), pa.array(fp.view(np.int64))], [*kept, "fp"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {type_of(df, id_col)}, fp bigint")
+    kept = [id_col, *also]
+    return df.select(*kept, text_col).mapInArrow(run, ", ".join([*(f"{c} {type_of(df, c)}" for c in kept), "fp bigint"]))
 
 
 def _syndromes() -> np.ndarray:
@@ -230,29 +231,31 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
             .mapInArrow(compared, "a bigint, b bigint").distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
-                    block: int = BLOCK) -> DataFrame:
-    """``(id, fp, component_id)``: the smallest id reachable over links of at most ``distance`` differing bits."""
+def _rooted(df: DataFrame, id_col: str, text_col: str, distance: int, block: int, also: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, *also, fp, root, component_id)``: ``root`` tells components apart that share their smallest id."""
     if distance // GROUPS > 1:
         raise ValueError("the code of radius 1 covers distances up to 5")
-    marked = settle(fingerprints(df, id_col, text_col), "fingerprints")
+    marked = settle(fingerprints(df, id_col, text_col, also), "fingerprints")
     nodes = settle(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "nodes")
     joined = components(links(nodes, distance, block)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(joined, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    place = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(place, "fp").select(id_col, "fp", "component_id")
+    return marked.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE,
+                    block: int = BLOCK) -> DataFrame:
+    """``(id, fp, component_id)``: the smallest id reachable over links of at most ``distance`` differing bits."""
+    return _rooted(df, id_col, text_col, distance, block).select(id_col, "fp", "component_id")
 
 
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The row with the smallest id of each component, with all its columns; rows without an id stay."""
-    placed = settle(near_duplicates(df, id_col, text_col, distance).select(id_col, "component_id"), "components")
-    gone = placed.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    twice = settle(placed.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("n"))
-                   .where("n > 1").select(id_col), "repeated")
-    # the same plan at every size: texts are dealt by id once, whatever the number of ids that go
-    single = df.join(gone.hint("merge"), id_col, "left_anti").join(twice, id_col, "left_anti")
-    return single.unionByName(df.join(twice, id_col, "left_semi").dropDuplicates([id_col])).select(df.columns)
+    """One row of each component, with all its columns: the smallest by id, then text key; rows without an id stay."""
+    rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    placed = settle(_rooted(rows, "id", "text", distance, BLOCK, ("key",)).select("id", "key", "root"), "components")
+    first = placed.where(F.col("id").isNotNull()).groupBy("root").agg(F.min(F.struct("id", "key")).alias("first"))
+    named = settle(placed.join(first, "root", "left").select("id", "key", F.col("first.id").alias("first_id"), F.col("first.key").alias("first_key")), "groups")
+    return keep_first(df, named, id_col, text_key(F.col(text_col)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

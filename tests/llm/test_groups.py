@@ -299,6 +299,15 @@ def test_stage_links_every_verified_pair(spark, small, crowd):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+@pytest.mark.parametrize("one_per_group", [op1.one_per_group, op7.one_per_group])
+def test_groups_keep_rows_not_ids(spark, one_per_group):
+    """Of an id with two texts only the one that joins a group goes; two texts alone both stay; repeated rows are one."""
+    texts = [" ".join(f"{x}{k}" for k in range(60)) for x in "abcd"]
+    rows = [(1, texts[0]), (5, texts[0]), (5, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3])]
+    kept = one_per_group(make_docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, texts[0]), (5, texts[1]), (7, texts[2]), (7, texts[3])]
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, small, name):
     got = queries.QUERIES[name](spark, small).toPandas()
