@@ -2,7 +2,7 @@
 
 from rememora.llm import (
     op01_fingerprint, op02_toxicity, op03_packing, op04_embedding_dedup, op05_bpe, op06_licenses, op07_simhash, op08_warc,
-    op09_html, op10_langid,
+    op09_html, op10_langid, op11_filter_audit,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_warc": op08_warc.query,
     "op9_html": op09_html.query,
     "op10_langid": op10_langid.query,
+    "op11_filter_audit": op11_filter_audit.query,
 }
 
-SQL = {"op4_embedding_dedup": op04_embedding_dedup.SQL, "op8_warc": op08_warc.SQL}
+SQL = {"op4_embedding_dedup": op04_embedding_dedup.SQL, "op8_warc": op08_warc.SQL, "op11_filter_audit": op11_filter_audit.SQL}
