@@ -2,7 +2,7 @@
 
 from rememora.llm import (
     op01_fingerprint, op02_toxicity, op03_packing, op04_embedding_dedup, op05_bpe, op06_licenses, op07_simhash, op08_warc,
-    op09_html, op10_langid, op11_filter_audit,
+    op09_html, op10_langid, op11_filter_audit, op12_prefix_trie, op13_graph_search,
 )
 
 QUERIES = {
@@ -17,6 +17,13 @@ QUERIES = {
     "op9_html": op09_html.query,
     "op10_langid": op10_langid.query,
     "op11_filter_audit": op11_filter_audit.query,
+    "op12_prefix_trie": op12_prefix_trie.query,
+    "op13_graph_search": op13_graph_search.query,
 }
 
-SQL = {"op4_embedding_dedup": op04_embedding_dedup.SQL, "op8_warc": op08_warc.SQL, "op11_filter_audit": op11_filter_audit.SQL}
+SQL = {
+    "op4_embedding_dedup": op04_embedding_dedup.SQL,
+    "op8_warc": op08_warc.SQL,
+    "op11_filter_audit": op11_filter_audit.SQL,
+    "op12_prefix_trie": op12_prefix_trie.SQL,
+}
