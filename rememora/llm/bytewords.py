@@ -17,11 +17,15 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = np.random.default_rng(20).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-@functools.lru_cache(2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+WINDOW = 1 << 20
+
+
+@functools.lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, for one window."""
     out = []
     for factor in (_MULTIPLIER, _INVERSE):
-        power = np.full(size, factor, np.uint64)
+        power = np.full(WINDOW, factor, np.uint64)
         power[0] = 1
         out.append(np.cumprod(power, dtype=np.uint64))
     return out[0], out[1]
@@ -50,9 +54,29 @@ def spans(data: np.ndarray, offsets: np.ndarray, in_word: np.ndarray) -> tuple[n
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of each run: prefix sums, shifted back to the run's own start."""
-    size = 1 << max(12, int(len(data) + 1).bit_length())
-    power, inverse = _powers(size)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_VALUE[data] * power[:len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """Polynomial hash of each run: prefix sums, shifted back to the run's own start.
+
+    Runs are taken window by window, so what is held beside them does not grow with the text.
+    """
+    power, inverse = _powers()
+    out, at = np.zeros(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = int(starts[at])
+        last = int(np.searchsorted(ends, base + WINDOW - 1, side="right"))
+        if last <= at:  # a run longer than a window: the sums of its windows, each shifted to its place
+            shift, value = np.uint64(1), np.uint64(0)
+            with np.errstate(over="ignore"):
+                for begin in range(base, int(ends[at]), WINDOW):
+                    part = data[begin:min(begin + WINDOW, int(ends[at]))]
+                    value += (_VALUE[part] * power[:len(part)]).sum(dtype=np.uint64) * shift
+                    shift *= power[-1] * _MULTIPLIER
+            out[at] = value
+            at += 1
+            continue
+        some = slice(at, last)
+        part = data[base:int(ends[last - 1])]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * power[:len(part)], out=total[1:])
+        out[some] = (total[ends[some] - base] - total[starts[some] - base]) * inverse[starts[some] - base]
+        at = last
+    return mix(out + (ends - starts).astype(np.uint64))

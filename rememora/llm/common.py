@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
+def drawn_share(rows: DataFrame, hashed: Column, wanted: int, total: int) -> DataFrame:
+    """About ``wanted`` of ``total`` rows, by a hash of 64 bits; all of them if there are no more."""
+    if total <= wanted:
+        return rows
+    return rows.where(F.shiftrightunsigned(hashed, 1) < F.lit((wanted << 63) // total))
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``size`` bytes of ``column`` (one row at least)."""
     length = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
@@ -47,11 +55,18 @@ def filled(batch: pa.RecordBatch, column: str) -> pa.Array:
     return pc.fill_null(batch.column(column), "")
 
 
-def no_cycles() -> None:
-    """Stop the cycle collector of a worker: caches of strings hold no cycles, and scanning them costs a tenth of the time."""
+@contextmanager
+def no_cycles():
+    """Rest a worker's cycle collector for one task: caches of strings hold no cycles, and scanning them costs a tenth of the time.
+
+    What earlier tasks left in cycles, above all their functions with the models these hold, is collected first.
+    """
     gc.collect()
-    gc.freeze()
     gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
 
 
 def buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,8 +121,9 @@ def keep_first(df: DataFrame, placed: DataFrame, id_col: str, key: Column) -> Da
     gone = placed.where(F.col("id").isNotNull() & ~is_first).select(F.col("id").alias("_id"), F.col("key").alias("_key"))
     twice = settle(placed.where(is_first).groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1")
                    .select(F.col("id").alias("_id"), F.col("key").alias("_key")), "repeated")
-    keyed = df.withColumn("_key", key).withColumn("_id", F.col(id_col))
+    # the row is one struct, so that no column of it clashes with the names used here
+    keyed = df.select(F.col(id_col).alias("_id"), key.alias("_key"), F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("_row"))
     on = ["_id", "_key"]
     # the same plan at every size: texts are dealt by id and key once, whatever the number of rows that go
     single = keyed.join(gone.hint("merge"), on, "left_anti").join(twice, on, "left_anti")
-    return single.unionByName(keyed.join(twice, on, "left_semi").dropDuplicates(on)).select(df.columns)
+    return single.unionByName(keyed.join(twice, on, "left_semi").dropDuplicates(on)).select("_row.*")

@@ -2,10 +2,13 @@
 
 A character model (trigrams of letters and word edges) is counted over all texts. A disguised chunk -
 letters mixed with look-alike signs, letters apart, letters repeated three times and more - is a
-lattice: a sign may stand for letters or for an edge, a separator or a repeated letter may vanish. The
-decoder takes the most probable reading under the character model, mixed with one of the learned
+lattice: a sign may stand for letters or for an edge, a separator or a repeated letter or sign may vanish.
+The decoder takes the most probable reading under the character model, mixed with one of the learned
 toxic words. Texts are scored by their restored words: words and word beginnings that mark toxic
-training texts give evidence, and a logistic model over the strongest evidence gives the score.
+training texts give evidence, and a logistic model over the strongest evidence gives the score. Marks at
+the end of a chunk are punctuation as a rule; a chunk is also read with its look-alikes there as letters,
+and one without any letter as letters only (at half the evidence), but such a reading counts only if it
+is a whole learned word.
 
 Labels are learned from training rows only: a sample of about ``max_rows`` labelled rows drawn by hash
 bounds the word statistics and the fit (the character model counts all texts). A label table without
@@ -27,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rememora.llm.common import filled, fold, held_out, no_cycles, slices, table, type_of
+from rememora.llm.common import drawn_share, filled, fold, held_out, no_cycles, slices, table, type_of
 from rememora.session import settle
 
 THRESHOLD = 0.3
 MAX_ROWS = 20_000
-MAX_FEATURES = 20_000
+MAX_FEATURES = 20_000  # default of ``max_features``: the clearest of the learned words and beginnings
 MIN_TOXIC = 3
 LETTERS = 64
 # Signs that stand for letters.
@@ -40,7 +43,7 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
               "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 SIGN_COST, EDGE_COST, GAP_COST, REPEAT_COST = -0.7, -3.0, -0.1, -0.2
 LEXICON_PART = 0.3
-_SEEN_ROWS = 500_000
+_SEEN_BYTES = 48_000_000
 _TRAILING = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…–—"
 _LEADING = "".join(c for c in _TRAILING if c not in LOOKALIKES)
 _APART = re.compile(r"(?<!\S)(?:\S[ \t\-_.*]){2,}\S(?!\S)")
@@ -111,7 +114,8 @@ class Decoder:
                 repeated = i and c == chunk[i - 1] and (c * 3) in chunk[max(0, i - 2):i + 3]
                 out.append([(c, 0.0), ("", REPEAT_COST)] if repeated else [(c, 0.0)])
             elif c in LOOKALIKES:
-                out.append([*((x, SIGN_COST) for x in LOOKALIKES[c]), (" ", EDGE_COST)])
+                repeated = i and c == chunk[i - 1] and (c * 3) in chunk[max(0, i - 2):i + 3]
+                out.append([*((x, SIGN_COST) for x in LOOKALIKES[c]), (" ", EDGE_COST), *([("", REPEAT_COST)] if repeated else [])])
             else:
                 out.append([("", GAP_COST), (" ", 0.0)])
         return out
@@ -171,9 +175,10 @@ class Scorer:
         self.starts = {f.removeprefix("=")[:4] for f in evidence}
         self.seen: set[str] = set()
         self.hot: dict[str, float] = {}
+        self.held = 0
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": set(), "hot": {}}
+        return self.__dict__ | {"seen": set(), "hot": {}, "held": 0}
 
     def word(self, word: str) -> float:
         if word[:4] not in self.starts or len(word) < 2:
@@ -184,26 +189,37 @@ class Scorer:
         """Evidence of a chunk between white space, also of its restored reading if it is disguised."""
         word = core(token)
         read = self.decoder.decode(word).split() if is_disguised(word) else []
-        return max(map(self.word, [word, *read]))
+        found = max(map(self.word, [word, *read]))
+        whole = token.strip(_LEADING)
+        if whole != word or whole and not any(map(str.isalpha, whole)):
+            part = 1.0 if any(map(str.isalpha, whole)) else 0.5
+            for reading in self.decoder.decode(whole).split():
+                found = max(found, part * self.evidence.get("=" + reading, 0.0))
+        return found
 
     def values(self, text: str) -> list[float]:
         low = unicodedata.normalize("NFC", text).lower()
         tokens = set(low.split())
         for t in tokens - self.seen:
             self.seen.add(t)
+            self.held += 110 + len(t)
             if (e := self.token(t)) > 0:
                 self.hot[t] = e
         found = [self.hot[t] for t in tokens & self.hot.keys()]
         for chunk in apart(low):
             found += [e for w in self.decoder.decode(chunk.strip()).split() if (e := self.word(w)) > 0]
         found = sorted(found, reverse=True)
-        if len(self.seen) > _SEEN_ROWS:
-            self.seen.clear()
-            self.hot.clear()
+        if self.held > _SEEN_BYTES:
+            self.forget()
         top = [*found[:3], 0.0, 0.0, 0.0][:3]
         strong, words = sum(e > 2.0 for e in found), max(len(tokens), _FEW_WORDS)
         return [*top, math.log1p(strong), math.log1p(len(found)), math.log1p(words), strong / (1 + words) * 10, 1.0]
 
+    def forget(self) -> None:
+        self.seen.clear()
+        self.hot.clear()
+        self.held = 0
+
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.constant)
@@ -226,11 +242,13 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 
 
 def sampled(labels: DataFrame, id_col: str, label_col: str, max_rows: int) -> DataFrame:
-    """About ``max_rows`` labelled training rows, drawn by hash: ``(id, toxic, part)``; part 1 fits the logistic model."""
+    """About ``max_rows`` labelled training rows, drawn by hash: ``(id, toxic, part)``; part 1 fits the logistic model.
+
+    The threshold has 63 bits, so as many rows are drawn from any number of labels.
+    """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & (fold(F.col(id_col)) != 2)).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"), (fold(F.col(id_col)) == 3).cast("int").alias("part"))
-    share = min(1.0, max_rows / max(rows.count(), 1))
-    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    return drawn_share(rows, F.xxhash64("id"), max_rows, rows.count())
 
 
 def _feature_counts(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
@@ -252,8 +270,8 @@ def _feature_counts(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
             .groupBy("feature", "part").agg(F.sum("n").alias("n")))
 
 
-def _evidence(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int) -> dict[str, float]:
-    """Log-odds of features that mark toxic texts beyond chance, the clearest MAX_FEATURES at most."""
+def _evidence(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int, max_features: int) -> dict[str, float]:
+    """Log-odds of features that mark toxic texts beyond chance, the clearest ``max_features`` at most."""
     kept = []
     for f, c1 in toxic.items():
         c0 = clean.get(f, 0)
@@ -262,12 +280,15 @@ def _evidence(toxic: dict[str, int], clean: dict[str, int], n1: int, n0: int) ->
         odds = math.log((c1 + 0.5) / (n1 + 1)) - math.log((c0 + 0.5) / (n0 + 1))
         if c1 >= MIN_TOXIC and z > 3 and odds > 0.7:
             kept.append((z, f, odds))
-    return {f: odds for _, f, odds in sorted(kept, reverse=True)[:MAX_FEATURES]}
+    return {f: odds for _, f, odds in sorted(kept, reverse=True)[:max_features]}
 
 
 def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_rows: int = MAX_ROWS, corpus: DataFrame | None = None) -> Scorer:
-    """Fit on the training rows of ``labels``; the character model counts ``corpus`` (default ``df``)."""
+          max_rows: int = MAX_ROWS, corpus: DataFrame | None = None, max_features: int = MAX_FEATURES) -> Scorer:
+    """Fit on the training rows of ``labels``; the character model counts ``corpus`` (default ``df``).
+
+    A bounded sample of ``max_rows`` rows has a bounded number of words, of which ``max_features`` are kept.
+    """
     counts = character_counts(df if corpus is None else corpus, text_col)
     # bounded by max_rows, so it may be sent to every task
     drawn = F.broadcast(sampled(labels, id_col, label_col, max_rows))
@@ -292,8 +313,8 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         mixed = (1 - LEXICON_PART) * probabilities(counts) + LEXICON_PART * probabilities(counts * 1e-3 + 50 * lexicon_counts(words))
         return Scorer(evidence, Decoder(mixed if words else probabilities(counts)))
 
-    fit = scorer(_evidence(by(toxic, [0]), by(clean, [0]), n(0, 1), n(0, 0))) if n(0, 1) and n(0, 0) and n(1, 1) and n(1, 0) else None
-    whole = scorer(_evidence(by(toxic, [0, 1]), by(clean, [0, 1]), n1, n0))
+    fit = scorer(_evidence(by(toxic, [0]), by(clean, [0]), n(0, 1), n(0, 0), max_features)) if n(0, 1) and n(0, 0) and n(1, 1) and n(1, 0) else None
+    whole = scorer(_evidence(by(toxic, [0, 1]), by(clean, [0, 1]), n1, n0, max_features))
     fitted = rows.where("part = 1") if fit else rows
     values = (fit or whole)
 
@@ -311,11 +332,12 @@ def learn(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)``."""
     def run(batches):
-        no_cycles()
-        for batch in batches:
-            for part in slices(batch, text_col):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(id_col), pa.array(scorer.scores(filled(part, text_col).to_pylist()))], [id_col, "score"])
+        with no_cycles():
+            for batch in batches:
+                for part in slices(batch, text_col):
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(id_col), pa.array(scorer.scores(filled(part, text_col).to_pylist()))], [id_col, "score"])
+        scorer.forget()
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {type_of(df, id_col)}, score double")
 
@@ -323,12 +345,13 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str =
 def clean(df: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that score below ``threshold``, with all their columns; no shuffle."""
     def run(batches):
-        no_cycles()
-        for batch in batches:
-            for part in slices(batch, text_col):
-                kept = part.filter(pa.array(scorer.scores(filled(part, text_col).to_pylist()) < threshold))
-                if kept.num_rows:
-                    yield kept
+        with no_cycles():
+            for batch in batches:
+                for part in slices(batch, text_col):
+                    kept = part.filter(pa.array(scorer.scores(filled(part, text_col).to_pylist()) < threshold))
+                    if kept.num_rows:
+                        yield kept
+        scorer.forget()
 
     return df.mapInArrow(run, df.schema)
 

@@ -2,9 +2,10 @@
 
 Each task cuts its documents' token ids into pieces of at most ``capacity`` and packs the pieces by
 decreasing best fit. Bins filled to ``capacity - slack`` are final. The others become items of the
-next round: they are dealt anew to groups of bounded size, packed again as wholes, and so on until one
-group is left or a round leaves more than ``STALLED`` of them. Pieces carry only lengths and checksums,
-so what the rounds move is a small share of the text.
+next round: they are dealt anew to groups of bounded size, packed again as wholes, and so on. A bin that
+cannot take the least filled one left fits none and is final; a round that leaves more than one group has
+at most one half-empty bin a group, so the rounds end when one group is left or no two bins fit. Pieces
+carry only lengths and checksums, so what the rounds move is a small share of the text.
 
 Nulls and odd input: a null or empty text is the end token alone. Equal ids are packed row by row
 (``piece`` restarts for each row). An empty table gives no rows. Very long texts are cut, nothing else is.
@@ -29,9 +30,9 @@ CAPACITY = 4096
 END_ID = 1
 SLACK = 32
 GROUP_ROWS = 50_000
-STALLED = 0.98
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_ROWS = 800_000
+_CACHE_BYTES = 96_000_000
+_ENTRY_BYTES = 200  # of the table for each chunk, beside its own bytes
 _SLICE_BYTES = 4_000_000
 _JOINED = 500
 # one word of Latin letters with ASCII punctuation behind it: two tokens of the pre-tokenizer at most
@@ -39,6 +40,20 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 _encoder: tuple | None = None
 
 
+class Chunks(dict):
+    """Ids of chunks, and the bytes that the table takes."""
+
+    held = 0
+
+    def keep(self, found: dict[bytes, bytes]) -> None:
+        self.update(found)
+        self.held += sum(_ENTRY_BYTES + len(c) + len(i) for c, i in found.items())
+
+    def forget(self, chunks) -> None:
+        for c in chunks:
+            self.held -= _ENTRY_BYTES + len(c) + len(self.pop(c))
+
+
 def _loaded(path: str):
     """The worker's tokenizer and its cache of chunks; a chunk is text between ASCII white space."""
     global _encoder
@@ -50,12 +65,11 @@ def _loaded(path: str):
         last = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a word
         for token, i in tokenizer.get_vocab().items():
             last[i] = token.endswith("</w>")
-        _encoder = (path, tokenizer, last, {})
-        no_cycles()
+        _encoder = (path, tokenizer, last, Chunks())
     return _encoder[1:]
 
 
-def _learn(new: list[bytes], tokenizer, last: np.ndarray, cache: dict[bytes, bytes]) -> None:
+def _learn(new: list[bytes], tokenizer, last: np.ndarray, cache: Chunks) -> None:
     """Encode chunks the cache lacks. Plain words go in lines of many: each ends in an end-of-word id."""
     plain, other = [], []
     for chunk in new:
@@ -78,9 +92,9 @@ def _learn(new: list[bytes], tokenizer, last: np.ndarray, cache: dict[bytes, byt
     marks = list({p for _, _, p in plain} - {""})
     for text, got in zip(marks, tokenizer.encode_batch_fast(marks, add_special_tokens=False)):
         ids[text] = np.array(got.ids, "<u4").tobytes()
-    cache.update((chunk, ids[w] + ids[p] if p else ids[w]) for chunk, w, p in plain)
-    for chunk, got in zip(other, tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)):
-        cache[chunk] = np.array(got.ids, "<u4").tobytes()
+    cache.keep({chunk: ids[w] + ids[p] if p else ids[w] for chunk, w, p in plain})
+    cache.keep({chunk: np.array(got.ids, "<u4").tobytes() for chunk, got in zip(
+        other, tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False))})
 
 
 def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
@@ -95,10 +109,9 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
     if new:
         _learn(new, tokenizer, last, cache)
     out = [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
-    if len(cache) > _CACHE_ROWS:
+    if cache.held > _CACHE_BYTES:
         # what came first is kept, as common words do; a cache that no longer fits the text is dropped
-        for c in new if 2 * len(new) < len(seen) else list(cache):
-            del cache[c]
+        cache.forget(new if 2 * len(new) < len(seen) else list(cache))
     return out
 
 
@@ -149,19 +162,22 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             ids, rows = [], [np.zeros((0, 4), np.int64)]
             return out
 
-        for batch in batches:
-            kind = batch.schema.field(id_col).type
-            for part in slices(batch, text_col, _SLICE_BYTES):
-                found = []
-                for key, blob in zip(part.column(id_col).to_pylist(), encode_texts(filled(part, text_col).cast(pa.binary()).to_pylist(), path)):
-                    blob += END_ID.to_bytes(4, "little")
-                    for k, at in enumerate(range(0, len(blob), 4 * capacity)):
-                        cut = blob[at:at + 4 * capacity]
-                        ids.append(key)
-                        found.append((k, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                rows.append(np.array(found, np.int64).reshape(-1, 4))
-                if len(ids) > 200_000:  # a task's pieces are packed in runs of bounded size
-                    yield packed()
+        with no_cycles():
+            for batch in batches:
+                kind = batch.schema.field(id_col).type
+                for part in slices(batch, text_col, _SLICE_BYTES):
+                    found = []
+                    for key, blob in zip(part.column(id_col).to_pylist(), encode_texts(filled(part, text_col).cast(pa.binary()).to_pylist(), path)):
+                        blob += END_ID.to_bytes(4, "little")
+                        for k, at in enumerate(range(0, len(blob), 4 * capacity)):
+                            cut = blob[at:at + 4 * capacity]
+                            ids.append(key)
+                            found.append((k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+                    rows.append(np.array(found, np.int64).reshape(-1, 4))
+                    if len(ids) > 200_000:  # a task's pieces are packed in runs of bounded size
+                        yield packed()
+            cache = _loaded(path)[2]
+            cache.forget(list(cache))
         if ids:
             yield packed()
 
@@ -192,8 +208,13 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     # a bin's first piece stands for the bin
     items = placed.where((F.col("offset") == 0) & under).select("bin", "fill")
     moves = None
-    left, turn = items.count(), 0
-    while left > 1:
+    turn = 0
+    while (least := items.agg(F.min("fill")).first()[0]) is not None:
+        # what cannot take the least filled bin fits no other
+        items = items.where(F.col("fill") <= capacity - least)
+        left = items.count()
+        if left < 2:
+            break
         groups = -(-left // group_rows)
         grouped = items.withColumn("node", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)))
         step = settle(grouped.groupBy("node").applyInArrow(
@@ -202,12 +223,12 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
             moves = step.select("bin", "root", "shift")
         else:
             later = step.select(F.col("bin").alias("root"), F.col("root").alias("to"), F.col("shift").alias("more"))
-            moves = moves.join(later, "root", "left").select(
-                "bin", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+            moves = settle(moves.join(later, "root", "left").select(
+                "bin", F.coalesce("to", "root").alias("root"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")), "moves")
         items = (step.where((F.col("shift") == 0) & (F.col("root_fill") < capacity - slack))
                  .select(F.col("root").alias("bin"), F.col("root_fill").alias("fill")))
-        before, left, turn = left, items.count(), turn + 1
-        if groups == 1 or left > STALLED * before:
+        turn += 1
+        if groups == 1:
             break
     out = placed.select(id_col, "piece", "start", "length", "ids_crc32", "bin", "offset")
     if moves is None:

@@ -3,7 +3,8 @@
 Text is cut by the tokenizer's pattern, each distinct piece is encoded once per batch. Pieces of like
 length form one padded matrix of ids; in each round every row looks up its neighbouring pairs in a
 hashed pair table, merges the leftmost pair of lowest rank and is compacted; finished rows leave.
-Results are kept per chunk (text up to the next space) in a cache of bounded size.
+Results are kept per chunk in a cache bounded in bytes and emptied with the task. A chunk ends where one
+space stands between other characters than white space: no match of the pattern reaches across it.
 
 Nulls and odd input: null and empty texts have 0 tokens and the digests of nothing. Repeated rows are
 encoded each. An empty table gives no rows. Very long texts are streamed chunk by chunk.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -24,10 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from rememora.llm.common import filled, no_cycles, slices, table, type_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-_CACHE_ROWS = 400_000
+_CACHE_BYTES = 96_000_000
+_ENTRY_BYTES = 260  # of the two tables for each chunk, beside its own bytes
 _SLICE_BYTES = 4_000_000
 # one word of Latin letters with ASCII punctuation behind it: two pieces at most, whatever the pattern's version of Unicode
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# re counts more characters as white space than the pattern does, so a cut is never one too many
+_BESIDE_SPACE = re.compile(r" \s|\s ")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _NONE = np.int64(1 << 40)
 _codec: tuple | None = None
 
@@ -89,6 +95,7 @@ class Codec:
         self.decimal = {i: str(i) for i in self.vocabulary}
         self.ids_of: dict[str, str] = {}
         self.bytes_of: dict[str, bytes] = {}
+        self.held = 0
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece; buckets are powers of two of the length."""
@@ -163,15 +170,28 @@ class Codec:
             else:
                 self.ids_of[chunk] = " ".join(map(text.__getitem__, ps))
                 self.bytes_of[chunk] = b"".join(map(raw.__getitem__, ps))
+            self.held += self.weight(chunk)
+
+    def weight(self, chunk: str) -> int:
+        return _ENTRY_BYTES + 4 * len(chunk) + len(self.ids_of[chunk]) + len(self.bytes_of[chunk])
+
+    def forget(self, chunks=None) -> None:
+        """Drop some chunks, or all."""
+        if chunks is None:
+            self.ids_of.clear()
+            self.bytes_of.clear()
+            self.held = 0
+            return
+        for c in chunks:
+            self.held -= self.weight(c)
+            del self.ids_of[c], self.bytes_of[c]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
     def chunks(self, text: str) -> list[str]:
-        """Cuts before single spaces never change what the pattern matches; runs of spaces do, so such texts stay whole."""
-        if "  " in text:
-            return self.pattern.findall(text)
-        parts = text.split(" ")
+        """Cut before every space that has no white space beside it: the pattern takes such a space with what follows."""
+        parts = _CUT.split(text) if _BESIDE_SPACE.search(text) else text.split(" ")
         return [p for p in (parts[0], *(" " + p for p in parts[1:])) if p]
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, bytes]]:
@@ -185,10 +205,9 @@ class Codec:
         for cs in cut:
             ids = " ".join(map(self.ids_of.__getitem__, cs))
             out.append((ids.count(" ") + 1 if ids else 0, ids, b"".join(map(self.bytes_of.__getitem__, cs))))
-        if len(self.ids_of) > _CACHE_ROWS:
+        if self.held > _CACHE_BYTES:
             # what came first is kept, as common words do; a cache that no longer fits the text is dropped
-            for c in new if 2 * len(new) < len(seen) else list(self.ids_of):
-                del self.ids_of[c], self.bytes_of[c]
+            self.forget(new if 2 * len(new) < len(seen) else None)
         return out
 
 
@@ -197,18 +216,28 @@ def codec(path: str, pattern: str) -> Codec:
     global _codec
     if _codec is None or _codec[0] != (path, pattern):
         _codec = ((path, pattern), Codec(path, pattern))
-        no_cycles()
     return _codec[1]
 
 
+@contextmanager
+def working(path: str, pattern: str):
+    """The worker's codec for one task; what the task cached goes with it."""
+    with no_cycles():
+        c = codec(path, pattern)
+        try:
+            yield c
+        finally:
+            c.forget()
+
+
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, ids)``: the token ids of every text."""
     def run(batches):
-        c = codec(path, pattern)
-        for batch in batches:
-            for part in slices(batch, text_col, _SLICE_BYTES):
-                ids = [[int(x) for x in s.split()] for _, s, _ in c.encode(filled(part, text_col).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
+        with working(path, pattern) as c:
+            for batch in batches:
+                for part in slices(batch, text_col, _SLICE_BYTES):
+                    ids = [[int(x) for x in s.split()] for _, s, _ in c.encode(filled(part, text_col).to_pylist())]
+                    yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(ids, pa.list_(pa.int32()))], [id_col, "ids"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {type_of(df, id_col)}, ids array<int>")
 
@@ -227,14 +256,14 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``."""
     def run(batches):
-        c = codec(path, pattern)
-        for batch in batches:
-            for part in slices(batch, text_col, _SLICE_BYTES):
-                got = c.encode(filled(part, text_col).to_pylist())
-                yield pa.RecordBatch.from_arrays([
-                    part.column(id_col), pa.array([g[0] for g in got], pa.int64()),
-                    pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got], pa.string()),
-                    pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())], names)
+        with working(path, pattern) as c:
+            for batch in batches:
+                for part in slices(batch, text_col, _SLICE_BYTES):
+                    got = c.encode(filled(part, text_col).to_pylist())
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(id_col), pa.array([g[0] for g in got], pa.int64()),
+                        pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got], pa.string()),
+                        pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())], names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
     return df.select(id_col, text_col).mapInArrow(

@@ -41,14 +41,20 @@ WIDTH = PATH_BUCKETS + WORD_BUCKETS + RATIOS
 # Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i img ins del kbd label mark q s samp small span strike "
-                   "strong sub sup time tt u var wbr br".split())
-SKIPPED = frozenset("script style noscript template title textarea select svg math iframe object head".split())
+                   "strong sub sup time tt u var wbr br object math svg noscript select datalist option optgroup".split())
+EMBEDDED = frozenset("math svg".split())  # their elements are inline and may close themselves; those of BREAKS end them
+BREAKS = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul".split())
+SECTIONS = frozenset("article aside footer form header main nav section td th tr".split())
+# raw text up to the closing tag; an iframe that is never closed is empty
+RAW = frozenset("script style title textarea iframe".split())
+DROPPED = frozenset("select datalist template".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)",
     re.S)
+_RARE = re.compile(r"<(?:math|svg|select|datalist|template)\b", re.I)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -98,6 +104,12 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
     text: list[str] = []
     path: tuple[str, ...] = ()
     linked = at = 0
+    rare = bool(_RARE.search(page))
+
+    def embedded() -> bool:
+        """Inside mathematics or drawings, but not in a drawing's HTML."""
+        inner = next((t for t, _ in reversed(stack) if t in EMBEDDED or t == "foreignobject"), "") if rare else ""
+        return inner in EMBEDDED
 
     def flush():
         nonlocal text, linked
@@ -110,7 +122,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
 
     def add(piece: str):
         nonlocal path, linked
-        if not piece:
+        if not piece or rare and any(tag in DROPPED for tag, _ in stack):
             return
         if not text:
             path = tuple(x for _, parts in stack for x in parts)
@@ -129,25 +141,31 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if not tag:
             continue
         closing, attributes = (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        inline = tag in INLINE or embedded()
+        if rare and tag in BREAKS | SECTIONS and embedded():
+            while not closing and embedded():
+                stack.pop()
+            inline = False
         if tag == "br" or tag == "hr":
             text.append(" ") if tag == "br" and text else flush()
             continue
         if closing:
             if any(t == tag for t, _ in stack):
-                if tag not in INLINE:
+                if not inline:
                     flush()
                 while stack.pop()[0] != tag:
                     pass
-            elif tag not in INLINE:
+            elif not inline:
                 flush()
             continue
-        if tag in SKIPPED:
-            if tag != "head":
-                end = _closing(tag).search(page, at)
-                if not attributes.rstrip().endswith("/"):
-                    at = end.end() if end else len(page)
-                continue
-        if tag not in INLINE:
+        if tag in RAW:
+            end = _closing(tag).search(page, at)
+            if not attributes.rstrip().endswith("/"):
+                at = end.end() if end else at if tag == "iframe" else len(page)
+            continue
+        if rare and attributes.rstrip().endswith("/") and (tag in EMBEDDED or embedded()):
+            continue
+        if not inline:
             flush()
             shut = CLOSES.get(tag)
             if shut is None and any(t == "p" for t, _ in stack):
@@ -439,22 +457,21 @@ def train(sample: list[str], layouts: int = LAYOUTS, epochs: int = EPOCHS, seed:
 
 def fit(df: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES, **options) -> Network:
     rows = df.where(F.octet_length(html_col).between(1, sample_bytes)).select(html_col, F.xxhash64(html_col).alias("h"))
-    share = min(1.0, sample_pages / max(df.count(), 1))
-    drawn = rows.where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).orderBy("h").limit(4 * sample_pages).select(html_col)
-    return train([r[0] for r in drawn.collect()], **options)
+    # the pages of the least hashes: a top-k, exact at any number of pages
+    return train([r[0] for r in rows.orderBy("h", html_col).limit(sample_pages).select(html_col).collect()], **options)
 
 
 def extract(df: DataFrame, net: Network, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), certainty: float = 0.5) -> DataFrame:
     """``(keep..., text, n_chars)``."""
     def run(batches):
-        no_cycles()
-        for batch in batches:
-            for part in slices(batch, html_col):
-                found = [blocks(p) for p in filled(part, html_col).to_pylist()]
-                main = net.main([vectors(f) for f in found])
-                texts = ["\n".join(b[0] for b, p in zip(f, m) if p >= certainty) for f, m in zip(found, main)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()),
-                                                  pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
+        with no_cycles():
+            for batch in batches:
+                for part in slices(batch, html_col):
+                    found = [blocks(p) for p in filled(part, html_col).to_pylist()]
+                    main = net.main([vectors(f) for f in found])
+                    texts = ["\n".join(b[0] for b, p in zip(f, m) if p >= certainty) for f, m in zip(found, main)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(texts, pa.string()),
+                                                      pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     kinds = "".join(f"{c} {type_of(df, c)}, " for c in keep)
     return df.select(*keep, html_col).mapInArrow(run, f"{kinds}text string, n_chars bigint")

@@ -206,6 +206,7 @@ class Graph:
                     spare = np.flatnonzero(seen & (self.edges[:, -1] < 0))
                     free = spare[(self.square[spare] - 2 * self.x[spare] @ self.x[node]).argmin()][None]
                 self.edges[free[0], -1] = node
+                seen[node] = True
 
 
 def products(x: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -243,9 +244,9 @@ def index(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     nodes = (rows.withColumn("place", place).where(F.col("place") <= k + 1).groupBy("h1", "h2")
              .agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("id")).alias("ids")))
     # the largest component is taken out first, so that squares neither overflow nor vanish
-    top = F.array_max(F.transform("vector", F.abs))
-    norm = F.log2(top) + F.log2(F.aggregate("vector", F.lit(0.0), lambda a, v: a + (v / top) * (v / top))) / 2
-    nodes = settle(nodes.withColumn("dim", F.size("vector")).withColumn("layer", F.floor(norm + 0.5).cast("int")), "vectors")
+    scaled = F.aggregate("vector", F.lit(0.0), lambda a, v: a + (v / F.col("top")) * (v / F.col("top")))
+    nodes = nodes.withColumn("dim", F.size("vector")).withColumn("top", F.array_max(F.transform("vector", F.abs)))
+    nodes = settle(nodes.withColumn("layer", F.floor(F.log2("top") + F.log2(scaled) / 2 + 0.5).cast("int")).drop("top"), "vectors")
     sizes = settle(nodes.groupBy("dim", "layer").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "shards")
     dealt = nodes.join(sizes, ["dim", "layer"]).withColumn("shard", F.pmod("h1", "shards").cast("int"))
     kind = type_of(df, id_col)
