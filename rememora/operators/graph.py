@@ -51,11 +51,13 @@ def explicit_relations(entries: DataFrame, params: Params = DEFAULTS) -> DataFra
         F.col("seq").alias("from_seq"), F.col("pos").cast("long").alias("place"))
 
 
-def build_edges(entries: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def build_edges(entries: DataFrame, params: Params = DEFAULTS, ranked: bool = False) -> DataFrame:
     """Explicit and co-occurrence edges, one per key, capped per source.
 
     ``(chat_id, from_id, to_id, type, weight, seq)``; ``seq`` is the order in
-    which a source's edges enter the graph.
+    which a source's edges enter the graph. With ``ranked`` the column ``kept``
+    is the edge's place under the cap: the edges of a smaller cap are those with
+    ``kept`` up to it, in the same order.
     """
     linked = cooccurrence(entries, params).withColumn("block", F.lit(1))
     if "relations" in entries.columns:
@@ -70,7 +72,8 @@ def build_edges(entries: DataFrame, params: Params = DEFAULTS) -> DataFrame:
                  [F.desc("weight"), F.asc("at"), F.asc("to_id"), F.asc("type")], params.edge_cap, "kept")
     # back in candidate order, which is the order the graph stores them in
     order = Window.partitionBy("chat_id", "from_id").orderBy("at", "to_id", "type")
-    return kept.select(*EDGE_KEY, "weight", F.row_number().over(order).cast("long").alias("seq"))
+    place = ["kept"] if ranked else []
+    return kept.select(*EDGE_KEY, "weight", F.row_number().over(order).cast("long").alias("seq"), *place)
 
 
 def _raise_shared(asserted: DataFrame, entries: DataFrame, params: Params) -> DataFrame:

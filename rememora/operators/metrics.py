@@ -10,21 +10,21 @@ from rememora.params import STANDARD_K
 QUERY = ["chat_id", "query_id"]
 
 
-def match_gold(retrieved: DataFrame, qa: DataFrame) -> DataFrame:
+def match_gold(retrieved: DataFrame, qa: DataFrame, keys: list[str] = QUERY) -> DataFrame:
     """Mark retrieved rows whose source turns meet the evidence turns.
 
     ``retrieved(chat_id, query_id, rank, id, source_messages)``,
-    ``qa(chat_id, query_id, evidence)``.
+    ``qa(chat_id, query_id, evidence)``; ``keys`` tell the questions apart.
     """
     hit = F.coalesce(F.arrays_overlap("source_messages", "evidence"), F.lit(False))
-    return retrieved.join(qa.select(*QUERY, "evidence"), QUERY).withColumn("matched", hit).drop("evidence")
+    return retrieved.join(qa.select(*keys, "evidence"), keys).withColumn("matched", hit).drop("evidence")
 
 
-def per_gold(retrieved: DataFrame, qa: DataFrame) -> DataFrame:
+def per_gold(retrieved: DataFrame, qa: DataFrame, keys: list[str] = QUERY) -> DataFrame:
     """Which retrieved entries support which evidence turn."""
-    sources = retrieved.select(*QUERY, "id", F.explode("source_messages").alias("turn"))
-    gold = qa.select(*QUERY, F.explode("evidence").alias("turn"))
-    return sources.join(gold, [*QUERY, "turn"]).distinct()
+    sources = retrieved.select(*keys, "id", F.explode("source_messages").alias("turn"))
+    gold = qa.select(*keys, F.explode("evidence").alias("turn"))
+    return sources.join(gold, [*keys, "turn"]).distinct()
 
 
 def match_gold_by_text(retrieved: DataFrame, gold: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -39,22 +39,22 @@ def match_gold_by_text(retrieved: DataFrame, gold: DataFrame, threshold: float =
         jaccard(F.col("a"), F.col("b"), both_empty=1.0) >= threshold).select(*QUERY, "turn", "id")
 
 
-def per_query(retrieved: DataFrame, qa: DataFrame, ks=STANDARD_K) -> DataFrame:
+def per_query(retrieved: DataFrame, qa: DataFrame, ks=STANDARD_K, keys: list[str] = QUERY) -> DataFrame:
     """One row per question; metrics are NULL where nothing retrieved is gold.
 
     Precision divides by what was returned up to k, recall by the *retrieved*
     gold entries, so recall at the retrieval depth is 1 by construction.
     ``evidence_recall`` divides by all evidence turns instead.
     """
-    marked = match_gold(retrieved, qa)
+    marked = match_gold(retrieved, qa, keys)
     hits = {k: F.count_if(F.col("matched") & (F.col("rank") <= k)) for k in ks}
-    folded = marked.groupBy(*QUERY).agg(
+    folded = marked.groupBy(*keys).agg(
         F.count("*").alias("n_retrieved"), F.count_if("matched").alias("n_matched"),
         F.min(F.when(F.col("matched"), F.col("rank"))).alias("first_rank"),
         *[hits[k].alias(f"hits_{k}") for k in ks])
-    covered = per_gold(retrieved, qa).groupBy(*QUERY).agg(F.countDistinct("turn").alias("turns_covered"))
+    covered = per_gold(retrieved, qa, keys).groupBy(*keys).agg(F.countDistinct("turn").alias("turns_covered"))
     scored = F.coalesce(F.col("n_matched"), F.lit(0)) > 0
-    out = qa.join(folded, QUERY, "left").join(covered, QUERY, "left")
+    out = qa.join(folded, keys, "left").join(covered, keys, "left")
     out = out.withColumn("scored", scored).withColumn("mrr", F.when(scored, 1 / F.col("first_rank")))
     for k in ks:
         out = out.withColumn(f"precision_{k}", F.when(scored, F.col(f"hits_{k}") / F.least(F.lit(k), "n_retrieved")))

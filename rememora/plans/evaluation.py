@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rememora.functions.identity import row_digest
-from rememora.operators import baselines, consolidate, tiers
+from rememora.operators import baselines, consolidate, graph, grid, metrics, tiers
 from rememora.params import DEFAULTS, Params
 from rememora.session import settle
 
@@ -72,6 +72,16 @@ def run(memory: Memory, qa: DataFrame, retriever: str, at: Column, k: int = 10,
     return found.select(*QUERY, F.col("rank").cast("long").alias("rank"), "id", "tier", "bm25", "score")
 
 
+def sweep(memory: Memory, qa: DataFrame, points: list[Params], at: Column, k: int = 10) -> DataFrame:
+    """One row of metrics per grid point, with its swept knobs; memory, index, candidates and edges are shared by all points."""
+    edges = graph.build_edges(memory.entries, grid.widest(points), ranked=True)
+    found = grid.ladder_points(memory.entries, edges, qa.select(*QUERY, "query"), at, k, points)
+    asked = qa.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))).alias("point"))
+    scores = metrics.per_query(settle(with_sources(found, memory), "swept"), asked, keys=[*QUERY, "point"])
+    knob = lambda name: F.get(F.array(*(F.lit(getattr(p, name)) for p in points)), F.col("point")).alias(name)
+    return metrics.summarize(scores, ["point"]).select("*", *map(knob, grid.SWEPT))
+
+
 def digest(entries: DataFrame) -> DataFrame:
     """Per chat: number of entries and a stable fingerprint of them in order.
 

@@ -968,3 +968,115 @@ UNION ALL
 SELECT '', 'flat-' || flag, 'edge_cap', 'edge_cap', line::VARCHAR, mrr, coverage, n, n_scored, n_skipped, p50, p50 * 2, false FROM m
 UNION ALL
 SELECT '', 'baselines', 'baselines', 'retriever', 'r' || line, mrr, coverage, n, n_scored, n_skipped, p50, p50 * 2, false FROM m"""
+
+
+# --- the ladder over a grid of points -----------------------------------------------
+
+def knob_points(**knobs: list) -> str:
+    """Every combination of the knobs, the others at their defaults."""
+    values = {"lambda_1": [1.0], "seeds": [3], "beam": [5], "cap": [20]} | knobs
+    lists = ", ".join(f"(SELECT unnest({v}) AS {k})" for k, v in values.items())
+    return f"points AS (SELECT row_number() OVER () AS point, * FROM {lists})"
+
+
+def point_hop(n: int) -> str:
+    earlier = " UNION ALL ".join(f"SELECT chat_id, query_id, point, id FROM beam{i}" for i in range(n))
+    return f"""
+reached{n} AS (
+  SELECT f.chat_id, f.query_id, f.point, e.to_id AS id, f.intent, f.pos AS from_pos, e.seq AS edge_seq, e.type
+  FROM beam{n - 1} f JOIN points g USING (point)
+  JOIN edges e ON e.chat_id = f.chat_id AND e.from_id = f.id AND e.seq <= g.cap
+  JOIN pooled p ON p.chat_id = f.chat_id AND p.id = e.to_id
+  WHERE NOT EXISTS (SELECT 1 FROM ({earlier}) d WHERE d.chat_id = f.chat_id AND d.query_id = f.query_id
+                    AND d.point = f.point AND d.id = e.to_id)),
+beam{n} AS (
+  SELECT * EXCLUDE (beam) FROM (
+    SELECT r.chat_id, r.query_id, r.point, r.id, r.intent, g.beam,
+           row_number() OVER (PARTITION BY r.chat_id, r.query_id, r.point ORDER BY
+             round(g.lambda_1 * ({AFFINITY}) + 0.3 * coalesce(s.bm25, 0), 10) DESC, from_pos, edge_seq) AS pos
+    FROM reached{n} r JOIN points g USING (point)
+    LEFT JOIN scores s ON s.chat_id = r.chat_id AND s.query_id = r.query_id AND s.id = r.id) WHERE pos <= beam)"""
+
+
+POINT_LADDER = f"""
+intents AS (SELECT chat_id, query_id, {INTENT} AS intent FROM qa),
+beam0 AS (
+  SELECT t.chat_id, t.query_id, g.point, t.id, i.intent, t.rank AS pos FROM t2 t
+  JOIN intents i ON i.chat_id = t.chat_id AND i.query_id = t.query_id JOIN points g ON t.rank <= g.seeds),
+{point_hop(1)},
+{point_hop(2)},
+found AS (
+  SELECT chat_id, query_id, point, id, hop, min(pos) AS pos FROM (
+    SELECT *, 0 AS hop FROM beam0 UNION ALL SELECT *, 1 FROM beam1 UNION ALL SELECT *, 2 FROM beam2) GROUP BY ALL),
+t3 AS (
+  SELECT *, row_number() OVER (PARTITION BY chat_id, query_id, point ORDER BY score DESC, hop, pos) AS rank FROM (
+    SELECT f.*, s.bm25, round(s.bm25 * {PRIOR}, 10) AS score FROM found f
+    JOIN scores s ON s.chat_id = f.chat_id AND s.query_id = f.query_id AND s.id = f.id
+    JOIN entries e ON e.chat_id = f.chat_id AND e.id = f.id) WHERE score > 0 QUALIFY rank <= 10),
+ladder AS (
+  SELECT chat_id, query_id, point, rank, id FROM t3 UNION ALL
+  SELECT q.chat_id, q.query_id, g.point, f.rank, f.id FROM qa q JOIN points g ON true JOIN floor_rows f USING (chat_id)
+  WHERE NOT EXISTS (SELECT 1 FROM t3 WHERE t3.chat_id = q.chat_id AND t3.query_id = q.query_id AND t3.point = g.point))"""
+_KS = (1, 3, 5, 10)
+POINT_METRICS = f"""
+marked AS (
+  SELECT r.*, list_has_any(e.sources, q.evidence) AS matched FROM ladder r
+  JOIN entries e ON e.chat_id = r.chat_id AND e.id = r.id JOIN qa q ON q.chat_id = r.chat_id AND q.query_id = r.query_id),
+folded AS (
+  SELECT chat_id, query_id, point, count(*) AS n_retrieved, count(*) FILTER (matched) AS n_matched,
+         min(rank) FILTER (matched) AS first_rank, {", ".join(f"count(*) FILTER (matched AND rank <= {k}) AS hits_{k}" for k in _KS)}
+  FROM marked GROUP BY ALL),
+point_scores AS (
+  SELECT g.point, coalesce(n_matched, 0) > 0 AS scored, CASE WHEN n_matched > 0 THEN 1 / first_rank END AS mrr,
+         {", ".join(f"CASE WHEN n_matched > 0 THEN hits_{k} / least({k}, n_retrieved) END AS precision_{k}, "
+                    f"CASE WHEN n_matched > 0 THEN hits_{k} / n_matched END AS recall_{k}" for k in _KS)}
+  FROM qa q JOIN points g ON true
+  LEFT JOIN folded f ON f.chat_id = q.chat_id AND f.query_id = q.query_id AND f.point = g.point WHERE NOT q.abstention),
+swept AS (
+  SELECT point, count(*) AS n, count(*) FILTER (scored) AS n_scored, round(count(*) FILTER (scored) / count(*), 6) AS coverage,
+         round(avg(mrr), 6) AS mrr, {METRICS} FROM point_scores GROUP BY point)"""
+
+
+def swept(**knobs: list) -> tuple[str, ...]:
+    return (*MEMORY, bm25(queries="qa"), TIER2, EDGES, floor(10), knob_points(**knobs), POINT_LADDER, POINT_METRICS)
+
+
+_GRID = swept(lambda_1=[0.5, 1.0, 2.0], seeds=[1, 3], beam=[2, 5], cap=[2, 20])
+_GRID_KNOBS = "lambda_1::DOUBLE AS lambda_1, seeds::INT AS seeds_k, beam::INT AS beam_width, cap::INT AS edge_cap"
+ORACLE["ladder_sweep"] = with_recursive(*_GRID) + f"SELECT {_GRID_KNOBS}, s.* EXCLUDE (point) FROM swept s JOIN points USING (point)"
+ORACLE["ladder_elbow"] = with_recursive(*_GRID, f"rows_ AS (SELECT {_GRID_KNOBS}, mrr FROM swept JOIN points USING (point))", """
+sloped AS (
+  SELECT *, (lead(mrr) OVER w - mrr) / (lead(lambda_1) OVER w - lambda_1) AS slope
+  FROM rows_ WINDOW w AS (PARTITION BY seeds_k, beam_width, edge_cap ORDER BY lambda_1)),
+judged AS (SELECT *, max(abs(slope)) OVER (PARTITION BY seeds_k, beam_width, edge_cap) AS steepest FROM sloped),
+elbows AS (
+  SELECT * FROM judged WHERE steepest >= 0.005 AND abs(slope) <= 0.1 * steepest + 1e-12
+  QUALIFY row_number() OVER (PARTITION BY seeds_k, beam_width, edge_cap ORDER BY lambda_1) = 1),
+axis AS (
+  SELECT max(abs(slope)) < 0.005 AS flat FROM (
+    SELECT CASE WHEN lead(lambda_1) OVER w = lambda_1 THEN 0 ELSE (lead(mrr) OVER w - mrr) / (lead(lambda_1) OVER w - lambda_1) END AS slope
+    FROM rows_ WINDOW w AS (ORDER BY lambda_1))),
+best AS (SELECT * FROM rows_ ORDER BY mrr DESC, lambda_1, seeds_k DESC, beam_width DESC, edge_cap DESC LIMIT 1),
+ranked AS (
+  SELECT lambda_1, seeds_k, beam_width, edge_cap, mrr, 'elbow' AS rationale, 1 AS p FROM elbows UNION ALL
+  SELECT CASE WHEN flat THEN 1.0 ELSE lambda_1 END, CASE WHEN flat THEN 3 ELSE seeds_k END, CASE WHEN flat THEN 5 ELSE beam_width END,
+         CASE WHEN flat THEN 20 ELSE edge_cap END, mrr, CASE WHEN flat THEN 'flat axis' ELSE 'best point' END, 2 FROM best, axis)""") + """
+SELECT lambda_1, seeds_k, beam_width, edge_cap, mrr, rationale FROM ranked ORDER BY p, mrr DESC, seeds_k, beam_width, edge_cap, lambda_1 LIMIT 1"""
+
+
+def pinned(n: int, knob: str, where: str) -> str:
+    """Round n of a descent: its points, and the value at the elbow or of the highest metric."""
+    return f"""
+round{n} AS (SELECT {knob} AS value, coalesce(mrr, 0) AS mrr FROM swept JOIN points USING (point) WHERE {where}),
+slopes{n} AS (SELECT *, abs((lead(mrr) OVER w - mrr) / (lead(value) OVER w - value)) AS rise FROM round{n} WINDOW w AS (ORDER BY value)),
+pin{n} AS (
+  SELECT coalesce((SELECT min(value) FROM slopes{n} WHERE rise <= 0.1 * (SELECT max(rise) FROM slopes{n}) + 1e-12),
+                  (SELECT value FROM round{n} ORDER BY mrr DESC, value LIMIT 1)) AS value)"""
+
+
+ORACLE["ladder_descent"] = with_recursive(
+    *swept(lambda_1=[0.5, 1.0, 1.5], beam=[1, 3, 5], cap=[2, 5, 20]), pinned(0, "lambda_1", "beam = 5 AND cap = 20"),
+    pinned(1, "beam", "lambda_1 = (SELECT value FROM pin0) AND cap = 20"),
+    pinned(2, "cap", "lambda_1 = (SELECT value FROM pin0) AND beam = (SELECT value FROM pin1)")) + " UNION ALL ".join(
+    f"SELECT {n}::INT AS round, '{knob}' AS knob, r.value::DOUBLE AS value, r.mrr, r.value = p.value AS pinned FROM round{n} r, pin{n} p"
+    for n, knob in enumerate(("lambda_1", "beam_width", "edge_cap")))

@@ -11,6 +11,7 @@ from rememora.operators import (
     baselines, bm25, caches, communities, consolidate, dedup, graph, metrics, neighbors, numbering,
     persona, positions, scoring, tiers, upkeep, viewer,
 )
+from rememora.params import DEFAULTS
 from rememora.plans import evaluation, runs, sweeps, tables
 from rememora.session import scratch_path, settle
 from rememora.sources import corpora, extraction_cache, runs as run_files, state, traces as trace_files
@@ -656,6 +657,52 @@ def grid_sweep(spark, folder):
     return sweeps.grid_sweep({"edge_cap": [5, 10, 20]}, evaluate)
 
 
+SWEEP_KNOBS = {"lambda_1": [0.5, 1.0, 2.0], "seeds_k": [1, 3], "beam_width": [2, 5], "edge_cap": [2, 20]}
+DESCENT = [("lambda_1", [0.5, 1.0, 1.5]), ("beam_width", [1, 3, 5]), ("edge_cap", [2, 5, 20])]
+
+
+def _sweep(spark, folder):
+    """Metrics of any grid points over one memory of all conversations."""
+    turns = tables.turns(spark, folder)
+    memory = evaluation.seed(turns, tables.now())
+    qa = settle(evaluation.questions(turns), "questions")
+    return lambda points: evaluation.sweep(memory, qa, points, tables.now())
+
+
+def _grid_points():
+    return [DEFAULTS.override(**p) for p in sweeps.grid(SWEEP_KNOBS)]
+
+
+@query
+def ladder_sweep(spark, folder):
+    """The whole ladder on conversations at every grid point, in one pass over shared candidates."""
+    swept = _sweep(spark, folder)(_grid_points())
+    return swept.select(*SWEEP_KNOBS, "n", "n_scored", *[r6(c) for c in METRIC_COLUMNS])
+
+
+@query
+def ladder_elbow(spark, folder):
+    """The elbow of the intent weight over the slices of the other knobs."""
+    swept = settle(_sweep(spark, folder)(_grid_points()).select(*SWEEP_KNOBS, r6("mrr")), "swept-points")
+    others = [k for k in SWEEP_KNOBS if k != "lambda_1"]
+    chosen = sweeps.elbow(swept, "lambda_1", "mrr", others, {k: getattr(DEFAULTS, k) for k in SWEEP_KNOBS})
+    return chosen.select(*SWEEP_KNOBS, r6("mrr"), "rationale")
+
+
+@query
+def ladder_descent(spark, folder):
+    """Coordinate descent: every round is one pass, its knob is pinned at the elbow."""
+    swept = _sweep(spark, folder)
+
+    def evaluate(points):
+        found = {r["point"]: r["mrr"] for r in swept(points).select("point", r6("mrr")).collect()}  # one row per point
+        return [found[i] if found[i] is not None else 0.0 for i in range(len(points))]
+
+    _, history = sweeps.pinned_descent(DESCENT, evaluate)
+    rows = [(i, h["knob"], float(value), metric, value == h["winner"]) for i, h in enumerate(history) for value, metric in h["points"]]
+    return spark.createDataFrame(rows, "round int, knob string, value double, mrr double, pinned boolean")
+
+
 @query
 def spearman_price_key(spark, folder):
     orders = tables.load(spark, folder, "orders").select(

@@ -181,6 +181,36 @@ def coordinate_descent(rounds: list[tuple[str, list]], evaluate: Callable[[Param
     return base, history
 
 
+def elbow_of(points: list[tuple[float, float]]) -> float:
+    """The knob value at the elbow of a few ``(value, metric)`` points, else the value of the highest metric."""
+    points = sorted(points)
+    rises = [(b[1] - a[1]) / (b[0] - a[0]) if b[0] != a[0] else 0.0 for a, b in zip(points, points[1:])]
+    limit = ELBOW_RATIO * max(map(abs, rises), default=0.0) + 1e-12
+    flat = [p[0] for p, rise in zip(points, rises) if abs(rise) <= limit]
+    return flat[0] if flat else max(points, key=lambda p: (p[1], -p[0]))[0]
+
+
+def pinned_descent(rounds: list[tuple[str, list]], evaluate: Callable[[list[Params]], list[float]],
+                   base: Params = DEFAULTS) -> tuple[Params, list[dict]]:
+    """Tune knob by knob, pinning each at its elbow before the next.
+
+    ``evaluate`` gets all points of a round at once, so that they share one pass, and returns their metric;
+    a point of an earlier round is not asked again.
+    """
+    known: dict[Params, float] = {}
+    history = []
+    for knob, values in rounds:
+        points = [base.override(**{knob: value}) for value in values]
+        new = [p for p in dict.fromkeys(points) if p not in known]
+        if new:
+            known.update(zip(new, evaluate(new)))
+        scored = [(value, known[p]) for value, p in zip(values, points)]
+        winner = elbow_of(scored)
+        base = base.override(**{knob: winner})
+        history.append({"knob": knob, "points": scored, "winner": winner, "asked": len(new)})
+    return base, history
+
+
 def _between(p: float) -> tuple[Rule, Rule]:
     return (lambda n: F.floor((n - 1) * F.lit(p)), lambda n: F.ceil((n - 1) * F.lit(p)))
 

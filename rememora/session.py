@@ -21,6 +21,11 @@ def build_session(master: str = "local[*]", app: str = "rememora",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # plans of finished queries are long and of no use; by default a driver keeps a thousand
+        .config("spark.sql.ui.retainedExecutions", "10")
+        .config("spark.ui.retainedJobs", "20")
+        .config("spark.ui.retainedStages", "20")
+        .config("spark.ui.retainedTasks", "500")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)
@@ -66,11 +71,14 @@ def settle_bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """Like ``settle``, but dealt into buckets of ``keys``, so that joins and groups on them need no shuffle.
 
     There are as many buckets as shuffle partitions, the number a cluster sets for its data. The files
-    lie in the scratch folder; the session's catalog only names them.
+    lie in the scratch folder; the session's catalog names them only until they are resolved.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"{label}_{uuid.uuid4().hex}"
     (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
      .option("path", f"{scratch_root(spark)}/{name}").saveAsTable(name))
-    return spark.table(name)
+    table = spark.table(name)
+    # the plan holds files and buckets; an external table's files outlive its name
+    spark.sql(f"DROP TABLE `{name}`")
+    return table

@@ -10,7 +10,8 @@ from rememora.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", shuffle_partitions=4)
+    # the driver of a local session runs the tasks too
+    session = build_session("local[8]", shuffle_partitions=4, **{"spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
