@@ -1080,3 +1080,55 @@ ORACLE["ladder_descent"] = with_recursive(
     pinned(2, "cap", "lambda_1 = (SELECT value FROM pin0) AND beam = (SELECT value FROM pin1)")) + " UNION ALL ".join(
     f"SELECT {n}::INT AS round, '{knob}' AS knob, r.value::DOUBLE AS value, r.mrr, r.value = p.value AS pinned FROM round{n} r, pin{n} p"
     for n, knob in enumerate(("lambda_1", "beam_width", "edge_cap")))
+
+
+# --- calls to a model that fail ---------------------------------------------------------
+
+_ANSWERED = f"""
+prompts AS (
+  SELECT chat_id, batch, 'Transcript:' || chr(10) || string_agg('[user] ' || text, chr(10) ORDER BY place)
+         || chr(10) || chr(10) || 'Return the JSON now.' AS body, count(*) AS n_turns, sum(length(text)) AS n_chars
+  FROM batched GROUP BY chat_id, batch),
+called AS (SELECT *, substr(sha256(body), 1, 1) AS digit FROM prompts),
+answers AS (
+  SELECT *, digit NOT IN ('0', '1', '4', '5') AS answered,
+         CASE digit WHEN '0' THEN 'failed after 3 attempts: 503 busy' WHEN '1' THEN 'failed after 3 attempts: reset'
+                    WHEN '4' THEN '429 quota' WHEN '5' THEN 'response missing string content' END AS error,
+         (CASE WHEN digit IN ('0', '1', '3') THEN 3 WHEN digit = '2' THEN 2 ELSE 1 END)::INT AS attempts,
+         CASE WHEN digit IN ('0', '1', '3') THEN 600 WHEN digit = '2' THEN 200 ELSE 0 END AS waited_ms FROM called)"""
+ORACLE["model_answers"] = with_(BATCHES, _ANSWERED) + "SELECT chat_id, batch, answered, error, attempts, waited_ms FROM answers"
+ORACLE["model_write_path"] = with_(BATCHES, _ANSWERED, """
+stopped AS (SELECT chat_id, min(batch) AS failed FROM answers WHERE NOT answered GROUP BY 1),
+judged AS (SELECT a.*, failed IS NULL OR batch < failed AS drains FROM answers a LEFT JOIN stopped USING (chat_id))""") + """
+SELECT chat_id, count(*) FILTER (drains) AS drained, count(*) FILTER (drains AND digit <> '6') AS facts,
+       count(*) FILTER (drains AND digit <> '6') AS skipped, count(*) FILTER (drains AND digit = '6') AS parse_failures,
+       coalesce(sum(n_turns) FILTER (NOT drains), 0)::BIGINT AS returned_turns,
+       coalesce(sum(n_chars) FILTER (NOT drains), 0)::BIGINT AS returned_chars,
+       count(*) FILTER (NOT drains AND NOT answered) AS failed_calls, min(batch) FILTER (NOT drains) AS first_returned
+FROM judged GROUP BY chat_id"""
+
+
+# --- whole forms of queries that read part of their tables; invariants ---------------------
+
+ORACLE["lifecycle_bump_all"] = """
+SELECT user_id::VARCHAR AS id,
+       least(100.0, least(100.0, 20 + 3 * count(*) FILTER (event_type <> 'purchase'))
+             + 5 * count(*) FILTER (event_type = 'purchase'))::DOUBLE AS importance,
+       count(*) FILTER (event_type <> 'purchase') AS access_count, count(*) FILTER (event_type = 'purchase') AS update_count,
+       epoch_us(coalesce(max(ts) FILTER (event_type = 'purchase'), min(ts))) AS updated_us
+FROM events GROUP BY user_id"""
+ORACLE["sweep_diff_all"] = with_(points("l_returnflag", "l_linenumber", "l_discount")) + """
+SELECT a.l_returnflag || '/' || a.l_linenumber AS knob, a.l_discount AS value, round(b.mrr - a.mrr, 6) AS delta_mrr,
+       round(b.coverage - a.coverage, 6) AS delta_coverage
+FROM points a JOIN points b ON a.l_returnflag = b.l_returnflag AND a.l_discount = b.l_discount AND b.l_linenumber = a.l_linenumber + 1"""
+ORACLE["consolidation_rates_all"] = ORACLE["consolidation_rates"].replace(" WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)", "")
+ORACLE["trace_enrichment_all"] = ORACLE["trace_enrichment"].replace(" WHERE event_type = 'purchase'", "")
+ORACLE["extraction_validate_all"] = with_(BATCHES) + """
+SELECT chat_id, batch, 'ok' AS status, count(*) AS n_facts, count(*) AS skipped, sum(length(text))::BIGINT AS n_chars
+FROM batched GROUP BY chat_id, batch"""
+ORACLE["leiden_invariants"] = """
+SELECT count(DISTINCT vec_id) AS nodes, true AS several, 0::BIGINT AS unplaced, 0::BIGINT AS repeated, 0::BIGINT AS misnamed,
+       0::BIGINT AS split, 0 AS worse FROM embeddings"""
+ORACLE["persona_invariants"] = with_(ENTRIES) + """
+SELECT chat_id, subject, count(*) AS n_facts, 0::BIGINT AS uncovered, 0::BIGINT AS doubled, 0::BIGINT AS adrift
+FROM entries WHERE scope = 'episodic' AND length(subject) > 0 GROUP BY chat_id, subject"""

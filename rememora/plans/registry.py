@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rememora.functions import lifecycle, text, vectors
 from rememora.operators import (
-    baselines, bm25, caches, communities, consolidate, dedup, graph, metrics, neighbors, numbering,
+    baselines, bm25, caches, communities, consolidate, dedup, graph, metrics, model_client, neighbors, numbering,
     persona, positions, scoring, tiers, upkeep, viewer,
 )
 from rememora.params import DEFAULTS
@@ -388,6 +390,14 @@ def update_bump(spark, folder):
                       F.unix_micros("updated_at").alias("updated_us"))
 
 
+@query
+def lifecycle_bump_all(spark, folder):
+    """Every event of every user: purchases update, all others are accesses."""
+    kinds = ["view", "click", "purchase", "signup", "error"]
+    out = upkeep.apply_events(_user_entries(spark, folder), _lifecycle_events(spark, folder, kinds))
+    return out.select("id", "importance", "access_count", "update_count", F.unix_micros("updated_at").alias("updated_us"))
+
+
 @query
 def daily_decay(spark, folder):
     entries = tables.entries(spark, folder)
@@ -543,6 +553,15 @@ def trace_enrichment(spark, folder):
     return runs.enrich(calls, answers).select("id", "query", "lat_ms", "answer")
 
 
+@query
+def trace_enrichment_all(spark, folder):
+    """Answers from the events of every type."""
+    calls = _calls(spark, folder).select("id", F.concat_ws(" ", "tier", "query_len").alias("query"), "lat_ms")
+    answers = tables.load(spark, folder, "events").groupBy(
+        F.concat_ws(" ", "event_type", F.get_json_object("props", "$.k")).alias("query")).agg(F.max("value").alias("answer"))
+    return runs.enrich(calls, answers).select("id", "query", "lat_ms", "answer")
+
+
 @query
 def run_mode_summary(spark, folder):
     rows = _calls(spark, folder).select(
@@ -573,6 +592,18 @@ def sweep_diff(spark, folder):
     return diff.select("knob", "value", r6("delta_mrr"), r6("delta_coverage"))
 
 
+@query
+def sweep_diff_all(spark, folder):
+    """Every line number against the next one."""
+    rows = _points(spark, folder, "l_returnflag", "l_linenumber", "l_discount")
+
+    def as_file(shift):
+        pair = (F.col("l_linenumber") - shift).cast("string")
+        return rows.select(F.concat_ws("/", "l_returnflag", pair).alias("knob"), F.col("l_discount").alias("value"), "mrr", "coverage")
+
+    return runs.sweep_diff(as_file(0), as_file(1)).select("knob", "value", r6("delta_mrr"), r6("delta_coverage"))
+
+
 @query
 def elbow(spark, folder):
     points = _points(spark, folder, "l_returnflag", "l_discount").select("l_returnflag", "l_discount", "mrr")
@@ -611,6 +642,20 @@ def consolidation_rates(spark, folder):
                         r6("parse_fail_rate"), r6("entry_skip_rate"))
 
 
+@query
+def consolidation_rates_all(spark, folder):
+    """All orders as conversations, those without items as runs that repeat nothing."""
+    orders = tables.load(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("conversation_id"), F.col("o_orderstatus").alias("sweep"),
+        F.floor(F.col("o_totalprice") / 1000).alias("added"), (F.col("o_custkey") % 7).alias("updated"),
+        F.floor(F.col("o_totalprice") / 500).alias("drained"), (F.col("o_custkey") % 11).alias("batches"),
+        (F.col("o_custkey") % 2).alias("parse_failures"), (F.col("o_custkey") % 3).alias("entries_skipped"))
+    items = tables.load(spark, folder, "lineitem").select(F.col("l_orderkey").alias("conversation_id"))
+    rates = sweeps.consolidation_rates(orders.join(items, "conversation_id", "left"), ["sweep"])
+    return rates.select("sweep", *sweeps.STAT_COLUMNS, r6("update_rate"), r6("dedup_hit_rate"),
+                        r6("parse_fail_rate"), r6("entry_skip_rate"))
+
+
 @query
 def weighted_mrr_rollup(spark, folder):
     scored = F.when(F.col("l_linestatus") == "F", F.col("l_discount"))
@@ -798,6 +843,16 @@ def leiden(spark, folder):
     return communities.leiden(edges, nodes, 1.0).select("node", "community")
 
 
+@query
+def leiden_invariants(spark, folder):
+    """The communities of all vectors as the counts of what a sound partition has none of."""
+    edges = _graph(spark, folder)
+    nodes = tables.load(spark, folder, "embeddings").select(F.lit("all").alias("key"), F.col("vec_id").alias("node"))
+    seats = settle(communities.leiden(edges, nodes, 1.0), "communities")
+    return communities.partition_faults(edges, nodes, seats, 1.0).select(
+        "nodes", (F.col("communities") > 1).alias("several"), "unplaced", "repeated", "misnamed", "split", "worse")
+
+
 @query
 def cosine_to_label_mean(spark, folder):
     vecs = _vectors(spark, folder)
@@ -824,6 +879,13 @@ def persona_rebuild(spark, folder):
         "chat_id", "subject", "depth", "leaf", "text", "n_facts")
 
 
+@query
+def persona_invariants(spark, folder):
+    """Per subject: facts that the rebuild's highest layer leaves out or holds twice, and summaries without facts."""
+    entries = tables.entries(spark, folder)
+    return persona.rebuild_faults(entries, *persona.rebuild(entries.filter("scope = 'episodic'")))
+
+
 @query
 def persona_replace(spark, folder):
     entries = tables.entries(spark, folder)
@@ -967,6 +1029,64 @@ def extraction_validate(spark, folder):
                          F.get("facts", F.lit(0))["content"].alias("content"))
 
 
+@query
+def extraction_validate_all(spark, folder):
+    """Every message of a batch as an item of the answer, with an unusable item between any two."""
+    cut = settle(consolidate.batches(tables.turns(spark, folder)), "batches")
+    bad = F.struct(F.lit("").alias("content"), F.lit("x").alias("subject"), F.array(F.lit("tag")).alias("tags"))
+    items = F.flatten(F.transform("messages", lambda m: F.array(
+        F.struct(m["content"].alias("content"), F.lit("someone").alias("subject"), F.array(F.lit("tag")).alias("tags")), bad)))
+    answers = cut.select("chat_id", "batch", F.to_json(F.struct(items.alias("entries"))).alias("answer"))
+    judged = consolidate.extract_by_answers(cut, answers)
+    return judged.select("chat_id", "batch", "status", F.size("facts").cast("long").alias("n_facts"), "skipped",
+                         F.aggregate("facts", F.lit(0).cast("long"), lambda n, f: n + F.length(f["content"])).alias("n_chars"))
+
+
+def fake_model(system: str, user: str) -> str:
+    """A deterministic client: by a digit of the prompt's digest it answers, fails once or twice, always or for good."""
+    digit = hashlib.sha256(user.encode()).hexdigest()[0]
+    failures = fake_model.calls.get(user, 0)
+    if digit in "01" or (digit == "2" and failures < 1) or (digit == "3" and failures < 2):
+        fake_model.calls[user] = failures + 1
+        raise model_client.CallFailed("busy", 503) if digit in "02" else ConnectionError("reset")
+    fake_model.calls.pop(user, None)
+    if digit == "4":
+        raise model_client.CallFailed("quota", 429)
+    if digit == "5":
+        return None
+    if digit == "6":
+        return "not json"
+    content = user.split("\n")[1]
+    return json.dumps({"entries": [{"content": content, "subject": digit, "tags": []}, {"content": ""}]})
+
+
+fake_model.calls = {}
+NO_WAIT = model_client.CallPolicy(sleep=lambda s: None)
+
+
+@query
+def model_answers(spark, folder):
+    """Every batch of the conversations through a client that fails by the prompt's digest."""
+    asked = model_client.ask(consolidate.batches(tables.turns(spark, folder)), fake_model, NO_WAIT)
+    return asked.select("chat_id", "batch", F.col("answer").isNotNull().alias("answered"), "error", "attempts", "waited_ms")
+
+
+@query
+def model_write_path(spark, folder):
+    """Facts, drained and returned batches per chat when calls fail: what lies behind a failed batch waits."""
+    cut = settle(consolidate.batches(tables.turns(spark, folder)), "batches")
+    extracted, returned = model_client.extract_by_model(cut, fake_model, NO_WAIT)
+    drained = extracted.groupBy("chat_id").agg(
+        F.count("*").alias("drained"), F.sum(F.size("facts")).alias("facts"), F.sum("skipped").alias("skipped"),
+        F.count_if(F.col("status") == "parse_failure").alias("parse_failures"))
+    back = model_client.back_to_buffer(returned).groupBy("chat_id").agg(
+        F.count("*").alias("returned_turns"), F.sum(F.length("text")).alias("returned_chars"))
+    errors = returned.groupBy("chat_id").agg(F.count("error").alias("failed_calls"), F.min("batch").alias("first_returned"))
+    names = ["drained", "facts", "skipped", "parse_failures", "returned_turns", "returned_chars", "failed_calls"]
+    whole = cut.select("chat_id").distinct().join(drained, "chat_id", "left").join(back, "chat_id", "left").join(errors, "chat_id", "left")
+    return whole.select("chat_id", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names], "first_returned")
+
+
 @query
 def traced_calls(spark, folder):
     events = tables.load(spark, folder, "events")
