@@ -7,8 +7,8 @@ The decoder takes the most probable reading under the character model, mixed wit
 toxic words. Texts are scored by their restored words: words and word beginnings that mark toxic
 training texts give evidence, and a logistic model over the strongest evidence gives the score. Marks at
 the end of a chunk are punctuation as a rule; a chunk is also read with its look-alikes there as letters,
-and one without any letter as letters only (at half the evidence), but such a reading counts only if it
-is a whole learned word.
+one without any letter as letters, and either without all its marks; such a reading counts only if it is
+a whole learned word, and half if the chunk is a number.
 
 Labels are learned from training rows only: a sample of about ``max_rows`` labelled rows drawn by hash
 bounds the word statistics and the fit (the character model counts all texts). A label table without
@@ -190,11 +190,11 @@ class Scorer:
         word = core(token)
         read = self.decoder.decode(word).split() if is_disguised(word) else []
         found = max(map(self.word, [word, *read]))
-        whole = token.strip(_LEADING)
-        if whole != word or whole and not any(map(str.isalpha, whole)):
-            part = 1.0 if any(map(str.isalpha, whole)) else 0.5
-            for reading in self.decoder.decode(whole).split():
-                found = max(found, part * self.evidence.get("=" + reading, 0.0))
+        for other in {token.strip(_LEADING), token.strip(_TRAILING)} - {""}:
+            if other != word or not any(map(str.isalpha, other)):
+                part = 0.5 if other.isdigit() else 1.0
+                for reading in [other] if other.isalpha() else self.decoder.decode(other).split():
+                    found = max(found, part * self.evidence.get("=" + reading, 0.0))
         return found
 
     def values(self, text: str) -> list[float]:
