@@ -31,7 +31,7 @@ END_ID = 1
 SLACK = 32
 GROUP_ROWS = 50_000
 TOKENIZER = "word_bpe_49k.json"
-_CACHE_BYTES = 96_000_000
+_CACHE_BYTES = 80_000_000
 _ENTRY_BYTES = 200  # of the table for each chunk, beside its own bytes
 _SLICE_BYTES = 4_000_000
 _JOINED = 500
@@ -162,7 +162,7 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             ids, rows = [], [np.zeros((0, 4), np.int64)]
             return out
 
-        with no_cycles():
+        with no_cycles("packing", lambda: _encoder and _encoder[3].forget(list(_encoder[3]))):
             for batch in batches:
                 kind = batch.schema.field(id_col).type
                 for part in slices(batch, text_col, _SLICE_BYTES):
@@ -176,8 +176,6 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     rows.append(np.array(found, np.int64).reshape(-1, 4))
                     if len(ids) > 200_000:  # a task's pieces are packed in runs of bounded size
                         yield packed()
-            cache = _loaded(path)[2]
-            cache.forget(list(cache))
         if ids:
             yield packed()
 

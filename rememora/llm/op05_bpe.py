@@ -3,7 +3,7 @@
 Text is cut by the tokenizer's pattern, each distinct piece is encoded once per batch. Pieces of like
 length form one padded matrix of ids; in each round every row looks up its neighbouring pairs in a
 hashed pair table, merges the leftmost pair of lowest rank and is compacted; finished rows leave.
-Results are kept per chunk in a cache bounded in bytes and emptied with the task. A chunk ends where one
+Results are kept per chunk in a cache bounded in bytes, which goes when a worker turns to another operator. A chunk ends where one
 space stands between other characters than white space: no match of the pattern reaches across it.
 
 Nulls and odd input: null and empty texts have 0 tokens and the digests of nothing. Repeated rows are
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rememora.llm.common import filled, no_cycles, slices, table, type_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-_CACHE_BYTES = 96_000_000
+_CACHE_BYTES = 80_000_000
 _ENTRY_BYTES = 260  # of the two tables for each chunk, beside its own bytes
 _SLICE_BYTES = 4_000_000
 # one word of Latin letters with ASCII punctuation behind it: two pieces at most, whatever the pattern's version of Unicode
@@ -221,13 +221,9 @@ def codec(path: str, pattern: str) -> Codec:
 
 @contextmanager
 def working(path: str, pattern: str):
-    """The worker's codec for one task; what the task cached goes with it."""
-    with no_cycles():
-        c = codec(path, pattern)
-        try:
-            yield c
-        finally:
-            c.forget()
+    """The worker's codec for one task; its cache serves the next tasks of this operator."""
+    with no_cycles("bpe", lambda: _codec and _codec[1].forget()):
+        yield codec(path, pattern)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
