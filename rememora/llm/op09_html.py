@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rememora.llm.common import filled, no_cycles, slices, table, type_of
+from rememora.llm.common import drawn_share, filled, no_cycles, slices, table, type_of
 
 SAMPLE_PAGES = 200
 SAMPLE_BYTES = 100_000
@@ -457,8 +457,9 @@ def train(sample: list[str], layouts: int = LAYOUTS, epochs: int = EPOCHS, seed:
 
 def fit(df: DataFrame, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_bytes: int = SAMPLE_BYTES, **options) -> Network:
     rows = df.where(F.octet_length(html_col).between(1, sample_bytes)).select(html_col, F.xxhash64(html_col).alias("h"))
-    # the pages of the least hashes: a top-k, exact at any number of pages
-    return train([r[0] for r in rows.orderBy("h", html_col).limit(sample_pages).select(html_col).collect()], **options)
+    # about twice as many are drawn, each text once, before the least hashes are taken: tasks send few pages however many there are
+    drawn = drawn_share(rows, F.col("h"), 2 * sample_pages, df.count()).dropDuplicates(["h"])
+    return train([r[0] for r in drawn.orderBy("h").limit(sample_pages).select(html_col).collect()], **options)
 
 
 def extract(df: DataFrame, net: Network, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), certainty: float = 0.5) -> DataFrame:
