@@ -832,6 +832,78 @@ SELECT user_id::VARCHAR AS chat_id, event_id AS seq, first_id::VARCHAR AS first_
        CASE WHEN event_id = first_id THEN '3' WHEN nth > 1 THEN '0' ELSE '1' END AS tier FROM asked"""
 
 
+# a fold over the events of every chat, one step a round
+ORACLE["stream_cache_evict"] = """
+WITH RECURSIVE asked AS (
+  SELECT user_id // 15 AS chat_id, event_id, event_type || ' k' || json_extract_string(props, '$.k') AS q,
+         event_type = 'error' AND json_extract_string(props, '$.k') = '0' AS wipes,
+         row_number() OVER (PARTITION BY user_id // 15 ORDER BY event_id) AS n FROM events),
+fold AS (
+  SELECT chat_id, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::VARCHAR AS tier, NULL::BIGINT AS first_id,
+         []::STRUCT(q VARCHAR, id BIGINT)[] AS exact, []::STRUCT(q VARCHAR, id BIGINT)[] AS fuzzy FROM asked WHERE n = 1
+  UNION ALL
+  SELECT chat_id, n, event_id, tier, id,
+         CASE WHEN wipes THEN [] WHEN tier = '0' THEN exact
+              ELSE list_append(exact, {'q': q, 'id': id})[CASE WHEN len(exact) = 200 THEN 2 ELSE 1 END:] END,
+         CASE WHEN wipes OR tier <> '3' THEN fuzzy
+              ELSE list_append(fuzzy, {'q': q, 'id': id})[CASE WHEN len(fuzzy) = 200 THEN 2 ELSE 1 END:] END
+  FROM (SELECT f.chat_id, a.n, a.event_id, a.q, a.wipes, f.exact, f.fuzzy,
+               list_filter(f.exact, lambda x: x.q = a.q)[1].id AS in_exact, list_filter(f.fuzzy, lambda x: x.q = a.q)[1].id AS in_fuzzy,
+               CASE WHEN in_exact IS NOT NULL THEN '0' WHEN in_fuzzy IS NOT NULL THEN '1' ELSE '3' END AS tier,
+               coalesce(in_exact, in_fuzzy, a.event_id) AS id
+        FROM fold f JOIN asked a ON a.chat_id = f.chat_id AND a.n = f.n + 1))
+SELECT chat_id::VARCHAR AS chat_id, seq, tier, first_id::VARCHAR AS first_id
+FROM fold JOIN asked USING (chat_id, n) WHERE NOT wipes"""
+ORACLE["stream_lifecycle"] = """
+WITH RECURSIVE said AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
+ops AS (
+  SELECT user_id AS chat_id, event_id AS seq, k % 8 AS turn, 'f' || k % 16 AS id,
+         CASE WHEN event_type IN ('click', 'signup') THEN 'message' WHEN event_type = 'view' THEN 'access'
+              WHEN event_type = 'purchase' THEN CASE WHEN k >= 90 THEN 'rebuilt' WHEN k % 2 = 0 THEN 'fact' ELSE 'update' END
+              WHEN k % 10 = 9 THEN 'switch' ELSE 'retract' END AS op FROM said),
+moves AS (SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY seq) AS n FROM ops WHERE op IN ('message', 'retract', 'switch')),
+fold AS (
+  SELECT chat_id, 0::BIGINT AS n, NULL::BIGINT AS seq, 0::BIGINT AS fires, NULL::BIGINT[] AS turns,
+         CASE WHEN chat_id % 2 = 0 AND chat_id IN (SELECT c_custkey FROM customer) THEN [1, 3]::BIGINT[] ELSE [] END AS held
+  FROM moves WHERE n = 1
+  UNION ALL
+  SELECT chat_id, n, seq, fires + brims::BIGINT, CASE WHEN brims THEN held[:2] END, CASE WHEN brims THEN held[3:] ELSE held END
+  FROM (SELECT f.chat_id, m.n, m.seq, f.fires,
+               CASE m.op WHEN 'message' THEN list_append(f.held, m.turn)
+                         WHEN 'retract' THEN list_filter(f.held, lambda x: x <> m.turn) ELSE f.held END AS held,
+               m.op <> 'retract' AND len(CASE m.op WHEN 'message' THEN list_append(f.held, m.turn) ELSE f.held END) >= 4 AS brims
+        FROM fold f JOIN moves m ON m.chat_id = f.chat_id AND m.n = f.n + 1)),
+births AS (
+  SELECT c_custkey AS chat_id, 'f' || j AS id, ((c_custkey * 37 + j * 13) % 101)::DOUBLE AS importance, -1 AS born
+  FROM customer, range(10) r(j)),
+all_births AS (
+  SELECT * FROM births UNION ALL
+  SELECT chat_id, id, 50.0, min(seq) FROM ops WHERE op = 'fact' AND (chat_id, id) NOT IN (SELECT chat_id, id FROM births)
+  GROUP BY chat_id, id),
+touched AS (
+  SELECT o.chat_id, o.seq, CASE WHEN o.seq = born THEN 'added' WHEN op = 'access' THEN 'access' ELSE 'update' END AS kind, id, importance
+  FROM ops o JOIN all_births b USING (chat_id, id) WHERE op IN ('access', 'update', 'fact') AND o.seq >= born),
+counted AS (
+  SELECT *, count(*) FILTER (kind = 'access') OVER w AS access_count, count(*) FILTER (kind = 'update') OVER w AS update_count,
+         max(seq) FILTER (kind <> 'access') OVER w AS updated_seq
+  FROM touched WINDOW w AS (PARTITION BY chat_id, id ORDER BY seq)),
+epochs AS (
+  SELECT *, sum((kind = 'rebuilt')::INT) OVER (PARTITION BY chat_id ORDER BY seq) AS epoch
+  FROM (SELECT chat_id, seq, kind FROM touched WHERE kind = 'added' UNION ALL SELECT chat_id, seq, 'rebuilt' FROM ops WHERE op = 'rebuilt')),
+rebuilds AS (
+  SELECT chat_id, seq, kind, count(*) FILTER (kind = 'added') OVER (PARTITION BY chat_id, epoch ORDER BY seq)
+         + CASE WHEN epoch = 0 AND chat_id IN (SELECT c_custkey FROM customer) THEN chat_id % 4 ELSE 0 END AS added FROM epochs)
+SELECT chat_id::VARCHAR AS chat_id, seq, 'buffer' AS kind, fires - 1 AS fire, array_to_string(turns, ',') AS turns, NULL::VARCHAR AS id,
+       NULL::DOUBLE AS importance, -1 AS access_count, -1 AS update_count, -1 AS updated_seq, -1 AS added, false AS rebuild_due
+FROM fold WHERE turns IS NOT NULL
+UNION ALL
+SELECT c.chat_id::VARCHAR, c.seq, c.kind, -1, NULL, id, least(100.0, importance + 3 * access_count + 5 * update_count),
+       access_count, update_count, coalesce(updated_seq, -1), coalesce(r.added, -1), coalesce(r.added >= 5, false)
+FROM counted c LEFT JOIN rebuilds r ON r.chat_id = c.chat_id AND r.seq = c.seq
+UNION ALL
+SELECT chat_id::VARCHAR, seq, kind, -1, NULL, NULL, NULL, -1, -1, -1, added, false FROM rebuilds WHERE kind = 'rebuilt'"""
+
+
 # --- edges with types, upserts and caps ---------------------------------------------------
 
 TYPED_EDGES = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -1140,6 +1141,47 @@ def stream_cache_routing(spark, folder):
     return routed.select("chat_id", "seq", "tier", F.get("ids", F.lit(0)).alias("first_id"))
 
 
+@query
+def stream_cache_evict(spark, folder):
+    """Caches at the default cap: about a thousand events a chat and up to 500 keys, so the oldest fall out."""
+    k = F.get_json_object("props", "$.k")
+    stream = tables.stream(spark, folder, "events").select(
+        F.floor(F.col("user_id") / 15).alias("chat_id"), F.col("event_id").alias("seq"),
+        F.when((F.col("event_type") == "error") & (k == "0"), "write").otherwise("query").alias("op"),
+        F.concat_ws(" k", "event_type", k).alias("query"), F.lit("3").alias("tier"),
+        F.array(F.col("event_id").cast("string")).alias("ids"))
+    routed = live.drain(live.routed_queries(stream), "evicted")
+    return routed.select("chat_id", "seq", "tier", F.get("ids", F.lit(0)).alias("first_id"))
+
+
+@query
+def stream_lifecycle(spark, folder):
+    """Every event of every user as an operation on its chat, on top of what customers have stored."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.col("event_type")
+    op = (F.when(kind.isin("click", "signup"), "message").when(kind == "view", "access")
+          .when(kind == "purchase", F.when(k >= 90, "rebuilt").when(k % 2 == 0, "fact").otherwise("update"))
+          .otherwise(F.when(k % 10 == 9, "switch").when(k % 2 == 0, "delete").otherwise("swipe")))
+    stream = tables.stream(spark, folder, "events").select(
+        F.col("user_id").alias("chat_id"), F.col("event_id").alias("seq"), op.alias("op"), (k % 8).alias("turn"),
+        kind.alias("role"), F.col("props").alias("text"), F.concat(F.lit("f"), (k % 16).cast("string")).alias("id"))
+    chats = tables.load(spark, folder, "customer").select(F.col("c_custkey").alias("chat_id"))
+    places = F.explode(F.sequence(F.lit(0), F.lit(9)))
+    entries = chats.select("chat_id", places.alias("j")).select(
+        "chat_id", F.concat(F.lit("f"), F.col("j").cast("string")).alias("id"),
+        ((F.col("chat_id") * 37 + F.col("j") * 13) % 101).alias("importance"))
+    turns = chats.filter("chat_id % 2 = 0").select(
+        "chat_id", F.explode(F.array(F.lit(1), F.lit(3))).alias("turn"), F.lit("user").alias("role"), F.lit("kept").alias("text"))
+    stored = live.stored_state(entries, turns.withColumn("seq", F.col("turn")),
+                               chats.withColumn("added", F.col("chat_id") % 4))
+    knobs = replace(tiers.DEFAULTS, buffer_threshold=4, batch_size=2, rebuild_suggestion=5)
+    rows = live.drain(live.lived(stream, stored, knobs), "lived")
+    return rows.select(
+        "chat_id", "seq", "kind", F.array_join(F.col("turns").cast("array<string>"), ",").alias("turns"), "id", "importance",
+        *[F.coalesce(n, F.lit(-1)).alias(n) for n in ("fire", "access_count", "update_count", "updated_seq", "added")],
+        F.coalesce("rebuild_due", F.lit(False)).alias("rebuild_due"))
+
+
 # --- edges with types, upserts and caps --------------------------------------------------
 
 def _related_entries(spark, folder):

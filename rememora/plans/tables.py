@@ -18,10 +18,14 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# a micro-batch takes whole files up to this size, so the rows of a chat that meet in one are bounded
+BATCH_BYTES = 4 << 30
+
+
 def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The table as a file stream; the pattern matches one file as well as a folder of files."""
     schema = load(spark, folder, name).schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", BATCH_BYTES).parquet(f"{folder}/{name}.parque[t]")
 
 
 # fewer splits than this are dealt out anew: at most that many times ``spark.sql.files.maxPartitionBytes`` is moved, on any cluster

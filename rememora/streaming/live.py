@@ -3,11 +3,14 @@
 A chat's rows meet one state at a time, which is what the write lock of a
 single-process host achieves; different chats run in parallel. The state of a
 chat is bounded: fewer turns than the threshold plus one micro-batch, and at most
-``cache_cap`` keys per cache.
+``cache_cap`` keys per cache. Lifecycles of stored entries are single keys of a map
+on disk, read and written only where a row names them.
 """
 
 from __future__ import annotations
 
+import math
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -24,6 +27,12 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 FIRED = ("chat_id string, fire long, reason string, turns array<long>, "
          "messages array<struct<role:string,content:string>>")
 ROUTED = "chat_id string, seq long, tier string, ids array<string>"
+LIVED = ("chat_id string, seq long, kind string, fire long, turns array<long>, "
+         "messages array<struct<role:string,content:string>>, id string, importance double, access_count long, "
+         "update_count long, updated_seq long, added long, rebuild_due boolean")
+SEED = ("chat_id string, part string, seq long, id string, importance double, access_count long, update_count long, "
+        "turn long, role string, text string, added long, rebuild_due boolean")
+NEW_IMPORTANCE = 50.0
 
 
 @contextmanager
@@ -49,9 +58,10 @@ def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
 class BufferProcessor(StatefulProcessor):
     """Working buffer of one chat.
 
-    Input operations: ``message`` appends, ``delete`` retracts the turn,
-    ``switch`` leaves the chat. A full buffer fires and drains one batch; so
-    does leaving a chat with a full buffer, and an idle timeout with any.
+    Input operations: ``message`` appends, ``delete`` and ``swipe`` retract the turn
+    (a swipe is activity, a deletion is not), ``switch`` leaves the chat. A full
+    buffer fires and drains one batch; so does leaving a chat with a full buffer,
+    and an idle timeout with any. A retraction without a turn changes nothing.
     """
 
     def __init__(self, threshold: int, batch: int, idle_ms: int | None):
@@ -85,22 +95,26 @@ class BufferProcessor(StatefulProcessor):
     def _emit(out):
         return iter([pd.DataFrame(out, columns=["chat_id", "fire", "reason", "turns", "messages"])]) if out else iter(())
 
+    def _apply(self, key, row, held, out) -> tuple[list, bool | None]:
+        """Buffer after one row, and whether the timer runs on (None: as before)."""
+        if row.op == "message" and isinstance(row.text, str) and row.text.strip():
+            held.append((None if pd.isna(row.turn) else int(row.turn), row.role, row.text))
+            return (self._drain(key, held, "buffer", out) if len(held) >= self.threshold else held), True
+        if row.op in ("delete", "swipe"):
+            if not pd.isna(row.turn):
+                held = [h for h in held if h[0] != int(row.turn)]
+            return held, True if row.op == "swipe" else None
+        if row.op == "switch":
+            return (self._drain(key, held, "buffer", out) if len(held) >= self.threshold else held), False
+        return held, None
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self.buffer.get()]
         out: list[tuple] = []
-        armed = None  # a deletion leaves the timer alone
+        armed = None
         for row in _in_order(rows).itertuples(index=False):
-            if row.op == "message" and isinstance(row.text, str) and row.text.strip():
-                held.append((int(row.turn), row.role, row.text))
-                armed = True
-                if len(held) >= self.threshold:
-                    held = self._drain(key[0], held, "buffer", out)
-            elif row.op == "delete":
-                held = [h for h in held if h[0] != int(row.turn)]
-            elif row.op == "switch":
-                armed = False
-                if len(held) >= self.threshold:
-                    held = self._drain(key[0], held, "buffer", out)
+            held, said = self._apply(key[0], row, held, out)
+            armed = armed if said is None else said
         self._store(held)
         if self.idle_ms is not None and armed is not None:
             self._rearm(timerValues, armed and bool(held))
@@ -127,11 +141,202 @@ def fired_batches(events: DataFrame, params: Params = DEFAULTS, idle: bool = Fal
         timeMode="ProcessingTime" if idle else "None")
 
 
+class ChatProcessor(BufferProcessor):
+    """Buffer, entry lifecycles and rebuild counter of one chat.
+
+    Besides the buffer's operations: ``access`` and ``update`` raise the importance of entry
+    ``id`` up to 100 and count; ``fact`` is a consolidated fact, an update of an entry that is
+    held, else a new one, counted since the last rebuild; ``rebuilt`` sets that counter back.
+    An operation on an entry that is not held changes nothing and gives no row.
+    """
+
+    def __init__(self, params: Params, idle: bool):
+        super().__init__(params.buffer_threshold, params.batch_size, params.idle_seconds * 1000 if idle else None)
+        self.bonus = {"access": params.access_bonus, "update": params.update_bonus}
+        self.suggestion = params.rebuild_suggestion
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.lives = handle.getMapState(
+            "lives", "id string", "importance double, accesses long, updates long, updated long")
+        self.rebuild = handle.getValueState("rebuild", "added long, due boolean")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for row in initialState[initialState["part"] == "entry"].itertuples(index=False):
+            self.lives.updateValue((row.id,), (float(row.importance), int(row.access_count), int(row.update_count), None))
+        turns = initialState[initialState["part"] == "turn"].sort_values("seq", kind="stable")
+        if len(turns):
+            self.buffer.appendList([(int(r.turn), r.role, r.text) for r in turns.itertuples(index=False)])
+        for row in initialState[initialState["part"] == "chat"].itertuples(index=False):
+            self.rebuild.update((int(row.added), bool(row.rebuild_due)))
+
+    def _fired(self, key, seq, fired):
+        return [(key, seq, reason, n, turns, messages) + (None,) * 7 for _, n, reason, turns, messages in fired]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.buffer.get()]
+        added, due = self.rebuild.get() if self.rebuild.exists() else (0, False)
+        lives: dict[str, tuple | None] = {}  # entries that this micro-batch names; None: not held
+        changed, out, armed = set(), [], None
+        for row in _in_order(rows).itertuples(index=False):
+            seq, fired = int(row.seq), []
+            held, said = self._apply(key[0], row, held, fired)
+            armed = True if row.op == "access" else armed if said is None else said
+            out += self._fired(key[0], seq, fired)
+            if row.op == "rebuilt":
+                added, due = 0, False
+                out.append((key[0], seq, "rebuilt") + (None,) * 8 + (added, due))
+            if row.op not in ("access", "update", "fact") or not isinstance(row.id, str):
+                continue
+            if row.id not in lives:
+                lives[row.id] = tuple(self.lives.getValue((row.id,))) if self.lives.containsKey((row.id,)) else None
+            now = lives[row.id]
+            kind = "added" if row.op == "fact" and now is None else "update" if row.op == "fact" else row.op
+            if kind == "added":
+                added, lives[row.id] = added + 1, (NEW_IMPORTANCE, 0, 0, seq)
+                due = due or added >= self.suggestion
+            elif now is None:
+                continue
+            else:
+                wrote = kind == "update"
+                lives[row.id] = (min(100.0, now[0] + self.bonus[kind]), now[1] + (not wrote), now[2] + wrote,
+                                 seq if wrote else now[3])
+            changed.add(row.id)
+            counter = (added, due) if kind == "added" else (None, None)
+            out.append((key[0], seq, kind, None, None, None, row.id, *lives[row.id], *counter))
+        self._store(held)
+        self.rebuild.update((added, due))
+        for name in changed:
+            self.lives.updateValue((name,), lives[name])
+        if self.idle_ms is not None and armed is not None:
+            self._rearm(timerValues, armed and bool(held))
+        return self._emit(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.buffer.get()]
+        fired: list[tuple] = []
+        if held:
+            self._store(self._drain(key[0], held, "idle", fired))
+        return self._emit(self._fired(key[0], None, fired))
+
+    @staticmethod
+    def _emit(out):
+        names = [field.split(" ")[0] for field in LIVED.split(", ")]
+        return iter([pd.DataFrame(out, columns=names, dtype=object)]) if out else iter(())
+
+
+def stored_state(entries: DataFrame, turns: DataFrame | None = None, chats: DataFrame | None = None) -> DataFrame:
+    """What a stream starts from: stored ``entries(chat_id, id, importance, access_count, update_count)``,
+    buffered ``turns(chat_id, seq, turn, role, text)``, ``chats(chat_id, added, rebuild_due)``.
+
+    Nulls become zero or false; an entry without an id and a row without a chat are left out.
+    """
+    parts = [entries.filter("id IS NOT NULL").withColumn("part", F.lit("entry"))]
+    parts += [d.withColumn("part", F.lit(p)) for d, p in ((turns, "turn"), (chats, "chat")) if d is not None]
+    shape = [field.split(" ") for field in SEED.split(", ")]
+    zero = {"importance": 0.0, "access_count": 0, "update_count": 0, "added": 0, "rebuild_due": False, "turn": -1}
+    rows = None
+    for part in parts:
+        columns = [(F.coalesce(F.col(n).cast(t), F.lit(zero[n])) if n in zero else F.col(n).cast(t)).alias(n)
+                   if n in part.columns else F.lit(zero.get(n)).cast(t).alias(n) for n, t in shape]
+        rows = part.select(columns) if rows is None else rows.unionByName(part.select(columns))
+    return rows.filter("chat_id IS NOT NULL")
+
+
+def lived(events: DataFrame, stored: DataFrame | None = None, params: Params = DEFAULTS, idle: bool = False) -> DataFrame:
+    """Fired batches and lifecycle changes of a stream ``(chat_id, seq, op, turn, role, text, id)``.
+
+    ``stored`` (see :func:`stored_state`) is read once, when the stream first starts.
+    """
+    chats = events.select(F.col("chat_id").cast("string").alias("chat_id"), "seq", "op", "turn", "role", "text", "id")
+    return chats.groupBy("chat_id").transformWithStateInPandas(
+        statefulProcessor=ChatProcessor(params, idle), outputStructType=LIVED, outputMode="Append",
+        timeMode="ProcessingTime" if idle else "None",
+        initialState=None if stored is None else stored.groupBy("chat_id"))
+
+
+class _Recent:
+    """One cache of a chat, read once per micro-batch: keys oldest write first, eviction in constant time."""
+
+    def __init__(self, state, cap: int):
+        self.state, self.cap = state, cap
+        self.rows: OrderedDict[str, tuple[list, int]] | None = None
+        self.stored: set[str] = set()
+        self.changed: set[str] = set()
+
+    def load(self) -> OrderedDict:
+        if self.rows is None:
+            found = sorted(((k[0], (list(v[0]), v[1])) for k, v in self.state.iterator()), key=lambda r: r[1][1])
+            self.rows = OrderedDict(found)
+            self.stored = set(self.rows)
+        return self.rows
+
+    def record(self, key: str, ids: list, at: int) -> list[str]:
+        """Write a key to the end and return those that fall out."""
+        rows = self.load()
+        rows.pop(key, None)
+        rows[key] = (list(ids), at)
+        out = [rows.popitem(last=False)[0] for _ in range(len(rows) - self.cap)]
+        self.changed.update(out, [key])
+        return out
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.rows, self.stored, self.changed = OrderedDict(), set(), set()
+
+    def save(self) -> None:
+        for key in self.changed:
+            if key in self.rows:
+                self.state.updateValue((key,), self.rows[key])
+            elif key in self.stored:
+                self.state.removeKey((key,))
+
+
+class _Similar:
+    """Keys of a cache by the tokens of their prefix; sets of Jaccard ``threshold`` or more share one of these."""
+
+    def __init__(self, cache: _Recent, threshold: float):
+        self.cache, self.threshold = cache, threshold
+        self.holders: dict[str, set[str]] | None = None
+
+    def prefix(self, key: str) -> list[str]:
+        tokens = key.split(" ")
+        return tokens[:len(tokens) - math.ceil(self.threshold * len(tokens) - 1e-9) + 1]
+
+    def add(self, key: str) -> None:
+        for token in self.prefix(key):
+            self.holders[token].add(key)
+
+    def record(self, key: str, ids: list, at: int) -> None:
+        fallen = self.cache.record(key, ids, at)
+        if self.holders is not None:
+            self.add(key)
+            for old in fallen:
+                for token in self.prefix(old):
+                    self.holders[token].discard(old)
+
+    def nearest(self, key: str) -> list | None:
+        """Ids of the most similar key at or above the threshold, the oldest write among equals."""
+        rows = self.cache.load()
+        if self.holders is None:
+            self.holders = defaultdict(set)
+            for held in rows:
+                self.add(held)
+        tokens, best = set(key.split(" ")), None
+        for near in set().union(*(self.holders.get(t, ()) for t in self.prefix(key))):
+            other = set(near.split(" "))
+            shared = len(tokens & other)
+            ranked = (shared / (len(tokens) + len(other) - shared), -rows[near][1])
+            if ranked[0] >= self.threshold and (best is None or ranked > best[0]):
+                best = (ranked, rows[near][0])
+        return best and best[1]
+
+
 class CacheProcessor(StatefulProcessor):
     """Exact and fuzzy query cache of one chat, oldest write evicted first.
 
     ``query`` rows carry what the ladder would answer; ``write`` rows mark a
-    long-term write, which clears the exact cache only.
+    long-term write, which clears the exact cache only. Empty keys are not stored.
     """
 
     def __init__(self, cap: int, threshold: float):
@@ -143,46 +348,31 @@ class CacheProcessor(StatefulProcessor):
         self.fuzzy = handle.getMapState("fuzzy", "key string", shape)
         self.clock = handle.getValueState("clock", "n long")
 
-    def _record(self, cache, key, ids, at):
-        if not key:
-            return
-        cache.updateValue((key,), (list(ids), at))
-        ages = sorted((value[1], k[0]) for k, value in cache.iterator())
-        for _, old in ages[:max(0, len(ages) - self.cap)]:
-            cache.removeKey((old,))
-
-    def _nearest(self, tokens: set):
-        best, best_key = (0.0, 0), None
-        for (key,), value in self.fuzzy.iterator():
-            other = set(key.split(" "))
-            shared = len(tokens & other)
-            score = (shared / (len(tokens) + len(other) - shared), -value[1])
-            if score > best:
-                best, best_key = score, value[0]
-        return best_key if best[0] >= self.threshold else None
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         at = self.clock.get()[0] if self.clock.exists() else 1
+        exact, fuzzy = _Recent(self.exact, self.cap), _Recent(self.fuzzy, self.cap)
+        similar = _Similar(fuzzy, self.threshold)
         out = []
         for row in _in_order(rows).itertuples(index=False):
             at += 1
             if row.op == "write":
-                self.exact.clear()
-                continue
-            stored = self.exact.getValue((row.exact,)) if self.exact.containsKey((row.exact,)) else None
-            if stored is not None and len(stored[0]):
-                out.append((key[0], row.seq, "0", list(stored[0])))
-                continue
-            near = self._nearest(set(row.fuzzy.split(" "))) if row.fuzzy else None
-            if near is not None:
-                self._record(self.exact, row.exact, near, at)
-                out.append((key[0], row.seq, "1", list(near)))
+                exact.clear()
                 continue
-            ids = list(row.ids) if row.ids is not None else []
-            if row.tier == "3":
-                self._record(self.exact, row.exact, ids, at)
-                self._record(self.fuzzy, row.fuzzy, ids, at)
-            out.append((key[0], row.seq, row.tier, ids))
+            stored = exact.load().get(row.exact)
+            near = None if stored and stored[0] or not row.fuzzy else similar.nearest(row.fuzzy)
+            if stored and stored[0]:
+                tier, ids = "0", stored[0]
+            elif near is not None:
+                tier, ids = "1", near
+            else:
+                tier, ids = row.tier, list(row.ids) if row.ids is not None else []
+            if row.exact and (near is not None or tier == "3"):
+                exact.record(row.exact, ids, at)
+            if row.fuzzy and near is None and tier == "3":
+                similar.record(row.fuzzy, ids, at)
+            out.append((key[0], row.seq, tier, list(ids)))
+        exact.save()
+        fuzzy.save()
         self.clock.update((at,))
         if out:
             yield pd.DataFrame(out, columns=["chat_id", "seq", "tier", "ids"])

@@ -200,3 +200,78 @@ def test_cache_stream_routes_and_forgets(spark, tmp_path):
     routed = live.drain(live.routed_queries(stream_of(spark, tmp_path, rows, schema)), "test")
     assert [(r["seq"], r["tier"], list(r["ids"])) for r in routed.orderBy("seq").collect()] == [
         (1, "3", ["a"]), (2, "0", ["a"]), (3, "1", ["a"]), (5, "1", ["a"]), (6, "floor", ["f"]), (7, "floor", ["f"])]
+
+
+def test_cache_stream_equals_a_plain_fold(spark, tmp_path):
+    """Evictions, rewrites, writes and near queries at a small cap, over several micro-batches, against one scan a query."""
+    import random
+    draw, cap, t = random.Random(5), 4, DEFAULTS.fuzzy_threshold
+    words = ["ann", "bob", "cat", "dog", "eel", "fox"]
+    asked = [(c, i, "write" if draw.random() < .05 else "query", " ".join(draw.sample(words, draw.randint(1, 4))),
+              draw.choice(["3", "3", "3", "floor"]), [f"n{i}"] if i % 9 else []) for i in range(300) for c in ("p", "q")]
+    want = []
+    for chat in ("p", "q"):
+        exact, fuzzy = {}, {}  # key: ids, in order of writes
+
+        def put(cache, key, ids):
+            cache.pop(key, None)
+            cache[key] = ids
+            if len(cache) > cap:
+                del cache[next(iter(cache))]
+        for _, seq, op, query, tier, ids in [r for r in asked if r[0] == chat]:
+            if op == "write":
+                exact = {}
+                continue
+            key, tokens = query, set(query.split())
+            scored = [(-len(tokens & set(k.split())) / len(tokens | set(k.split())), n, v) for n, (k, v) in enumerate(fuzzy.items())]
+            near = min(scored, key=lambda r: r[:2], default=None)
+            if exact.get(key):
+                tier, ids = "0", exact[key]
+            elif near and -near[0] >= t:
+                tier, ids = "1", near[2]
+                put(exact, key, ids)
+            elif tier == "3":
+                put(exact, key, ids)
+                put(fuzzy, " ".join(sorted(tokens)), ids)
+            want.append((chat, seq, tier, ids))
+    schema = "chat_id string, seq long, op string, query string, tier string, ids array<string>"
+    for n in range(3):
+        part = [r for r in asked if n * 100 <= r[1] < n * 100 + 100]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by their time
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    routed = live.drain(live.routed_queries(stream, DEFAULTS.override(cache_cap=cap)), "folded")
+    got = [(r["chat_id"], r["seq"], r["tier"], list(r["ids"])) for r in routed.orderBy("chat_id", "seq").collect()]
+    assert got == want and {r[2] for r in want} == {"0", "1", "3", "floor"}
+
+
+def test_chat_stream_starts_from_stored_state(spark, tmp_path):
+    ops = OPS + ", id string"
+    rows = [("c", 1, "message", 7, "user", "new", None), ("c", 2, "swipe", 5, None, None, None), ("c", 3, "message", 8, "user", "more", None),
+            ("c", 4, "access", None, None, None, "a"), ("c", 5, "fact", None, None, None, "a"), ("c", 6, "fact", None, None, None, "n"),
+            ("c", 7, "update", None, None, None, "gone"), ("c", 8, "access", None, None, None, None),
+            ("c", 9, "delete", None, None, None, None), ("c", 10, "rebuilt", None, None, None, None),
+            ("c", 11, "fact", None, None, None, "n"), ("c", 12, "message", None, "user", "no turn", None), ("c", 13, "odd", None, None, None, None),
+            ("d", 1, "switch", None, None, None, None)]
+    entries = spark.createDataFrame([("c", "a", 96.0, 1), ("c", None, 1.0, 0), (None, "x", 1.0, 0), ("e", "a", None, None)],
+                                    "chat_id string, id string, importance double, access_count long")
+    turns = spark.createDataFrame([("c", 1, 4, "user", "t4"), ("c", 2, 5, "user", "t5"), ("d", 0, 1, "user", "x"), ("d", 1, 2, "user", "y"),
+                                   ("d", 2, 3, "user", "z")], "chat_id string, seq long, turn long, role string, text string")
+    chats = spark.createDataFrame([("c", 2, False)], "chat_id string, added long, rebuild_due boolean")
+    import dataclasses
+    knobs = dataclasses.replace(DEFAULTS, buffer_threshold=3, batch_size=2, rebuild_suggestion=3)
+    out = live.drain(live.lived(stream_of(spark, tmp_path, rows, ops), live.stored_state(entries, turns, chats), knobs), "seeded")
+    got = [tuple(r) for r in out.select("chat_id", "seq", "kind", "turns", "id", "importance", "access_count", "update_count",
+                                        "updated_seq", "added", "rebuild_due").orderBy("chat_id", "seq").collect()]
+    none = (None,) * 7
+    # the seeded turns 4, 5 and turn 7 fire at once; 5 is gone by then, so the swipe retracts nothing
+    assert got == [
+        ("c", 1, "buffer", [4, 5]) + none,
+        ("c", 4, "access", None, "a", 99.0, 2, 0, None, None, None),
+        ("c", 5, "update", None, "a", 100.0, 2, 1, 5, None, None),
+        ("c", 6, "added", None, "n", 50.0, 0, 0, 6, 3, True),
+        ("c", 10, "rebuilt") + (None,) * 6 + (0, False),
+        ("c", 11, "update", None, "n", 55.0, 0, 1, 11, None, None),
+        ("c", 12, "buffer", [7, 8]) + none,
+        ("d", 1, "buffer", [1, 2]) + none]
+    assert [m["content"] for m in out.filter("seq = 12").first()["messages"]] == ["new", "more"]
