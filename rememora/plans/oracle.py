@@ -813,6 +813,10 @@ SELECT event_id AS id, round(value, 6) AS lat_ms, event_type AS tier,
 FROM events WHERE event_type <> 'signup'"""
 ORACLE["state_roundtrip"] = with_(ENTRIES) + """
 SELECT chat_id, id, seq, scope, CASE chat_id WHEN 'fr' THEN 1.0 ELSE importance END AS importance, created_s FROM entries"""
+ORACLE["state_deltas"] = with_(ENTRIES) + """
+SELECT 'c' || seq // 5 AS chat_id, id, seq, 1 AS refused,
+       CASE WHEN seq // 5 % 9 = 0 THEN 3.0 WHEN seq // 5 % 3 = 0 THEN 1.0 ELSE importance END AS importance
+FROM entries WHERE seq // 5 % 6 <> 0 OR seq // 5 % 9 = 0"""
 ORACLE["stream_buffer"] = """
 WITH placed AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place,
                        count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE trim(text) <> '')

@@ -1119,6 +1119,31 @@ def state_roundtrip(spark, folder):
                                         F.unix_timestamp("created_at").alias("created_s"))
 
 
+@query
+def state_deltas(spark, folder):
+    """Entries of many chats through deltas, a refused write from an old version, emptied chats and a compaction."""
+    stamp, n = tables.now(), F.floor(F.col("seq") / 5)
+    rows = tables.entries(spark, folder).withColumns({
+        "chat_id": F.concat(F.lit("c"), n.cast("string")),
+        "relations": F.array().cast("array<struct<type:string,target:string>>"), "updated_at": stamp,
+        "access_count": F.lit(0).cast("long"), "update_count": F.lit(0).cast("long"),
+        "source_messages": F.array(F.col("seq")), "extractor": F.lit("x")})
+    backend = state.BucketBackend(spark, scratch_path(spark, "deltas"), buckets=16)
+    marked = lambda every, value: backend.read("entries").filter(n % every == 0).withColumn("importance", F.lit(value))
+    first = backend.write("entries", rows)
+    backend.write("entries", marked(3, 1.0), at=first)
+    try:
+        backend.write("entries", marked(1, 2.0), at=first)
+        refused = 0
+    except state.Conflict:
+        refused = 1
+    kept = marked(9, 3.0)  # as stored before the next write empties some of these chats
+    backend.write("entries", rows.filter("false"), chats=rows.filter(n % 6 == 0))
+    backend.compact("entries")
+    backend.write("entries", kept)
+    return state.Store(backend).load("entries").select("chat_id", "id", "seq", "importance", F.lit(refused).alias("refused"))
+
+
 # --- live path -------------------------------------------------------------------------
 
 @query

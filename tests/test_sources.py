@@ -275,3 +275,55 @@ def test_chat_stream_starts_from_stored_state(spark, tmp_path):
         ("c", 12, "buffer", [7, 8]) + none,
         ("d", 1, "buffer", [1, 2]) + none]
     assert [m["content"] for m in out.filter("seq = 12").first()["messages"]] == ["new", "more"]
+
+
+def _stored(spark, rows):
+    """Entries of ``(chat, id, importance)`` with the rest of their columns filled in."""
+    frame = spark.createDataFrame(rows, "chat_id string, id string, importance double")
+    shape = spark.createDataFrame([], state.STATE_TABLES["entries"]).schema
+    return frame.select(*[f.name if f.name in frame.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in shape])
+
+
+def test_buckets_hold_deltas_versions_and_conflicts(spark, tmp_path):
+    backend = state.BucketBackend(spark, str(tmp_path / "b"), buckets=4, max_parts=3)
+    shown = lambda **at: sorted((r.chat_id, r.id, r.importance) for r in backend.read("entries", **at).collect())
+    assert shown() == [] and backend.version("entries") == 0 and backend.compact("entries") == 0
+    assert backend.write("entries", _stored(spark, [(f"c{i}", "a", float(i)) for i in range(30)] + [(None, "x", 0.0)])) == 1
+    # files go with buckets, not with chats
+    assert len(list((tmp_path / "b" / "entries").glob("part-*/rows/bucket=*"))) == 4
+    assert len(list((tmp_path / "b" / "entries").glob("part-*/rows/*/*.parquet"))) <= 8
+    # two writers from one version: one is refused and leaves no trace
+    mine, other = _stored(spark, [("c1", "mine", 1.0)]), _stored(spark, [("c1", "other", 2.0), ("c2", "other", 2.0)])
+    assert backend.write("entries", other, at=1) == 2
+    with pytest.raises(state.Conflict):
+        backend.write("entries", mine, at=1)
+    want = sorted([(f"c{i}", "a", float(i)) for i in range(30) if i not in (1, 2)] + [("c1", "other", 2.0), ("c2", "other", 2.0)])
+    assert shown() == want and shown(version=1) == sorted((f"c{i}", "a", float(i)) for i in range(30))
+    # a write without a version goes on top; a chat may be emptied; a fourth part compacts
+    assert backend.write("entries", mine, chats=spark.createDataFrame([("c3",), (None,)], "chat_id string")) == 3
+    want = [r for r in want if r[0] not in ("c1", "c3")] + [("c1", "mine", 1.0)]
+    assert shown() == sorted(want)
+    assert backend.write("entries", _stored(spark, [("c4", "late", 4.0)])) == 5
+    want = sorted([r for r in want if r[0] != "c4"] + [("c4", "late", 4.0)])
+    assert shown() == want and len(backend._manifest("entries", 5)["parts"]) == 1
+    one = state.Store(backend).load("entries", ["c4"])
+    assert [r.id for r in one.collect()] == ["late"]
+    assert "bucket" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
+    # the four parts before the compaction, the refused one and old manifests go
+    assert backend.vacuum("entries", keep=1) == 5 + 4 and shown() == want
+
+
+def test_compaction_keeps_what_came_meanwhile(spark, tmp_path, monkeypatch):
+    backend = state.BucketBackend(spark, str(tmp_path / "b"), buckets=2)
+    backend.write("entries", _stored(spark, [("p", "a", 1.0), ("q", "a", 1.0)]))
+    backend.write("entries", _stored(spark, [("p", "b", 2.0)]))
+    real = backend._commit
+
+    def overtaken(name, version, manifest):
+        monkeypatch.setattr(backend, "_commit", real)
+        backend.write("entries", _stored(spark, [("q", "c", 3.0)]))
+        return real(name, version, manifest)
+    monkeypatch.setattr(backend, "_commit", overtaken)
+    assert backend.compact("entries") == 4
+    assert sorted((r.chat_id, r.id) for r in backend.read("entries").collect()) == [("p", "b"), ("q", "c")]
+    assert len(backend._manifest("entries", 4)["parts"]) == 2
