@@ -145,7 +145,10 @@ class BucketBackend:
 
         With ``at`` the write holds only on top of that version; without, it goes on top of whatever is there.
         """
-        base = self.version(name) if at is None else at
+        base = self.version(name)
+        if at is not None and at != base:
+            # refused before its rows are written; the commit decides about writers that come in between
+            raise Conflict(f"{name}: version {at} is not the newest, {base}")
         part = self._add(name, self._manifest(name, base), rows, chats)
         while True:
             manifest = self._manifest(name, base)

@@ -284,7 +284,7 @@ def _stored(spark, rows):
     return frame.select(*[f.name if f.name in frame.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in shape])
 
 
-def test_buckets_hold_deltas_versions_and_conflicts(spark, tmp_path):
+def test_buckets_hold_deltas_versions_and_conflicts(spark, tmp_path, monkeypatch):
     backend = state.BucketBackend(spark, str(tmp_path / "b"), buckets=4, max_parts=3)
     shown = lambda **at: sorted((r.chat_id, r.id, r.importance) for r in backend.read("entries", **at).collect())
     assert shown() == [] and backend.version("entries") == 0 and backend.compact("entries") == 0
@@ -297,20 +297,23 @@ def test_buckets_hold_deltas_versions_and_conflicts(spark, tmp_path):
     assert backend.write("entries", other, at=1) == 2
     with pytest.raises(state.Conflict):
         backend.write("entries", mine, at=1)
+    real = backend._add
+    monkeypatch.setattr(backend, "_add", lambda *args: (monkeypatch.setattr(backend, "_add", real), real(*args),
+                                                       backend.write("entries", other, at=2))[1])
+    with pytest.raises(state.Conflict):  # overtaken after its rows were written
+        backend.write("entries", mine, at=2)
+    assert backend.version("entries") == 3 and backend.vacuum("entries", keep=3) == 1
     want = sorted([(f"c{i}", "a", float(i)) for i in range(30) if i not in (1, 2)] + [("c1", "other", 2.0), ("c2", "other", 2.0)])
     assert shown() == want and shown(version=1) == sorted((f"c{i}", "a", float(i)) for i in range(30))
-    # a write without a version goes on top; a chat may be emptied; a fourth part compacts
-    assert backend.write("entries", mine, chats=spark.createDataFrame([("c3",), (None,)], "chat_id string")) == 3
-    want = [r for r in want if r[0] not in ("c1", "c3")] + [("c1", "mine", 1.0)]
-    assert shown() == sorted(want)
-    assert backend.write("entries", _stored(spark, [("c4", "late", 4.0)])) == 5
-    want = sorted([r for r in want if r[0] != "c4"] + [("c4", "late", 4.0)])
+    # a write without a version goes on top and, with four parts, compacts; a chat may be emptied
+    assert backend.write("entries", mine, chats=spark.createDataFrame([("c3",), (None,)], "chat_id string")) == 5
+    want = sorted([r for r in want if r[0] not in ("c1", "c3")] + [("c1", "mine", 1.0)])
     assert shown() == want and len(backend._manifest("entries", 5)["parts"]) == 1
     one = state.Store(backend).load("entries", ["c4"])
-    assert [r.id for r in one.collect()] == ["late"]
+    assert [r.id for r in one.collect()] == ["a"]
     assert "bucket" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]
-    # the four parts before the compaction, the refused one and old manifests go
-    assert backend.vacuum("entries", keep=1) == 5 + 4 and shown() == want
+    # the four parts before the compaction and four old manifests go
+    assert backend.vacuum("entries", keep=1) == 4 + 4 and shown() == want
 
 
 def test_compaction_keeps_what_came_meanwhile(spark, tmp_path, monkeypatch):
