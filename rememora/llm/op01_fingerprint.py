@@ -143,7 +143,7 @@ def _forest(values: np.ndarray, sizes: np.ndarray, comp: np.ndarray, similarity:
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-            crowd: int = CROWD) -> DataFrame:
+            crowd: int = CROWD, linked: DataFrame | None = None) -> DataFrame:
     """``(id, key, first_id, first_key)`` of every row: its text's key, and the smallest id and key of its group.
 
     Groups are texts linked by a verified Jaccard of ``similarity`` or more, with candidates per band bucket; a
@@ -151,6 +151,7 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     the first one; a bucket that this leaves in several groups is compared whole, so no link between candidates is lost.
     Such a bucket yields a forest of links, never all its pairs, and one of more than ``crowd`` texts is cut into blocks
     of which every pair is a task's group of its own. Shingles are made for texts that share a bucket only.
+    ``linked(a, b)`` adds links between keys that another method found.
     """
     rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
@@ -220,7 +221,7 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     more = settle(cells.join(sets, "key").select("cell", "key", "root", "shingles").repartition(partitions, "cell")
                   .sortWithinPartitions("cell").mapInArrow(compared, "a binary, b binary"), "more_links")
-    links = links.unionAll(more)
+    links = links.unionAll(more) if linked is None else links.unionAll(more).unionAll(linked.select("a", "b"))
     joined = components(links).select(F.col("node").alias("key"), "root")
     rooted = settle(nodes.select("key", "first").join(joined, "key", "left").withColumn("root", F.coalesce("root", "key")), "rooted")
     # a text of rows without id is never the first
@@ -235,9 +236,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return grouped(df, id_col, text_col, similarity).select(F.col("id").alias(id_col), F.col("first_id").alias("class_id"))
 
 
-def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+                  linked: DataFrame | None = None) -> DataFrame:
     """One row of each group, with all its columns: the smallest by id, then text key; rows without an id stay."""
-    return keep_first(df, settle(grouped(df, id_col, text_col, similarity), "groups"), id_col, text_key(F.col(text_col)))
+    return keep_first(df, settle(grouped(df, id_col, text_col, similarity, linked=linked), "groups"), id_col, text_key(F.col(text_col)))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

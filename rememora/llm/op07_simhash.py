@@ -258,6 +258,14 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keep_first(df, named, id_col, text_key(F.col(text_col)))
 
 
+def text_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """``(a, b)``: the key of every text of a component linked to its least key, once; together they connect the component."""
+    rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    placed = settle(_rooted(rows, "id", "text", distance, BLOCK, ("key",)).select("root", "key").distinct(), "text-components")
+    least = placed.groupBy("root").agg(F.min("key").alias("b"))
+    return settle(placed.join(least, "root").where(F.col("key") != F.col("b")).select(F.col("key").alias("a"), "b"), "text-links")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
