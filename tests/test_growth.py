@@ -3,9 +3,10 @@
 import random
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from rememora.operators import dedup
+from rememora.operators import dedup, neighbors
 
 
 def test_token_sets_meet_only_where_signatures_leave_room(spark, monkeypatch):
@@ -40,3 +41,20 @@ def test_signatures_differ_by_no_more_than_the_sets(spark):
     for r in apart.collect():
         apart_by = len(set(r.x) ^ set(r.y))
         assert r.d <= apart_by and r.d % 2 == apart_by % 2
+
+
+def test_neighbour_rows_are_copied_once_per_large_unit(spark, monkeypatch):
+    """A cell of many blocks is one unit of work by default; cut into small units it gives the same neighbours."""
+    rng = np.random.default_rng(3)
+    vecs = rng.normal(size=(300, 4))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    rows = spark.createDataFrame([("all", k, k, [float(x) for x in v]) for k, v in enumerate(vecs)], "key string, id long, seq long, vec array<double>")
+    monkeypatch.setattr(neighbors, "_AT_ONCE", 1_000)  # several slices of queries
+    read = lambda df: {(r.qid, r.rank): (r.id, round(r.similarity, 6)) for r in df.collect()}
+    whole = read(neighbors.nearest(rows, 3, block=16))
+    assert whole == read(neighbors.nearest(rows, 3, block=16, unit=16))
+    sims = np.round(vecs @ vecs.T, 9)
+    np.fill_diagonal(sims, -2)
+    for q in range(300):
+        best = np.argsort(-sims[q], kind="stable")[:3]
+        assert [whole[q, r + 1][0] for r in range(3)] == [b for b in best if sims[q, b] > 0]
