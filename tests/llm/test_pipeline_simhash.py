@@ -1,4 +1,4 @@
-"""The pipeline's near-duplicate stage links by SimHash, beside the verified Jaccard."""
+"""The pipeline's near-duplicate stage finds candidates by SimHash too; all are verified by Jaccard."""
 
 import corpus_pipeline
 from rememora.llm import op01_fingerprint as op1, op07_simhash as op7
@@ -6,13 +6,24 @@ from rememora.llm import op01_fingerprint as op1, op07_simhash as op7
 from .conftest import make_docs
 
 
-def test_stage_drops_what_simhash_links(spark):
-    """Texts of one fingerprint whose Jaccard is low, and a third text that Jaccard links to the dropped one."""
+def words(c, n):
+    return " ".join(f"{c}{k}" for k in range(n))
+
+
+def test_candidates_of_another_method_are_verified(spark):
+    """A pair that shares no band is linked when it is given and alike, and is not when it is given and unlike."""
+    docs = make_docs(spark, [(1, words("a", 40) + " " + words("x", 80)), (2, words("a", 40) + " " + words("y", 80)), (3, words("z", 120))])
+    keys = {r.id: r.key for r in op1.grouped(docs).collect()}
+    linked = spark.createDataFrame([(keys[2], keys[1]), (keys[3], keys[1])], "a binary, b binary")
+    firsts = lambda **more: {r.id: r.first_id for r in op1.grouped(docs, similarity=0.15, **more).collect()}
+    assert firsts() == {1: 1, 2: 2, 3: 3} and firsts(linked=linked) == {1: 1, 2: 1, 3: 3}
+
+
+def test_stage_asks_simhash(spark, monkeypatch):
+    """Texts of one fingerprint are candidates of the stage; their low Jaccard keeps both."""
     body = "alpha beta gamma delta eps " * 200
-    tail = lambda c, n=10: " ".join(f"{c}{k}" for k in range(n))
-    rows = [(1, body + tail("x")), (2, body + tail("y")), (3, body + tail("y", 9) + " z"), (4, tail("q", 80))]
-    docs = make_docs(spark, rows)
-    assert op7.fingerprint(rows[0][1].encode()) == op7.fingerprint(rows[1][1].encode())
-    assert {r.doc_id for r in op1.one_per_group(docs).collect()} >= {1, 2}
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4]
+    rows = [(1, body + words("x", 10)), (2, body + words("y", 10)), (3, words("q", 80)), (4, words("q", 80) + " ")]
+    found = []
+    monkeypatch.setattr(op7, "text_links", lambda df, real=op7.text_links: found.append(real(df)) or found[0])
+    kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3] and found[0].count() == 2
