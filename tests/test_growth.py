@@ -58,3 +58,30 @@ def test_neighbour_rows_are_copied_once_per_large_unit(spark, monkeypatch):
     for q in range(300):
         best = np.argsort(-sims[q], kind="stable")[:3]
         assert [whole[q, r + 1][0] for r in range(3)] == [b for b in best if sims[q, b] > 0]
+
+
+def test_foremost_values_are_those_of_a_whole_sort():
+    rng = np.random.default_rng(11)
+    sims = rng.integers(0, 9, (40, 200)) / 9 + rng.choice([0, 3e-10, -4e-10], (40, 200))
+    rounded = np.round(sims, 9)
+    best = np.argsort(-rounded, axis=1, kind="stable")[:, :7]
+    rows, cols, values = neighbors._foremost(sims, 7)
+    assert (rows == np.repeat(np.arange(40), 7)).all() and (cols == best.ravel()).all()
+    assert (values == np.take_along_axis(rounded, best, axis=1).ravel()).all()
+
+
+def test_a_query_goes_once_to_a_group_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(400, 16))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    rows = spark.createDataFrame([("all", k, k, [float(x) for x in v]) for k, v in enumerate(vecs)], "key string, id long, seq long, vec array<double>")
+    asked = []
+    monkeypatch.setattr(neighbors, "_best_in_cells", lambda members, queries, k, real=neighbors._best_in_cells: asked.append(
+        queries.count()) or real(members, queries, k))
+    whole = {(r.qid, r.rank): r.id for r in neighbors.nearest(rows, 3, block=8).collect()}
+    # 50 cells that prune nothing lie in 8 groups
+    assert asked[0] == 400 and asked[1] <= 8 * 400
+    sims = np.round(vecs @ vecs.T, 9)
+    np.fill_diagonal(sims, -2)
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :3]
+    assert all(whole[q, r + 1] == best[q, r] for q in range(400) for r in range(3))
