@@ -3,13 +3,15 @@
 A chat's rows meet one state at a time, which is what the write lock of a
 single-process host achieves; different chats run in parallel. The state of a
 chat is bounded: fewer turns than the threshold plus one micro-batch, and at most
-``cache_cap`` keys per cache. Lifecycles of stored entries are single keys of a map
-on disk, read and written only where a row names them.
+``cache_cap`` keys per cache. Lifecycles that a stream changed are single keys of a map
+on disk, read and written only where a row names them; those it started from lie in parts
+of a bounded size, one call each, of which a row's is read.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -33,6 +35,8 @@ LIVED = ("chat_id string, seq long, kind string, fire long, turns array<long>, "
 SEED = ("chat_id string, part string, seq long, id string, importance double, access_count long, update_count long, "
         "turn long, role string, text string, added long, rebuild_due boolean")
 NEW_IMPORTANCE = 50.0
+# stored entries of a chat that are kept and read together, about
+PART_ENTRIES = 64
 
 
 @contextmanager
@@ -51,8 +55,9 @@ def keyed_state(spark: SparkSession):
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """The chat's rows of one micro-batch by arrival number."""
-    rows = pd.concat(list(frames), ignore_index=True)
-    return rows.sort_values("seq", kind="stable")
+    frames = list(frames)
+    rows = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+    return rows if rows["seq"].is_monotonic_increasing else rows.sort_values("seq", kind="stable")
 
 
 class BufferProcessor(StatefulProcessor):
@@ -159,24 +164,63 @@ class ChatProcessor(BufferProcessor):
         super().init(handle)
         self.lives = handle.getMapState(
             "lives", "id string", "importance double, accesses long, updates long, updated long")
+        # as stored when the stream began, never written again: a later value is in ``lives``
+        self.stored = handle.getMapState(
+            "stored", "part long", "parts long, ids array<string>, importance array<double>, accesses array<long>, updates array<long>")
         self.rebuild = handle.getValueState("rebuild", "added long, due boolean")
+        self.seeded = None
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for row in initialState[initialState["part"] == "entry"].itertuples(index=False):
-            self.lives.updateValue((row.id,), (float(row.importance), int(row.access_count), int(row.update_count), None))
-        turns = initialState[initialState["part"] == "turn"].sort_values("seq", kind="stable")
-        if len(turns):
-            self.buffer.appendList([(int(r.turn), r.role, r.text) for r in turns.itertuples(index=False)])
-        for row in initialState[initialState["part"] == "chat"].itertuples(index=False):
-            self.rebuild.update((int(row.added), bool(row.rebuild_due)))
+        # most chats hold a few rows, for which plain lists are much cheaper than frames
+        columns = ["part", "seq", "id", "importance", "access_count", "update_count", "turn", "role", "text", "added", "rebuild_due"]
+        rows = list(zip(*(initialState[c].tolist() for c in columns), strict=True))
+        entries = [(r[2], (float(r[3]), int(r[4]), int(r[5]))) for r in rows if r[0] == "entry"]
+        if entries:
+            if self.seeded == key:
+                # a very large chat comes in several frames, and the parts of the first are laid out
+                for id, life in entries:
+                    self.lives.updateValue((id,), (*life, None))
+            else:
+                self.seeded, parts = key, math.ceil(len(entries) / PART_ENTRIES)
+                held: dict[int, dict] = {0: {}}  # the first part tells how many there are
+                for id, life in entries:
+                    held.setdefault(zlib.crc32(id.encode()) % parts, {})[id] = life
+                for part, found in held.items():
+                    lists = zip(*found.values(), strict=True) if found else ((), (), ())
+                    self.stored.updateValue((part,), (parts, list(found), *map(list, lists)))
+        turns = sorted((r for r in rows if r[0] == "turn"), key=lambda r: (pd.isna(r[1]), r[1]))
+        if turns:
+            self.buffer.appendList([(int(r[6]), r[7], r[8]) for r in turns])
+        for row in rows:
+            if row[0] == "chat":
+                self.rebuild.update((int(row[9]), bool(row[10])))
+
+    def _part(self, part: int, read: dict[int, tuple]) -> tuple[int, dict]:
+        """How many stored parts the chat has, and the lifecycles in this one; ``read`` keeps what this micro-batch read."""
+        if part not in read:
+            stored = self.stored.getValue((part,))
+            read[part] = (0, {}) if stored is None else (
+                stored[0], {i: (*life, None) for i, *life in zip(*stored[1:], strict=True)})
+        return read[part]
+
+    def _life(self, id: str, read: dict[int, tuple]) -> tuple | None:
+        """Lifecycle of an entry, None if it is not held."""
+        found = self.lives.getValue((id,))
+        if found is not None:
+            return tuple(found)
+        parts, first = self._part(0, read)
+        part = zlib.crc32(id.encode()) % parts if parts else 0
+        return (self._part(part, read)[1] if part else first).get(id)
 
     def _fired(self, key, seq, fired):
         return [(key, seq, reason, n, turns, messages) + (None,) * 7 for _, n, reason, turns, messages in fired]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(r) for r in self.buffer.get()]
-        added, due = self.rebuild.get() if self.rebuild.exists() else (0, False)
+        before, counted = list(held), self.rebuild.get()
+        added, due = counted if counted is not None else (0, False)
         lives: dict[str, tuple | None] = {}  # entries that this micro-batch names; None: not held
+        read: dict[int, tuple] = {}
         changed, out, armed = set(), [], None
         for row in _in_order(rows).itertuples(index=False):
             seq, fired = int(row.seq), []
@@ -189,7 +233,7 @@ class ChatProcessor(BufferProcessor):
             if row.op not in ("access", "update", "fact") or not isinstance(row.id, str):
                 continue
             if row.id not in lives:
-                lives[row.id] = tuple(self.lives.getValue((row.id,))) if self.lives.containsKey((row.id,)) else None
+                lives[row.id] = self._life(row.id, read)
             now = lives[row.id]
             kind = "added" if row.op == "fact" and now is None else "update" if row.op == "fact" else row.op
             if kind == "added":
@@ -204,8 +248,10 @@ class ChatProcessor(BufferProcessor):
             changed.add(row.id)
             counter = (added, due) if kind == "added" else (None, None)
             out.append((key[0], seq, kind, None, None, None, row.id, *lives[row.id], *counter))
-        self._store(held)
-        self.rebuild.update((added, due))
+        if held != before:
+            self._store(held)
+        if counted is None or (added, due) != tuple(counted):
+            self.rebuild.update((added, due))
         for name in changed:
             self.lives.updateValue((name,), lives[name])
         if self.idle_ms is not None and armed is not None:

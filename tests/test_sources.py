@@ -1,6 +1,7 @@
 import json
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,6 +246,29 @@ def test_cache_stream_equals_a_plain_fold(spark, tmp_path):
     assert got == want and {r[2] for r in want} == {"0", "1", "3", "floor"}
 
 
+def test_stored_entries_are_seeded_and_read_in_parts():
+    class Map(dict):
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def getValue(self, key):
+            return self.get(key)
+
+    chat = live.ChatProcessor(DEFAULTS, False)
+    chat.lives, chat.stored, chat.seeded = Map(), Map(), None
+    frame = lambda low, high: pd.DataFrame([("entry", f"e{k}", float(k), k, 0) for k in range(low, high)],
+                                           columns=["part", "id", "importance", "access_count", "update_count"]).assign(
+        seq=None, turn=-1, role=None, text=None, added=0, rebuild_due=False)
+    chat.handleInitialState(("c",), frame(0, 1000), None)
+    assert len(chat.stored) == 16 and not chat.lives
+    # a later frame of the same chat wins
+    chat.handleInitialState(("c",), frame(999, 1002).assign(update_count=7), None)
+    read = {}
+    assert [chat._life(f"e{k}", read) for k in (0, 500, 998)] == [(float(k), k, 0, None) for k in (0, 500, 998)]
+    assert [chat._life(f"e{k}", read) for k in (999, 1001)] == [(float(k), k, 7, None) for k in (999, 1001)]
+    assert chat._life("e1002", read) is None and len(read) <= 5
+
+
 def test_chat_stream_starts_from_stored_state(spark, tmp_path):
     ops = OPS + ", id string"
     rows = [("c", 1, "message", 7, "user", "new", None), ("c", 2, "swipe", 5, None, None, None), ("c", 3, "message", 8, "user", "more", None),
