@@ -30,12 +30,24 @@ def cooccurrence(entries: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     # read twice below, and far smaller than the texts it comes from
     postings = settle(entity_postings(entries), "entities")
     targets = top_k(postings, ["chat_id", "entity"], [F.asc("seq"), F.asc("id")], params.edge_cap, "place")
-    targets = targets.select("chat_id", "entity", F.col("id").alias("to_id"), F.col("seq").alias("to_seq"))
+    # one bounded list per entity: all later holders carry the same one, which compresses well beside its copies
+    seq = F.col("seq")
+    lists = targets.groupBy("chat_id", "entity").agg(
+        F.collect_set(F.struct(F.col("id").alias("to_id"), seq.alias("to_seq"))).alias("targets"),
+        F.min(seq).alias("first_seq"), F.when(F.bool_and(seq.isNotNull()), F.max(seq)).alias("last_seq"))
+    # a whole list of earlier entries fills the cap, so nothing behind its last one is kept
+    full = (F.size("targets") >= params.edge_cap) & (F.col("last_seq") < seq)
+    # dealt by source once, as lists; pairs are made, told apart and cut where their source lies
+    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    linked = (
+        postings.join(lists, ["chat_id", "entity"]).filter(seq > F.col("first_seq"))
+        .select("chat_id", F.col("id").alias("from_id"), seq.alias("from_seq"), "targets", F.when(full, F.col("last_seq")).alias("full_at"))
+        .repartition(partitions, "chat_id", "from_id")
+        .withColumn("cut", F.min("full_at").over(Window.partitionBy("chat_id", "from_id"))))
     pairs = (
-        postings.join(targets, ["chat_id", "entity"])
-        .filter(F.col("seq") > F.col("to_seq"))
-        .select("chat_id", F.col("id").alias("from_id"), "to_id", F.col("seq").alias("from_seq"), "to_seq")
-        .distinct()
+        linked.select("chat_id", "from_id", "from_seq", "cut", F.inline("targets"))
+        .filter((F.col("from_seq") > F.col("to_seq")) & (F.col("cut").isNull() | (F.col("to_seq") <= F.col("cut"))))
+        .drop("cut").distinct()
     )
     return top_k(pairs, ["chat_id", "from_id"], [F.asc("to_seq")], params.edge_cap, "place").select(
         *EDGE_KEY[:3], F.lit("mentions").alias("type"), F.lit(params.cooccurrence_weight).alias("weight"),

@@ -6,7 +6,8 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from rememora.operators import dedup, neighbors
+from rememora.operators import bm25, caches, dedup, graph, neighbors
+from rememora.params import DEFAULTS
 
 
 def test_token_sets_meet_only_where_signatures_leave_room(spark, monkeypatch):
@@ -85,3 +86,29 @@ def test_a_query_goes_once_to_a_group_of_cells(spark, monkeypatch):
     np.fill_diagonal(sims, -2)
     best = np.argsort(-sims, axis=1, kind="stable")[:, :3]
     assert all(whole[q, r + 1] == best[q, r] for q in range(400) for r in range(3))
+
+
+def test_edges_deal_lists_by_source_once(spark):
+    """Pairs of entries are made, told apart and cut where their source lies: none is moved between tasks."""
+    rng = random.Random(7)
+    names = ["Alba", "Bern", "Cork", "Dorn", "Elba", "Fano", "Gera", "Hilo"]
+    rows = [("c", f"e{k}", k, "episodic", " ".join({"Alba", *rng.sample(names, 3)} if k % 3 else rng.sample(names, 2))) for k in range(60)]
+    rows += [("c", f"x{k}", None, "episodic", "Fano") for k in range(2)] + rows[4:6] + [("d", "e1", 1, "working", "Alba"), ("d", "e2", 2, "episodic", "Alba")]
+    entries = spark.createDataFrame(rows, "chat_id string, id string, seq long, scope string, content string")
+    params = DEFAULTS.override(edge_cap=3)
+    edges = graph.build_edges(entries, params)
+    got = {}
+    for r in edges.collect():
+        got.setdefault((r.chat_id, r.from_id), {})[r.seq] = r.to_id
+    want = {}
+    for chat, source, seq, _scope, content in rows:
+        held = [sorted({(s, i) for c, i, s, scope, text in rows if c == chat and scope != "working" and name in text.split() and s is not None}) for name in content.split()]
+        # entries without a place hold the first places of their names and are no targets
+        room = [3 - 2 * (name == "Fano" and chat == "c") for name in content.split()]
+        repeats = [[t for t in first for _ in range(1 + (t[1] in ("e4", "e5")))][:n] for first, n in zip(held, room)]
+        before = sorted({t for first in repeats for t in first if seq is not None and t[0] < seq})[:3]
+        if before:
+            want[chat, source] = {k + 1: i for k, (_, i) in enumerate(before)}
+    assert got == want
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "to_id" in line]
