@@ -118,10 +118,14 @@ def score_all(index: Index, weights: DataFrame, params: Params = DEFAULTS) -> Da
 
 def score_pairs(index: Index, weights: DataFrame, pairs: DataFrame,
                 params: Params = DEFAULTS) -> DataFrame:
-    """BM25+ of the given ``(chat_id, query_id, id)`` pairs only; no match, no row."""
+    """BM25+ of the given ``(chat_id, query_id, id)`` pairs only; no match, no row.
+
+    Entries are met before their terms are listed, so the terms of entries in no pair are not.
+    """
+    held = index.documents.join(pairs.select("chat_id", "query_id", "id").distinct(), ["chat_id", "id"])
+    postings = held.select("chat_id", "query_id", "id", "len", F.inline("tfs"))
     return (
-        index.postings.join(pairs.select("chat_id", "query_id", "id").distinct(), ["chat_id", "id"])
-        .join(weights, ["chat_id", "query_id", "term"])
+        postings.join(weights, ["chat_id", "query_id", "term"])
         .groupBy("chat_id", "query_id", "id")
         .agg(rounded(F.sum(contribution(params))).alias("bm25"))
     )
