@@ -1,8 +1,12 @@
-"""Text functions as Column expressions: no Python runs per row."""
+"""Text functions as Column expressions; only FNV-1a, a chain over code units, runs in Python, on whole Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType
 
 from rememora.params import ENTITY_STOP_WORDS
 
@@ -11,6 +15,7 @@ _NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 _NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
 _WIDE_SPACES = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
 SPACE = "[\\s\\x0B" + "".join("\\u%04X" % c for c in _WIDE_SPACES) + "]"
+_SPACES = " \t\n\x0b\f\r" + "".join(map(chr, _WIDE_SPACES))
 ENTITY = _NOT_AFTER_WORD + r"[A-Z][a-z]{2,}" + _NOT_BEFORE_WORD
 TEMPORAL = (
     r"(?i)" + _NOT_AFTER_WORD + r"when" + _NOT_BEFORE_WORD,
@@ -32,6 +37,9 @@ RELATIONAL = (
 FNV_OFFSET = 0x811C9DC5
 FNV_PRIME = 0x01000193
 # --- end of fixed values -----------------------------------------------------
+# bytes of texts hashed together, and how many long texts at the end are cheaper one by one
+_FNV_BYTES = 8_000_000
+_FNV_ALONE = 64
 
 
 def tokens(text: Column) -> Column:
@@ -49,28 +57,51 @@ def token_key(text: Column) -> Column:
 
 
 def strip_space(text: Column) -> Column:
-    """Trim every Unicode space, not only U+0020."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Trim every Unicode space, not only U+0020; of a closing U+0085, a line end but no space, the spaces before it go too."""
+    searched = F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.when(F.endswith(text, F.lit("\x85")), searched).otherwise(F.trim(text, F.lit(_SPACES)))
 
 
 def normalized_query(text: Column) -> Column:
     return F.lower(strip_space(text))
 
 
-def _utf16_units(text: Column) -> Column:
-    """UTF-16 code units of a string as an array of longs."""
-    code_units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(.{4})"), F.lit(1))
-    return F.transform(code_units, lambda h: F.conv(h, 16, 10).cast("long"))
-
-
-def fnv1a32(text: Column) -> Column:
-    """FNV-1a over UTF-16 code units, as an unsigned 32-bit value in a long."""
-    return F.aggregate(
-        _utf16_units(text),
-        F.lit(FNV_OFFSET).cast("long"),
-        lambda h, c: ((h.bitwiseXOR(c)) * F.lit(FNV_PRIME).cast("long")).bitwiseAND(
-            F.lit(0xFFFFFFFF).cast("long")),
-    )
+def _fnv_rows(texts: list[bytes]) -> np.ndarray:
+    """FNV-1a over the UTF-16 code units of each UTF-8 text; all texts take a step at a time, the last few go alone."""
+    units = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-16-le"), "<u2") for t in texts]
+    lengths = np.fromiter(map(len, units), np.int64, len(units))
+    order = np.argsort(-lengths, kind="stable")
+    lengths = lengths[order]
+    joined = np.concatenate([units[i] for i in order]) if units else np.zeros(0, "<u2")
+    starts = np.cumsum(lengths) - lengths
+    hashes, prime, at = np.full(len(units), FNV_OFFSET, np.uint32), np.uint32(FNV_PRIME), 0
+    together = int(lengths[_FNV_ALONE]) if len(units) > _FNV_ALONE else 0
+    for n in np.searchsorted(-lengths, -np.arange(together), side="left").tolist():
+        hashes[:n] = (hashes[:n] ^ joined[starts[:n] + at]) * prime
+        at += 1
+    for row in range(int(np.searchsorted(-lengths, -at, side="left"))):
+        h = int(hashes[row])
+        for unit in joined[starts[row] + at:starts[row] + lengths[row]].tolist():
+            h = (h ^ unit) * FNV_PRIME & 0xFFFFFFFF
+        hashes[row] = h
+    out = np.empty(len(units), np.int64)
+    out[order] = hashes
+    return out
+
+
+@F.arrow_udf(LongType())
+def fnv1a32(text: pa.Array) -> pa.Array:
+    """FNV-1a over UTF-16 code units, as an unsigned 32-bit value in a long; NULL stays NULL."""
+    missing = np.asarray(text.is_null())
+    rows = text.cast(pa.large_binary()).fill_null(b"")
+    out, begin = np.empty(len(rows), np.int64), 0
+    reach = np.cumsum(np.asarray(pc.binary_length(rows)).astype(np.int64))
+    while begin < len(rows):
+        before = reach[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(reach, before + _FNV_BYTES, side="right")))
+        out[begin:end] = _fnv_rows(rows.slice(begin, end - begin).to_pylist())
+        begin = end
+    return pa.array(out, mask=missing)
 
 
 def exact_key(text: Column) -> Column:

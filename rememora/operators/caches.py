@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rememora.functions.text import exact_key, token_key, token_set
 from rememora.operators.dedup import similar_sets
@@ -20,14 +20,19 @@ def record(cache: DataFrame, writes: DataFrame, params: Params = DEFAULTS) -> Da
 
     A rewrite moves its key to the end; reads do not. Empty keys are not stored.
     """
-    both = cache.unionByName(writes.filter(F.length("key") > 0))
-    latest = both.groupBy("chat_id", "key").agg(
+    latest = cache.unionByName(writes).groupBy("chat_id", "key").agg(
         F.max_by("ids", "written").alias("ids"), F.max("written").alias("written"))
-    return evict(latest, params.cache_cap)
+    # empty keys go last and then out, by a column of their own: a filter on the key would make every key of a long text once more
+    marked = latest.withColumn("filled", F.coalesce(F.length("key") > 0, F.lit(False)))
+    return top_k(marked, ["chat_id"], [F.desc("filled"), *_newest()], params.cache_cap, "age").filter("filled").drop("age", "filled")
+
+
+def _newest() -> list[Column]:
+    return [F.desc("written"), F.desc("key")]
 
 
 def evict(cache: DataFrame, cap: int) -> DataFrame:
-    return top_k(cache, ["chat_id"], [F.desc("written"), F.desc("key")], cap, "age").drop("age")
+    return top_k(cache, ["chat_id"], _newest(), cap, "age").drop("age")
 
 
 def invalidate(cache: DataFrame, chats: DataFrame) -> DataFrame:
@@ -46,7 +51,8 @@ def fuzzy_writes(results: DataFrame) -> DataFrame:
 
 def exact_hits(cache: DataFrame, queries: DataFrame) -> DataFrame:
     """``(chat_id, query_id, ids)``; a stored empty list is a miss."""
-    keyed = queries.select(*QUERY, exact_key(F.col("query")).alias("key"))
+    # no key is empty in a cache; one that cannot be null is not made once more to look for nulls
+    keyed = queries.select(*QUERY, F.coalesce(exact_key(F.col("query")), F.lit("")).alias("key"))
     return keyed.join(cache.filter(F.size("ids") > 0), ["chat_id", "key"]).select(*QUERY, "ids")
 
 

@@ -115,8 +115,7 @@ def similar_sets(left: DataFrame, right: DataFrame, keys: list[str], threshold:
 
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """The pairs ``(keys, a, b)`` of Jaccard >= threshold, with it, by ``left(keys, a, toks)`` and ``right(keys, b, toks)``."""
-    overlap = F.size(F.array_intersect("ta", "tb"))
-    similarity = overlap / (F.size("ta") + F.size("tb") - overlap)
+    similarity = bind(F.size(F.array_intersect("ta", "tb")), lambda overlap: overlap / (F.size("ta") + F.size("tb") - overlap))
     return (
         pairs.join(left.select(*keys, "a", F.col("toks").alias("ta")), [*keys, "a"])
         .join(right.select(*keys, "b", F.col("toks").alias("tb")), [*keys, "b"])

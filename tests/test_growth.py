@@ -112,3 +112,32 @@ def test_edges_deal_lists_by_source_once(spark):
     assert got == want
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "to_id" in line]
+
+
+def test_terms_of_entries_in_no_pair_are_not_listed(spark):
+    entries = spark.createDataFrame([("c", f"e{k}", k, f"alpha beta{k}", "", []) for k in range(6)],
+                                    "chat_id string, id string, seq long, content string, subject string, tags array<string>")
+    index = bm25.build_index(entries, keep=False)
+    weights = bm25.weigh_terms(index, spark.createDataFrame([("c", 1, "alpha beta2")], "chat_id string, query_id long, query string"))
+    pairs = spark.createDataFrame([("c", 1, "e2"), ("c", 1, "e3"), ("c", 1, "e3"), ("c", 1, "gone")], "chat_id string, query_id long, id string")
+    found = bm25.score_pairs(index, weights, pairs)
+    whole = {r.id: r.bm25 for r in bm25.score_all(index, weights).collect()}
+    assert {r.id: r.bm25 for r in found.collect()} == {"e2": whole["e2"], "e3": whole["e3"]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Join")  # a join lies below the list of terms
+
+
+def test_a_key_of_a_text_is_made_once(spark):
+    asked = spark.createDataFrame([("c", 1, "Où  est?\t"), ("c", 2, "  où  est?"), ("c", 3, None), ("c", 4, "..."), ("c", 5, "x \x85"), ("c", 6, "x\x85")],
+                                  "chat_id string, query_id long, query string")
+    rows = asked.select("chat_id", "query", F.array(F.col("query_id").cast("string")).alias("ids"), F.col("query_id").alias("written"))
+    for writes, kept in ((caches.exact_writes, {2: 2, 4: 4, 6: 6}), (caches.fuzzy_writes, {2: 2})):
+        written = writes(rows)
+        held = caches.record(written.limit(0), written, DEFAULTS.override(cache_cap=5))
+        assert {r.written: int(r.ids[0]) for r in held.collect()} == kept
+        plan = held._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("fnv1a32(") + plan.count("array_join") <= 1
+        if writes is caches.exact_writes:
+            hits = caches.exact_hits(held, asked)
+            assert {(r.query_id, r.ids[0]) for r in hits.collect()} == {(1, "2"), (2, "2"), (4, "4"), (5, "6"), (6, "6")}
+            assert hits._jdf.queryExecution().optimizedPlan().toString().count("fnv1a32(") <= 2
