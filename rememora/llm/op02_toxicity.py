@@ -44,6 +44,7 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SIGN_COST, EDGE_COST, GAP_COST, REPEAT_COST = -0.7, -3.0, -0.1, -0.2
 LEXICON_PART = 0.3
 _SEEN_BYTES = 48_000_000
+_COUNTED_BYTES = 500_000  # of texts counted at once, which take some thirty times that
 _TRAILING = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”‘’…–—"
 _LEADING = "".join(c for c in _TRAILING if c not in LOOKALIKES)
 _APART = re.compile(r"(?<!\S)(?:\S[ \t\-_.*]){2,}\S(?!\S)")
@@ -68,11 +69,12 @@ def character_counts(df: DataFrame, text_col: str) -> np.ndarray:
         if _classes is None:
             _classes = np.fromiter((_class_of(chr(c)) for c in range(0x110000)), np.uint8, 0x110000)
         total = np.zeros(LETTERS ** 3, np.int64)
-        for batch in batches:
-            for part in slices(batch, text_col):
-                joined = "\n\n".join(["", *filled(part, text_col).to_pylist(), ""]).lower()
-                c = _classes[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
-                total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=len(total))
+        with no_cycles():
+            for batch in batches:
+                for part in slices(batch, text_col, _COUNTED_BYTES):
+                    joined = "\n\n".join(["", *filled(part, text_col).to_pylist(), ""]).lower()
+                    c = _classes[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int32)
+                    total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["gram", "n"])
 
@@ -255,11 +257,13 @@ def _feature_counts(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
     """``(feature, part, n)``: texts that hold the feature."""
     def run(batches):
         counts: dict[tuple[str, int], int] = {}
-        for batch in batches:
-            for text, part in zip(filled(batch, "text").to_pylist(), batch.column("part").to_pylist()):
-                found = set(chain.from_iterable(map(features, plain_words(text.lower()))))
-                for f in found if wanted is None else found & wanted:
-                    counts[f, part] = counts.get((f, part), 0) + 1
+        with no_cycles():
+            for batch in batches:
+                for some in slices(batch, "text"):
+                    for text, part in zip(filled(some, "text").to_pylist(), some.column("part").to_pylist()):
+                        found = set(chain.from_iterable(map(features, plain_words(text.lower()))))
+                        for f in found if wanted is None else found & wanted:
+                            counts[f, part] = counts.get((f, part), 0) + 1
         keys = list(counts)
         for begin in range(0, len(keys), 50_000):
             some = keys[begin:begin + 50_000]
