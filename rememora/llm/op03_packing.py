@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from bisect import bisect_left, insort
-from itertools import chain
+from itertools import filterfalse
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,7 @@ _SLICE_BYTES = 4_000_000
 _JOINED = 500
 # one word of Latin letters with ASCII punctuation behind it: two tokens of the pre-tokenizer at most
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_MARKS = string.punctuation.encode()
 _encoder: tuple | None = None
 
 
@@ -55,7 +58,7 @@ class Chunks(dict):
 
 
 def _loaded(path: str):
-    """The worker's tokenizer and its cache of chunks; a chunk is text between ASCII white space."""
+    """The worker's tokenizer, its cache of chunks, its special tokens; a chunk is text between ASCII white space."""
     global _encoder
     if _encoder is None or _encoder[0] != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -65,21 +68,52 @@ def _loaded(path: str):
         last = np.zeros(tokenizer.get_vocab_size(), bool)  # ids that end a word
         for token, i in tokenizer.get_vocab().items():
             last[i] = token.endswith("</w>")
-        _encoder = (path, tokenizer, last, Chunks())
+        special = [t.content.lower().encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        # whether the model alone gives the ids of a word of ASCII letters
+        direct = all([t.id for t in tokenizer.model.tokenize(w)] == tokenizer.encode(w, add_special_tokens=False).ids
+                     for w in (string.ascii_lowercase, "tokenizers", "a"))
+        _encoder = (path, tokenizer, last, Chunks(), special, direct)
     return _encoder[1:]
 
 
-def _learn(new: list[bytes], tokenizer, last: np.ndarray, cache: Chunks) -> None:
-    """Encode chunks the cache lacks. Plain words go in lines of many: each ends in an end-of-word id."""
-    plain, other = [], []
+def _lowered(text: bytes, special: list[bytes]) -> bytes:
+    """The text with A-Z lowered, as the tokenizer does after NFC, where that changes neither NFC nor a special token."""
+    if b"\xcc" in text or b"\xcd" in text:  # a combining mark may meet a letter that composes in one case only
+        return text
+    low = text.lower()
+    return text if any(s in low for s in special) else low
+
+
+def _learn(new: set[bytes], tokenizer, last: np.ndarray, cache: Chunks, direct: bool) -> None:
+    """Encode chunks the cache lacks. Words of ASCII letters go straight to the model; other plain words in lines of many, as each ends in an end-of-word id."""
+    bare, plain, other = [], [], []
     for chunk in new:
-        m = _PLAIN.fullmatch(chunk.decode())
-        plain.append((chunk, m[1].lower(), m[2])) if m else other.append(chunk)
-    words = list({w for _, w, _ in plain})
-    ids: dict[str, bytes] = {"": b""}
+        if chunk.isalpha() and chunk.islower():
+            bare.append(chunk)
+            continue
+        word = chunk.rstrip(_MARKS)
+        if word.isalpha() and word.islower():
+            plain.append((chunk, word, chunk[len(word):]))
+        elif m := _PLAIN.fullmatch(chunk.decode()):
+            plain.append((chunk, m[1].lower().encode(), m[2].encode()))
+        else:
+            other.append(chunk)
+    n_bare = len(bare)
+    # a word that the cache holds as a chunk is not encoded again
+    words = {w for _, w, _ in plain if w not in cache}.difference(bare)
+    ids: dict[bytes, bytes] = {b"": b""}
+    if direct:
+        bare += filter(bytes.isascii, words)
+        words = list(filterfalse(bytes.isascii, words))
+        tokenize = tokenizer.model.tokenize
+        for w in bare:
+            found = [t.id for t in tokenize(w.decode())]
+            ids[w] = pack_ids(f"<{len(found)}I", *found)
+    else:
+        words = [*bare, *words]
     for begin in range(0, len(words), 100 * _JOINED):
         some = words[begin:begin + 100 * _JOINED]
-        lines = [" ".join(some[k:k + _JOINED]) for k in range(0, len(some), _JOINED)]
+        lines = [b" ".join(some[k:k + _JOINED]).decode() for k in range(0, len(some), _JOINED)]
         flat = np.concatenate([np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
         ends = np.flatnonzero(last[flat]) + 1
         blob = flat.tobytes()
@@ -87,12 +121,13 @@ def _learn(new: list[bytes], tokenizer, last: np.ndarray, cache: Chunks) -> None
             edge = [0, *(4 * ends).tolist()]
             ids.update((w, blob[x:y]) for w, x, y in zip(some, edge, edge[1:]))
         else:  # a vocabulary without end-of-word tokens
-            for w, got in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            for w, got in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
                 ids[w] = np.array(got.ids, "<u4").tobytes()
-    marks = list({p for _, _, p in plain} - {""})
-    for text, got in zip(marks, tokenizer.encode_batch_fast(marks, add_special_tokens=False)):
+    marks = list({p for _, _, p in plain} - {b""})
+    for text, got in zip(marks, tokenizer.encode_batch_fast([p.decode() for p in marks], add_special_tokens=False)):
         ids[text] = np.array(got.ids, "<u4").tobytes()
-    cache.keep({chunk: ids[w] + ids[p] if p else ids[w] for chunk, w, p in plain})
+    cache.keep({chunk: ids[chunk] for chunk in bare[:n_bare]})
+    cache.keep({chunk: (ids[w] if w in ids else cache[w]) + ids[p] for chunk, w, p in plain})
     cache.keep({chunk: np.array(got.ids, "<u4").tobytes() for chunk, got in zip(
         other, tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False))})
 
@@ -102,16 +137,24 @@ def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
 
     No token of this vocabulary spans white space, so chunks are encoded once and looked up after.
     """
-    tokenizer, last, cache = _loaded(path)
-    split = [t.split() for t in texts]
-    seen = set(chain.from_iterable(split))
-    new = list(seen.difference(cache))
+    tokenizer, last, cache, special, direct = _loaded(path)
+    found, gaps, total = [], [], 0
+    for text in texts:
+        chunks = _lowered(text, special).split()
+        ids = list(map(cache.get, chunks))
+        found.append(ids)
+        gaps.append([(k, chunks[k]) for k, i in enumerate(ids) if i is None])
+        total += len(chunks)
+    new = {chunk for missing in gaps for _, chunk in missing}
     if new:
-        _learn(new, tokenizer, last, cache)
-    out = [b"".join(map(cache.__getitem__, chunks)) for chunks in split]
+        _learn(new, tokenizer, last, cache, direct)
+        for ids, missing in zip(found, gaps):
+            for k, chunk in missing:
+                ids[k] = cache[chunk]
+    out = [b"".join(ids) for ids in found]
     if cache.held > _CACHE_BYTES:
         # what came first is kept, as common words do; a cache that no longer fits the text is dropped
-        cache.forget(new if 2 * len(new) < len(seen) else list(cache))
+        cache.forget(new if 2 * sum(map(len, gaps)) < total else list(cache))
     return out
 
 
