@@ -1,6 +1,7 @@
 """What moves between tasks grows with the rows that matter, and no pair is lost by it."""
 
 import random
+from inspect import signature
 from itertools import combinations
 
 import numpy as np
@@ -141,3 +142,16 @@ def test_a_key_of_a_text_is_made_once(spark):
             hits = caches.exact_hits(held, asked)
             assert {(r.query_id, r.ids[0]) for r in hits.collect()} == {(1, "2"), (2, "2"), (4, "4"), (5, "6"), (6, "6")}
             assert hits._jdf.queryExecution().optimizedPlan().toString().count("fnv1a32(") <= 2
+
+
+def test_neighbour_rows_of_a_large_key_are_copied_as_often_as_those_of_a_small_one(spark):
+    """A query goes at most once to each group of cells, so their number bounds its copies: 600,000 rows have no more than 60,000."""
+    unit = signature(neighbors.nearest).parameters["unit"].default
+    groups = {}
+    for n in (60_000, 600_000):
+        rows = spark.range(n).select(F.lit("all").alias("key"), "id", (F.col("id") % 64).cast("int").alias("cell"),
+                                     F.array(F.lit(1.0), F.lit(0.5)).alias("pivot_sims"), F.array_repeat(F.lit(0.0), 64).alias("vec"))
+        row = neighbors._layout(rows, neighbors.BLOCK, unit).first()
+        groups[n] = 1 + max(c["last"] for c in row.cells.values())
+        assert row.unit * 64 * 8 <= 64 << 20
+    assert groups[600_000] == groups[60_000] == 8
