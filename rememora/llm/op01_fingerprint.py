@@ -151,7 +151,8 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     the first one; a bucket that this leaves in several groups is compared whole, so no link between candidates is lost.
     Such a bucket yields a forest of links, never all its pairs, and one of more than ``crowd`` texts is cut into blocks
     of which every pair is a task's group of its own. Shingles are made for texts that share a bucket only.
-    ``linked(a, b)`` adds candidates, pairs of keys, that another method found; they are verified alike.
+    ``linked(a, b)`` adds candidates, pairs of keys, that another method found: the texts linked to one ``b`` share a
+    bucket with it and are verified alike, against each other too where the first one is unlike them.
     """
     rows = df.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
 
@@ -173,13 +174,13 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     marked = settle(rows.mapInArrow(banded, f"id {type_of(rows, 'id')}, key binary, bands array<bigint>"), "banded")
     nodes = settle(marked.groupBy("key").agg(F.min("id").alias("first"), F.first("bands").alias("bands")), "nodes")
     buckets = nodes.select("key", F.explode(F.array_distinct("bands")).alias("bucket"))
+    if linked is not None:
+        ends = linked.select("b", F.explode(F.array("a", "b")).alias("key")).distinct()
+        buckets = buckets.unionAll(ends.select("key", F.xxhash64("b").alias("bucket")))
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = settle(buckets.join(shared.hint("merge"), "bucket"), "members")
     # one row of each text that shares a bucket; a text of rows without id has the first null
-    compared_keys = members.select("key")
-    if linked is not None:
-        compared_keys = compared_keys.unionAll(linked.select("a")).unionAll(linked.select("b"))
-    wanted = nodes.join(compared_keys.distinct(), "key", "left_semi").select("key", "first")
+    wanted = nodes.join(members.select("key").distinct(), "key", "left_semi").select("key", "first")
     picked = rows.join(wanted.hint("merge"), (rows["key"] == wanted["key"]) & rows["id"].eqNullSafe(wanted["first"]), "left_semi")
     sets = settle(picked.select("key", "text").mapInArrow(shingled, "key binary, shingles array<bigint>")
                   .groupBy("key").agg(F.first("shingles").alias("shingles")), "shingles")
@@ -211,8 +212,6 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", simil
     both = F.size(F.array_intersect("sa", "sb")).cast("double")
     union = F.size("sa") + F.size("sb") - both
     led = members.where(F.col("key") != F.col("leader")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
-    if linked is not None:
-        led = led.unionAll(linked.select("a", "b")).distinct()
     links = settle(led.join(left, "a").join(right, "b").where(F.when(union > 0, both / union).otherwise(F.lit(1.0)) >= similarity)
                    .select("a", "b"), "links")
     joined = components(links).select(F.col("node").alias("key"), "root")

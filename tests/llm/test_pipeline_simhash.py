@@ -27,3 +27,15 @@ def test_stage_asks_simhash(spark, monkeypatch):
     monkeypatch.setattr(op7, "text_links", lambda df, real=op7.text_links: found.append(real(df)) or found[0])
     kept = corpus_pipeline.drop_near_duplicates(spark, make_docs(spark, rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3] and found[0].count() == 2
+
+
+def test_texts_of_one_fingerprint_group_meet_each_other(spark):
+    """Texts alike are found through a link to a third that neither is like, whichever of them has the least key."""
+    rows = [(1, words("z", 120)), (2, words("a", 40) + " " + words("x", 80)), (3, words("a", 40) + " " + words("y", 80))]
+    docs = make_docs(spark, rows)
+    keys = {r.id: r.key for r in op1.grouped(docs).collect()}
+    for hub in (1, 2, 3):
+        linked = spark.createDataFrame([(keys[k], keys[hub]) for k in keys if k != hub], "a binary, b binary")
+        for crowd in (1_024, 2):
+            found = {r.id: r.first_id for r in op1.grouped(docs, similarity=0.15, crowd=crowd, linked=linked).collect()}
+            assert found == {1: 1, 2: 2, 3: 2}
