@@ -10,6 +10,7 @@ of a bounded size, one call each, of which a row's is read.
 
 from __future__ import annotations
 
+import json
 import math
 import zlib
 from collections import OrderedDict, defaultdict
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rememora.functions.text import exact_key, token_key
@@ -26,6 +27,8 @@ from rememora.session import scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# a bound in bytes is asked for after every row, which costs more than the row; the bound in rows of a batch stays
+BATCH_LIMIT, NO_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch", str((1 << 31) - 1)
 FIRED = ("chat_id string, fire long, reason string, turns array<long>, "
          "messages array<struct<role:string,content:string>>")
 ROUTED = "chat_id string, seq long, tier string, ids array<string>"
@@ -37,20 +40,27 @@ SEED = ("chat_id string, part string, seq long, id string, importance double, ac
 NEW_IMPORTANCE = 50.0
 # stored entries of a chat that are kept and read together, about
 PART_ENTRIES = 64
+# chats meet their state by hash in so many groups, whose rows travel together; a stream that began with this number keeps to it
+SHARDS = 1024
+# entries of a chat that it starts from travel in pieces of so many at most
+PIECE = 512
 
 
 @contextmanager
 def keyed_state(spark: SparkSession):
     """Arbitrary state needs the RocksDB provider while a query starts and runs."""
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    wanted = {PROVIDER: ROCKSDB, BATCH_LIMIT: NO_LIMIT}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
@@ -77,11 +87,14 @@ class BufferProcessor(StatefulProcessor):
         self.buffer = handle.getListState("buffer", "turn long, role string, content string")
         self.fires = handle.getValueState("fires", "n long")
 
-    def _drain(self, key, held, reason, out):
-        taken, rest = held[:self.batch], held[self.batch:]
+    def _number(self) -> int:
         number = self.fires.get()[0] if self.fires.exists() else 0
         self.fires.update((number + 1,))
-        out.append((key, number, reason, [t for t, _, _ in taken],
+        return number
+
+    def _drain(self, key, held, reason, out):
+        taken, rest = held[:self.batch], held[self.batch:]
+        out.append((key, self._number(), reason, [t for t, _, _ in taken],
                     [{"role": r, "content": c} for _, r, c in taken]))
         return rest
 
@@ -212,6 +225,28 @@ class ChatProcessor(BufferProcessor):
         part = zlib.crc32(id.encode()) % parts if parts else 0
         return (self._part(part, read)[1] if part else first).get(id)
 
+    def _count(self, key, seq, row, lives, added, due, out) -> tuple[int, bool, bool]:
+        """Rebuild counter after one row, and whether it changed its entry, whose lifecycle ``lives`` holds."""
+        if row.op == "rebuilt":
+            added, due = 0, False
+            out.append((key, seq, "rebuilt") + (None,) * 8 + (added, due))
+        if row.op not in ("access", "update", "fact") or not isinstance(row.id, str):
+            return added, due, False
+        now = lives[row.id]
+        kind = "added" if row.op == "fact" and now is None else "update" if row.op == "fact" else row.op
+        if kind == "added":
+            added, lives[row.id] = added + 1, (NEW_IMPORTANCE, 0, 0, seq)
+            due = due or added >= self.suggestion
+        elif now is None:
+            return added, due, False
+        else:
+            wrote = kind == "update"
+            lives[row.id] = (min(100.0, now[0] + self.bonus[kind]), now[1] + (not wrote), now[2] + wrote,
+                             seq if wrote else now[3])
+        counter = (added, due) if kind == "added" else (None, None)
+        out.append((key, seq, kind, None, None, None, row.id, *lives[row.id], *counter))
+        return added, due, True
+
     def _fired(self, key, seq, fired):
         return [(key, seq, reason, n, turns, messages) + (None,) * 7 for _, n, reason, turns, messages in fired]
 
@@ -227,27 +262,11 @@ class ChatProcessor(BufferProcessor):
             held, said = self._apply(key[0], row, held, fired)
             armed = True if row.op == "access" else armed if said is None else said
             out += self._fired(key[0], seq, fired)
-            if row.op == "rebuilt":
-                added, due = 0, False
-                out.append((key[0], seq, "rebuilt") + (None,) * 8 + (added, due))
-            if row.op not in ("access", "update", "fact") or not isinstance(row.id, str):
-                continue
-            if row.id not in lives:
+            if row.op in ("access", "update", "fact") and isinstance(row.id, str) and row.id not in lives:
                 lives[row.id] = self._life(row.id, read)
-            now = lives[row.id]
-            kind = "added" if row.op == "fact" and now is None else "update" if row.op == "fact" else row.op
-            if kind == "added":
-                added, lives[row.id] = added + 1, (NEW_IMPORTANCE, 0, 0, seq)
-                due = due or added >= self.suggestion
-            elif now is None:
-                continue
-            else:
-                wrote = kind == "update"
-                lives[row.id] = (min(100.0, now[0] + self.bonus[kind]), now[1] + (not wrote), now[2] + wrote,
-                                 seq if wrote else now[3])
-            changed.add(row.id)
-            counter = (added, due) if kind == "added" else (None, None)
-            out.append((key[0], seq, kind, None, None, None, row.id, *lives[row.id], *counter))
+            added, due, touched = self._count(key[0], seq, row, lives, added, due, out)
+            if touched:
+                changed.add(row.id)
         if held != before:
             self._store(held)
         if counted is None or (added, due) != tuple(counted):
@@ -271,6 +290,140 @@ class ChatProcessor(BufferProcessor):
         return iter([pd.DataFrame(out, columns=names, dtype=object)]) if out else iter(())
 
 
+class _Chat:
+    """State of one chat during a micro-batch: read in one call, and written in one if it changed.
+
+    It is kept as JSON: a call that converts typed lists costs several times as much.
+    Entries lie in parts by linear hashing, the first one beside the rest of the chat's state. A chat gets one part
+    more whenever its parts hold twice ``PART_ENTRIES`` on average, so what a row reads does not grow with the chat.
+    """
+
+    def __init__(self, states: ShardProcessor, chat: str | None, fresh: bool = False):
+        self.states, self.chat = states, chat
+        self.name = "" if chat is None else f"={chat}"
+        found = None if fresh else states.chats.getValue((self.name,))
+        self.fires, self.added, self.due, held, self.count, self.entries, lives = json.loads(found[0]) if found else (0, 0, False, [], 1, 0, {})
+        self.held = [tuple(turn) for turn in held]
+        self.read: dict[int, dict[str, tuple]] = {0: lives}
+        self.stale: set[int] = set()
+        self.saved = self._state()
+
+    def _state(self) -> tuple:
+        return self.fires, self.added, self.due, list(self.held), self.count, self.entries
+
+    def _at(self, id: str) -> int:
+        half = 1 << (self.count.bit_length() - 1)
+        at = zlib.crc32(id.encode()) % (2 * half)
+        return at if at < self.count else at - half
+
+    def part(self, at: int) -> dict[str, tuple]:
+        if at not in self.read:
+            found = self.states.parts.getValue((self.name, at))
+            self.read[at] = {} if found is None else json.loads(found[0])
+        return self.read[at]
+
+    def life(self, id: str) -> tuple | None:
+        """Lifecycle of an entry, None if it is not held."""
+        return self.part(self._at(id)).get(id)
+
+    def put(self, id: str, life: tuple) -> None:
+        at = self._at(id)
+        part = self.part(at)
+        self.entries += id not in part
+        part[id] = life
+        self.stale.add(at)
+        if self.entries > 2 * PART_ENTRIES * self.count:
+            split = self.count - (1 << (self.count.bit_length() - 1))
+            old, self.count = self.part(split), self.count + 1
+            self.read[self.count - 1] = {i: old.pop(i) for i in [i for i in old if self._at(i) != split]}
+            self.stale |= {split, self.count - 1}
+
+    def save(self) -> None:
+        for at in self.stale - {0}:
+            self.states.parts.updateValue((self.name, at), (json.dumps(self.read[at]),))
+        if 0 in self.stale or self._state() != self.saved:
+            self.states.chats.updateValue((self.name,), (json.dumps((*self._state(), self.read[0])),))
+
+
+class ShardProcessor(ChatProcessor):
+    """:class:`ChatProcessor` for the chats of one shard, which keep their states apart; without timers.
+
+    Rows, stored ones too, come and go as frames of a shard: a frame and the calls around it cost
+    more than a short chat's own work.
+    """
+
+    def __init__(self, params: Params):
+        super().__init__(params, False)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.chats = handle.getMapState("chats", "chat string", "state string")
+        self.parts = handle.getMapState("parts", "chat string, part long", "entries string")
+        self.now: _Chat | None = None
+        self.shard, self.begun = None, set()
+
+    def _number(self) -> int:
+        self.now.fires += 1
+        return self.now.fires - 1
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        if self.shard != key:
+            self.shard, self.begun = key, set()
+        for row in initialState.itertuples(index=False):
+            # a very large chat comes in several pieces
+            chat = _Chat(self, row.chat_id, fresh=row.chat_id not in self.begun)
+            if row.chat_id not in self.begun:
+                self.begun.add(row.chat_id)
+                chat.count = max(1, math.ceil(len(row.ids) / PART_ENTRIES))
+                chat.read |= {at: {} for at in range(1, chat.count)}
+                chat.stale |= {0}
+            for id, importance, accesses, updates in zip(row.ids, row.importance, row.accesses, row.updates, strict=True):
+                chat.put(id, (float(importance), int(accesses), int(updates), None))
+            chat.held += [(int(t), r, c) for t, r, c in zip(row.turns, row.roles, row.contents, strict=True)]
+            if len(row.added):
+                chat.added, chat.due = int(row.added[-1]), bool(row.due[-1])
+            chat.save()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        chats: dict[str | None, _Chat] = {}
+        out: list[tuple] = []
+        for row in _in_order(rows).itertuples(index=False):
+            name = row.chat_id if isinstance(row.chat_id, str) else None
+            if name not in chats:
+                chats[name] = _Chat(self, name)
+            now = self.now = chats[name]
+            seq, fired = int(row.seq), []
+            now.held = self._apply(name, row, now.held, fired)[0]
+            out += self._fired(name, seq, fired)
+            named = row.op in ("access", "update", "fact") and isinstance(row.id, str)
+            lives = {row.id: now.life(row.id)} if named else {}
+            now.added, now.due, touched = self._count(name, seq, row, lives, now.added, now.due, out)
+            if touched:
+                now.put(row.id, lives[row.id])
+        for chat in chats.values():
+            chat.save()
+        return self._emit(out)
+
+
+def _shard():
+    return F.pmod(F.crc32(F.coalesce("chat_id", F.lit(""))), F.lit(SHARDS)).cast("int").alias("shard")
+
+
+def _pieces(stored: DataFrame) -> DataFrame:
+    """The rows of :func:`stored_state` as lists, a row per chat and piece of its entries; buffered turns lie in the first in their order."""
+    ahead = Window.partitionBy("chat_id").orderBy(F.desc("part"), F.asc_nulls_last("seq"), "id")
+    at = stored.withColumn("at", F.row_number().over(ahead)).withColumn(
+        "piece", F.when(F.col("part") == "entry", F.floor(F.col("at") / PIECE)).otherwise(0))
+    kept = ["at", "id", "importance", "access_count", "update_count", "turn", "role", "text", "added", "rebuild_due"]
+
+    def listed(part):
+        return F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct(*kept)))).alias(part)
+
+    lists = at.groupBy("chat_id", "piece").agg(*[listed(part) for part in ("entry", "turn", "chat")])
+    names = {"entry": {"id": "ids", "importance": "importance", "access_count": "accesses", "update_count": "updates"},
+             "turn": {"turn": "turns", "role": "roles", "text": "contents"}, "chat": {"added": "added", "rebuild_due": "due"}}
+    return lists.select(_shard(), "chat_id", *[F.col(f"{part}.{c}").alias(n) for part, found in names.items() for c, n in found.items()])
+
+
 def stored_state(entries: DataFrame, turns: DataFrame | None = None, chats: DataFrame | None = None) -> DataFrame:
     """What a stream starts from: stored ``entries(chat_id, id, importance, access_count, update_count)``,
     buffered ``turns(chat_id, seq, turn, role, text)``, ``chats(chat_id, added, rebuild_due)``.
@@ -295,10 +448,13 @@ def lived(events: DataFrame, stored: DataFrame | None = None, params: Params = D
     ``stored`` (see :func:`stored_state`) is read once, when the stream first starts.
     """
     chats = events.select(F.col("chat_id").cast("string").alias("chat_id"), "seq", "op", "turn", "role", "text", "id")
-    return chats.groupBy("chat_id").transformWithStateInPandas(
-        statefulProcessor=ChatProcessor(params, idle), outputStructType=LIVED, outputMode="Append",
-        timeMode="ProcessingTime" if idle else "None",
-        initialState=None if stored is None else stored.groupBy("chat_id"))
+    if idle:  # a timer belongs to a key, so each chat is one
+        return chats.groupBy("chat_id").transformWithStateInPandas(
+            statefulProcessor=ChatProcessor(params, idle), outputStructType=LIVED, outputMode="Append", timeMode="ProcessingTime",
+            initialState=None if stored is None else stored.groupBy("chat_id"))
+    return chats.select(_shard(), "*").groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=ShardProcessor(params), outputStructType=LIVED, outputMode="Append", timeMode="None",
+        initialState=None if stored is None else _pieces(stored).groupBy("shard"))
 
 
 class _Recent:

@@ -269,6 +269,93 @@ def test_stored_entries_are_seeded_and_read_in_parts():
     assert chat._life("e1002", read) is None and len(read) <= 5
 
 
+class _Fake(dict):
+    """A keyed state in plain Python; ``calls`` counts what went to it."""
+    calls = 0
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.get(key)
+
+
+class _FakeValue:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    update = put = lambda self, value: setattr(self, "value", value)
+
+    def clear(self):
+        self.value = None
+
+    def appendList(self, rows):
+        self.value = (self.value or []) + rows
+
+
+def test_a_shard_of_chats_equals_its_chats_one_by_one(monkeypatch):
+    monkeypatch.setattr(live, "PART_ENTRIES", 2)
+    import dataclasses
+    import random
+    knobs = dataclasses.replace(DEFAULTS, buffer_threshold=4, batch_size=2, rebuild_suggestion=3)
+    rng, names = random.Random(3), [f"c{n}" for n in range(9)] + [None, ""]
+    entries = {c: [(f"e{k}", float(k), k, 0) for k in range(rng.choice([0, 1, 5, 30]))] for c in names[:8]}
+    turns = {c: [(k, "user", f"t{k}") for k in range(rng.randrange(4))] for c in names[:8]}
+    shard = live.ShardProcessor(knobs)
+    shard.chats, shard.parts, shard.now, shard.shard, shard.begun = _Fake(), _Fake(), None, None, set()
+
+    def pieces(size):
+        for c, found in entries.items():
+            for begin in range(0, max(1, len(found)), size):
+                part = list(zip(*found[begin:begin + size], strict=True)) or [()] * 4
+                first = begin == 0
+                yield (c, *part, *([*zip(*turns[c], strict=True)] if first and turns[c] else [()] * 3), (1,) if first else (), (False,) if first else ())
+
+    columns = ["chat_id", "ids", "importance", "accesses", "updates", "turns", "roles", "contents", "added", "due"]
+    shard.handleInitialState((1,), pd.DataFrame(list(pieces(1_000)), columns=columns), None)
+    # a chat is written without being read, in one call if its entries fit one part
+    assert shard.chats.calls == len(entries) and 0 < shard.parts.calls <= sum(max(0, -(-len(e) // 2) - 1) for e in entries.values() if e)
+    seeded = dict(shard.chats), dict(shard.parts)
+    for size in (1_000, 7):  # a large chat may come in pieces, and not all at once
+        shard.chats, shard.parts, shard.shard = _Fake(), _Fake(), None
+        split = pd.DataFrame(list(pieces(size)), columns=columns)
+        shard.handleInitialState((1,), split.iloc[:4], None)
+        shard.handleInitialState((1,), split.iloc[4:], None)
+        assert size < 1_000 or (dict(shard.chats), dict(shard.parts)) == seeded
+
+        alone = {}
+        for c in names:
+            chat = alone[c] = live.ChatProcessor(knobs, False)
+            chat.lives, chat.stored, chat.buffer, chat.fires, chat.rebuild = _Fake(), _Fake(), _FakeValue(), _FakeValue(), _FakeValue()
+            chat.buffer.value, chat.seeded = [], None
+            chat.buffer.clear = lambda chat=chat: setattr(chat.buffer, "value", [])
+            if c in entries:
+                rows = [("entry", None, *e, -1, None, None, 0, False) for e in entries[c]]
+                rows += [("turn", k, None, 0.0, 0, 0, *t, 0, False) for k, t in enumerate(turns[c])] + [("chat", None, None, 0.0, 0, 0, -1, None, None, 1, False)]
+                chat.handleInitialState((c,), pd.DataFrame(rows, columns=["part", "seq", "id", "importance", "access_count", "update_count",
+                                                                          "turn", "role", "text", "added", "rebuild_due"]), None)
+        kinds = ["message", "message", "access", "update", "fact", "rebuilt", "switch", "delete", "swipe", "odd"]
+        for batch in range(3):
+            rows = [(rng.choice(names), 1_000 * batch + k, rng.choice(kinds), rng.choice([None, *range(8)]), "user", rng.choice(["x", " ", None]),
+                     rng.choice([None, *(f"e{n}" for n in range(40))])) for k in range(400)]
+            rng.shuffle(rows)
+            frame = pd.DataFrame(rows, columns=["chat_id", "seq", "op", "turn", "role", "text", "id"])
+            got = [r for f in shard.handleInputRows((1,), iter([frame.iloc[:150], frame.iloc[150:]]), None) for r in f.itertuples(index=False, name=None)]
+            want = [r for c, chat in alone.items() if len(mine := frame[frame["chat_id"].map(lambda x: x == c)]) for f in chat.handleInputRows(
+                (c,), iter([mine]), None) for r in f.itertuples(index=False, name=None)]
+            order = lambda r: (str(r[0]), r[1], r[2])
+            assert sorted(got, key=order) == sorted(want, key=order) and len(got) > 50
+        assert max(len(json.loads(v[0])) for v in shard.parts.values()) <= 16 and len(shard.parts) > 30
+
+
 def test_chat_stream_starts_from_stored_state(spark, tmp_path):
     ops = OPS + ", id string"
     rows = [("c", 1, "message", 7, "user", "new", None), ("c", 2, "swipe", 5, None, None, None), ("c", 3, "message", 8, "user", "more", None),
